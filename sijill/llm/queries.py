@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from sijill.llm import langid, mixing, neardup
+from sijill.llm import decontaminate, langid, mixing, neardup, pii
 from sijill.llm.common import read
 
 
+def op1_decontamination(spark, sf_dir):
+    """The documents' places that a benchmark item stands in; clean documents have no row."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_personal_data(spark, sf_dir):
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -18,7 +27,7 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op6_minhash_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op10_mix_sources)}
 
 ORACLES = {
     "op6_minhash_dedup": r"""
