@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sijill.llm import langid, mixing, neardup
+from sijill.llm import decontaminate, langid, mixing, neardup, pii
 from sijill.llm.common import read, stored
 
 
@@ -18,6 +18,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.deduplicated(docs, width=5, percent=80)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them go."""
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind."""
+    return pii.redacted(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how many times."""
     return mixing.mixed(docs)
@@ -26,10 +36,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
     ("mixing", mix_sources),
 ]
 
-#: No stage but the near duplicates can be put in SQL; the stages are tested against brute force.
+#: SQL can't say what a trained model decides; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
