@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sijill.llm import decontaminate, langid, mixing, neardup, pii
+from sijill.llm import decontaminate, embdedup, langid, mixing, neardup, pii
 from sijill.llm.common import read
 
 
@@ -23,13 +23,31 @@ def op6_minhash_dedup(spark, sf_dir):
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embdedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op9_embedding_dedup, op10_mix_sources)}
 
 ORACLES = {
+    "op9_embedding_dedup": """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.x LEFT JOIN degree d ON e.vec_id = d.x
+""",
     "op6_minhash_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
