@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sijill.llm import decontaminate, embdedup, langid, mixing, neardup, pii
+from sijill.llm import decontaminate, embdedup, langid, lmscore, mixing, neardup, pii
 from sijill.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op6_minhash_dedup(spark, sf_dir):
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree_scores(spark, sf_dir):
+    return lmscore.score(read(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark, sf_dir):
     return embdedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -31,7 +35,7 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op9_embedding_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources)}
 
 ORACLES = {
     "op9_embedding_dedup": """
