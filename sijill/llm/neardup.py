@@ -5,14 +5,15 @@
    from the full bin that a fixed random order of its own names first, so two sets agree in a slot with a probability
    equal to their similarity.
 2. Documents with equal sets are one class; the rest works on one representative a class.
-3. A band of ROWS slots is a bucket. In each round a bucket has one hub and every other member of it a candidate edge to
-   a hub, unless links found before already join them; so a round has at most as many pairs as members. Each edge is
-   confirmed on the full sets. Then hubs leave their buckets, and the next round takes new ones, until no bucket holds two
-   documents that aren't joined and weren't compared; where few pairs are left in all, one round takes them all. No link
-   within a bucket is lost, and a group of copies costs a star, not all its pairs.
-4. Components of the confirmed links come from label propagation with pointer jumping, on tables.
-
-The full sets of an edge are made again from the two texts, which meet in groups of one hub and at most FAN others.
+3. A band of ROWS slots is a bucket. First each member of a bucket has one candidate edge, to the least hub of its buckets:
+   a group of copies costs a star, not all its pairs. The links confirmed so form components. Then, twice, the members
+   of a bucket that are not in its largest component are compared with that component, which leaves the bucket. What is
+   left, few documents a bucket, is compared all with all. So every two documents in a bucket are in one component or
+   were compared, and no link within a bucket is lost.
+4. Comparing is exact, on the full sets made again from the texts, in groups of at most about FAN documents a side; large
+   components and buckets are cut into such blocks. Pairs never become rows: a group gives each document the least one
+   it is joined with there.
+5. Components of these edges come from label propagation with pointer jumping, on tables.
 
 Edge cases: null and blank texts have no shingles and are linked with nothing; texts shorter than a shingle have one, all
 their words; a null doc_id is never a representative, its row gets the component of its class (null if all ids in
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from sijill.llm.common import mix, numbers, prepare, shingle_sets, stored, texts
 
-SLOTS = 128
-ROWS = 4
-BANDS = SLOTS // ROWS
-#: Documents that meet one hub's text in a group.
-FAN = 64
+#: Long bands keep apart what shares a passage only; so many of them lose a pair at 0.8 with a probability of 8 in a million.
+SLOTS = 512
+ROWS = 8
+#: Documents of a block; two blocks meet in a group.
+FAN = 256
 #: Ids that are broadcast to pick texts; with more, a shuffle join does it.
 MOST_IDS = 2_000_000
 
@@ -72,42 +73,83 @@ def bands(sign: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _signed(batches, width: int, slots: int, rows: int):
+def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The buckets of a set; none, if only an equal set is similar enough."""
+    if 100 * len(shingles) < percent * (len(shingles) + 1):
+        return np.zeros(0, np.uint64)
+    return bands(signature(shingles))
+
+
+def _signed(batches, width: int, percent: int):
     for b in batches:
-        sizes, high, low, keys = [], [], [], []
+        sizes, high, low, own = [], [], [], []
         for part in texts(b.column("text")):
             for s in shingle_sets(part, width):
                 sizes.append(len(s))
                 high.append(int(mix(s ^ numbers(24, 1)[0]).sum(dtype=np.uint64).view(np.int64)))
                 low.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                keys.append(bands(signature(s, slots), rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                own.append(keys(s, percent).view(np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(k) for k in own])]).astype(np.int32)
+        flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
             ["doc_id", "n_shingles", "high", "low", "keys"],
         )
 
 
-# ------------------------------------------------------------------ confirming edges
+# ------------------------------------------------------------------ comparing
+
+
+def _joined(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """For each document the least id it is joined with by links of the group. ``side``: 0 and 1 meet each other, 2 all."""
+    size = np.array([len(s) for s in sets])
+    left = np.flatnonzero(side != 1)
+    every = np.concatenate([sets[i] for i in left]) if len(left) else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(left)), size[left])[order]
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j in np.flatnonzero(side != 0):
+        low, high = np.searchsorted(every, sets[j], "left"), np.searchsorted(every, sets[j], "right")
+        n = high - low
+        where = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        same = np.bincount(owner[where], minlength=len(left))
+        linked = left[(same > 0) & (100 * same >= percent * (size[left] + size[j] - same))]
+        linked = linked[linked != j]
+        x.append(linked)
+        y.append(np.full(len(linked), j))
+    x, y = np.concatenate(x), np.concatenate(y)
+    label = ids.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compared(batches, width: int, percent: int):
+    """Rows of one group are consecutive. Yields (a, b): a document and the least one it is joined with there."""
+    held: list[tuple[np.ndarray, int, int]] = []
+    last = None
 
+    def done() -> pa.RecordBatch:
+        sets, ids, side = [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
+        least = _joined(sets, ids, side, percent)
+        some = least != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some])], ["a", "b"])
 
-def _confirmed(batches, width: int, percent: int):
-    """Consecutive rows of one group: the hub's text first, then the others'. Yields the linked pairs."""
-    group, hub_id, hub = None, None, None
     for b in batches:
-        groups, ids, is_hub = b.column("grp").to_pylist(), b.column("doc").to_pylist(), b.column("rest").to_pylist()
-        left, right = [], []
+        groups, ids, side = (b.column(c).to_pylist() for c in ("grp", "doc", "side"))
         for part in texts(b.column("text")):
             for i, s in enumerate(shingle_sets(part, width), part.first):
-                if is_hub[i] == 0:
-                    group, hub_id, hub = groups[i], ids[i], s
-                elif groups[i] == group:
-                    same = len(np.intersect1d(hub, s, assume_unique=True))
-                    if 100 * same >= percent * (len(hub) + len(s) - same) and same:
-                        left.append(hub_id)
-                        right.append(ids[i])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                if held and groups[i] != last:
+                    yield done()
+                    held = []
+                last = groups[i]
+                held.append((s, ids[i], side[i]))
+    if held:
+        yield done()
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,18 +159,43 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.min("text").alias("text"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b), hub a, whose full sets are similar enough."""
-    # groups of about FAN by a hash, so a hub with very many partners is spread over tasks
-    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("cells"))
-    placed = pairs.join(count, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "cells")).alias("grp"))
-    placed = stored(placed, "dedup-groups")
-    hubs = placed.select("grp", "a", F.col("a").alias("doc"), F.lit(0).alias("rest")).distinct()
-    rows = stored(placed.select("grp", "a", F.col("b").alias("doc"), F.lit(1).alias("rest")).unionByName(hubs), "dedup-rows")
+def compare(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges between the documents of ``rows`` (grp, doc, side) that are linked."""
+    rows = stored(rows, "dedup-groups")
     with_text = rows.join(_texts_of(docs, rows.select("doc").distinct()), "doc")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_groups = with_text.repartition(n, "grp").sortWithinPartitions("grp", "a", "rest", "doc").select("a", "grp", "doc", "rest", "text")
-    return in_groups.mapInArrow(functools.partial(_confirmed, width=width, percent=percent), "a long, b long")
+    in_groups = with_text.repartition(n, "grp").sortWithinPartitions("grp", "doc").select("grp", "doc", "side", "text")
+    return stored(in_groups.mapInArrow(functools.partial(_compared, width=width, percent=percent), "a long, b long"), "dedup-links")
+
+
+def _to(cells: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(cells) - 1))
+
+
+def against(work: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Groups (grp, doc, side) in which each ``doc`` of ``work`` (whole, doc) meets all members of component ``whole``."""
+    outside = work.groupBy("whole").agg(_cells_of("doc").alias("across"))
+    if labels is None:
+        members = outside.select("whole", F.col("whole").alias("node"))
+    else:
+        members = outside.select("whole").join(labels.withColumnRenamed("component", "whole"), "whole", "left").select("whole", F.coalesce("node", "whole").alias("node"))
+    inside = members.groupBy("whole").agg(_cells_of("node").alias("down"))
+    grid = outside.join(inside, "whole")
+    one = members.join(grid, "whole").select("whole", F.col("node").alias("doc"), F.pmod(F.xxhash64("node"), "down").alias("i"), _to("across").alias("j"), F.lit(0).alias("side"))
+    two = work.join(grid, "whole").select("whole", "doc", F.pmod(F.xxhash64("doc"), "across").alias("j"), _to("down").alias("i"), F.lit(1).alias("side"))
+    return one.unionByName(two).select(F.xxhash64("whole", "i", "j").alias("grp"), "doc", "side")
+
+
+def _cells_of(column: str) -> Column:
+    return F.ceil(F.count(column) / FAN).cast("int")
+
+
+def among(live: DataFrame) -> DataFrame:
+    """Groups in which the members of each bucket of ``live`` (key, doc) meet each other."""
+    size = live.groupBy("key").agg(_cells_of("doc").alias("cells")).where("cells > 0")
+    placed = live.join(size, "key").select("key", "doc", F.pmod(F.xxhash64("doc"), "cells").cast("int").alias("own"), _to("cells").alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return placed.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "doc", side.alias("side"))
 
 
 # ------------------------------------------------------------------ components
@@ -156,55 +223,42 @@ def components(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ the operator
 
 
-def _rounds(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, component) over the confirmed links of ``members`` (key, doc), buckets of two and more; None without any."""
-    links: DataFrame | None = None
-    done: DataFrame | None = None
-    live, hubs_a_round = members.withColumn("component", F.col("doc")), 1
-    while True:
-        live = stored(live, "dedup-live")
-        open_ = live.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("doc", "component")).alias("hub"))
-        open_ = stored(open_.where("least < most").select("key", "n", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component")), "dedup-open")
-        total = open_.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not total["rows"]:
-            break
-        inside = live.join(open_, "key")
-        last = total["pairs"] <= 2 * total["rows"]
-        if last:
-            one = inside.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
-            two = inside.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        else:
-            pairs = inside.where("component <> hub_component").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        if not last:  # the least hubs first: most of a group's buckets are settled by one
-            pairs = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, hubs_a_round).alias("hubs")).select(F.explode("hubs").alias("a"), "b")
-            hubs_a_round *= 2
-        pairs = stored(pairs, "dedup-pairs")
-        if not pairs.isEmpty():
-            done = pairs if done is None else done.unionByName(pairs)
-            found = stored(confirm(docs, pairs, width, percent), "dedup-links")
-            links = found if links is None else links.unionByName(found)
-            joined = components(links).select(F.col("node").alias("doc"), F.col("component").alias("new"))
-            renewed = inside.join(joined, "doc", "left").select("key", "doc", "hub", F.coalesce("new", "component").alias("component"))
-        else:
-            renewed = inside.select("key", "doc", "hub", "component")
-        if last:
-            break
-        # a hub stays in a bucket while a member there is neither joined with it nor compared with it
-        at_hub = renewed.where("doc = hub").select("key", F.col("component").alias("hub_component"))
-        apart = renewed.where("doc <> hub").join(at_hub, "key").where("component <> hub_component").select("key", F.col("hub").alias("a"), F.col("doc").alias("b"))
-        waits = apart.join(done, ["a", "b"], "left_anti").select("key").distinct().withColumn("waits", F.lit(True))
-        live = renewed.join(waits, "key", "left").where("waits or doc <> hub").select("key", "doc", "component")
-    return components(links) if links is not None and not links.isEmpty() else None
+def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(node, component) over the links of ``members`` (key, doc), buckets of two and more; None without any."""
+    live = stored(members.withColumn("component", F.col("doc")), "dedup-live")
+    if live.isEmpty():
+        return None
+    hubs = live.groupBy("key").agg(F.min("doc").alias("hub"))
+    star = live.join(hubs, "key").where("doc <> hub").groupBy("doc").agg(F.min("hub").alias("whole"))
+    links = compare(docs, against(stored(star, "dedup-star"), None), width, percent)
+    labels = components(links)
+    for _ in range(2):
+        live = _relabelled(live, labels)
+        parts = live.groupBy("key", "component").agg(F.count("*").alias("n"))
+        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("whole"), F.count("*").alias("parts")).where("parts > 1").select("key", "whole")
+        live = stored(live.join(main, "key").where("component <> whole"), "dedup-live")
+        work = stored(live.select("whole", "doc").distinct(), "dedup-work")
+        if work.isEmpty():
+            return labels
+        links = links.unionByName(compare(docs, against(work, labels), width, percent))
+        labels = components(links)
+        live = live.drop("whole")
+    live = _relabelled(live, labels)
+    open_ = live.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    rest = stored(live.join(open_, "key", "left_semi").select("key", "doc"), "dedup-rest")
+    return labels if rest.isEmpty() else components(links.unionByName(compare(docs, among(rest), width, percent)))
+
+
+def _relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    new = labels.select(F.col("node").alias("doc"), F.col("component").alias("new"))
+    return live.join(new, "doc", "left").select("key", "doc", F.coalesce("new", "component").alias("component"))
 
 
 def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sign = functools.partial(_signed, width=width, slots=SLOTS, rows=ROWS)
+    sign = functools.partial(_signed, width=width, percent=percent)
     signed = stored(own.mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, keys array<long>"), "dedup-signed")
     reps = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("doc")), "dedup-classes")
     keys_of = signed.where("n_shingles > 0").select(F.col("doc_id").alias("doc"), "high", "low", "keys").join(reps, ["doc", "high", "low"], "left_semi")
@@ -212,7 +266,7 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     keyed = keys_of.select("doc", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
     members = keyed.join(stored(buckets, "dedup-buckets"), "key", "left_semi").distinct()
-    found = _rounds(members, own, width, percent)
+    found = _linked(members, own, width, percent)
     names = reps.select(F.col("high").alias("h"), F.col("low").alias("l"), F.col("doc").alias("component_id"))
     if found is not None:
         names = names.join(found, names["component_id"] == found["node"], "left").select("h", "l", F.coalesce("component", "component_id").alias("component_id"))
