@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sijill.llm import decontaminate, embdedup, langid, lmscore, mixing, neardup, pii
+from sijill.llm import decontaminate, embdedup, html, langid, lmscore, mixing, neardup, pii, quality, secrets
 from sijill.llm.common import read
 
 
@@ -11,6 +11,14 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark, sf_dir):
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark, sf_dir):
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -23,6 +31,10 @@ def op6_minhash_dedup(spark, sf_dir):
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_resampling(spark, sf_dir):
+    return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_suffix_tree_scores(spark, sf_dir):
     return lmscore.score(read(spark, sf_dir, "documents"))
 
@@ -35,7 +47,7 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_personal_data, op5_language_id, op6_minhash_dedup, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources)}
 
 ORACLES = {
     "op9_embedding_dedup": """
