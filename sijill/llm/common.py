@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import atexit
 import functools
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sijill.session import ship
+
 #: Bytes of text that numpy works on at a time.
 CHUNK_BYTES = 1 << 20
 #: Java's and Python's spelling of what separates words.
@@ -34,20 +33,9 @@ _LOWER[65:91] += 32
 # ------------------------------------------------------------------ session and storage
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Let the executors' Python import this package, and bound what one Arrow batch holds, whatever the texts' length."""
-    if spark.sparkContext.applicationId not in _shipped:
-        _shipped.add(spark.sparkContext.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="sijill-")  # Spark's own file server hands it out, so it stays until the end
-        atexit.register(shutil.rmtree, folder, True)
-        with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(f"{folder}/{package.name}.zip")
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
