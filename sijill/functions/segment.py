@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,3 +82,35 @@ def nfkc_rtl(c) -> Column:
         return x.map(lambda t: t if t is None or not rtl.search(t) else "\n".join(unicodedata.normalize("NFKC", v).replace("\x00", "") if v.strip() else v for v in t.split("\n")))
 
     return run(c)
+
+
+# ------------------------------------------------------------------ late interaction
+
+
+def ngrams(text: str, n: int = 4) -> list[str]:
+    """Overlapping n-grams of the lower-case normalized text, none equal to the one before; a shorter text is one."""
+    t = " ".join((text or "").lower().split())
+    found = [t[i : i + n] for i in range(len(t) - n + 1)] if len(t) >= n else [t] if t else []
+    return [g for i, g in enumerate(found) if not i or g != found[i - 1]]
+
+
+@functools.lru_cache(4096)
+def token_matrix(text: str) -> np.ndarray:
+    """A unit vector of the MD5 bytes of each n-gram."""
+    m = np.array([list(hashlib.md5(g.encode()).digest()) for g in ngrams(text)], np.float32).reshape(-1, 16) / 255
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(size == 0, 1, size)
+
+
+def max_similarity(query: str, doc: str) -> float:
+    """Mean over the query's n-grams of the best dot product with the document's; 0 if either has none."""
+    q, d = token_matrix(query or ""), token_matrix(doc or "")
+    return float((q @ d.T).max(1).mean()) if len(q) and len(d) else 0.0
+
+
+def max_sim(query, doc) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([max_similarity(p, q) for p, q in zip(x, y, strict=True)])
+
+    return run(query, doc)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sijill.functions.text import char_ngrams, col, drop_adjacent
+from sijill.functions.text import col
 
 DIMS = 1024
 #: The words that have a dimension of their own, and the first dimension of hashed tokens.
@@ -79,20 +79,6 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
-def ngram_vector(g) -> Column:
-    """16 bytes of MD5 over 255."""
-    h = F.md5(F.encode(col(g), "utf-8"))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
-
-
-def max_sim(query, doc) -> Column:
-    """Mean over the query's n-grams of the best dot product with the document's; 0 if either has none."""
-    vectors = lambda c: F.transform(drop_adjacent(char_ngrams(c)), lambda g: normalized(ngram_vector(g)))
-    q, d = vectors(query), vectors(doc)
-    best = F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y))))
-    return F.when((F.size(q) == 0) | (F.size(d) == 0), 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(q))
-
-
 def hash_share(c) -> Column:
     """Where in 0 to 1 an id falls: its MD5's first eight digits over the greatest."""
     return F.conv(F.substring(F.md5(F.encode(col(c).cast("string"), "utf-8")), 1, 8), 16, 10).cast("double") / 4294967295.0

@@ -64,6 +64,6 @@ def stats(judgments: DataFrame, found: DataFrame) -> DataFrame:
     """Totals, rates and the distribution of confidence, in one row."""
     per = found.groupBy("id").agg(F.count("*").alias("n"), *[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")])
     rows = judgments.select("id").join(per, "id", "left").fillna(0)
-    return rows.agg(F.count("*").alias("total_cases"), F.count_if("n > 0").alias("cases_with_citations"), F.sum("n").alias("total_citations"), F.sum("high").alias("high"), F.sum("medium").alias("medium"), F.sum("low").alias("low")).select(
+    return rows.agg(F.count("*").alias("total_cases"), F.count_if(F.col("n") > 0).alias("cases_with_citations"), F.sum("n").alias("total_citations"), F.sum("high").alias("high"), F.sum("medium").alias("medium"), F.sum("low").alias("low")).select(
         "*", F.round(F.col("cases_with_citations") / F.greatest(F.lit(1), "total_cases"), 3).alias("citation_rate"), F.round(F.col("total_citations") / F.greatest(F.lit(1), "total_cases"), 2).alias("mean_citations")
     )

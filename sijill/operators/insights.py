@@ -53,9 +53,9 @@ def summary(docs: DataFrame) -> DataFrame:
 def amendment(pairs: DataFrame) -> DataFrame:
     """Sentences added and removed between ``old_text`` and ``new_text`` (change, pos, sentence), each once, in order."""
     old, new = T.sentences(T.normalize_space("old_text")), T.sentences(T.normalize_space("new_text"))
-    without = lambda a, b: F.array_distinct(F.filter(a, lambda s: ~F.array_contains(b, s)))
-    changes = F.array(F.struct(F.lit("added").alias("change"), without(new, old).alias("s")), F.struct(F.lit("removed").alias("change"), without(old, new).alias("s")))
-    return pairs.select("doc_id", F.explode(changes).alias("c")).select("doc_id", "c.change", F.posexplode("c.s").alias("pos", "sentence"))
+    rows = pairs.select("doc_id", old.alias("o"), new.alias("n"))
+    changes = F.array(F.struct(F.lit("added").alias("change"), F.array_except("n", "o").alias("s")), F.struct(F.lit("removed").alias("change"), F.array_except("o", "n").alias("s")))
+    return rows.select("doc_id", F.explode(changes).alias("c")).select("doc_id", "c.change", F.posexplode("c.s").alias("pos", "sentence"))
 
 
 def minor_change(old, new) -> Column:

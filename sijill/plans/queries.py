@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import text as T
 from sijill.functions import vectors as V
-from sijill.functions.segment import segment
+from sijill.functions.segment import max_sim, segment
 from sijill.operators import chat, citations, insights, ranking, training
 from sijill.session import ship
 from sijill.sources import extract
@@ -313,7 +313,7 @@ def maxsim_rerank(spark, d):
     """Late interaction over pseudo-embedded n-grams; few queries against few short texts, as a reranker sees them."""
     q = _t(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("case_id"), F.left("text", F.lit(120)).alias("q"))
     docs = _t(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("reg_id"), F.left("text", F.lit(120)).alias("t"))
-    return ranking.rerank(docs.crossJoin(F.broadcast(q)), _r6(V.max_sim("q", "t"))).drop("q", "t")
+    return ranking.rerank(docs.crossJoin(F.broadcast(q)), _r6(max_sim("q", "t"))).drop("q", "t")
 
 
 @query(f"""{_RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY final_score DESC, reg_id) AS r FROM k),
@@ -582,8 +582,8 @@ def context_block(spark, d):
     return chat.context(rows.select("conv_id", F.col("role").alias("case_type")), rows.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), "text"))
 
 
-@query("""SELECT DISTINCT c.conv_id, n.n_nationkey::BIGINT AS ref_id, left(b.text, 12) AS title FROM conversations c JOIN nation n ON true JOIN benchmark b ON b.item_id = n.n_nationkey WHERE c.role = 'assistant' AND contains(c.text, left(b.text, 12))""")
+@query("""SELECT DISTINCT c.conv_id, n.n_nationkey::BIGINT AS ref_id, left(b.text, 4) AS title FROM conversations c JOIN nation n ON true JOIN benchmark b ON b.item_id = n.n_nationkey WHERE c.role = 'assistant' AND contains(c.text, left(b.text, 4))""")
 def answer_references(spark, d):
     answers = _t(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
-    refs = _t(spark, d, "benchmark").join(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("item_id")), "item_id").select(F.col("item_id").alias("ref_id"), F.left("text", F.lit(12)).alias("title"), F.lit(None).cast("string").alias("article"))
+    refs = _t(spark, d, "benchmark").join(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("item_id")), "item_id").select(F.col("item_id").alias("ref_id"), F.left("text", F.lit(4)).alias("title"), F.lit(None).cast("string").alias("article"))
     return chat.used_references(answers, refs.join(answers.select("conv_id").distinct()))
