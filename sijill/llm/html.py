@@ -49,13 +49,6 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-class Block:
-    __slots__ = ("close", "text", "traits")
-
-    def __init__(self, traits: tuple[str, ...]):
-        self.traits, self.text, self.close = traits, [], 0
-
-
 def _traits(name: str, rest: str) -> tuple[str, ...]:
     out = ["<" + name]
     for m in _MARK.finditer(rest):
@@ -99,6 +92,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], list[str]]]:
                 text.append(m[0][9:].removesuffix("]]>"))
             continue
         name, closing = m[2].lower(), m[1] == "/"
+        if name == "br":  # a line break within a block is white space
+            text.append(" ")
+            continue
         inline = name in INLINE
         if not inline:
             flush()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.common import Texts, fold, mix, numbers, prepare, texts
+from sijill.llm.common import Texts, fold, mix, prepare, texts
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -211,22 +211,22 @@ def _letter(c: str):
     return F.coalesce(F.col(c).rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(model: Model | None, docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and lang_pred, score, rejected."""
+def predict(model: Model | None, docs: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and lang_pred, score, rejected, each with ``prefix``."""
     prepare(docs.sparkSession)
     names = {c: f"_k{i}" for i, c in enumerate(keep)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text").cast("string").alias("_text"), _letter("text").alias("_letter"))
     back = [F.col(n).alias(c) for c, n in names.items()]
     if model is None:
-        return rows.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return rows.select(*back, F.lit("und").alias(f"{prefix}lang_pred"), F.lit(0.0).alias(f"{prefix}score"), F.lit(True).alias(f"{prefix}rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", _lang string, _score double"
     out = rows.mapInArrow(functools.partial(_predict, shared=shared), schema)
     return out.select(
         *back,
-        F.when(F.col("_letter"), F.col("_lang")).otherwise("und").alias("lang_pred"),
-        F.when(F.col("_letter"), F.col("_score")).otherwise(0.0).alias("score"),
-        (~F.col("_letter") | (F.col("_score") < model.threshold)).alias("rejected"),
+        F.when(F.col("_letter"), F.col("_lang")).otherwise("und").alias(f"{prefix}lang_pred"),
+        F.when(F.col("_letter"), F.col("_score")).otherwise(0.0).alias(f"{prefix}score"),
+        (~F.col("_letter") | (F.col("_score") < model.threshold)).alias(f"{prefix}rejected"),
     )
 
 
@@ -238,12 +238,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model, learned from them, doesn't reject, with their columns."""
-    return predict_text(fit(docs), docs).where(~F.col("_rejected")).drop("_rejected")
+    found = predict(fit(docs), docs, docs.columns, "_langid_")
+    return found.where("not _langid_rejected").drop("_langid_lang_pred", "_langid_score", "_langid_rejected")
 
 
-def predict_text(model: Model | None, docs: DataFrame) -> DataFrame:
-    out = predict(model, docs, docs.columns)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("rejected").alias("_rejected"))
-
-
-__all__ = ["Model", "accepted", "fit", "identify", "numbers", "predict", "train"]
+__all__ = ["Model", "accepted", "fit", "identify", "predict", "train"]

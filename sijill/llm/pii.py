@@ -203,7 +203,7 @@ def examples(n: int = 240, seed: int = 3) -> list[dict]:
     sep = lambda: rng.choice([".", "-", " ", "/"])
     forms = {
         (1, "phone"): lambda: near("near_phone", 0.7) + (lambda s: rng.choice([f"({d1(3)}) {d1(3)}-{d(4)}", f"{d1(3)}{s}{d1(3)}{s}{d(4)}", f"00{d1(2)} {d1(3)} {d(3)} {d(4)}", f"0{d1(3)}{s}{d(3)} {d(3)} {d(2)}", f"0{d1(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]))(sep()),
-        (0, "phone"): lambda: near("near_other", 0.6) + rng.choice([f"{d(2)}-{d(2)}-20{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}", f"{d1(2)} {d1(3)} {d1(2)} {d1(4)} {d(3)} {d(2)}", f"{d1(3)}-{d1(3)}-{d1(2)}", f"978-{d(2)}-{d(4)}", f"{d1(4)} {d1(4)} {d1(4)}", f"{d1(2)}.{d1(2)}.{d1(3)}", f"{d1(4)}/{d(2)}/{d(3)}"]),
+        (0, "phone"): lambda: near("near_other", 0.6) + rng.choice([f"{d(2)}-{d(2)}-20{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}", f"{d1(2)} {d1(3)} {d1(2)} {d1(4)} {d(3)} {d(2)}", f"{d1(3)}-{d1(3)}-{d1(2)}", f"978-{d(2)}-{d(4)}", f"{d1(4)} {d1(4)} {d1(4)}", f"{d1(2)}.{d1(2)}.{d1(3)}", f"{d1(4)}/{d(2)}/{d(3)}", " ".join(d1(4) for _ in range(rng.randint(4, 6))), " ".join(d1(2) for _ in range(rng.randint(3, 6)))]),
         (1, "card"): lambda: near("near_card", 0.6) + (lambda s, c: rng.choice(["."]).join([c[:4], c[4:8], c[8:12], c[12:]]) if s else "/".join([c[:4], c[4:8], c[8:12], c[12:]]))(rng.random() < 0.7, luhn(16)),
         (0, "card"): lambda: near("near_other", 0.6) + ".".join([d1(4), d(4), d(4), d(rng.choice([1, 3, 4, 6]))]),
         (1, "email"): lambda: near("near_mail", 0.6) + rng.choice([f"{word()}.{word()} [at] {word()} [dot] com", f"{word()}{d(2)}(at){word()}.org", f"{word()} (at) {word()} (dot) {word()} (dot) net", f"{word()}{{at}}{word()}.de", f"{word()}é@{word()}ü.fr", f"{word()}ñ.{word()}@{word()}.es"]),

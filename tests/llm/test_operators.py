@@ -1,0 +1,298 @@
+"""Each operator on small tables: against brute force where it is exact, and on the edge cases its docstring defines."""
+
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from sijill.llm import common, decontaminate, embdedup, html, langid, lmscore, mixing, neardup, pii, quality, secrets
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, texts, **more):
+    rows = [(i, t, more.get("lang", "en"), more.get("source", "s"), None if t is None else len(t), "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "a row without an id", None, None, None, None), (0, texts[0], "en", "s", 1, "x")] if more.get("edge") else rows, DOCS)
+
+
+def said(n, seed=0, size=5000):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{k}" for k in rng.integers(0, size, n))
+
+
+def brute_classes(texts, width, percent=80):
+    def shingles(t):
+        w = WORDS.findall((t or "").lower())
+        k = min(width, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    return [(len(s), c) for s, c in zip(sets, label, strict=True)]
+
+
+# ------------------------------------------------------------------ near-duplicates
+
+
+def test_classes_match_brute_force(spark):
+    base, rng = said(120), np.random.default_rng(1)
+    texts = [base, base.upper(), None, "", "one", "one", "one two", "x y z " * 400]
+    for i in range(40):  # copies around the threshold, and unlike texts
+        w = said(100, 7).split()
+        for k in rng.integers(0, len(w), rng.integers(0, 12)):
+            w[k] = f"n{i}{k}"
+        texts += [" ".join(w), said(30, 100 + i)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.classes(docs(spark, texts)).collect()}
+    assert found == {i: (n, c, i == c) for i, (n, c) in enumerate(brute_classes(texts, 2))}
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAN", 3)
+    texts = [said(60, 3) + f" end{i % 4} " + said(4, i) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.classes(docs(spark, texts)).collect()}
+    assert found == dict(enumerate(c for _, c in brute_classes(texts, 2)))
+
+
+def test_dedup_edges(spark):
+    rows = docs(spark, ["a b c d e f", None, "", "a b c d e f"], edge=True)
+    kept = neardup.deduplicated(rows)
+    assert kept.columns == rows.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "0", "1", "2", "None"]
+    assert neardup.classes(rows.limit(0)).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    a = np.unique(common.numbers(1, 300))
+    b = np.unique(np.concatenate([a[:240], common.numbers(2, 30)]))
+    same = (neardup.signature(a) == neardup.signature(b)).mean()
+    assert abs(same - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.1
+
+
+# ------------------------------------------------------------------ decontamination
+
+
+def test_matches(spark):
+    item, other = said(40, 5), said(25, 6)
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "just three words")], "item_id long, text string")
+    texts = [said(200, 9) + " " + item.upper().replace(" ", ", ") + " " + said(50, 10), said(300, 11), other, None, "", "Just three words!", said(30, 12) + " " + " ".join(item.split()[:20])]
+    rows = decontaminate.matches(docs(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in rows} == {(0, 1, 200, 1.0), (2, 2, 0, 1.0), (5, 5, 0, 1.0)}
+    clean = decontaminate.decontaminated(docs(spark, texts, edge=True), bench)
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["1", "3", "4", "6", "None"]
+    assert decontaminate.matches(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_index_misses_nothing_within_its_radius():
+    rng = np.random.default_rng(0)
+    words = [rng.integers(1, 1 << 62, 20).astype(np.uint64) for _ in range(70)]
+    index = decontaminate.Index(list(range(70)), words).built()
+    size = next(iter(index.classes))
+    prints = np.array([int(index.prints[i % 70]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 22), False)) for i in range(500)], np.uint64)
+    got = set(zip(*map(list, index.near(size, prints)), strict=True))
+    assert got == {(i, j) for i, p in enumerate(prints) for j in index.classes[size] if int(p ^ index.prints[j]).bit_count() <= decontaminate.RADIUS}
+
+
+# ------------------------------------------------------------------ personal data and secrets
+
+
+def test_personal_data(spark):
+    texts = ["a@b.c_d@e.f.g, 1.2.3.4.5.6.7.8 and 999.1.1.1", "4111 1111 1111 1111, 4111  1111 +1 (555) 123-4567", None, "", "é@x.y +12 +1", "12 " * 4000, "a" * 20000 + "@b.c"]
+    rows = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
+    assert [rows[0][f"n_{k}"] for k in pii.KINDS] == [2, 2, 0, 0]
+    assert rows[1]["spans"].startswith("card:0:19") and rows[1]["n_phone"] == 1
+    assert rows[2]["spans"] == rows[3]["spans"] == "" and rows[2]["base_sha256"] == rows[3]["base_sha256"]
+    assert rows[5]["n_card"] == 0 and rows[6]["n_email"] == 1
+    for i in (0, 1):
+        assert all(s in rows[i]["spans"].split(",") for s in rows[i]["spans"].split(","))
+
+
+def test_redaction(spark):
+    rows = docs(spark, ["write to me@x.org or 10.0.0.1", None, "nothing here"], edge=True)
+    got = pii.redacted(rows)
+    assert got.columns == rows.columns
+    found = {(r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()}
+    assert (0, "write to [EMAIL] or [IP]", 24) in found and (1, None, None) in found and (2, "nothing here", 12) in found
+
+
+def test_secrets(spark):
+    token = "7702344ead31d5951ffa625c69a7546f3a470a7f"
+    rows = docs(spark, [f'the token = "{token}" is', "plain words " * 50, None, "", f"commit {token} of the build"], edge=True)
+    found = secrets.scan(rows).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == {(0, 13, 53)} and len(found) == 2
+    assert secrets.scan(rows.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ languages, quality, scores
+
+
+def test_language_id(spark):
+    rng = np.random.default_rng(2)
+    kinds = {"xx": "the and ing tion with", "yy": "der und ung schaft mit", "zz": "le et eau ment avec"}
+    rows = [(i, " ".join(rng.choice(kinds[k].split(), 30)), k, "s", 1, "x") for i, k in enumerate(list(kinds) * 60)]
+    rows += [(1000, None, "xx", "s", 1, "x"), (1001, "", "xx", "s", 1, "x"), (1002, "123 !!", "xx", "s", 1, "x"), (None, "the and with", None, None, None, None)]
+    table = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r for r in langid.identify(table).collect()}
+    held = [i for i in range(180) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(found[i]["held_out"] for i in held) and np.mean([found[i]["lang_pred"] == rows[i][2] for i in held]) > 0.97
+    assert {found[i]["lang_pred"] for i in (1000, 1001, 1002)} == {"und"} and found[None]["held_out"] is False
+    assert langid.accepted(table).columns == table.columns
+    assert langid.identify(table.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(table.withColumn("lang", table["lang"].substr(9, 1)).where("lang is null")).collect()} == {"und"}
+
+
+def test_quality(spark):
+    rows = docs(spark, [("good fine words here " if i % 2 else "bad poor stuff there ") * 10 for i in range(60)] + [None, ""])
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 30)], "doc_id long, quality int, toxic int")
+    found = quality.resample(rows, labels).collect()
+    assert sum(r["selected"] for r in found) == 31
+    assert np.mean([r["doc_id"] % 2 for r in found if r["selected"]]) > 0.9
+    assert quality.resample(rows.limit(0), labels.limit(0)).count() == 0
+
+
+def test_threshold_is_exact(spark):
+    keys = spark.createDataFrame([(k,) for k in [5, -3, 5, 1 << 40, -(1 << 50), 7, 7, 7]], "key long")
+    assert [quality.threshold(keys, k) for k in (1, 2, 4, 5, 8)] == [1 << 40, 7, 7, 5, -(1 << 50)]
+
+
+def test_suffix_tree_scores(spark):
+    texts = [said(60, i, 40) for i in range(40)] + [None, "", "UNSEEN word", "w1  w1\n"]
+    found = {r["doc_id"]: r for r in lmscore.score(docs(spark, texts)).collect()}
+    tokens = [[*WORDS.findall((t or "").lower()), None] for t in texts]
+    counts = {}
+    for i, ts in enumerate(tokens):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for t in ts:
+                counts[t] = counts.get(t, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for i, ts in enumerate(tokens):
+        base = sum(np.log10((counts.get(t, 0) + 0.5) / (n + 0.5 * (v + 1))) for t in ts)
+        r = found[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ts), sum(t in counts for t in ts), n)
+        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    assert lmscore.score(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_tree_is_a_distribution():
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"abcab ", np.uint8), 5000)
+    g, c = np.unique(lmscore.grams(data, np.array([0, len(data)])), return_counts=True)
+    contexts, totals, entries, counts = [], [], [], []
+    for d in range(1, lmscore.DEPTH + 1):
+        e, n = lmscore._summed([g & np.uint64((1 << (8 * (d + 1))) - 1)], [c])
+        k, t = lmscore._summed([e >> np.uint64(8)], [n])
+        entries.append(e), counts.append(n.astype(float)), contexts.append(k), totals.append(t.astype(float))
+    tree = lmscore.Tree(np.bincount(data, minlength=256).astype(float), contexts, totals, entries, counts)
+    for before in g[:20] & ~np.uint64(255):
+        assert tree.probability(before | np.arange(256, dtype=np.uint64)).sum() == pytest.approx(1)
+
+
+# ------------------------------------------------------------------ embeddings
+
+
+def test_embeddings_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 16))
+    rows = [(i, (base[i % 30] + rng.normal(size=16) * 0.03 * (i % 5)).tolist(), i % 30 % 3) for i in range(150)]
+    rows += [(200, rows[0][1], 0), (201, [0.0] * 16, 0), (202, None, 0), (203, [float("nan")] * 16, 1), (204, [1.0, None], 1), (205, rows[0][1], None), (206, [1.0, 2.0], 0)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    good = [r for r in rows if r[0] < 201]
+    label, links = {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
+    unit = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in good}
+    pairs = [(a[0], b[0]) for a in good for b in good if a[0] != b[0] and a[2] == b[2] and unit[a[0]] @ unit[b[0]] >= 0.98]
+    for a, _ in pairs:
+        links[a] += 1
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == {i: (links[i], label[i], label[i] == i) for i in label}
+
+
+def test_embedding_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "BLOCK", 4)
+    v = [(i, [1.0 + i * 1e-4, 1.0, 0.5], 0) for i in range(15)]
+    rows = embdedup.near_duplicates(spark.createDataFrame(v, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in rows} == {(14, 0)}
+
+
+# ------------------------------------------------------------------ pages and mixing
+
+
+def test_main_text():
+    weights = html.trained()
+    right = [html.extract(p, weights) == "\n".join(t for t, good in marks if good) for p, marks in html.labelled(100, seed=5)]
+    assert np.mean(right) > 0.85
+    page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One  two<br>three <i>four</i>.</p><div class='ad'>buy it now</div><p>Five&nbsp;six.</article><footer>all rights</footer>"
+    assert html.extract(page, weights) == "A & B\nOne two three four.\nFive six."
+    assert html.extract("", weights) == "" and html.extract("<p", weights) == ""
+
+
+def test_pages_edges(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>word</p></article>", 1), (2, None, None, 2), (None, "v", "", 3)], "page_id long, url string, html string, text int")
+    assert {(r["page_id"], r["text"], r["n_chars"]) for r in html.main_text(rows).collect()} == {(1, "word", 4), (2, "", 0), (None, "", 0)}
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
+    assert mixing.targets([10, 100, 0], [5, 2, 1]) == [30.0, 80.0, 0.0]
+    assert mixing.targets([], []) == []
+
+
+def test_flight_keeps_totals():
+    rng = np.random.default_rng(6)
+    pi, size = np.full(500, 0.3), rng.integers(1, 1000, 500).astype(float)
+    out = mixing.flight(pi, size, rng)
+    open_ = (out > 0) & (out < 1)
+    assert open_.sum() <= 2 and (out * size).sum() == pytest.approx((pi * size).sum()) and out.sum() == pytest.approx(150)
+    assert set(mixing.flight([0.5, 0.5, 0.5], [5, 0, 0], rng, True)) <= {0.0, 1.0}
+    assert np.mean([mixing.flight([0.3] * 4, [1, 2, 3, 4], np.random.default_rng(i), True).sum() for i in range(300)]) == pytest.approx(1.2, abs=0.15)
+
+
+def test_mix(spark):
+    rows = [(i, "w " * (i % 40), "en", None if i % 7 == 0 else f"s{i % 3}", 1, "x") for i in range(3000)] + [(5, None, "en", "s1", 0, "x"), (None, "w w", "en", "s0", 0, "x")]
+    table = spark.createDataFrame(rows, DOCS)
+    found = mixing.mix(table).collect()
+    assert len(found) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in found)
+    by = {}
+    for r in found:
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(t) - target) <= 80 for (_, target), t in by.items())
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.mix(table.repartition(7)).collect()), key=str)
+    kept = mixing.mixed(table)
+    assert kept.columns == [*table.columns, "mix_size", "mix_target", "mix_copies"]
+    assert kept.selectExpr("sum(mix_size * mix_copies)").first()[0] == sum(r["taken"] for r in found)
+    assert mixing.mix(table.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ shared pieces, pipeline
+
+
+def test_words_and_slices():
+    column = pa.array(["a  b\n", None, "", "c", "é d"])
+    for size in (1, 4, 1 << 20):
+        got = []
+        for part in common.texts(column, size):
+            begin, end, at = part.words()
+            got += [[bytes(part.data[b:e]).decode() for b, e in zip(begin[x:y], end[x:y], strict=True)] for x, y in zip(at[:-1], at[1:], strict=True)]
+        assert got == [["a", "b"], [], [], ["c"], ["é", "d"]]
+    hashes = [common.word_hashes(p.data, *p.words()[:2]) for p in common.texts(pa.array(["x Word", "zz word"]))][0]
+    assert hashes[1] == hashes[3] and hashes[0] != hashes[2]
+
+
+def test_pipeline_stages(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = common.read(spark, small, "documents")
+    before = {r["doc_id"] for r in rows.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = common.stored(stage(spark, rows, small), f"test-{name}")
+        after = {r["doc_id"] for r in rows.select("doc_id").collect()}
+        assert after <= before and (name == "mixing" or len(after) > 0.8 * len(before))
+        if name == "personal_data":
+            assert after == before and rows.where("text rlike '@mail[0-9]+[.]example'").count() == 0
+        before = after
