@@ -18,12 +18,17 @@ def sentence_chunks(docs: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select("doc_id", F.inline(T.within_budget("s", max(500, min(most, 15000)))))
 
 
-def case_insights(cases: DataFrame, docs: DataFrame, top_k: int = 5, most: int = 15000) -> DataFrame:
-    """The sentences of each document most like each case: rank, index, text, score. ``cases`` (case_id, text) are a query set."""
+def sentence_scores(cases: DataFrame, docs: DataFrame, most: int = 15000) -> DataFrame:
+    """The likeness of each document's sentences, within a budget, to each case. ``cases`` (case_id, text) are a query set."""
     chunks = sentence_chunks(docs, most)
     units = chunks.withColumn("_u", F.xxhash64("doc_id", "index"))
     scores = V.sparse_cosine(V.hash_embed(cases, "case_id", "text"), V.hash_embed(units, "_u", "text"))
-    rows = scores.join(units.select(F.col("_u").alias("r"), "doc_id", "index", "text"), "r").select(F.col("l").alias("case_id"), "doc_id", "index", "text", "score")
+    return scores.join(units.select(F.col("_u").alias("r"), "doc_id", "index", "text"), "r").select(F.col("l").alias("case_id"), "doc_id", "index", "text", "score")
+
+
+def case_insights(cases: DataFrame, docs: DataFrame, top_k: int = 5, most: int = 15000) -> DataFrame:
+    """The sentences of each document most like each case: rank, index, text, score."""
+    rows = sentence_scores(cases, docs, most)
     return V.top_k(rows, ["case_id", "doc_id"], [F.desc("score"), F.col("index")], max(1, min(top_k, 20)))
 
 

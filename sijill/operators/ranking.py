@@ -154,7 +154,7 @@ def multi_source(best: DataFrame, sources: DataFrame, top_k: int = 5, least: flo
     first = Window.partitionBy("case_id", "source_type").orderBy(F.desc("weighted"), "pos")
     rows = rows.withColumn("rn", F.row_number().over(first))
     demoted = (F.col("source_type") == "regulation") & (F.col("rn") > 4) & (F.col("relevance") < 0.6)
-    rows = rows.withColumn("weighted", F.when(demoted, F.round(F.col("weighted") * 0.5, 4)).otherwise(F.col("weighted")))
+    rows = rows.withColumn("weighted", F.when(demoted, F.floor(F.round(F.col("weighted") * 10000) / 2 + 0.5) / 10000.0).otherwise(F.col("weighted")))
     then = F.when(F.col("source_type") == "regulation", F.col("rn")).otherwise(F.col("pos"))
     return V.top_k(rows.withColumn("then", then.cast("long")), ["case_id", "source_type"], [F.desc("weighted"), F.col("then")], top_k).drop("rn", "then", "raw", "score")
 

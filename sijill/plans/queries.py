@@ -177,22 +177,22 @@ def hash_split(spark, d):
 
 
 def _case_tables(spark, d):
-    """Sentences of benchmark items as fragments, the first documents' sentences as units; regulations of four categories."""
-    cases = _t(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("case_id"), "text", F.element_at(F.array(*[F.lit(x) for x in ("labor", "commercial", "civil", "family")]), (F.col("item_id") % 4 + 1).cast("int")).alias("case_type"))
+    """Sentences of the query set's benchmark items as fragments, those of all documents as units; regulations of three categories."""
+    cases = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), "text", F.element_at(F.array(*[F.lit(x) for x in ("labor", "commercial", "civil", "family")]), (F.col("item_id") % 4 + 1).cast("int")).alias("case_type"))
     frags = cases.select("case_id", F.posexplode(T.sentences(T.normalize_space("text"))).alias("frag_pos", "text"))
     frags = frags.select("case_id", F.concat(F.lit("f"), F.col("frag_pos")).alias("fragment_id"), F.col("frag_pos").cast("long").alias("frag_pos"), F.when((F.col("frag_pos") == 1) & (F.col("case_id") % 3 == 0), "hyde").otherwise("case").alias("source"), "text", F.lit(True).alias("auto"))
-    docs = _t(spark, d, "documents").where("doc_id < 60")
+    docs = _t(spark, d, "documents")
     units = docs.select(F.col("doc_id").alias("reg_id"), F.posexplode(T.sentences(T.normalize_space("text"))).alias("unit_pos", "text")).select("reg_id", F.col("unit_pos").cast("long").alias("unit_pos"), "text")
     regs = docs.select(F.col("doc_id").alias("reg_id"), F.element_at(F.array(*[F.lit(x) for x in ("labor_law", "commercial_law", "civil_law")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("category"), (F.col("doc_id") % 5 == 0).alias("fallback"))
     return cases, frags, units, regs
 
 
 _COMPOSITE = rf"""
-c AS (SELECT item_id AS case_id, text, (['labor', 'commercial', 'civil', 'family'])[item_id % 4 + 1] AS case_type FROM benchmark WHERE item_id < 10),
+c AS (SELECT item_id AS case_id, text, (['labor', 'commercial', 'civil', 'family'])[item_id % 4 + 1] AS case_type FROM benchmark WHERE item_id % 50 = 0),
 fs AS (SELECT case_id, {_SENT.format(_NORM.format('text'))} AS l FROM c),
 fr AS (SELECT case_id, frag_pos, text, case_id * 100000 + frag_pos AS id, 'f' || frag_pos AS fragment_id, CASE WHEN frag_pos = 1 AND case_id % 3 = 0 THEN 'hyde' ELSE 'case' END AS source
   FROM (SELECT case_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS frag_pos, unnest(l) AS text FROM fs)),
-us AS (SELECT doc_id, {_SENT.format(_NORM.format('text'))} AS l FROM documents WHERE doc_id < 60),
+us AS (SELECT doc_id, {_SENT.format(_NORM.format('text'))} AS l FROM documents),
 un AS (SELECT reg_id, unit_pos, text, reg_id * 100000 + unit_pos AS id FROM (SELECT doc_id AS reg_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS unit_pos, unnest(l) AS text FROM us)),
 {_embed('q', 'fr', 'id', 'text')}, {_embed('u', 'un', 'id', 'text')},
 sc AS ({_pairs('q', 'u')}),
@@ -261,10 +261,10 @@ def line_matches(spark, d):
 _TYPES = ("regulation", "judgment", "circular", "guide")
 _SOURCES = f"""
 s AS (SELECT vec_id AS source_id, (['regulation', 'judgment', 'circular', 'guide'])[vec_id % 4 + 1] AS source_type, (['official', 'trusted', 'discovered', 'unverified'])[(vec_id // 4) % 4 + 1] AS trust_tier, vec_id % 3 = 0 AS citable, vec_id AS pos FROM embeddings),
-{_VEC}, b AS (SELECT a.vec_id AS case_id, b.vec_id AS source_id, {_COS} AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+{_VEC}, b AS (SELECT a.vec_id AS case_id, b.vec_id AS source_id, {_COS} AS score FROM v a, v b WHERE a.vec_id % 50 = 0),
 w1 AS (SELECT b.case_id, s.*, round(greatest(0, score), 4) AS relevance, round(greatest(0, score) * CASE trust_tier WHEN 'official' THEN 1.0::DOUBLE WHEN 'trusted' THEN 0.9::DOUBLE WHEN 'discovered' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END, 4) AS weighted FROM s JOIN b USING (source_id) WHERE score >= 0.1::DOUBLE),
 w2 AS (SELECT *, row_number() OVER (PARTITION BY case_id, source_type ORDER BY weighted DESC, pos) AS rn FROM w1),
-w3 AS (SELECT * REPLACE (CASE WHEN source_type = 'regulation' AND rn > 4 AND relevance < 0.6::DOUBLE THEN round(weighted * 0.5::DOUBLE, 4) ELSE weighted END AS weighted) FROM w2),
+w3 AS (SELECT * REPLACE (CASE WHEN source_type = 'regulation' AND rn > 4 AND relevance < 0.6::DOUBLE THEN floor(round(weighted * 10000) / 2 + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE weighted END AS weighted) FROM w2),
 w4 AS (SELECT *, row_number() OVER (PARTITION BY case_id, source_type ORDER BY weighted DESC, CASE WHEN source_type = 'regulation' THEN rn ELSE pos END) AS rank FROM w3)"""
 
 
@@ -272,7 +272,7 @@ def _multi(spark, d):
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % 4 + 1).cast("int"))
     v = _t(spark, d, "embeddings")
     sources = v.select(F.col("vec_id").alias("source_id"), pick(_TYPES, F.col("vec_id")).alias("source_type"), pick(V.TRUST, F.floor(F.col("vec_id") / 4)).alias("trust_tier"), (F.col("vec_id") % 3 == 0).alias("citable"), F.col("vec_id").alias("pos"))
-    best = _dense(spark, d, 100, False).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("source_id"), "score")
+    best = _dense(spark, d, 50, False).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("source_id"), "score")
     return best, ranking.multi_source(best, sources, 5, 0.1)
 
 
@@ -310,9 +310,9 @@ def rerank_jaccard(spark, d):
 
 @query()
 def maxsim_rerank(spark, d):
-    """Late interaction over pseudo-embedded n-grams; few queries against few short texts, as a reranker sees them."""
-    q = _t(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("case_id"), F.left("text", F.lit(120)).alias("q"))
-    docs = _t(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("reg_id"), F.left("text", F.lit(120)).alias("t"))
+    """Late interaction over pseudo-embedded n-grams: the query set's items against every document's excerpt."""
+    q = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), F.col("text").alias("q"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("reg_id"), T.best_excerpt(T.sentences(T.normalize_space("text"))).alias("t"))
     return ranking.rerank(docs.crossJoin(F.broadcast(q)), _r6(max_sim("q", "t"))).drop("q", "t")
 
 
@@ -341,17 +341,17 @@ def agentic_expand(spark, d):
 # ------------------------------------------------------------------ insights
 
 
-@query(rf"""WITH s AS (SELECT doc_id, {_SENT.format(_NORM.format('text'))} AS l FROM documents WHERE doc_id < 60),
+@query(rf"""WITH s AS (SELECT doc_id, {_SENT.format(_NORM.format('text'))} AS l FROM documents),
 e AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS index, unnest(l) AS text FROM s),
 o AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e),
-k AS (SELECT doc_id, index, CASE WHEN used + length(text) > 2000 THEN trim(left(text, CAST(2000 - used AS BIGINT))) ELSE text END AS text, doc_id * 100000 + index AS id FROM o WHERE used < 2000),
-c AS (SELECT item_id, text FROM benchmark WHERE item_id < 5), kk AS (SELECT * FROM k WHERE text <> ''),
+k AS (SELECT doc_id, index, CASE WHEN used + length(text) > 15000 THEN trim(left(text, CAST(15000 - used AS BIGINT))) ELSE text END AS text, doc_id * 100000 + index AS id FROM o WHERE used < 15000),
+c AS (SELECT item_id, text FROM benchmark WHERE item_id % 50 = 0), kk AS (SELECT * FROM k WHERE text <> ''),
 {_embed('q', 'c', 'item_id', 'text')}, {_embed('u', 'kk', 'id', 'text')}, sc AS ({_pairs('q', 'u')}),
 r AS (SELECT sc.l AS case_id, kk.doc_id, kk.index, kk.text, round(score, 6) AS score FROM sc JOIN kk ON kk.id = sc.r),
 w AS (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY score DESC, index) AS rank FROM r) SELECT * FROM w WHERE rank <= 5""")
 def case_insights(spark, d):
-    cases = _t(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("case_id"), "text")
-    rows = insights.case_insights(cases, _t(spark, d, "documents").where("doc_id < 60"), 1000, 2000).withColumn("score", _r6("score")).drop("rank")
+    cases = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), "text")
+    rows = insights.sentence_scores(cases, _t(spark, d, "documents")).withColumn("score", _r6("score"))
     return V.top_k(rows, ["case_id", "doc_id"], [F.desc("score"), F.col("index")], 5).withColumn("index", F.col("index").cast("long"))
 
 
