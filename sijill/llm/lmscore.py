@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from sijill.llm.common import _LOWER, Texts, fold, prepare, stored, texts
 
 DEPTH = 5
-LEAST_CONTEXT = 4e-6
-LEAST_ENTRY = 1e-6
+LEAST_CONTEXT = 1e-6
+LEAST_ENTRY = 4e-7
 LEAST_GAIN = 5e-8
-SMOOTH = 4.0
+SMOOTH = 12.0
 FREQUENT = 5e-7
 #: Distinct keys that a task's pre-aggregation holds before it passes them on.
 HELD = 1_000_000
