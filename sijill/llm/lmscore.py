@@ -1,18 +1,19 @@
 """Language-model scores by a probabilistic suffix tree, beside a word-count baseline.
 
 A text becomes tokens: its words in lower case, each with a blank behind it, then one end. The tree's symbols are the bytes
-of that sequence, so its probability of the sequence is one of the text's tokens. A context is up to DEPTH bytes. A
-context is a candidate if it makes up LEAST_CONTEXT of all symbols (so there are at most 1 / LEAST_CONTEXT a depth, whatever
-the corpus), and it is retained if its next-symbol distribution diverges from that of its suffix: the Kullback-Leibler
-divergence, weighted by the context's frequency, must save LEAST_GAIN nats a symbol and be significant; suffixes of retained
-contexts are retained. A retained context's distribution is its counts smoothed by its suffix's distribution (weight
-SMOOTH), down to the plain byte frequencies; counts under LEAST_ENTRY of all symbols are left to the suffix, which bounds
-the model's size. A symbol is scored in the longest retained suffix of what came before it.
-
-1. One pass counts words and (DEPTH + 1)-grams of the training texts, pre-aggregated in each task; both are summed by key.
-2. What the model keeps goes to the driver (its size is bounded by the three limits), is pruned in numpy and broadcast.
-3. One pass scores all texts. The baseline's frequent words (FREQUENT of all tokens, so at most 1 / FREQUENT words) are looked
-   up there; the rest leave as (row, word, times) and meet their counts in a shuffle join, so the vocabulary may be any size.
+of that sequence, so its probability of the sequence is one of the text's tokens. A context is up to DEPTH bytes. Contexts of
+up to NEAR bytes are always retained; a longer one is if it was seen LEAST_TIMES times, whatever the corpus's size, and its
+next-symbol distribution diverges from that of its suffix: the Kullback-Leibler divergence times the context's count must be
+LEAST_GAIN nats; suffixes of retained contexts are retained. A retained context's distribution is all its counts smoothed by
+its suffix's distribution (weight SMOOTH), down to the plain byte frequencies. A symbol is scored in the longest retained
+suffix of what came before it.
+
+1. One pass counts words and (DEPTH + 1)-grams of the training texts, pre-aggregated in each task.
+2. The tree grows with the corpus, so it is never in one place: grams are partitioned by the NEAR bytes before the symbol, which
+   all longer suffixes share, and each partition prunes its own branches. Only the contexts of up to NEAR bytes go to all.
+3. One pass scores all texts. Frequent grams (LOOKUP of all symbols, so at most 1 / LOOKUP) and the baseline's frequent words
+   (FREQUENT of all tokens) are looked up there; that is only a shortcut: the other symbols leave as (row, gram) and meet their
+   branch of the tree in its partition, the other words as (row, word, times) meet their counts in a shuffle join.
 
 Edge cases: a null text is empty, its only token is the end; a null id isn't trained on and not held out; repeated rows
 count each time; without training texts every base probability is that of an empty corpus; an empty table gives an empty
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from sijill.llm.common import _LOWER, Texts, fold, prepare, stored, texts
 
 DEPTH = 5
-LEAST_CONTEXT = 1e-6
-LEAST_ENTRY = 4e-7
-LEAST_GAIN = 5e-8
+NEAR = 2
+LEAST_TIMES = 8
+LEAST_GAIN = 3.0
 SMOOTH = 12.0
+LOOKUP = 2e-7
 FREQUENT = 5e-7
 #: Distinct keys that a task's pre-aggregation holds before it passes them on.
 HELD = 1_000_000
@@ -166,42 +168,36 @@ def _counted(batches):
 
 
 class Tree:
-    """Retained contexts by depth, sorted, with their totals and the weight of their suffix; entries by depth, sorted, with counts."""
+    """Retained contexts by depth, sorted, with their totals; entries by depth, sorted, with counts."""
 
     def __init__(self, plain: np.ndarray, contexts: list[np.ndarray], totals: list[np.ndarray], entries: list[np.ndarray], counts: list[np.ndarray]):
-        total = plain.sum()
-        self.plain = (plain + 0.5) / (total + 0.5 * 256)
-        self.contexts, self.totals, self.entries, self.counts, self.slack = contexts, totals, entries, counts, []
-        for d in range(DEPTH):
-            known = np.zeros(len(contexts[d]))
-            if len(contexts[d]) and len(entries[d]):
-                at = np.searchsorted(contexts[d], entries[d] >> np.uint64(8))
-                np.add.at(known, at, counts[d])
-            self.slack.append(totals[d] - known + SMOOTH)
-        self._prune(float(total))
-
-    def _prune(self, total: float) -> None:
+        self.plain = (plain + 0.5) / (plain.sum() + 0.5 * 256)
+        self.contexts, self.totals, self.entries, self.counts = map(list, (contexts, totals, entries, counts))
+        self._prune()
+
+    def _prune(self) -> None:
+        for d in range(NEAR, DEPTH):
+            self._keep(d, self.totals[d] >= LEAST_TIMES)
         keep: list[np.ndarray] = []
         for d in range(DEPTH):
             ctx, ent = self.contexts[d], self.entries[d]
-            if not len(ctx):
-                keep.append(np.zeros(0, bool))
+            if d < NEAR or not len(ctx):
+                keep.append(np.ones(len(ctx), bool))
                 continue
-            at = np.searchsorted(ctx, ent >> np.uint64(8))
-            own = self.probability(ent, d + 1)
-            suffix = self.probability(ent, d)
             gain = np.zeros(len(ctx))
-            np.add.at(gain, at, self.counts[d] * np.log(own / suffix))
-            keep.append((gain / max(total, 1) >= LEAST_GAIN) & (gain >= 3.0))
-        for d in range(DEPTH - 1, 0, -1):  # suffixes of retained contexts stay
+            np.add.at(gain, np.searchsorted(ctx, ent >> np.uint64(8)), self.counts[d] * np.log(self.probability(ent, d + 1) / self.probability(ent, d)))
+            keep.append(gain >= LEAST_GAIN)
+        for d in range(DEPTH - 1, NEAR, -1):  # suffixes of retained contexts stay
             kept = self.contexts[d][keep[d]] & np.uint64((1 << (8 * d)) - 1)
             keep[d - 1] |= np.isin(self.contexts[d - 1], kept)
-        for d in range(DEPTH):
-            if len(self.contexts[d]):
-                at = np.searchsorted(self.contexts[d], self.entries[d] >> np.uint64(8))
-                stay = keep[d][at]
-                self.entries[d], self.counts[d] = self.entries[d][stay], self.counts[d][stay]
-                self.contexts[d], self.totals[d], self.slack[d] = (x[keep[d]] for x in (self.contexts[d], self.totals[d], self.slack[d]))
+        for d in range(NEAR, DEPTH):
+            self._keep(d, keep[d])
+
+    def _keep(self, d: int, keep: np.ndarray) -> None:
+        if len(self.contexts[d]):
+            stay = keep[np.searchsorted(self.contexts[d], self.entries[d] >> np.uint64(8))]
+            self.entries[d], self.counts[d] = self.entries[d][stay], self.counts[d][stay]
+            self.contexts[d], self.totals[d] = self.contexts[d][keep], self.totals[d][keep]
 
     def probability(self, g: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """Of each gram's last symbol in the longest retained suffix, of ``depth`` bytes at most, of what is before it."""
@@ -220,27 +216,83 @@ class Tree:
                 c = np.where(ent[e] == own, self.counts[d][e], 0)
             else:
                 c = np.zeros(len(own))
-            p = np.where(alive, (c + self.slack[d][at] * p) / (self.totals[d][at] + SMOOTH), p)
+            p = np.where(alive, (c + SMOOTH * p) / (self.totals[d][at] + SMOOTH), p)
         return p
 
 
+def _levels(g: np.ndarray, times: np.ndarray, depths) -> list[list[np.ndarray]]:
+    """Contexts, totals, entries and counts for each of the depths."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for d in depths:
+        e, n = _summed([g & np.uint64((1 << (8 * (d + 1))) - 1)], [times])
+        k, t = _summed([e >> np.uint64(8)], [n])
+        for x, y in zip(out, (k, t.astype(float), e, n.astype(float)), strict=True):
+            x.append(y)
+    return out
+
+
+def branches(low: tuple[np.ndarray, list], g: np.ndarray, times: np.ndarray) -> Tree:
+    """The tree's branches over all grams of some NEAR bytes; ``low``: the plain counts and the levels up to NEAR."""
+    return Tree(low[0], *[a + b for a, b in zip(low[1], _levels(g, times, range(NEAR + 1, DEPTH + 1)), strict=True)])
+
+
+def _low(grams_: DataFrame) -> tuple[np.ndarray, list]:
+    """Plain counts and levels up to NEAR: their number is bounded by that of byte triples."""
+    few = grams_.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (NEAR + 1))) - 1)).alias("entry")).agg(F.sum("times").alias("times")).toArrow()
+    e, c = few["entry"].to_numpy().astype(np.uint64), few["times"].to_numpy()
+    plain = np.bincount((e & np.uint64(255)).astype(np.int64), weights=c, minlength=256)
+    return plain, _levels(e, c, range(1, NEAR + 1))
+
+
+def _frequent(batches, shared, least: float):
+    """(gram, log) of a partition's grams that are seen ``least`` times."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        keys.append(b.column("gram").to_numpy().view(np.uint64))
+        counts.append(b.column("times").to_numpy())
+    g, c = _summed(keys, counts)
+    if (c >= least).any():
+        often = g[c >= least]
+        logs = np.log10(branches(shared.value, g, c).probability(often))
+        yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(logs)], ["gram", "log"])
+
+
+def _answered(batches, shared):
+    """(row, log) of a partition's asked symbols. Its counted grams (times isn't null) come first."""
+    keys, counts, tree = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+    for b in batches:
+        counted = b.column("times").is_valid().to_numpy(zero_copy_only=False)
+        g = b.column("gram").to_numpy().view(np.uint64)
+        keys.append(g[counted])
+        counts.append(b.column("times").drop_null().to_numpy())
+        if counted.all():
+            continue
+        if tree is None:
+            tree = branches(shared.value, *_summed(keys, counts))
+        row = b.column("row").filter(pa.array(~counted))
+        yield pa.RecordBatch.from_arrays([row, pa.array(np.log10(tree.probability(g[~counted])))], ["row", "log"])
+
+
 class Scorer:
-    """log10 of the tree's probabilities, kept for the grams met last in a table of fixed size."""
+    """log10 of the frequent grams' probabilities, NaN for others, kept for the grams met last in a table of fixed size."""
 
     SLOTS = 20
 
-    def __init__(self, tree: Tree):
-        self.tree = tree
+    def __init__(self, frequent: np.ndarray, logs: np.ndarray):
+        self.frequent, self.known = frequent, logs
         self.keys = np.full(1 << self.SLOTS, (1 << 64) - 1, np.uint64)
         self.logs = np.zeros(1 << self.SLOTS)
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.full(len(g), np.nan)
         slot = (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         out = self.logs[slot]
         missed = np.flatnonzero(self.keys[slot] != g)
         if len(missed):
             new, back = np.unique(g[missed], return_inverse=True)
-            logs = np.log10(self.tree.probability(new))
+            at = np.minimum(np.searchsorted(self.frequent, new), len(self.frequent) - 1)
+            logs = np.where(self.frequent[at] == new, self.known[at], np.nan)
             out[missed] = logs[back]
             where = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
             self.keys[where], self.logs[where] = new, logs
@@ -248,46 +300,22 @@ class Scorer:
         return out
 
 
-def _tree(grams_: DataFrame) -> tuple[Tree, int]:
-    """``grams_``: (gram, times). Contexts and entries over their limits come to the driver."""
-    total = grams_.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    levels = F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("entry")) for d in range(DEPTH + 1)])
-    entries = stored(grams_.select(F.explode(levels).alias("e"), "times").groupBy("e.d", "e.entry").agg(F.sum("times").alias("times")), "lm-entries")
-    contexts = entries.where("d > 0").groupBy("d", F.shiftright("entry", 8).alias("context")).agg(F.sum("times").alias("times")).where(F.col("times") >= F.lit(LEAST_CONTEXT * total))
-    few = entries.where((F.col("d") == 0) | (F.col("times") >= F.lit(LEAST_ENTRY * total))).toArrow()
-    some = contexts.toArrow()
-    d, e, c = (few[x].to_numpy() for x in ("d", "entry", "times"))
-    cd, ck, ct = (some[x].to_numpy() for x in ("d", "context", "times"))
-    plain = np.zeros(256)
-    plain[e[d == 0]] = c[d == 0]
-    ctx, tot, ent, cnt = [], [], [], []
-    for k in range(1, DEPTH + 1):
-        keys = ck[cd == k].astype(np.uint64)
-        order = np.argsort(keys)
-        ctx.append(keys[order])
-        tot.append(ct[cd == k][order].astype(float))
-        own, times = e[d == k].astype(np.uint64), c[d == k].astype(float)
-        inside = np.isin(own >> np.uint64(8), keys)
-        order = np.argsort(own[inside])
-        ent.append(own[inside][order])
-        cnt.append(times[inside][order])
-    return Tree(plain, ctx, tot, ent, cnt), int(total)
-
-
 # ------------------------------------------------------------------ scoring
 
 
 def _scored(batches, shared):
-    tree, words, logs = shared.value
-    if not hasattr(tree, "scorer"):
-        tree.scorer = Scorer(tree)
+    frequent, gram_logs, words, logs = shared.value
+    scorer = Scorer(frequent, gram_logs)
     known = pa.array(words, pa.binary())
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64()), ("gram", pa.int64())])
     for b in batches:
         for part in texts(b.column("text"), 1 << 21):
             data, first, at, token = symbols(part)
-            logp = np.concatenate([tree.scorer(grams_) for grams_ in np.array_split(grams(data, first), max(1, len(data) >> 19))])
+            g = grams(data, first)
+            logp = np.concatenate([scorer(some) for some in np.array_split(g, max(1, len(data) >> 19))])
+            asked = np.flatnonzero(np.isnan(logp))
+            logp[asked] = 0.0
             score = np.add.reduceat(logp, first[:-1])
             tokens = _tokens(data, at)
             index = pc.index_in(tokens, known).fill_null(-1).to_numpy()
@@ -298,13 +326,16 @@ def _scored(batches, shared):
             rows = row + np.arange(n)
             row += n
             own = b.slice(part.first, n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), own.column("doc_id"), own.column("held_out"), pa.array(np.diff(token)), pa.array(count), pa.array(base), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), own.column("doc_id"), own.column("held_out"), pa.array(np.diff(token)), pa.array(count), pa.array(base), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+            for x in np.array_split(asked, len(asked) // 100_000 + 1) if len(asked) else ():
+                m = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[np.searchsorted(first, x, "right") - 1]), *[pa.nulls(m, f.type) for f in list(schema)[1:9]], pa.array(g[x].view(np.int64))], schema=schema)
             rare = np.flatnonzero(~found)
             if len(rare):
                 t = pa.table({"row": rows[np.searchsorted(token, rare, "right") - 1], "word": tokens.take(pa.array(rare))}).group_by(["row", "word"]).aggregate([([], "count_all")]).combine_chunks()
                 for r in t.to_batches(max_chunksize=100_000):
                     m = r.num_rows
-                    yield pa.RecordBatch.from_arrays([r.column("row"), *[pa.nulls(m, f.type) for f in list(schema)[1:7]], r.column("word"), r.column("count_all").cast(pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([r.column("row"), *[pa.nulls(m, f.type) for f in list(schema)[1:7]], r.column("word"), r.column("count_all").cast(pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -314,23 +345,31 @@ def score(docs: DataFrame) -> DataFrame:
     part = fold("doc_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part == 1, F.lit(False)).alias("held_out"), (part != 1).alias("train"), F.col("text").cast("string").alias("text"))
     counted = stored(own.where("train").select("text").mapInArrow(_counted, "word binary, gram long, times long"), "lm-counted")
-    grams_ = counted.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
+    grams_ = counted.where("gram is not null").select("gram", "times")
     vocabulary = stored(counted.where("word is not null").groupBy("word").agg(F.sum("times").alias("c")), "lm-words")
-    tree, _ = _tree(grams_)
+    low = _low(grams_)
+    branch = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * NEAR)) - 1))
+    shared_low = spark.sparkContext.broadcast(low)
+    often = grams_.repartition(branch).mapInArrow(functools.partial(_frequent, shared=shared_low, least=max(1.0, LOOKUP * low[0].sum())), "gram long, log double").orderBy("gram").toArrow()
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = n + 0.5 * (v + 1)
     common = vocabulary.where(F.col("c") >= F.lit(max(1.0, FREQUENT * n))).orderBy("word").toArrow() if v else None
     words = common["word"].to_pylist() if common else []
     logs = np.log10((common["c"].to_numpy() + 0.5) / below) if common else np.zeros(0)
-    shared = spark.sparkContext.broadcast((tree, words, logs))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, word binary, times long"
+    shared = spark.sparkContext.broadcast((often["gram"].to_numpy().view(np.uint64), often["log"].to_numpy(), words, logs))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, word binary, times long, gram long"
     scored = stored(own.select("doc_id", "held_out", "text").mapInArrow(functools.partial(_scored, shared=shared), schema), "lm-scored")
     # the frequent words aren't among the rare tokens, so the join needs only the others
     others = vocabulary.where(F.col("c") < F.lit(max(1.0, FREQUENT * n)))
     rare = scored.where("word is not null").select("row", "word", "times").join(others, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(below)))
-    summed = rare.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score").join(summed, "row", "left")
+    asked = scored.where("gram is not null").select("row", "gram", F.lit(None).cast("long").alias("times"))
+    told = grams_.select(F.lit(None).cast("long").alias("row"), "gram", "times")
+    answers = told.unionByName(asked).repartition(branch).sortWithinPartitions(F.col("times").isNull()).mapInArrow(functools.partial(_answered, shared=shared_low), "row long, log double")
+    more = rare.select("row", (F.col("times") * log).alias("base"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("log"))
+    more = more.unionByName(answers.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "log"))
+    summed = more.groupBy("row").agg(F.sum("base").alias("more"), F.sum("known").alias("known"), F.sum("log").alias("asked"))
+    out = scored.where("word is null and gram is null").select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score").join(summed, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -338,5 +377,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_frequent") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("asked", F.lit(0.0))).alias("score"),
     )

@@ -193,6 +193,37 @@ def test_tree_is_a_distribution():
         assert tree.probability(before | np.arange(256, dtype=np.uint64)).sum() == pytest.approx(1)
 
 
+def test_tree_grows_with_the_corpus():
+    """A context seen 30 times in 1e10 symbols is retained, whose suffixes say little."""
+    plain = np.full(256, 4e7)
+    levels = [[], [], [], []]
+    for d in range(1, lmscore.DEPTH + 1):
+        entry = int.from_bytes(b"abcdefghijk"[-d - 1 :], "big")
+        total = 30.0 if d == lmscore.DEPTH else 1e6
+        for x, y in zip(levels, (np.array([entry >> 8], np.uint64), np.array([total]), np.array([entry], np.uint64), np.array([30.0])), strict=True):
+            x.append(y)
+    tree = lmscore.Tree(plain, *levels)
+    assert len(tree.contexts[-1]) == 1 and tree.probability(levels[2][-1])[0] > 0.6
+
+
+def test_tree_in_partitions(spark, monkeypatch):
+    """Scores from the tree's partitions are those of one tree over all training grams; the lookup table changes nothing."""
+    texts = [said(60, i, 40) for i in range(40)] + ["UNSEEN word", ""]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    data, first, _, _ = lmscore.symbols(next(common.texts(pa.array(train), 1 << 20)))
+    g, c = np.unique(lmscore.grams(data, first), return_counts=True)
+    levels = lmscore._levels(g, c, range(1, lmscore.DEPTH + 1))
+    tree = lmscore.Tree(np.bincount(data, minlength=256).astype(float), *levels)
+    expected = []
+    for t in texts:
+        data, first, _, _ = lmscore.symbols(next(common.texts(pa.array([t]), 1 << 20)))
+        expected.append(np.log10(tree.probability(lmscore.grams(data, first))).sum())
+    for share in (lmscore.LOOKUP, 1e-3, 1.0):
+        monkeypatch.setattr(lmscore, "LOOKUP", share)
+        found = {r["doc_id"]: r["score"] for r in lmscore.score(docs(spark, texts)).collect()}
+        assert [found[i] for i in range(len(texts))] == pytest.approx(expected)
+
+
 # ------------------------------------------------------------------ embeddings
 
 
