@@ -7,7 +7,8 @@ their fingerprints, so a passage of an item meets a window that differs by a twe
 item's must be within RADIUS // BLOCKS of it in some block, and tables over all values of a block name the items within
 that: none within the radius is missed. Items that a window's fingerprint is within RADIUS of are then checked exactly:
 around the window, the best run of as many words as the item has must have a weighted similarity of the two shingle
-multisets (sum of the least counts over sum of the greatest) of LIKE or more.
+multisets (sum of the least counts over sum of the greatest) of LIKE or more. A run may be shorter at a text's ends, so a
+whole text that is shorter than the item is compared as well.
 
 The benchmark is read in blocks of ITEMS items, each with a pass over the documents, so what goes to the executors has
 a fixed bound; one block is the usual case. Items of less than a shingle's words are one shingle, and match where the
@@ -152,22 +153,29 @@ class Index:
         least = np.minimum(counts[at[same]], times[same]).sum()
         return float(least / (counts.sum() + times.sum() - least))
 
-    def best(self, item: int, shingles: np.ndarray, around: int, far: int) -> tuple[float, int]:
-        """The most similar run of the item's length that begins within ``far`` of ``around``, and its first word."""
-        n, keys = self.length[item] - SHINGLE + 1, self.shingles[item][0]
-        low, high = max(0, around - far), min(around + far, len(shingles) - n)
-        span = shingles[low : high + n]
-        if high < low:
-            return 0.0, around
+    def best(self, item: int, shingles: np.ndarray, around: int, far: int) -> tuple[float, int, int]:
+        """The most similar run of the item's length that begins within ``far`` of ``around``, its first word and its number of words.
+
+        A run may reach over the text's ends, where what is in the text counts; so a text shorter than the item is compared whole.
+        """
+        n, keys, total = self.length[item] - SHINGLE + 1, self.shingles[item][0], len(shingles)
+        begin = np.arange(max(1 - n, around - far), min(around + far, total - 1) + 1)
+        if not len(begin):
+            return 0.0, around, 0
+        left, right = max(0, int(begin[0])), min(total, int(begin[-1]) + n)
+        span = shingles[left:right]
         known = keys[np.minimum(np.searchsorted(keys, span), len(keys) - 1)] == span
         if np.count_nonzero(known) < LIKE * n:  # no run there can be like it
-            return 0.0, around
+            return 0.0, around, 0
         upto = np.concatenate([[0], np.cumsum(known)])
-        best, at = 0.0, around
-        for b in np.flatnonzero(upto[n:] - upto[:-n] >= LIKE * n).tolist():  # nor one with fewer of its shingles
-            if (s := self.similarity(item, span[b : b + n])) > best:
-                best, at = s, low + b
-        return best, at
+        first, last = np.maximum(begin, 0) - left, np.minimum(begin + n, total) - left
+        same = upto[last] - upto[first]
+        most = same / (n + last - first - same)  # no run is more similar than that
+        best, at, words = 0.0, around, 0
+        for i in np.flatnonzero(same >= LIKE * n).tolist():  # nor one with fewer of its shingles
+            if most[i] > best and (s := self.similarity(item, span[first[i] : last[i]])) > best:
+                best, at, words = s, left + int(first[i]), int(last[i] - first[i]) + SHINGLE - 1
+        return best, at, words
 
 
 def windows(index: Index, shingles: np.ndarray):
@@ -192,9 +200,9 @@ def windows(index: Index, shingles: np.ndarray):
         yield size, items, begin[which]
 
 
-def _found(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float, int]]:
-    """By row and item: the similarity and the first word of the best match."""
-    out: dict[tuple[int, int], tuple[float, int]] = {}
+def _found(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """By row and item: the similarity, the first word and the number of words of the best match."""
+    out: dict[tuple[int, int], tuple[float, int, int]] = {}
     for part in texts(column, TEXT_BYTES):
         words, at = tokens(part)
         edges, pieces = [0], []
@@ -204,17 +212,17 @@ def _found(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float,
             edges.append(edges[-1] + len(pieces[-1]))
             for item in index.short:  # the whole text is the item
                 if len(own) == index.length[item] and (own == index.words[item]).all():
-                    out[part.first + i, item] = (1.0, 0)
+                    out[part.first + i, item] = (1.0, 0, len(own))
         for size, items, begins in windows(index, np.concatenate(pieces)):
             first = np.searchsorted(edges, begins, "right") - 1
             last = np.searchsorted(edges, begins + size, "left") - 1  # a window may reach into other texts
             for item, begin, x, y in zip(items.tolist(), begins.tolist(), first.tolist(), last.tolist(), strict=True):
                 for r in range(x, min(y, part.n - 1) + 1):
                     if len(pieces[r]) and out.get((part.first + r, item), (0.0,))[0] < 1.0:
-                        like, word = index.best(item, pieces[r], max(0, begin - edges[r]), size // 2)
+                        like, word, n = index.best(item, pieces[r], max(0, begin - edges[r]), size // 2)
                         key = (part.first + r, item)
                         if like >= LIKE and (key not in out or (-like, word) < (-out[key][0], out[key][1])):
-                            out[key] = (like, word)
+                            out[key] = (like, word, n)
     return out
 
 
@@ -229,7 +237,7 @@ def _searched(batches, shared):
                 pa.array([ids[r] for r, _ in keys], pa.int64()),
                 pa.array([index.ids[i] for _, i in keys], pa.int64()),
                 pa.array([out[k][1] for k in keys], pa.int64()),
-                pa.array([index.length[i] for _, i in keys], pa.int64()),
+                pa.array([out[k][2] for k in keys], pa.int64()),
                 pa.array([out[k][0] for k in keys], pa.float64()),
             ],
             ["doc_id", "item_id", "start_word", "n_words", "similarity"],

@@ -99,6 +99,17 @@ def test_index_misses_nothing_within_its_radius():
     assert got == {(i, j) for i, p in enumerate(prints) for j in index.classes[size] if int(p ^ index.prints[j]).bit_count() <= decontaminate.RADIUS}
 
 
+def test_whole_documents_shorter_than_the_item(spark):
+    item = said(40, 5).split()
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    texts = [item[:-1], item[1:], item[:-4], item[:5], said(60, 11).split() + item[:-2], item[3:] + said(60, 12).split(), item[:2] + item[3:]]
+    rows = decontaminate.matches(docs(spark, [" ".join(t) for t in texts]), bench).collect()
+    n = len(item) - decontaminate.SHINGLE + 1
+    found = {r["doc_id"]: (r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in rows}
+    expected = {0: (0, 39, (n - 1) / n), 1: (0, 39, (n - 1) / n), 2: (0, 36, (n - 4) / n), 4: (60, 38, (n - 2) / n), 5: (0, 37, (n - 3) / n), 6: (2, 37, (n - 3) / n)}
+    assert found == {k: (a, b, round(c, 9)) for k, (a, b, c) in expected.items()}
+
+
 # ------------------------------------------------------------------ personal data and secrets
 
 
