@@ -5,7 +5,9 @@ SimHash of its shingles. A document's fingerprints are those of its windows that
 classes a sixth apart, windows of a class begin a sixth of its size apart, and running sums of the shingles' bits give
 their fingerprints, so a passage of an item meets a window that differs by a twelfth at either end at most. A fingerprint is cut into BLOCKS blocks; one within RADIUS of an
 item's must be within RADIUS // BLOCKS of it in some block, and tables over all values of a block name the items within
-that: none within the radius is missed. Items that a window's fingerprint is within RADIUS of are then checked exactly:
+that: none within the radius is missed. But a copy near LIKE may lie outside the radius or between the windows; so any text
+that has LIKE of an item's number of shingles in common with it, which every match must have, is checked over its whole
+length as well, and no match is lost. Items that a window's fingerprint is within RADIUS of are then checked exactly:
 around the window, the best run of as many words as the item has must have a weighted similarity of the two shingle
 multisets (sum of the least counts over sum of the greatest) of LIKE or more. A run may be shorter at a text's ends, so a
 whole text that is shorter than the item is compared as well.
@@ -109,11 +111,19 @@ class Index:
                 self.classes.setdefault(size_class(n - SHINGLE + 1), []).append(i)
         self.short = [i for i, n in enumerate(self.length) if 0 < n < SHINGLE]
         self.prints = np.array([simhash(shingle_hashes(w, SHINGLE)) for w in words], np.uint64)
+        long = [i for i, n in enumerate(self.length) if n >= SHINGLE]
+        keys = np.concatenate([np.zeros(0, np.uint64), *[self.shingles[i][0] for i in long]])
+        order = np.argsort(keys, kind="stable")
+        self.owners = np.repeat(np.array(long, np.int64), [len(self.shingles[i][0]) for i in long])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.upto = np.append(first, len(keys))
         self.tables = None
 
     def built(self) -> Index:
         """With the tables, which each worker makes for itself: for a class, groups of 64 items, BLOCKS tables of 65536 masks."""
         if self.tables is None:
+            self.marks = np.zeros(1 << 20, bool)
+            self.marks[(self.keys >> np.uint64(44)).astype(np.int64)] = True
             values = np.arange(1 << 16, dtype=np.uint16)
             self.tables = {}
             for size, items in self.classes.items():
@@ -143,6 +153,23 @@ class Index:
                 found.append((which, np.full(len(which), item)))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
+    def sharing(self, shingles: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (text, item): LIKE times as many of the text's shingles as the item has are the item's."""
+        hit = np.flatnonzero(self.marks[(shingles >> np.uint64(44)).astype(np.int64)])
+        if not len(hit):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, shingles[hit]), len(self.keys) - 1)
+        same = self.keys[at] == shingles[hit]
+        text = np.searchsorted(edges, hit[same], "right") - 1
+        pair, times = np.unique(text * len(self.keys) + at[same], return_counts=True)
+        text, at = np.divmod(pair, len(self.keys))
+        n = self.upto[at + 1] - self.upto[at]
+        items = self.owners[np.repeat(self.upto[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair, back = np.unique(np.repeat(text, n) * len(self.ids) + items, return_inverse=True)
+        text, items = np.divmod(pair, len(self.ids))
+        enough = np.bincount(back, np.repeat(times, n)) >= LIKE * (np.array(self.length)[items] - SHINGLE + 1) if len(pair) else pair
+        return list(zip(text[enough].tolist(), items[enough].tolist(), strict=True)) if len(pair) else []
+
     # -------------------------------------------------------------- the exact check
 
     def similarity(self, item: int, shingles: np.ndarray) -> float:
@@ -213,7 +240,12 @@ def _found(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float,
             for item in index.short:  # the whole text is the item
                 if len(own) == index.length[item] and (own == index.words[item]).all():
                     out[part.first + i, item] = (1.0, 0, len(own))
-        for size, items, begins in windows(index, np.concatenate(pieces)):
+        every = np.concatenate(pieces)
+        for r, item in index.sharing(every, np.array(edges)):
+            like, word, n = index.best(item, pieces[r], 0, len(pieces[r]))
+            if like >= LIKE:
+                out[part.first + r, item] = (like, word, n)
+        for size, items, begins in windows(index, every):
             first = np.searchsorted(edges, begins, "right") - 1
             last = np.searchsorted(edges, begins + size, "left") - 1  # a window may reach into other texts
             for item, begin, x, y in zip(items.tolist(), begins.tolist(), first.tolist(), last.tolist(), strict=True):

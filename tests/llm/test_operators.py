@@ -110,6 +110,32 @@ def test_whole_documents_shorter_than_the_item(spark):
     assert found == {k: (a, b, round(c, 9)) for k, (a, b, c) in expected.items()}
 
 
+def test_near_copies_match_brute_force():
+    rng, k = np.random.default_rng(8), decontaminate.SHINGLE
+    items, texts = [], []
+    while len(items) < 400:  # copies with changed words, little over the threshold, in longer documents
+        item = [f"i{len(items)}w{j}" for j in range(rng.integers(40, 200))]
+        copy = list(item)
+        for j in rng.choice(len(copy), rng.integers(1, len(copy) // 15 + 3), False):
+            copy[j] = f"new{rng.integers(1 << 40)}"
+        runs = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (item, copy)]
+        if 0.8 <= len(runs[0] & runs[1]) / len(runs[0] | runs[1]) < 0.84:
+            items.append(item)
+            texts.append(said(rng.integers(0, 300), 2 * len(items)).split() + copy + said(rng.integers(0, 300), 2 * len(items) + 1).split())
+
+    def brute(item, text):
+        a, b = ([tuple(w[j : j + k]) for j in range(len(w) - k + 1)] for w in (item, text))
+        runs = {(max(0, j), min(len(b), j + len(a))) for j in range(1 - len(a), len(b))}
+        same = lambda x, y: len(set(a) & set(b[x:y])) / (len(a) + y - x - len(set(a) & set(b[x:y])))
+        return max(same(x, y) for x, y in runs)  # random words: no shingle of an item repeats
+
+    ids = list(range(len(items)))
+    words = [decontaminate.tokens(next(common.texts(pa.array([" ".join(w)]))))[0] for w in items]
+    found = decontaminate._found(decontaminate.Index(ids, words).built(), pa.array([" ".join(t) for t in texts]))
+    expected = {(i, i): s for i in ids if (s := brute(items[i], texts[i])) >= decontaminate.LIKE}
+    assert len(expected) == 400 and {key: v[0] for key, v in found.items()} == pytest.approx(expected)
+
+
 # ------------------------------------------------------------------ personal data and secrets
 
 
