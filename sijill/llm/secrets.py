@@ -1,7 +1,8 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives; DataFrame functions only.
 
 Generators propose candidates with high recall: known credential formats, values assigned to telling names, and long
-tokens of mixed characters. The forest sees a candidate's length, the transitions between its kinds of characters, how
+tokens of mixed characters. Values may be of any length (repetitions are possessive, so long ones need no stack); a private
+key reaches to its END line, or is its BEGIN line where it has none. The forest sees a candidate's length, the transitions between its kinds of characters, how
 much of it dictionary words cover, the document's path and the words next to it. It is trained from labelled findings,
 made by rule in ``findings``, which go through the same expressions as the texts, and becomes one SQL expression.
 
@@ -25,12 +26,12 @@ from sijill.llm.pii import _found, _placed
 THRESHOLD = 0.5
 AROUND = 40
 
-_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,8000}\.[A-Za-z0-9_-]{8,4000}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
 #: Kind, pattern, cheap test that every match passes.
 GENERATORS = (
     ("known", rf"(?<![A-Za-z0-9])(?:{_KNOWN})", r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|-----BEGIN"),
-    ("assigned", r"""(?i)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth|credential|private_key)["']?[ ]{0,3}[:=]{1,2}[ ]{0,3}["']?)[^\s"'`,;<>]{8,512}+""", "[:=]"),
-    ("token", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])", r"[A-Za-z0-9+/_-]{20}"),
+    ("assigned", r"""(?i)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth|credential|private_key)["']?[ ]{0,3}[:=]{1,2}[ ]{0,3}["']?)[^\s"'`,;<>]{8,}+""", "[:=]"),
+    ("token", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", r"[A-Za-z0-9+/_-]{20}"),
 )
 
 # Frequent words and syllables of names in code and prose, words of paths, and words beside findings.
@@ -157,7 +158,7 @@ def _model(spark: SparkSession) -> trees.Ensemble:
 def scan(docs: DataFrame, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """The secrets in ``docs`` (doc_id, text, and the column named by ``path``): doc_id, kind, start, end, sha256, score.
 
-    Positions are code points; of candidates that overlap, the best scored, then the longest, the first, the kind listed first stays.
+    Positions are code points; of candidates that overlap, a known format before its parts, the best scored, then the longest, the first, the kind listed first stays.
     """
     model = _model(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path") if path else F.lit("").alias("_path"))
@@ -166,7 +167,8 @@ def scan(docs: DataFrame, path: str | None = "source", threshold: float = THRESH
 
     def better(c: Column, o: Column) -> Column:
         rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"], -s["generator"])
-        return (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))
+        holds = lambda a, b: (a["generator"] == 0) & (b["generator"] != 0) & (a["start"] <= b["start"]) & (b["end"] <= a["end"])
+        return (o["start"] < c["end"]) & (c["start"] < o["end"]) & (holds(o, c) | (~holds(c, o) & (rank(o) > rank(c))))
 
     alone = F.filter(F.col("_good"), lambda c: ~F.exists(F.col("_good"), lambda o: better(c, o)))
     found = rows.where(F.size("_good") > 0).select("doc_id", "_text", F.explode(alone).alias("c"))
