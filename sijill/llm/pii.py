@@ -47,7 +47,7 @@ GENERATORS = (
     ("email", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,4}", "@"),
     ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]"),
     ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])", r"[0-9]{4}[._/][0-9]{4}"),
-    ("phone", r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,5}\)?[ ./-]{1,3}[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![0-9A-Za-z])", r"[0-9][ ./)-]{1,3}[0-9]{2,4}[ ./-][0-9]{2}"),
+    ("phone", r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,5}\)?[ ./-]{1,3}[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![0-9A-Za-z])", r"[0-9][ ./)-]{1,4}[0-9]{2,4}[ ./-][0-9]{2}"),
 )
 
 # Words that stand before personal data and before numbers that are none.
