@@ -556,8 +556,20 @@ def html_text(spark, d):
 SELECT doc_id, CASE WHEN n > 20000 THEN NULL ELSE left(w, 2000) END AS text, CASE WHEN n > 20000 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n > 20000 THEN 'payload_too_large' END AS error_code,
 CASE WHEN n <= 20000 THEN sha256(left(w, 2000)) END AS sha256, CASE WHEN n <= 20000 AND length(w) > 2000 THEN 'text_truncated' ELSE '' END AS warnings FROM t""")
 def extraction_envelope(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lit("text").alias("method"), F.when(F.octet_length("text") <= 20000, F.col("text")).alias("raw"))
-    return extract.envelope(rows, 20000, 2000).select("doc_id", "text", "status", "error_code", "sha256", F.array_join("warnings", ",").alias("warnings"))
+    return _enveloped(spark, d, 20000, 2000)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS w, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 15000000 THEN NULL ELSE left(w, 120000) END AS text, CASE WHEN n > 15000000 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n > 15000000 THEN 'payload_too_large' END AS error_code,
+CASE WHEN n <= 15000000 THEN sha256(left(w, 120000)) END AS sha256, CASE WHEN n <= 15000000 AND length(w) > 120000 THEN 'text_truncated' ELSE '' END AS warnings FROM t""")
+def extraction_envelope_full(spark, d):
+    """With the production limits, which are the defaults."""
+    return _enveloped(spark, d, extract.MOST_BYTES, extract.MOST_CHARS)
+
+
+def _enveloped(spark, d, most_bytes, most_chars):
+    rows = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lit("text").alias("method"), F.when(F.octet_length("text") <= most_bytes, F.col("text")).alias("raw"))
+    return extract.envelope(rows, most_bytes, most_chars).select("doc_id", "text", "status", "error_code", "sha256", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'docx' WHEN 3 THEN 'csv' WHEN 4 THEN 'unsupported_file_type' ELSE 'image' END AS method FROM pages""")

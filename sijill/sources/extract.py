@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions.text import normalize_space
 
-MOST_BYTES, MOST_CHARS, OCR_BELOW = 20 << 20, 200_000, 400
+MOST_BYTES, MOST_CHARS, OCR_BELOW = 15_000_000, 120_000, 400
 #: Other parsers by method: bytes to text or None.
 PROVIDERS: dict[str, Callable[[bytes], str | None]] = {}
 

@@ -133,3 +133,14 @@ def test_paged_source(spark):
 def test_registered_queries_have_oracles():
     assert len(registered.QUERIES) >= 45 and set(registered.ORACLES) <= set(registered.QUERIES)
     assert set(registered.QUERIES) - set(registered.ORACLES) == {"segment_windows", "line_matches", "maxsim_rerank", "citations_resolved", "html_text"}
+
+
+def test_envelope_limits(spark, small):
+    from sijill.plans import queries
+    from sijill.sources import extract
+
+    assert (extract.MOST_BYTES, extract.MOST_CHARS) == (15_000_000, 120_000)
+    rows = spark.createDataFrame([(1, "text", 15_000_000, "x" * 120_001), (2, "text", 15_000_001, "x"), (3, "text", 20_001, "x" * 2_001)], "doc_id long, method string, size long, raw string")
+    found = {r["doc_id"]: (r["status"], r["error_code"], len(r["text"] or ""), list(r["warnings"])) for r in extract.envelope(rows).collect()}
+    assert found == {1: ("ok", None, 120_000, ["text_truncated"]), 2: ("error", "payload_too_large", 0, []), 3: ("ok", None, 2_001, [])}
+    assert queries.QUERIES["extraction_envelope_full"](spark, small).where("status <> 'ok' or warnings <> ''").count() == 0
