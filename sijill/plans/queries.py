@@ -424,9 +424,13 @@ def citations_found(spark, d):
 
 @query()
 def citations_resolved(spark, d):
+    return _resolved(spark, d).select("id", "article_ref", "article_number", "name", "title_id", "match_score", "confidence")
+
+
+def _resolved(spark, d):
     titles = spark.createDataFrame([(1, "نظام العمل"), (2, "لائحة التنفيذ القضائي"), (3, "نظام الشركات")], "title_id long, title string")
     found = citations.extract(_judged(spark, d))
-    return citations.with_confidence(found, citations.resolve(found.where("name <> ''"), titles)).select("id", "article_ref", "article_number", "name", "title_id", "match_score", "confidence")
+    return citations.with_confidence(found, citations.resolve(found.where("name <> ''"), titles))
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM part) SELECT n AS total_cases, n AS cases_with_citations, 3 * n AS total_citations, 0::BIGINT AS high, 2 * n AS medium, n AS low, 1.0::DOUBLE AS citation_rate, 3.0::DOUBLE AS mean_citations FROM n""")
@@ -436,6 +440,12 @@ def citation_stats(spark, d):
     return citations.stats(judged, citations.with_confidence(citations.extract(judged), none))
 
 
+@query()
+def citation_stats_resolved(spark, d):
+    """With the titles resolved, as in citations_resolved."""
+    return citations.stats(_judged(spark, d), _resolved(spark, d))
+
+
 # ------------------------------------------------------------------ training data
 
 
@@ -586,6 +596,13 @@ def history_trim(spark, d):
     return chat.history(_t(spark, d, "conversations"), 2)
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '…(truncated)' ELSE text END AS text FROM r WHERE k <= 20 AND role IN ('user', 'assistant', 'model')""")
+def history_trim_full(spark, d):
+    """With the production limit of turns, which is the default."""
+    return chat.history(_t(spark, d, "conversations"))
+
+
 @query("""WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL), h AS (SELECT conv_id, string_agg(role || ': ' || n, chr(10) ORDER BY role, n) AS head FROM c GROUP BY conv_id),
 b AS (SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), j AS (SELECT conv_id, head || chr(10) || body AS c FROM h JOIN b USING (conv_id))
 SELECT conv_id, CASE WHEN length(c) > 12000 THEN left(c, 12000) || chr(10) || '...(truncated)' ELSE c END AS context FROM j""")

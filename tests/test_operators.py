@@ -144,3 +144,17 @@ def test_envelope_limits(spark, small):
     found = {r["doc_id"]: (r["status"], r["error_code"], len(r["text"] or ""), list(r["warnings"])) for r in extract.envelope(rows).collect()}
     assert found == {1: ("ok", None, 120_000, ["text_truncated"]), 2: ("error", "payload_too_large", 0, []), 3: ("ok", None, 2_001, [])}
     assert queries.QUERIES["extraction_envelope_full"](spark, small).where("status <> 'ok' or warnings <> ''").count() == 0
+
+
+def test_full_stats_and_history(spark, small):
+    from sijill.plans import queries
+
+    said = queries.QUERIES["citations_resolved"](spark, small).groupBy("confidence").count().collect()
+    got = queries.QUERIES["citation_stats_resolved"](spark, small).first()
+    assert {k: got[k] for k in ("high", "medium", "low") if got[k]} == {r["confidence"]: r["count"] for r in said} and got["high"] > 0
+    turns = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"]))
+    kept = {(c, t) for c, rows in turns.items() for t, role in sorted(rows)[-20:] if role in ("user", "assistant", "model")}
+    assert {(r["conv_id"], r["turn"]) for r in queries.QUERIES["history_trim_full"](spark, small).collect()} == kept
+    assert max(map(len, turns.values())) > 4
