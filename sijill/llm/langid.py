@@ -4,7 +4,7 @@ A text's features are the character n-grams (on UTF-8 bytes, 2 to 4 of them) of
 each word, hashed to ``BUCKETS`` rows of an embedding matrix; the text is the average of its rows, a linear layer and a
 softmax give the languages. The matrices are trained in numpy by stochastic gradient descent on a bounded sample of
 labelled rows (``SAMPLE`` rows a language are expected, ``SAMPLE_ALL`` over all languages), of which the driver gets hashed
-counts, not texts. A fifth of the sample is kept from training and sets the temperature of the softmax and the rejection
+counts, not texts; of more than ``LANGUAGES`` labels the most frequent ones are learnt. A fifth of the sample is kept from training and sets the temperature of the softmax and the rejection
 threshold: the lowest score at which ``PRECISION`` of the rows above are right.
 
 As average and linear layer are linear, the trained matrices fold into one of BUCKETS x languages, which goes to the

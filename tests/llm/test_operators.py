@@ -384,3 +384,22 @@ def test_pipeline_stages(spark, small):
         if name == "personal_data":
             assert after == before and rows.where("text rlike '@mail[0-9]+[.]example'").count() == 0
         before = after
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages, rng = dict(corpus_pipeline.STAGES), np.random.default_rng(15)
+    items = [said(30 + i, 900 + i) for i in range(5)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = []
+    for i in range(20):
+        w = said(100, 300 + i).split()
+        copy = list(w)
+        for k in rng.integers(0, len(w), i % 4):
+            copy[k] = f"n{i}{k}"
+        texts += [" ".join(w), " ".join(copy), said(40, 600 + i) + " " + items[i % 5] if i % 2 else said(60, 700 + i)]
+    rows = common.stored(stages["near_duplicates"](spark, docs(spark, texts), str(tmp_path)), "test-brute")
+    first = {i for i, (_, c) in enumerate(brute_classes(texts, 5)) if i == c}
+    assert {r["doc_id"] for r in rows.select("doc_id").collect()} == first and len(first) < len(texts)
+    kept = {r["doc_id"] for r in stages["decontamination"](spark, rows, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {i for i in first if not any(x in texts[i] for x in items)} and len(kept) < len(first)
