@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sijill.functions.folds import let, offsets
+
 #: A word of the lexical measures: letters, digits and underscores of any script, two and more.
 TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06FF}]{2,}"
 ARABIC = r"\x{0600}-\x{06FF}"
@@ -75,30 +77,25 @@ def sentences(c) -> Column:
 
 
 def sentences_with_offsets(c) -> Column:
-    """(index, text, start, end) of the sentences of the normalized text; code points, end exclusive."""
-    found = sentences(normalize_space(c))
-    none = F.array().cast("array<struct<index:int,text:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """(index, text, start, end) of the sentences of the normalized text; code points, end exclusive. Null: none."""
+    found = F.coalesce(sentences(normalize_space(c)), F.array().cast("array<string>"))
 
-    def step(acc, s):
-        end = acc["at"] + F.length(s)
-        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("index"), s.alias("text"), acc["at"].alias("start"), end.alias("end")))).alias("out"))
+    def placed(x: Column) -> Column:
+        starts = F.transform(offsets(F.transform(x, lambda t: F.length(t) + 1)), lambda at, i: F.struct(i.alias("index"), at.alias("start")))
+        return F.zip_with(starts, x, lambda p, t: F.struct(p["index"].alias("index"), t.alias("text"), p["start"].alias("start"), (p["start"] + F.length(t)).alias("end")))
 
-    return F.coalesce(F.aggregate(found, start, step, lambda acc: acc["out"]), none)
+    return let(found, placed)
 
 
 def within_budget(c, most: int) -> Column:
-    """Leading chunks until their kept characters reach ``most``; the last is cut and trimmed, and left out if empty."""
-    none = F.array().cast("array<struct<index:int,text:string>>")
-    start = F.struct(F.lit(0).alias("used"), none.alias("out"))
+    """Leading chunks until their kept characters reach ``most``; the one that reaches it is cut and trimmed, and left out if empty."""
 
-    def step(acc, s):
-        room = F.lit(most) - acc["used"]
-        cut = F.when(F.length(s["text"]) > room, F.trim(F.left(s["text"], F.greatest(room, F.lit(0))))).otherwise(s["text"])
-        keep = (room > 0) & (cut != "")
-        return F.struct(F.when(keep, acc["used"] + F.length(cut)).otherwise(acc["used"]).alias("used"), F.when(keep, F.concat(acc["out"], F.array(F.struct(s["index"].alias("index"), cut.alias("text"))))).otherwise(acc["out"]).alias("out"))
+    def kept(x: Column) -> Column:
+        used = offsets(F.transform(x, lambda s: F.length(s["text"])))
+        cut = F.zip_with(x, used, lambda s, u: F.struct(s["index"].alias("index"), F.when(u + F.length(s["text"]) > most, F.trim(F.left(s["text"], F.greatest(most - u, F.lit(0))))).otherwise(s["text"]).alias("text")))
+        return F.filter(cut, lambda s: s["text"] != "")
 
-    return F.aggregate(col(c), start, step, lambda acc: acc["out"])
+    return let(col(c), kept)
 
 
 def best_excerpt(c, most: int = 2000, least: int = 50) -> Column:
