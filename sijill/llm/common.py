@@ -41,9 +41,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: that of the session, or of its context.
+
+    Where neither names one, a temporary one, but only on a local master: elsewhere each machine would write to its own disk
+    and read back what it wrote itself, so that raises.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + _local_dir()
     return found.rstrip("/")
 
@@ -53,20 +59,30 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="sijill-")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     An executor that is lost takes nothing with it: the files are in the shared store, and an unfinished write is
-    repeated by task. The files go when the application ends.
+    repeated by task. The files go when ``release`` is called with the table, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for these tables; nothing that is still to be run may read them."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -77,7 +93,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
                 _delete(spark, path)
