@@ -2,28 +2,31 @@
 
 A page is a sequence of tokens, words and tags. Each has a weight learned from labelled pages: the log-odds of being
 inside the main text, of its words by the elements that are open around them (their names and the words of their class and
-id), of its tags by their name. Words of articles and paragraphs score positive, tags and the words of menus, forms and
+id), of its tags by their share. Words of articles and paragraphs score positive, tags and the words of menus, forms and
 the like negative. One linear scan finds the contiguous run with the greatest sum; it is widened to whole blocks, and
-blocks in it whose own words score negative (an advert within an article) are left out.
+blocks in it whose own words score negative (an advert or readers' comments within an article) are left out.
 
-The labelled pages are made by rule in ``labelled``: page frames of different kinds around generated articles, with every
-text marked as article or not. Training counts weighted evidence once on the driver; the weights are a small table.
+The labelled pages are made by rule in ``labelled``: page frames of different kinds around generated articles, bare ones and
+ones with names that say nothing among them, with every text marked as article or not. Training counts weighted evidence
+once on the driver; the weights are a small table. They are whole millionths, so the sum over the open elements is kept up
+as elements open and close and a page takes time in proportion to its length, however many its pieces or deep its nesting.
 
-Scripts, styles, comments and the head have no words. References are decoded, white space within a block becomes one
-space, and blocks are joined by a line break.
+Tags are read as the HTML standard says: quotes open a value only behind an equals sign, ``/>`` closes foreign elements only,
+a script ends at its end tag. Scripts, styles, comments, the head and what a browser doesn't show have no words. References are
+decoded, white space within a block becomes one space, and blocks are joined by a line break.
 
-Edge cases: a null or blank page, and one without any positive word, gives an empty text; markup that is cut off or not
-closed counts as far as it goes; repeated rows are alike; an empty table gives an empty result; null ids and urls
-stay; other columns are neither read nor clash.
+Edge cases: a null or blank page, and one without any positive word, gives an empty text; text without any tag is one
+block; markup that is cut off or not closed counts as far as it goes; of equal runs the first counts; repeated rows are alike;
+an empty table gives an empty result; null ids and urls stay; other columns are neither read nor clash.
 """
 
 from __future__ import annotations
 
 import functools
 import html as stdlib_html
-import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,64 +35,133 @@ from pyspark.sql import functions as F
 
 from sijill.llm.common import prepare
 
-# Fixed values of HTML: elements without content, without text to read, and those that are no blocks.
+# Fixed values of HTML: elements without content, without words to show, those whose content is no markup, and those that are no blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: What an opening tag closes, if it is open: paragraphs end where a block begins.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+UNSEEN = frozenset("script style noscript template textarea title iframe select canvas audio video noembed noframes xmp desc metadata datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msub msup mtext object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
+#: Elements that an end tag or an implied end within them doesn't reach out of.
+BORDERS = frozenset("table td th caption button object template svg math".split())
+#: What an opening tag closes if it is open, and the elements that this doesn't reach out of.
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tbody": (("thead", "tbody", "tfoot"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+}
 
 #: Limits of a word's weight: an advert within an article costs less than the article's words give, so it doesn't cut it.
 LOW, HIGH = -0.2, 4.0
 RIDGE = 0.5
+#: Weights are whole numbers of this part.
+UNIT = 1_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_MARK = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+"
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE + r")*+)(?:>|\Z)", re.S)
+_MARK = re.compile(r"(?:^|(?<=[\s/\"']))(?:class|id|role|aria-label|itemprop)\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>]++))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 def _traits(name: str, rest: str) -> tuple[str, ...]:
     out = ["<" + name]
-    for m in _MARK.finditer(rest):
-        out += [p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or "")]
+    if rest:
+        for m in _MARK.finditer(rest):
+            out += [p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or "")]
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], list[str]]]:
-    """In page order: text, traits of the open elements around it, and the tags since the block before."""
-    out, open_, tags = [], [], []
-    traits: list[tuple[str, ...]] = []
+class _Open:
+    """The open elements, the traits around what comes next and their summed weight; each step costs its own elements only."""
+
+    def __init__(self, weights: dict[str, int]):
+        self.weights, self.sum = weights, 0
+        self.names: list[str | None] = []
+        self.traits: list[tuple[str, ...]] = []
+        self.where: dict[str, list[int]] = {}
+        self.borders: list[int] = []
+        self.around: Counter[str] = Counter()
+
+    def last(self, *names: str) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
+    def push(self, name: str, traits: tuple[str, ...]) -> None:
+        if name in BORDERS:
+            self.borders.append(len(self.names))
+        self.where.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.traits.append(traits)
+        for t in traits:
+            self.around[t] += 1
+            if self.around[t] == 1:
+                self.sum += self.weights.get(t, 0)
+
+    def _lose(self, at: int) -> None:
+        for t in self.traits[at]:
+            self.around[t] -= 1
+            if not self.around[t]:
+                del self.around[t]
+                self.sum -= self.weights.get(t, 0)
+        self.where[self.names[at]].remove(at) if self.where[self.names[at]][-1] != at else self.where[self.names[at]].pop()
+        self.names[at], self.traits[at] = None, ()
+
+    def cut(self, at: int) -> None:
+        """Close all from ``at`` on."""
+        while len(self.names) > at:
+            k = len(self.names) - 1
+            if self.names[k] is not None:
+                if self.borders and self.borders[-1] == k:
+                    self.borders.pop()
+                self._lose(k)
+            self.names.pop(), self.traits.pop()
+
+    def close(self, name: str) -> None:
+        at = self.last(name)
+        if at < 0 or (self.borders and self.borders[-1] > at and name not in BORDERS | {"tr", "tbody", "thead", "tfoot"}):
+            return
+        if name in INLINE and name not in BORDERS and any(n is not None and n not in INLINE for n in self.names[at + 1 : at + 9]):
+            self._lose(at)  # an inline element's end closes no block that began in it
+        else:
+            self.cut(at)
+
+
+#: A block: its text, and for each of its pieces the number of words, the summed weight and (if asked for) the traits around it; and the number of tags before it.
+Block = tuple[str, list[tuple[int, int, tuple[str, ...]]], int]
+
+
+def blocks(page: str, weights: dict[str, int], with_traits: bool = False) -> list[Block]:
+    """The blocks in page order."""
+    out: list[Block] = []
+    open_ = _Open(weights)
     text: list[str] = []
-    own: tuple[str, ...] = ()
+    pieces: list[tuple[int, int, tuple[str, ...]]] = []
+    endless: set[str] = set()
+    tags = 0
 
     def flush():
-        nonlocal own
-        joined = _SPACE.sub(" ", stdlib_html.unescape("".join(text))).strip()
-        if joined:
-            out.append((joined, own, list(tags)))
-            tags.clear()
+        nonlocal tags
+        if pieces:
+            out.append((_SPACE.sub(" ", "".join(text)).strip(), list(pieces), tags))
+            pieces.clear()
+            tags = 0
         text.clear()
 
-    def context() -> tuple[str, ...]:
-        return tuple(dict.fromkeys(t for x in traits for t in x))
-
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
-            if not text:
-                own = context()
-            elif not piece.isspace() and not "".join(text).strip():
-                own = context()
+            piece = stdlib_html.unescape(piece) if "&" in piece else piece
             text.append(piece)
+            if n := len(piece.split()):
+                pieces.append((n, open_.sum, tuple(open_.around) if with_traits else ()))
         if not m:
             break
-        at = max(m.end(), at + 1) if m.end() > m.start() else m.start() + 1
+        at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
             continue
         name, closing = m[2].lower(), m[1] == "/"
         if name == "br":  # a line break within a block is white space
@@ -98,35 +170,71 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], list[str]]]:
         inline = name in INLINE
         if not inline:
             flush()
-        tags.append(name)
+        tags += 1
         if closing:
-            if name in open_:
-                k = len(open_) - 1 - open_[::-1].index(name)
-                del open_[k:], traits[k:]
+            open_.close(name)
+            continue
+        if name in UNSEEN and not (m[0].endswith("/>") and open_.last("svg", "math") >= 0):
+            stop = None
+            if name not in endless:
+                stop = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                if stop is None:
+                    endless.add(name)  # nor does any later one end
+            if stop:
+                at = stop.end()
+            elif name in ("script", "style", "noscript", "iframe", "xmp", "noembed", "noframes", "title", "textarea"):
+                break  # of what isn't closed all that follows is content
+            continue
+        if name in VOID or m[0].endswith("/>") and (name in ("svg", "math") or open_.last("svg", "math") >= 0):
             continue
-        if name in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if name in ("script", "style") else at)
-            if close or name in ("script", "style"):
-                continue
-        if not inline and "p" in open_ and name not in VOID:
-            k = len(open_) - 1 - open_[::-1].index("p")
-            if not any(o in ("table", "button", "object") for o in open_[k:]):
-                del open_[k:], traits[k:]
-        for other in CLOSES.get(name, ()):
-            if open_ and open_[-1] == other:
-                open_.pop(), traits.pop()
-        if name not in VOID:
-            open_.append(name)
-            traits.append(_traits(name, m[3] or ""))
+        if not inline and (p := open_.last("p")) >= 0 and not (open_.borders and open_.borders[-1] > p):
+            open_.cut(p)
+        if name in CLOSES:
+            closed, borders = CLOSES[name]
+            within = open_.last(*borders)
+            k = min((x for c in closed if (x := open_.last(c)) > within), default=-1)
+            if k >= 0:
+                open_.cut(k)
+        traits = _traits(name, m[3])
+        if name == "a":  # a link says more with the block that it is in
+            inner = next((n for n in reversed(open_.names[-8:]) if n is not None and n not in INLINE), "")
+            traits += (f"<{inner} a",)
+        open_.push(name, traits)
     flush()
     return out
 
 
 # ------------------------------------------------------------------ labelled pages
 
-
-def labelled(n: int = 400, seed: int = 17) -> list[tuple[str, list[tuple[str, bool]]]]:
+# Words that class and id names of page parts are made of.
+_NAMES = {
+    "menu": "nav navigation menu navbar mainmenu topnav subnav breadcrumb breadcrumbs pagination pager tabs toc skip dropdown megamenu hamburger links",
+    "header": "header masthead topbar logo branding banner site hero",
+    "footer": "footer copyright colophon legal bottom imprint foot",
+    "aside": "sidebar widget aside related recommended recommendations trending popular newsletter subscribe rail secondary complementary more read teaser sidenav promo",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay privacy paywall announcement notification disclaimer toast dialog warning",
+    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense adsbygoogle dfp outbrain taboola adbox adslot commercial",
+    "form": "form login search signup signin register contact subscribe newsletter subscription input",
+    "comments": "comments comment commentlist replies reply disqus discussion responses response reviews respond thread feedback",
+    "share": "share social sharing sharebar toolbar follow buttons",
+}
+_ARTICLE = "article post entry content story text body main page single hentry prose copy"
+_AROUND = {
+    "menu": ["<nav{}>{}</nav>", "<nav{}><ul>{}</ul></nav>", "<div{}><ul>{}</ul></div>", "<ul{}>{}</ul>", '<div{} role="navigation">{}</div>', "<menu{}>{}</menu>"],
+    "header": ["<header{}>{}</header>", "<div{}>{}</div>", '<header{} role="banner">{}</header>'],
+    "footer": ["<footer{}>{}</footer>", "<div{}>{}</div>", '<footer{} role="contentinfo">{}</footer>'],
+    "aside": ["<aside{}>{}</aside>", "<div{}>{}</div>", "<section{}>{}</section>", '<div{} role="complementary">{}</div>'],
+    "notice": ["<div{}>{}</div>", '<div{} role="alert">{}</div>', "<section{}>{}</section>", '<div{} role="dialog">{}</div>', "<dialog{}>{}</dialog>"],
+    "advert": ["<div{}>{}</div>", "<section{}>{}</section>", "<ins{}>{}</ins>", "<aside{}>{}</aside>"],
+    "form": ["<form{}>{}</form>", "<form{}><fieldset>{}</fieldset></form>", '<div{}><form action="/x">{}</form></div>'],
+    "comments": ["<section{}>{}</section>", "<div{}>{}</div>", "<ol{}>{}</ol>", "<ul{}>{}</ul>", '<div{} id="comments">{}</div>'],
+    "share": ["<div{}>{}</div>", "<ul{}>{}</ul>"],
+}
+#: Elements that name their kind without a class.
+_PLAIN = ("<nav", "<header", "<footer", "<aside", "<form", "<menu", "<dialog")
+
+
+def labelled(n: int = 900, seed: int = 17) -> list[tuple[str, list[tuple[str, bool]]]]:
     """Pages and, in page order, their texts, each with whether it belongs to the main text."""
     rng = random.Random(seed)
     syllables = "ba ne lo ri mu sta ker vin tho and ea ing qu".split()
@@ -137,84 +245,105 @@ def labelled(n: int = 400, seed: int = 17) -> list[tuple[str, list[tuple[str, bo
     def many(low: int, high: int) -> str:
         return words(rng.randint(low, high))
 
-    around = {
-        "menu": ["<nav><ul>{}</ul></nav>", '<div class="nav menu"><ul>{}</ul></div>', '<div id="main-menu" role="navigation"><ul>{}</ul></div>', '<ul class="breadcrumb breadcrumbs">{}</ul>', '<div class="navbar pagination">{}</div>'],
-        "header": ["<header>{}</header>", '<div id="header" class="site-header banner">{}</div>', '<header class="masthead" role="banner">{}</header>', '<div class="topbar logo branding">{}</div>'],
-        "footer": ["<footer>{}</footer>", '<div id="footer" class="site-footer copyright">{}</div>', '<footer role="contentinfo">{}</footer>'],
-        "aside": ["<aside>{}</aside>", '<div class="sidebar widget">{}</div>', '<div id="sidebar" role="complementary">{}</div>', '<div class="related recommended more">{}</div>', '<section class="related-posts trending popular">{}</section>', '<aside class="newsletter subscribe promo">{}</aside>'],
-        "notice": ['<div class="cookie-banner consent notice">{}</div>', '<div id="cookies" role="alert">{}</div>', '<div class="gdpr privacy popup modal overlay">{}</div>', '<div class="alert notification disclaimer" role="dialog">{}</div>'],
-        "advert": ['<div class="ad">{}</div>', '<div class="ads advert advertisement">{}</div>', '<div id="sponsor" class="sponsored banner-ad">{}</div>', '<section class="promo adsense promotion">{}</section>', '<ins class="adsbygoogle">{}</ins>', '<p class="ad">{}</p>'],
-        "form": ["<form>{}</form>", '<form class="login search signup">{}</form>', '<div class="form newsletter contact"><form action="/x">{}</form></div>', "<form><fieldset>{}</fieldset></form>"],
-        "comments": ['<section class="comments">{}</section>', '<div id="comments" class="comment-list">{}</div>', '<ol class="commentlist replies">{}</ol>', '<div class="disqus discussion responses reviews">{}</div>'],
-        "share": ['<div class="share social sharing">{}</div>', '<ul class="tags meta">{}</ul>', '<div class="author-bio byline meta toolbar">{}</div>'],
-    }
-    frames = ["<article>{}</article>", '<main><article class="post entry">{}</article></main>', '<div class="content article-body">{}</div>', '<div id="content" class="post-content entry-content">{}</div>', '<main role="main">{}</main>', '<section class="story text body">{}</section>', '<div id="main"><div class="article">{}</div></div>', "<div>{}</div>"]
+    def nothing() -> str:
+        """A name that says nothing."""
+        return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) + rng.choice(["", "-x", "__in", "-1"])
+
+    def attribute(names: str, always: bool) -> str:
+        if not always and rng.random() < 0.4:
+            return f' class="{nothing()}"' if rng.random() < 0.3 else ""
+        own = [rng.choice(names.split()) for _ in range(rng.randint(1, 2))]
+        own += [nothing()] if rng.random() < 0.4 else []
+        rng.shuffle(own)
+        shape = rng.choice([" class=\"{}\"", " id=\"{}\"", " class={}"])
+        return shape.format(("-" if shape.endswith("{}") else rng.choice(["-", " "])).join(own))
 
     def junk(kind: str, marks: list) -> str:
         inner = []
         for _ in range(rng.randint(1, 5)):
-            t = many(1, 5) if kind in ("menu", "share", "header") else many(3, 18)
+            t = many(1, 5) if kind in ("menu", "share", "header") else many(3, 30) if kind == "comments" else many(3, 18)
             marks.append((t, False))
-            inner.append(rng.choice(["<li><a href='/x'>{}</a></li>", "<li>{}</li>"]).format(t) if kind in ("menu",) else rng.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", "<label>{}</label><br>", "<h3>{}</h3>", "<button>{}</button>"] if kind == "form" else ["<p>{}</p>", "<div>{}</div>", "<h4>{}</h4>", "<p><a href='/y'>{}</a></p>"]).format(t))
-        return rng.choice(around[kind]).format("".join(inner))
+            shapes = {
+                "menu": ["<li><a href='/x'>{}</a></li>", "<li>{}</li>", "<a href='/x'>{}</a><hr>"],
+                "form": ["<p>{}</p>", "<label>{}</label><br><hr>", "<h3>{}</h3>", "<button>{}</button>", "<legend>{}</legend>"],
+                "comments": ["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", "<li><p>{}</p></li>", "<article><p>{}</p></article>"],
+                "share": ["<li><a href='/s'>{}</a></li>", "<li>{}</li>", "<div><a href='/s'>{}</a></div>"],
+            }.get(kind, ["<p>{}</p>", "<div>{}</div>", "<h4>{}</h4>", "<p><a href='/y'>{}</a></p>", "<ul><li><a href='/y'>{}</a></li></ul>"])
+            inner.append(rng.choice(shapes).format(t))
+        if kind in ("notice", "advert") and rng.random() < 0.2:
+            marks[-len(inner) :] = [(t, False)]
+            return f"<p{attribute(_NAMES[kind], True)}>{t}</p>"
+        shape = rng.choice(_AROUND[kind])
+        return shape.format(attribute(_NAMES[kind], not shape.startswith(_PLAIN)), "".join(inner))
+
+    def frame(inner: str) -> str:
+        shape = rng.choice(["<article{}>{}</article>", "<main{}>{}</main>", "<div{}>{}</div>", "<section{}>{}</section>", "{}", "{}", "<main{}><article>{}</article></main>", "<div{}><div>{}</div></div>", "<table{}><tr><td>{}</td></tr></table>"])
+        return inner if shape == "{}" else shape.format(attribute(_ARTICLE, False), inner)
 
     out = []
     for _ in range(n):
         marks: list[tuple[str, bool]] = []
-        page = "<!DOCTYPE html><html><head><title>x</title></head><body>"
+        often = rng.choice([0.0, 0.3, 0.6])
+        page = ""
         for kind in ("notice", "header", "menu", "advert", "form", "aside"):
-            if rng.random() < 0.5:
+            if rng.random() < often:
                 page += junk(kind, marks)
         inner = ""
-        title = many(2, 9)
-        marks.append((title, True))
-        inner += rng.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>"]).format(title)
-        for _ in range(rng.randint(1, 9)):
-            if rng.random() < 0.12:
-                inner += junk(rng.choice(["advert", "aside", "share", "form", "notice", "menu"]), marks)
+        if rng.random() < 0.8:
+            title = many(1, 9)
+            marks.append((title, True))
+            inner += rng.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>", "<hgroup><h1>{}</h1></hgroup>"]).format(title)
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
+            if rng.random() < 0.15 * (often > 0):
+                inner += junk(rng.choice(["advert", "aside", "share", "form", "notice", "menu", "comments"]), marks)
             t = many(1, 40)
             marks.append((t, True))
-            inner += rng.choice(["<p>{}</p>"] * 7 + ["<p><b>{}</b></p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<div>{}</div>", "<p>{}"]).format(t)
-        page += rng.choice(frames).format(inner)
+            inner += rng.choice(
+                ["<p>{}</p>"] * 8
+                + ["<p><b>{}</b></p>", "<p>{}", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<ol><li>{}</ol>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>"]
+                + ["<div>{}</div>", "<section>{}</section>", "<p><em>{}</em></p>", "<dl><dd>{}</dd></dl>", "<p><span>{}</span></p>", '<p class="lead">{}</p>', "<p><a href='/z'>{}</a></p>", "<address>{}</address>", "<details><summary>{}</summary></details>"]
+            ).format(t)
+        if often and rng.random() < 0.15:
+            inner += junk("comments", marks)
+        page += frame(inner)
         for kind in ("share", "comments", "aside", "advert", "form", "menu", "footer"):
-            if rng.random() < 0.5:
+            if rng.random() < often:
                 page += junk(kind, marks)
-        out.append((page + "</body></html>", marks))
+        if rng.random() < 0.9:
+            page = f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
+        out.append((page, marks))
     return out
 
 
 class Weights:
-    """A word's weight is ``base`` plus those of the traits around it; a tag costs ``tag``."""
+    """A word's weight is ``base`` plus those of the traits around it, in UNITs; a tag costs ``tag``."""
 
-    def __init__(self, base: float, traits: dict[str, float], tag: float):
+    def __init__(self, base: int, traits: dict[str, int], tag: int):
         self.base, self.traits, self.tag = base, traits, tag
 
-    def word(self, traits: tuple[str, ...]) -> float:
-        return max(LOW, min(HIGH, self.base + sum(self.traits.get(t, 0.0) for t in traits)))
+    def score(self, block: Block) -> int:
+        low, high = int(LOW * UNIT), int(HIGH * UNIT)
+        return sum(n * max(low, min(high, self.base + s)) for n, s, _ in block[1])
 
 
 @functools.lru_cache(1)
 def trained() -> Weights:
-    """Logistic weights of the traits over the blocks of the labelled pages, by Newton steps; the tags' by their share."""
-    rows, tags = [], [0, 0]
+    """Logistic weights of the traits over the pieces of the labelled pages, by Newton steps; the tags' by their share."""
+    rows, tags, words_in = [], 0, 0
     for page, marks in labelled():
-        found = blocks(page)
-        at = 0
-        for text, traits, before in found:
-            good = None
-            for k in range(at, len(marks)):
-                if _SPACE.sub(" ", marks[k][0]).strip() == text:
-                    good, at = marks[k][1], k + 1
-                    break
-            if good is not None:
-                rows.append((traits, 1.0 if good else 0.0, min(len(text.split()), 12)))
-                tags[int(good)] += len(before)
-    names = sorted({t for r in rows for t in r[0]})
+        found = blocks(page, {}, True)
+        assert [t for t, _, _ in found] == [t for t, _ in marks]
+        for (_, pieces, before), (_, good) in zip(found, marks, strict=True):
+            rows += [(traits, float(good), min(n, 12)) for n, _, traits in pieces]
+            tags += before * good
+            words_in += sum(n for n, _, _ in pieces) * good
+    seen = Counter(t for r in rows for t in r[0])
+    names = sorted(t for t, n in seen.items() if n >= 5)
     column = {t: i for i, t in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
     x[:, -1] = 1.0
     for i, (traits, _, _) in enumerate(rows):
-        x[i, [column[t] for t in traits]] = 1.0
+        x[i, [column[t] for t in traits if t in column]] = 1.0
     y, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float) / 4
     beta = np.zeros(len(names) + 1)
     ridge = np.append(np.full(len(names), RIDGE), 1e-3)
@@ -222,9 +351,8 @@ def trained() -> Weights:
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         curve = x.T * (w * np.maximum(p * (1 - p), 1e-4))
         beta -= np.linalg.solve(curve @ x + np.diag(ridge), x.T @ (w * (p - y)) + ridge * beta)
-    base, weight = float(beta[-1]), dict(zip(names, beta[:-1].tolist(), strict=True))
-    words_in = sum(len(m.split()) for _, marks in labelled(40) for m, good in marks if good)
-    return Weights(base, weight, -min(0.5, 0.25 * tags[1] / max(words_in, 1)))
+    whole = np.rint(beta * UNIT).astype(int).tolist()
+    return Weights(whole[-1], dict(zip(names, whole[:-1], strict=True)), -round(min(0.5, 0.25 * tags / max(words_in, 1)) * UNIT))
 
 
 # ------------------------------------------------------------------ extraction
@@ -233,17 +361,16 @@ def trained() -> Weights:
 def extract(page: str, weights: Weights | None = None) -> str:
     """The main text of one page."""
     weights = weights or trained()
-    found = blocks(page)
-    score = [weights.word(traits) for _, traits, _ in found]
-    # the linear scan: a block's words are alike, so a run of tokens is best cut at a block's border
-    best, begin, end = 0.0, 0, 0
-    run, start = 0.0, 0
-    for i, (text, _, tags) in enumerate(found):
-        cost = weights.tag * len(tags)
-        run += cost
+    found = blocks(page, weights.traits)
+    score = [weights.score(b) for b in found]
+    # the linear scan: a run of tokens is best cut at a block's border
+    best, begin, end = 0, 0, 0
+    run, start = 0, 0
+    for i, (_, _, tags) in enumerate(found):
+        run += weights.tag * tags
         if run <= 0:
-            run, start = 0.0, i
-        run += score[i] * (text.count(" ") + 1)
+            run, start = 0, i
+        run += score[i]
         if run > best:
             best, begin, end = run, start, i + 1
     return "\n".join(found[i][0] for i in range(begin, end) if score[i] > 0)
