@@ -2,13 +2,15 @@
 
 Base spans follow four fixed rules (email, ip, card, phone). Beyond them, high-recall generators propose overlapping
 spans in other spellings; boosted trees score each by its format and its neighbourhood, Platt scaling calibrates the
-score, and a threshold a kind, set for PRECISION on a part of the labelled examples kept from training, selects. Selected
-spans that overlap a base span or a better one are left out; base spans always stay.
+score, and a threshold a kind, set for PRECISION on a part of the labelled examples kept from training, selects. Candidates
+that overlap a base span are left out, and in order of their beginnings, of two selected ones that overlap the better stays
+(score, length, place, kind); base spans always stay.
 
 The labelled examples are made by rule below and go through the same expressions as the texts, so features can't differ
 between training and use; the trees become one SQL expression. Positions come from pairing what a pattern matches with
 what lies between the matches; patterns run only on texts that a cheap test lets pass, none of which changes a result.
-Unbounded repetitions of groups are possessive, so very long texts don't exhaust the matcher's stack.
+Unbounded repetitions of groups are possessive, so very long texts don't exhaust the matcher's stack. All steps over a
+text's spans are folds in order of place, so a text takes time in proportion to its length and number of spans.
 
 Edge cases: a null text counts as empty (and stays null when redacted); repeated rows are alike; an empty table gives an
 empty result; a null id stays null; other columns are kept by ``redacted`` and don't clash, whatever their names.
@@ -24,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sijill.functions.folds import chunked, let, offsets, scanned
 from sijill.llm import trees
 
 #: In the order that breaks ties.
@@ -43,8 +46,8 @@ _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # The generators: kind, pattern, cheap test.
 GENERATORS = (
-    ("email", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]{1,64}+ ?[\[({<] ?(?i:at|@) ?[\])}>] ?[\p{L}\p{N}-]{1,63}+(?: ?(?:\.|[\[({<] ?(?i:dot|punto|punkt|point|\.) ?[\])}>]) ?[\p{L}\p{N}-]{1,63}+){1,4}", r"[\[({<] ?(?i:at|@) ?[\])}>]"),
-    ("email", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,4}", "@"),
+    ("email", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++ ?[\[({<] ?(?i:at|@) ?[\])}>] ?[\p{L}\p{N}-]++(?: ?(?:\.|[\[({<] ?(?i:dot|punto|punkt|point|\.) ?[\])}>]) ?[\p{L}\p{N}-]++)++", r"[\[({<] ?(?i:at|@) ?[\])}>]"),
+    ("email", r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++", "@"),
     ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]"),
     ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])", r"[0-9]{4}[._/][0-9]{4}"),
     ("phone", r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,5}\)?[ ./-]{1,3}[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![0-9A-Za-z])", r"[0-9][ ./)-]{1,4}[0-9]{2,4}[ ./-][0-9]{2}"),
@@ -73,17 +76,29 @@ def _found(text: Column, pattern: str, when: Column) -> tuple[Column, Column]:
     return F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.when(when, F.split(text, pattern, -1))
 
 
-def _placed(matches: Column, gaps: Column) -> Column:
-    """(start, end, match) of each match, from the lengths of all before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+def _placed(matches: Column, gaps: Column, around: int = 0) -> Column:
+    """(start, end, match) of each match, from the lengths of all before it; with ``around``, also ``before`` and ``after``:
+    as many code points of the gap beside the match and of the match beyond that."""
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("out"))
+    def made(pairs: Column) -> Column:
+        starts = offsets(F.transform(pairs, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
 
-    pairs = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
-    return F.coalesce(F.aggregate(pairs, start, add, lambda acc: acc["out"]), start["out"])
+        def span(x: Column, at: Column, more: list[Column]) -> Column:
+            begin = at + F.length(x["g"])
+            return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("match"), *more)
+
+        if not around:
+            return F.filter(F.zip_with(pairs, starts, lambda x, at: span(x, at, [])), lambda x: x["match"].isNotNull())
+        text = F.transform(pairs, lambda x: F.struct(x["m"].alias("m"), x["g"].alias("g")))
+        before = F.zip_with(text, F.concat(F.array(F.lit("")), F.transform(pairs, lambda x: F.right(F.coalesce(x["m"], F.lit("")), F.lit(around)))), lambda x, m: F.right(F.concat(m, x["g"]), F.lit(around)))
+        after = F.concat(F.slice(F.transform(pairs, lambda x: F.left(F.concat(F.left(x["g"], F.lit(around)), F.coalesce(F.left(x["m"], F.lit(around)), F.lit(""))), F.lit(around))), 2, 1 << 30), F.array(F.lit("")))
+        beside = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        whole = F.zip_with(F.zip_with(pairs, starts, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), beside, lambda y, c: span(y["x"], y["at"], [c["b"].alias("before"), c["a"].alias("after")]))
+        return F.filter(whole, lambda x: x["match"].isNotNull())
+
+    pairs = F.arrays_zip(matches.alias("m"), gaps.alias("g"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string" + (",before:string,after:string>>" if around else ">>"))
+    return F.when(F.size(F.coalesce(matches, F.array().cast("array<string>"))) > 0, let(pairs, made)).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -125,13 +140,28 @@ def _with_base(rows: DataFrame) -> DataFrame:
     return rows.drop(*[f"_{p}{i}" for i in range(len(found)) for p in "mg"])
 
 
+def best_apart(found: Column, kind: str, better) -> Column:
+    """Spans that don't overlap: in order of their beginnings, of two that do the better stays, ``better(new, old)``.
+
+    ``kind``: the elements' type, a struct that begins with start and end.
+    """
+    none = F.lit(None).cast(kind)
+    last = F.array(none)
+
+    def kept(x: Column) -> Column:
+        # the state is the span that stays for now; it is given out when one behind it begins
+        apart = lambda s, n: s.isNull() | (n["start"] >= s["end"])
+        step = lambda s, n: F.when(apart(s, n) | better(n, s), n).otherwise(s)
+        return F.filter(scanned(F.concat(x, last), none, lambda s, n: F.when(n.isNull(), n).otherwise(step(s, n)), lambda s, n: F.when(n.isNull() | apart(s, n), s), kind), lambda s: s.isNotNull())
+
+    return F.when(F.size(found) > 1, kept(F.array_sort(found))).otherwise(found)
+
+
 # ------------------------------------------------------------------ candidates
 
 
-def _features(text: Column, x: Column, generator: int) -> dict[str, Column]:
-    m = x["match"]
-    before = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND)))
-    after = F.substring(text, x["end"] + 1, F.lit(AROUND))
+def _features(x: Column, generator: int) -> dict[str, Column]:
+    m, before, after = x["match"], x["before"], x["after"]
     digits, size = F.length(_digits(m)).cast("double"), F.length(m).cast("double")
     out = {
         "generator": F.lit(float(generator)),
@@ -152,8 +182,24 @@ def _features(text: Column, x: Column, generator: int) -> dict[str, Column]:
     return out | {k: _words(before, w) for k, w in _NEAR.items()}
 
 
-def _described(found: Column, text: Column, generator: int, kno: int) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kno).alias("kno"), *[c.alias(n) for n, c in _features(text, x, generator).items()]))
+def _described(found: Column, generator: int, kno: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kno).alias("kno"), *[c.alias(n) for n, c in _features(x, generator).items()]))
+
+
+def _free(found: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``: in order of place, the furthest end of base spans that began before a span's end."""
+
+    def kept(x: Column) -> Column:
+        events = F.array_sort(
+            F.concat(
+                F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("to"), F.lit(-1).alias("no"))),
+                F.transform(x, lambda c, i: F.struct(c["end"].alias("at"), F.lit(0).alias("base"), c["start"].alias("to"), i.alias("no"))),
+            )
+        )
+        covered = scanned(events, F.lit(-1), lambda s, e: F.when(e["base"] == 1, F.greatest(s, e["to"])).otherwise(s), lambda s, e: F.when((e["base"] == 0) & (s <= e["to"]), e["no"]).otherwise(-1), "int")
+        return let(F.array_sort(F.filter(covered, lambda n: n >= 0)), lambda free: F.transform(free, lambda n: F.get(x, n)))
+
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), let(found, kept)).otherwise(found)
 
 
 FEATURES = ("generator", "size", "digits", "digit_share", "separators", "kinds_of_separator", "groups", "luhn", "brackets", "lead_zero", "three_three_four", "date", "digit_before", "digit_after", *_NEAR)
@@ -161,15 +207,14 @@ FEATURES = ("generator", "size", "digits", "digit_share", "separators", "kinds_o
 
 def _with_candidates(rows: DataFrame) -> DataFrame:
     """Adds ``_candidates`` (start, end, kno, features) that overlap no base span."""
-    text = F.col("_text")
-    columns = {}
+    text, columns = F.col("_text"), {}
     for i, (_, pattern, test) in enumerate(GENERATORS):
         columns[f"_m{i}"], columns[f"_g{i}"] = _found(text, pattern, F.contains(text, F.lit("@")) if test == "@" else text.rlike(test))
     rows = rows.withColumns(columns)
     found = []
     for i, (kind, _, _) in enumerate(GENERATORS):
-        free = F.filter(_placed(F.col(f"_m{i}"), F.col(f"_g{i}")), lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        found.append(_described(free, text, i, KINDS.index(kind)))
+        free = _free(_placed(F.col(f"_m{i}"), F.col(f"_g{i}"), AROUND), F.col("_base"))
+        found.append(_described(free, i, KINDS.index(kind)))
     return rows.withColumn("_candidates", F.concat(*found)).drop(*columns)
 
 
@@ -262,12 +307,8 @@ def spans(docs: DataFrame) -> DataFrame:
     chosen = F.filter(scored, lambda c: c["score"] >= F.element_at(limit, c["kno"] + 1))
     rows = rows.withColumn("_chosen", chosen).drop("_candidates")
 
-    def better(c: Column, o: Column) -> Column:
-        """Of two that overlap: the higher score, then the longer, the earlier, the kind, at last either."""
-        rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"], -s["kno"])
-        return (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))
-
-    alone = F.filter(F.array_distinct(F.col("_chosen")), lambda c: ~F.exists(F.col("_chosen"), lambda o: better(c, o)))
+    rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"], -s["kno"])
+    alone = best_apart(F.col("_chosen"), "struct<start:int,end:int,kno:int,score:double>", lambda new, old: rank(new) > rank(old))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     added = F.transform(alone, lambda c: F.struct(c["start"].alias("start"), c["kno"].alias("kno"), c["end"].alias("end"), F.element_at(kinds, c["kno"] + 1).alias("kind")))
     return rows.withColumn("_all", F.when(F.size("_chosen") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.col("_base"))).drop("_chosen")
@@ -292,15 +333,23 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span (overlapping ones: their union) replaced by its kind, and n_chars, if there, made to fit."""
     rows = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = spans(rows)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # spans of a union with those before: where it begins, or null if an earlier one reaches it, and where what was read so far ends
+    fresh = scanned(
+        F.col("_all"),
+        F.lit(0),
+        lambda at, x: F.greatest(at, x["end"]),
+        lambda at, x: F.when((at == 0) | (x["start"] >= at), F.struct(at.alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))),
+        "struct<from:int,start:int,kind:string>",
+    )
+    rows = rows.withColumn("_cuts", F.filter(fresh, lambda x: x.isNotNull())).withColumn("_end", F.array_max(F.transform("_all", lambda x: x["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(F.col("_text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def page(c: Column) -> Column:
+        """What a chunk of cuts gives, from a part of the text that is copied once a chunk."""
+        low = F.element_at(c, 1)["from"]
+        part = F.substring(F.col("_text"), low + 1, F.element_at(c, -1)["start"] - low)
+        return let(part, lambda p: F.transform(c, lambda x: F.concat(F.substring(p, x["from"] - low + 1, x["start"] - x["from"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))))
 
-    whole = F.aggregate("_all", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
+    whole = F.concat(F.array_join(F.flatten(F.transform(chunked(F.col("_cuts")), page)), ""), F.substring(F.col("_text"), F.col("_end") + 1, F.length("_text")))
     text = F.when(F.size("_all") > 0, whole).otherwise(F.col("text"))
     rows = rows.withColumn("_new", text)
     size = F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None
