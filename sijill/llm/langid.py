@@ -2,17 +2,19 @@
 
 A text's features are the character n-grams (on UTF-8 bytes, 2 to 4 of them) of its words with a border before and after
 each word, hashed to ``BUCKETS`` rows of an embedding matrix; the text is the average of its rows, a linear layer and a
-softmax give the languages. The matrices are trained in numpy by stochastic gradient descent on a bounded sample of
-labelled rows (``SAMPLE`` rows a language are expected, ``SAMPLE_ALL`` over all languages), of which the driver gets hashed
-counts, not texts; of more than ``LANGUAGES`` labels the most frequent ones are learnt. A fifth of the sample is kept from training and sets the temperature of the softmax and the rejection
-threshold: the lowest score at which ``PRECISION`` of the rows above are right.
-
-As average and linear layer are linear, the trained matrices fold into one of BUCKETS x languages, which goes to the
-executors (its size is fixed by the parameters); they score whole texts a slice of bytes at a time.
-
-Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; a null id is never trained on
-and not held out; repeated rows are predicted alike; an empty table, or one without labels, predicts ``und``; columns
-other than doc_id, text and lang play no part, and only they are read.
+softmax give the languages, any number of them. The matrices are trained in numpy by stochastic gradient descent on a bounded
+sample of labelled rows: ``SAMPLE`` rows a language are expected, ``SAMPLE_ALL`` over all languages (one each, if they are
+more), of which the driver gets the hashed counts of the ``PAIRS`` most frequent n-grams (4 bytes each), not texts. A fifth of
+the sample is kept from training and calibrates: it sets the temperature of the softmax, and the rejection threshold, which
+is where the loss on it is least, a wrong language that is kept counting as much as ``COST`` right ones that are rejected.
+
+As average and linear layer are linear, the trained matrices fold into one of BUCKETS x languages as long as there are at most
+DIM languages; beyond, the two matrices are applied one after the other, so the model stays at some 2 MB and 130 bytes a
+language. The executors score whole texts a slice of bytes at a time.
+
+Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; a null id is never trained on and
+not held out; repeated rows are predicted alike; of equal scores the language first in order counts; an empty table, or one
+without labels, predicts ``und``; columns other than doc_id, text and lang play no part, and only they are read.
 """
 
 from __future__ import annotations
@@ -29,15 +31,13 @@ from sijill.llm.common import Texts, fold, mix, prepare, texts
 BUCKETS = 1 << 14
 DIM = 16
 SAMPLE = 1000
-SAMPLE_ALL = 60_000
+SAMPLE_ALL = 30_000
+PAIRS = 1024
 EPOCHS = 6
 RATE = 0.5
-PRECISION = 0.995
-LANGUAGES = 400
+COST = 4.0
 #: Scores under this count as no decision even if calibration would allow them.
 LEAST = 0.3
-#: Scores from this on are never rejected.
-MOST = 0.5
 
 # Case folding on bytes: A-Z, and the second byte of the Latin-1 capitals after 0xC3. Letters and bytes above ASCII stay,
 # all else is a border between words.
@@ -81,10 +81,13 @@ def features(batch: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Languages, a matrix BUCKETS x languages of folded weights, the bias, and the rejection threshold."""
+    """Languages, the embeddings (BUCKETS x width), a layer of width x languages (None: folded into them), the bias, and the rejection threshold."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, threshold: float):
-        self.langs, self.weights, self.bias, self.threshold = langs, weights.astype(np.float32), bias.astype(np.float32), threshold
+    def __init__(self, langs: list[str], embed: np.ndarray, layer: np.ndarray, bias: np.ndarray, threshold: float):
+        fold_ = len(langs) <= embed.shape[1]
+        self.embed = (embed @ layer if fold_ else embed).astype(np.float32)
+        self.layer = None if fold_ else layer
+        self.langs, self.bias, self.threshold = langs, bias, threshold
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -117,10 +120,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
             for i, b in zip(some, back, strict=True):
                 embed[rows[i][0]] -= (rate * 20) * weight[i][:, None] * b
             step += 1
-    weights = embed @ out
     temperature, threshold = 1.0, LEAST
     if len(held):
-        logits = np.stack([weight[i] @ weights[rows[i][0]] for i in held]) + bias
+        logits = np.stack([weight[i] @ embed[rows[i][0]] for i in held]) @ out + bias
         truth = labels[held]
 
         def loss(t: float) -> float:
@@ -129,13 +131,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
 
         temperature = min((2.0**e for e in np.arange(-4, 4.25, 0.25)), key=loss)
         p = _softmax(logits * temperature)
-        right, score = p.argmax(1) == truth, p.max(1)
-        best = np.argsort(-score, kind="stable")
-        precise = np.cumsum(right[best]) / np.arange(1, len(best) + 1) >= PRECISION
-        if precise.any():
-            threshold = max(LEAST, float(score[best][np.flatnonzero(precise)[-1]]))
-        threshold = min(threshold, MOST)
-    return Model(langs, weights * temperature, bias * temperature, threshold)
+        threshold = rejection(p.max(1), p.argmax(1) == truth)
+    return Model(langs, embed, out * temperature, bias * temperature, threshold)
+
+
+def rejection(score: np.ndarray, right: np.ndarray) -> float:
+    """The threshold of the least loss: COST for each wrong one kept, 1 for each right one rejected; of equal ones the lowest, LEAST or more."""
+    order = np.argsort(score, kind="stable")
+    s, r = score[order], right[order]
+    rejected, wrong = np.concatenate([[0], np.cumsum(r)]), np.concatenate([[0], np.cumsum(~r)])
+    lost = rejected + COST * (wrong[-1] - wrong)  # with the first k rejected
+    cuts = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]]) if len(s) else np.zeros(1)
+    return max(LEAST, float(cuts[int(lost.argmin())]))
 
 
 def _counts(batches):
@@ -145,10 +152,13 @@ def _counts(batches):
             ids, langs, keys, counts = [], [], [], []
             for i in range(part.n):
                 u, c = np.unique(hashed[at[i] : at[i + 1]], return_counts=True)
+                if len(u) > PAIRS:
+                    most = np.sort(np.argsort(-c, kind="stable")[:PAIRS])
+                    u, c = u[most], c[most]
                 ids.append(b.column("doc_id")[part.first + i].as_py())
                 langs.append(b.column("lang")[part.first + i].as_py())
-                keys.append(u.astype(np.int32).tobytes())
-                counts.append(c.astype(np.int32).tobytes())
+                keys.append(u.astype(np.uint16).tobytes())
+                counts.append(np.minimum(c, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "keys", "counts"])
 
 
@@ -161,20 +171,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     prepare(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0))
-    counts = labelled.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.select("lang").groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
-    each = min(sample, SAMPLE_ALL // len(langs))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, each / r["count"]) * (1 << 62))))])
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 62)) < share[F.col("lang")])
+    each = max(1, min(sample, SAMPLE_ALL // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 62))) for r in counts], "_lang string, _share long")
+    picked = labelled.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 62)) < F.col("_share")).select("doc_id", "text", "lang")
     rows = picked.mapInArrow(_counts, "doc_id long, lang string, keys binary, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["keys"]))
     rows = [r for r in rows if r["keys"]]
     if not rows:
         return None
-    found = [(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["counts"], np.int32).astype(float)) for r in rows]
-    return train(found, np.array([langs.index(r["lang"]) for r in rows]), langs)
+    found = [(np.frombuffer(r["keys"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint16).astype(float)) for r in rows]
+    number = {lang: i for i, lang in enumerate(langs)}
+    return train(found, np.array([number[r["lang"]] for r in rows]), langs)
 
 
 # ------------------------------------------------------------------ prediction
@@ -183,13 +194,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 def scores(model: Model, batch: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The best language's number and its calibrated probability for each text of the slice."""
     hashed, at = features(batch)
-    total = np.zeros((batch.n, len(model.langs)))
+    total = np.zeros((batch.n, model.embed.shape[1]))
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        for k in range(len(model.langs)):
-            total[full, k] = np.add.reduceat(model.weights[:, k][hashed].astype(np.float64), at[full])
+        for k in range(total.shape[1]):
+            total[full, k] = np.add.reduceat(model.embed[:, k][hashed].astype(np.float64), at[full])
         total[full] /= np.diff(at)[full, None]
-    p = _softmax(total + model.bias)
+    p = _softmax((total if model.layer is None else total @ model.layer) + model.bias)
     return p.argmax(1), p.max(1)
 
 
