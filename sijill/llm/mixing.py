@@ -8,16 +8,20 @@ constraints + 1 are open. Flights run in blocks of a source; what they leave ope
 dealt into blocks again, some thousandfold fewer at each level, until one block a source is left. Only there the landing
 phase gives up the constraints, first the documents' and then the words'.
 
+Rows alike in id, source and size are counted first and numbered then, so however many there are, the blocks that they are
+dealt to by a hash of row and number hold about BLOCK rows each, and any partitioning of the input gives one result. Up to
+MOST_SOURCES sources are weighed on the driver and joined by broadcast; more of them are weighed in tables by the same rule.
+
 Edge cases: a null or blank text has size 0 and takes nothing; a null source is a source of its own, after the others;
 repeated rows are documents of their own; an empty table gives an empty result; other columns are left out (``mix``)
-or kept (``mixed``), whatever their names.
+or kept (``mixed``), whatever their names; a document larger than its source's target may be taken whole by chance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +33,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3.0
 #: Documents that one flight handles.
 BLOCK = 2048
-#: Sources the driver weighs against each other; more than that are no sources but keys, and raise an error.
+#: Sources the driver weighs against each other (some 100 bytes each); more are weighed in tables.
 MOST_SOURCES = 100_000
+#: Rows alike that one row stands for while they are dealt out.
+ALIKE = 4096
 
 _NEAR = 1e-9
 
@@ -100,9 +106,9 @@ def flight(pi: list[float], size: list[float], rng: np.random.Generator, landing
     return out
 
 
-def _fly(landing: bool):
+def _fly(landing: bool, key: list[str]):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "size", "open"], kind="stable")
+        rows = rows.sort_values(["order", *[c for c in key if c != "source"], "copy"], kind="stable")
         rng = np.random.default_rng([int(rows["source_no"].iloc[0]), int(rows["block"].iloc[0]), int(rows["level"].iloc[0])])
         rows["open"] = flight(rows["open"].to_numpy(), rows["size"].to_numpy(), rng, landing)
         return rows
@@ -113,74 +119,113 @@ def _fly(landing: bool):
 # ------------------------------------------------------------------ the operator
 
 
-def _source_table(docs: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+def _targets_in_tables(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """(source_no, source, size, n, target) of any number of sources, as ``targets`` has it.
+
+    Their order is that of a range partitioning, numbered by the partitions' counts; a round adds up the sources that aren't at
+    their limit, until none more gets there. All sums are whole numbers, so they are the same in any order.
+    """
+    spark = sources.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sources.withColumn("last", F.col("source").isNull()).repartitionByRange(width, "last", "source").sortWithinPartitions("last", "source")
+    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "mix-sources")
+    counts = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}  # a row a partition
+    before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+    number = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    rows = ordered.withColumn("source_no", number).withColumn("weight", weight).select("source_no", "source", "size", "n", "weight")
+    unit, full = 0.0, F.lit(False)
+    while True:
+        open_ = ~full & (F.col("size") > 0)
+        r = rows.agg(F.sum("size").alias("all"), F.sum(F.when(full, F.col("size"))).alias("capped"), F.sum(F.when(open_, F.col("weight"))).alias("weights")).first()
+        if not r["weights"]:
+            break
+        unit = (r["all"] - most * (r["capped"] or 0)) / r["weights"]
+        above = F.col("weight") * unit > most * F.col("size")
+        if rows.where(open_ & above).isEmpty():
+            break
+        full = full | (above & (F.col("size") > 0))
+        rows = stored(rows.drop("full").withColumn("full", full), "mix-sources")
+        full = F.col("full")
+    goal = F.when(F.col("size") == 0, 0.0).when(full, most * F.col("size")).otherwise(F.col("weight") * unit)
+    return rows.withColumn("target", goal).select("source_no", "source", "size", "n", "target")
+
+
+def _source_table(docs: DataFrame, weights: tuple[float, ...], most: float) -> tuple[DataFrame, bool]:
+    """A row a source: source_no, source, source_size, target, whole, open, blocks; and whether they are few. ``docs``: source, size, n."""
     spark = docs.sparkSession
-    rows = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources to mix")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
-    table = []
-    for i, (r, t) in enumerate(zip(rows, goal, strict=True)):
-        rate = t / r["size"] if r["size"] else 0.0
-        whole = min(float(np.floor(rate + _NEAR)), most)
-        table.append((i, r["source"], r["size"], t, int(whole), min(max(rate - whole, 0.0), 1.0), -(-r["n"] // BLOCK)))
-    return spark.createDataFrame(table, "source_no int, source string, source_size long, target double, whole long, open double, blocks long")
-
-
-def decide(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
-    """For each row of (doc_id, source, size): its source's size and target, and ``taken``, the words the mix takes of it."""
-    prepare(docs.sparkSession)
-    table = _source_table(docs, weights, most)
+    sources = stored(docs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")), "mix-by-source")
+    few = sources.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    if few:
+        rows = sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+        goal = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
+        table = spark.createDataFrame([(i, r["source"], r["size"], r["n"], t) for i, (r, t) in enumerate(zip(rows, goal, strict=True))], "source_no long, source string, size long, n long, target double")
+    else:
+        table = stored(_targets_in_tables(sources, weights, most), "mix-targets")
+    rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.least(F.floor(rate + _NEAR), F.lit(int(most)))
+    table = table.withColumn("whole", whole).withColumn("open", F.least(F.greatest(rate - whole, F.lit(0.0)), F.lit(1.0)))
+    return table.select("source_no", "source", F.col("size").alias("source_size"), "target", "whole", "open", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), few
+
+
+def decide(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """For each of the ``n`` documents of a row (key..., source, size, n): key..., copy (0 to n - 1), its source's size and target,
+    and ``times``, how often the mix takes it. Rows have distinct keys."""
+    prepare(rows.sparkSession)
+    key = [c for c in rows.columns if c != "n"]
+    table, few = _source_table(rows, weights, most)
     level, parts = 0, []
-    rows = (
-        docs.select("doc_id", "source", "size")
-        .join(F.broadcast(table), docs["source"].eqNullSafe(table["source"]))
-        .select("doc_id", docs["source"], "size", "source_no", "source_size", "target", "whole", "open", "blocks", F.xxhash64("doc_id", "size").alias("order"))
-    )
+    # what stands for many rows alike is spread before it is dealt out
+    spread = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ALIKE).cast("long"))).alias("_from")).repartition(*key, "_from")
+    each = spread.select(*key, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + ALIKE, F.col("n")) - 1)).alias("copy"))
+    each = each.withColumnRenamed("source", "_name").join(F.broadcast(table) if few else table, F.col("_name").eqNullSafe(table["source"])).drop("_name")
+    work = each.withColumn("order", F.xxhash64(*[c for c in key if c != "source"], "copy"))
     while True:
-        rows = rows.withColumns({"block": F.pmod("order", F.greatest("blocks", F.lit(1))), "level": F.lit(level)})
-        last = level > 0 and rows.agg(F.max("blocks")).first()[0] in (None, 1)
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-        done = stored(rows.groupBy("source_no", "block").applyInPandas(_fly(last), schema), f"mix-{level}")
+        work = work.withColumns({"block": F.pmod("order", F.greatest("blocks", F.lit(1))), "level": F.lit(level)})
+        last = level > 0 and work.agg(F.max("blocks")).first()[0] in (None, 1)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in work.schema])
+        done = stored(work.groupBy("source_no", "block").applyInPandas(_fly(last, key), schema), f"mix-{level}")
         closed = (F.col("open") == 0) | (F.col("open") == 1)
         parts.append(done.where(closed))
         if last:
             break
         left = done.where(~closed)
         count = left.groupBy("source_no").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        rows = left.drop("blocks").join(F.broadcast(count), "source_no")  # a row a source, MOST_SOURCES at most
-        rows = rows.select(*[c for c in done.columns if c not in ("block", "level")])
+        work = left.drop("blocks").join(F.broadcast(count) if few else count, "source_no")
+        work = work.select(*[c for c in done.columns if c not in ("block", "level")])
         level += 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    taken = (F.col("size") * (F.col("whole") + F.col("open").cast("long"))).alias("taken")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken)
+    return out.select(*key, "copy", "source_size", "target", (F.col("whole") + F.col("open").cast("long")).alias("times"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size"))
-    return decide(stored(sized, "mix-sizes"), weights, most).drop("source")
+    alike = stored(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    return decide(alike, weights, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """The rows of ``docs`` of which the mix takes any words, with all their columns and mix_size, mix_target, mix_copies.
 
-    Rows are matched by doc_id, source, size and their number among rows alike in these.
+    The rows are written with a number first. Those alike in id, source, size and a hash of the text are numbered again
+    among themselves, within each partition and then by the partitions' counts, so no task holds all of them.
     """
-    from pyspark.sql import Window
-
-    def numbered(df: DataFrame, size: str, order: list[Column]) -> DataFrame:
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(*order)))
-
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size")), "mix-sizes")
-    plan = numbered(decide(sized, weights, most), "size", [F.col("taken").desc()]).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), (F.col("taken") / F.col("size")).cast("long").alias("mix_copies"), F.col("_n").alias("_k"))
-    rows = numbered(docs.withColumn("_size", words_in("text")).where("_size > 0"), "_size", [F.xxhash64("text")])
-    on = rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_source"]) & (rows["_size"] == plan["mix_size"]) & (rows["_n"] == plan["_k"])
-    return rows.join(plan, on).select(*docs.columns, "mix_size", "mix_target", "mix_copies")
+    row = next(n for n in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    key = ["doc_id", "h", "source", "size"]
+    sized = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("source").cast("string").alias("source"), words_in("text").alias("size"))
+    sized = stored(sized.withColumn("part", F.shiftright("_at", 33)), "mix-sizes")
+    times = stored(decide(sized.groupBy(*key).agg(F.count("*").alias("n")), weights, most), "mix-times").where("times > 0 and size > 0")
+    counts = sized.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).where("before is not null")
+    same = lambda a, b, more: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["h"] == b["h"]) & a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"]) & more
+    placed = sized.withColumn("k", F.row_number().over(Window.partitionBy(*key, "part").orderBy("_at")) - 1)
+    placed = placed.join(before, same(placed, before, placed["part"] == before["part"]), "left").select(*[placed[c] for c in key], "_at", (F.col("k") + F.coalesce("before", F.lit(0))).alias("copy"))
+    plan = placed.join(times, same(placed, times, placed["copy"] == times["copy"])).select("_at", placed["size"].alias("mix_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_copies"))
+    return rows.join(plan, rows[row] == plan["_at"]).select(*[rows[f"`{c}`"] for c in docs.columns], "mix_size", "mix_target", "mix_copies")
 
 
 __all__ = ["decide", "flight", "mix", "mixed", "targets"]
