@@ -4,8 +4,8 @@ Texts are words of letters and digits, in lower case; shingles are SHINGLE words
 SimHash of its shingles. A document's fingerprints are those of its windows that are as long as an item: sizes are in
 classes a sixth apart, windows of a class begin a sixth of its size apart, and running sums of the shingles' bits give
 their fingerprints, so a passage of an item meets a window that differs by a twelfth at either end at most. A fingerprint is cut into BLOCKS blocks; one within RADIUS of an
-item's must be within RADIUS // BLOCKS of it in some block, and tables over all values of a block name the items within
-that: none within the radius is missed. But a copy near LIKE may lie outside the radius or between the windows; so any text
+item's must be within RADIUS // BLOCKS of it in some block, and lists over all values of a block name the items within
+that: none within the radius is missed, and only the items that a list names are compared. But a copy near LIKE may lie outside the radius or between the windows; so any text
 that has LIKE of an item's number of shingles in common with it, which every match must have, is checked over its whole
 length as well, and no match is lost. Items that a window's fingerprint is within RADIUS of are then checked exactly:
 around the window, the best run of as many words as the item has must have a weighted similarity of the two shingle
@@ -13,8 +13,8 @@ multisets (sum of the least counts over sum of the greatest) of LIKE or more. A
 whole text that is shorter than the item is compared as well.
 
 The benchmark is read in blocks of ITEMS items, each with a pass over the documents, so what goes to the executors has
-a fixed bound; one block is the usual case. Items of less than a shingle's words are one shingle, and match where the
-document has just these words.
+a fixed bound; one block is the usual case. A worker's lists take some 6 KB an item, 120 MB for ITEMS of them. Items of less
+than a shingle's words are one shingle; they match wherever the document has just these words in a row.
 
 Edge cases: null and blank texts and items match nothing; repeated rows match alike; a null id is reported as null;
 an empty table gives an empty result; an item may match several places of a document, the most similar is reported, of
@@ -24,6 +24,7 @@ equal ones the first; columns other than ids and texts play no part.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,41 +118,63 @@ class Index:
         self.owners = np.repeat(np.array(long, np.int64), [len(self.shingles[i][0]) for i in long])[order]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.upto = np.append(first, len(keys))
-        self.tables = None
+        self.lists = None
 
     def built(self) -> Index:
-        """With the tables, which each worker makes for itself: for a class, groups of 64 items, BLOCKS tables of 65536 masks."""
-        if self.tables is None:
+        """With the lists, which each worker makes for itself: for a class and a block, the items near each of its 65536 values."""
+        if self.lists is None:
             self.marks = np.zeros(1 << 20, bool)
             self.marks[(self.keys >> np.uint64(44)).astype(np.int64)] = True
             values = np.arange(1 << 16, dtype=np.uint16)
-            self.tables = {}
+            masks = values[np.bitwise_count(values) <= RADIUS // BLOCKS]
+            self.lists = {}
             for size, items in self.classes.items():
-                groups = []
-                for j in range(0, len(items), 64):
-                    some = items[j : j + 64]
-                    masks = np.zeros((BLOCKS, 1 << 16), np.uint64)
-                    for bit, i in enumerate(some):
-                        for k in range(BLOCKS):
-                            block = np.uint16(int(self.prints[i]) >> (16 * k) & 0xFFFF)
-                            masks[k, np.bitwise_count(values ^ block) <= RADIUS // BLOCKS] |= np.uint64(1 << bit)
-                    groups.append((np.array(some), masks))
-                self.tables[size] = groups
+                own = np.array(items, np.int32)
+                blocks = self.prints[own].view(np.uint16).reshape(-1, BLOCKS)
+                lists = []
+                for k in range(BLOCKS):
+                    near = (blocks[:, k][:, None] ^ masks).ravel()
+                    order = np.argsort(near, kind="stable")
+                    upto = np.zeros((1 << 16) + 1, np.int32)
+                    np.cumsum(np.bincount(near, minlength=1 << 16), out=upto[1:])
+                    lists.append((upto, np.repeat(np.arange(len(own), dtype=np.uint16), len(masks))[order]))  # places in the class: ITEMS are fewer than 65536
+                self.lists[size] = lists
+            lengths = sorted({self.length[i] for i in self.short})
+            self.runs = []
+            for n in lengths:
+                some = [i for i in self.short if self.length[i] == n]
+                h = np.array([shingle_hashes(self.words[i], n)[0] for i in some], np.uint64)
+                order = np.argsort(h, kind="stable")
+                self.runs.append((n, h[order], np.array(some)[order]))
         return self
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (number of a print, item) of the class within the radius."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        blocks = prints.view(np.uint16).reshape(-1, 4)
-        for items, masks in self.tables[size]:
-            mask = masks[0][blocks[:, 0]]
-            for k in range(1, BLOCKS):
-                mask |= masks[k][blocks[:, k]]
-            for bit, item in enumerate(items):
-                which = np.flatnonzero(mask & np.uint64(1 << bit))
-                which = which[np.bitwise_count(prints[which] ^ self.prints[item]) <= RADIUS]
-                found.append((which, np.full(len(which), item)))
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        found, own = [np.zeros(0, np.int64)], np.array(self.classes[size], np.int64)
+        step = max(1, (1 << 22) // max(1, len(self.classes[size])))  # so many prints that their candidates fit a few MB
+        for begin in range(0, len(prints), step):
+            for k, (upto, items) in enumerate(self.lists[size]):
+                block = blocks[begin : begin + step, k]
+                first = upto[block].astype(np.int64)
+                n = upto[block.astype(np.int64) + 1] - first
+                which = np.repeat(np.arange(begin, begin + len(n)), n)
+                item = own[items[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(which))]]
+                good = np.bitwise_count(prints[which] ^ self.prints[item]) <= RADIUS
+                found.append(which[good] * len(self.ids) + item[good])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.ids))
+
+    def said(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, first word) of the short items that stand in a text's words, each at its first place."""
+        for n, hashes, items in self.runs:
+            if len(words) >= n:
+                runs = shingle_hashes(words, n)
+                low = np.searchsorted(hashes, runs, "left")
+                hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == runs)
+                first = dict(zip(low[hit[::-1]].tolist(), hit[::-1].tolist(), strict=True))
+                for at, where in first.items():
+                    for item in items[at : np.searchsorted(hashes, hashes[at], "right")].tolist():
+                        yield item, where
 
     def sharing(self, shingles: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
         """Pairs (text, item): LIKE times as many of the text's shingles as the item has are the item's."""
@@ -215,11 +238,11 @@ def windows(index: Index, shingles: np.ndarray):
     n = len(shingles)
     if not n:
         return
-    lane = next(k for k in (np.uint8, np.uint16, np.uint32) if max(index.tables, default=1) <= np.iinfo(k).max)
+    lane = next(k for k in (np.uint8, np.uint16, np.uint32) if max(index.lists, default=1) <= np.iinfo(k).max)
     ones = _bits(shingles).astype(lane, copy=False).view(np.uint64)
     sums = np.zeros((n + 1, ones.shape[1]), np.uint64)
     np.cumsum(ones, axis=0, out=sums[1:])
-    for size in index.tables:
+    for size in index.lists:
         k = min(size, n)
         begin = np.append(np.arange(0, n - k, step(size)), n - k)
         votes = (sums[begin + k] - sums[begin]).view(lane)
@@ -237,9 +260,8 @@ def _found(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float,
             own = words[at[i] : at[i + 1]]
             pieces.append(shingle_hashes(own, SHINGLE) if len(own) >= SHINGLE else np.zeros(0, np.uint64))
             edges.append(edges[-1] + len(pieces[-1]))
-            for item in index.short:  # the whole text is the item
-                if len(own) == index.length[item] and (own == index.words[item]).all():
-                    out[part.first + i, item] = (1.0, 0, len(own))
+            for item, word in index.said(own):
+                out[part.first + i, item] = (1.0, word, index.length[item])
         every = np.concatenate(pieces)
         for r, item in index.sharing(every, np.array(edges)):
             like, word, n = index.best(item, pieces[r], 0, len(pieces[r]))
