@@ -12,7 +12,7 @@ suffix of what came before it.
 2. The tree grows with the corpus, so it is never in one place: grams are partitioned by the NEAR bytes before the symbol, which
    all longer suffixes share, and each partition prunes its own branches. Only the contexts of up to NEAR bytes go to all.
 3. One pass scores all texts. Frequent grams (LOOKUP of all symbols, so at most 1 / LOOKUP) and the baseline's frequent words
-   (FREQUENT of all tokens) are looked up there; that is only a shortcut: the other symbols leave as (row, gram) and meet their
+   (FREQUENT of all tokens, so at most 1 / FREQUENT) are looked up there, 16 bytes a gram and 24 a word, 130 MB at most; that is only a shortcut: the other symbols leave as (row, gram) and meet their
    branch of the tree in its partition, the other words as (row, word, times) meet their counts in a shuffle join.
 
 Edge cases: a null text is empty, its only token is the end; a null id isn't trained on and not held out; repeated rows
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.common import _LOWER, Texts, fold, prepare, stored, texts
+from sijill.llm.common import _LOWER, Texts, fold, numbers, prepare, stored, texts, word_hashes
 
 DEPTH = 5
 NEAR = 2
@@ -44,6 +44,7 @@ FREQUENT = 5e-7
 HELD = 1_000_000
 
 _START, _BLANK, _END = 0x09, 0x20, 0x0A
+_AGAIN = numbers(14, 256)
 
 
 # ------------------------------------------------------------------ symbols
@@ -105,6 +106,26 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
+def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each token's bytes: that two tokens share both is left out of account."""
+    return word_hashes(data, at[:-1], at[1:]), word_hashes(data, at[:-1], at[1:], _AGAIN)
+
+
+def _known(words: pa.Table, below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the words, in order of the first, and their base scores: 24 bytes a word, whatever its length."""
+    column = words["word"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    names, again = [], []
+    for i in range(0, len(column), 100_000):
+        some = column.slice(i, 100_000).to_pylist()
+        data, at = np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in some])])
+        x, y = token_hashes(data, at)
+        names.append(x)
+        again.append(y)
+    order = np.argsort(np.concatenate(names), kind="stable")
+    return np.concatenate(names)[order], np.concatenate(again)[order], np.log10((words["c"].to_numpy() + 0.5) / below)[order]
+
+
 def _counted(batches):
     schema = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
     keys, counts, held = [], [], 0
@@ -304,9 +325,8 @@ class Scorer:
 
 
 def _scored(batches, shared):
-    frequent, gram_logs, words, logs = shared.value
+    frequent, gram_logs, hashes, checks, logs = shared.value
     scorer = Scorer(frequent, gram_logs)
-    known = pa.array(words, pa.binary())
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64()), ("gram", pa.int64())])
     for b in batches:
@@ -318,9 +338,13 @@ def _scored(batches, shared):
             logp[asked] = 0.0
             score = np.add.reduceat(logp, first[:-1])
             tokens = _tokens(data, at)
-            index = pc.index_in(tokens, known).fill_null(-1).to_numpy()
-            found = index >= 0
-            base = np.add.reduceat(np.where(found, logs[index] if len(logs) else 0.0, 0.0), token[:-1])
+            found, base = np.zeros(len(tokens), bool), np.zeros(len(tokens))
+            if len(hashes):
+                names, again = token_hashes(data, at)
+                index = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
+                found = (hashes[index] == names) & (checks[index] == again)
+                base[found] = logs[index[found]]
+            base = np.add.reduceat(base, token[:-1])
             count = np.add.reduceat(found.astype(np.int64), token[:-1])
             n = part.n
             rows = row + np.arange(n)
@@ -354,9 +378,8 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = n + 0.5 * (v + 1)
     common = vocabulary.where(F.col("c") >= F.lit(max(1.0, FREQUENT * n))).orderBy("word").toArrow() if v else None
-    words = common["word"].to_pylist() if common else []
-    logs = np.log10((common["c"].to_numpy() + 0.5) / below) if common else np.zeros(0)
-    shared = spark.sparkContext.broadcast((often["gram"].to_numpy().view(np.uint64), often["log"].to_numpy(), words, logs))
+    hashes, checks, logs = _known(common, below) if common else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))
+    shared = spark.sparkContext.broadcast((often["gram"].to_numpy().view(np.uint64), often["log"].to_numpy(), hashes, checks, logs))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, word binary, times long, gram long"
     scored = stored(own.select("doc_id", "held_out", "text").mapInArrow(functools.partial(_scored, shared=shared), schema), "lm-scored")
     # the frequent words aren't among the rare tokens, so the join needs only the others
