@@ -6,7 +6,8 @@ softmax give the languages, any number of them. The matrices are trained in nump
 sample of labelled rows: ``SAMPLE`` rows a language are expected, ``SAMPLE_ALL`` over all languages (one each, if they are
 more), of which the driver gets the hashed counts of the ``PAIRS`` most frequent n-grams (4 bytes each), not texts. A fifth of
 the sample is kept from training and calibrates: it sets the temperature of the softmax, and the rejection threshold, which
-is where the loss on it is least, a wrong language that is kept counting as much as ``COST`` right ones that are rejected.
+is where the loss on it is least, a wrong language that is kept counting as much as ``COST`` right ones that are rejected (1: what
+is more likely wrong than right goes).
 
 As average and linear layer are linear, the trained matrices fold into one of BUCKETS x languages as long as there are at most
 DIM languages; beyond, the two matrices are applied one after the other, so the model stays at some 2 MB and 130 bytes a
@@ -35,7 +36,7 @@ SAMPLE_ALL = 30_000
 PAIRS = 1024
 EPOCHS = 6
 RATE = 0.5
-COST = 4.0
+COST = 1.0
 #: Scores under this count as no decision even if calibration would allow them.
 LEAST = 0.3
 
