@@ -4,34 +4,38 @@
    and a signature: one permutation of the shingles, cut into SLOTS bins, the least hash of each bin. An empty bin borrows
    from the full bin that a fixed random order of its own names first, so two sets agree in a slot with a probability
    equal to their similarity.
-2. Documents with equal sets are one class; the rest works on one representative a class.
+2. Documents with equal sets are one class with a number; the rest works on one text a class, and ids play no part in it.
 3. A band of ROWS slots is a bucket. First each member of a bucket has one candidate edge, to the least hub of its buckets:
    a group of copies costs a star, not all its pairs. The links confirmed so form components. Then, twice, the members
    of a bucket that are not in its largest component are compared with that component, which leaves the bucket. What is
-   left, few documents a bucket, is compared all with all. So every two documents in a bucket are in one component or
-   were compared, and no link within a bucket is lost.
-4. Comparing is exact, on the full sets made again from the texts, in groups of at most about FAN documents a side; large
-   components and buckets are cut into such blocks. Pairs never become rows: a group gives each document the least one
-   it is joined with there.
-5. Components of these edges come from label propagation with pointer jumping, on tables.
+   left, few classes a bucket, is compared all with all. So every two classes in a bucket are in one component or
+   were compared, or can't be linked, and no link within a bucket is lost.
+4. To compare with a component, all members and all outsiders are measured against one of its members, the pivot, which takes
+   time in proportion to their number. One minus the similarity is a metric: two sets can only be linked if their distances to
+   the pivot differ by no more than a link's, and if their sizes are near enough. So members and outsiders are cut into bands of
+   distance and of size, and only neighbouring bands meet. A cluster of copies and what only shares a passage with it never do.
+5. Comparing is exact, on the full sets made again from the texts, in groups of at most about FAN texts a side; large
+   bands and buckets are cut into such blocks, and the blocks of one are dealt to the tasks one after the other. Pairs never
+   become rows: a group gives each class the least one it is joined with there.
+6. Components of these edges come from label propagation with pointer jumping, on tables.
 
 Edge cases: null and blank texts have no shingles and are linked with nothing; texts shorter than a shingle have one, all
-their words; a null doc_id is never a representative, its row gets the component of its class (null if all ids in
-it are null) and isn't kept; repeated rows are copies with one id, all kept if that id is; rows that share an id but not
-a text count as one document, compared by the least of its texts; an empty table gives an empty
-result; other columns are neither read nor clash.
+their words; a document with a null doc_id links as any other, never names a component (null if all ids in it are) and isn't
+kept; repeated rows are copies with one id, all kept if that id is; rows that share an id but not a text are documents of
+their own, each with its own component; an empty table gives an empty result; other columns are neither read nor clash.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sijill.llm.common import mix, numbers, prepare, shingle_sets, stored, texts
+from sijill.llm.common import mix, numbers, prepare, release, shingle_sets, stored, texts
 
 #: Long bands keep apart what shares a passage only; so many of them lose a pair at 0.8 with a probability of 8 in a million.
 SLOTS = 512
@@ -92,8 +96,8 @@ def _signed(batches, width: int, percent: int):
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in own])]).astype(np.int32)
         flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            ["doc_id", "n_shingles", "high", "low", "keys"],
+            [b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            ["doc_id", "th", "n_shingles", "high", "low", "keys"],
         )
 
 
@@ -128,19 +132,32 @@ def _joined(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, percent:
         label = new
 
 
-def _compared(batches, width: int, percent: int):
-    """Rows of one group are consecutive. Yields (a, b): a document and the least one it is joined with there."""
+def _compared(batches, width: int, percent: int, pivot: bool):
+    """Rows of one group are consecutive.
+
+    Yields (a, b, same): a node and the least one it is joined with there; or, with ``pivot``, each node of side 1, the one of
+    side 0, and the number of shingles that they share.
+    """
     held: list[tuple[np.ndarray, int, int]] = []
     last = None
 
     def done() -> pa.RecordBatch:
         sets, ids, side = [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
+        if pivot:
+            one = int(np.flatnonzero(side == 0)[0])
+            rest = np.flatnonzero(side == 1)
+            if not len(rest):  # a block may get nothing by the hash
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["a", "b", "same"])
+            every = np.concatenate([sets[i] for i in rest])
+            hit = sets[one][np.minimum(np.searchsorted(sets[one], every), len(sets[one]) - 1)] == every
+            same = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum([len(sets[i]) for i in rest])[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(np.full(len(rest), ids[one])), pa.array(same)], ["a", "b", "same"])
         least = _joined(sets, ids, side, percent)
         some = least != ids
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some]), pa.array(np.zeros(some.sum(), np.int64))], ["a", "b", "same"])
 
     for b in batches:
-        groups, ids, side = (b.column(c).to_pylist() for c in ("grp", "doc", "side"))
+        groups, ids, side = (b.column(c).to_pylist() for c in ("grp", "node", "side"))
         for part in texts(b.column("text")):
             for i, s in enumerate(shingle_sets(part, width), part.first):
                 if held and groups[i] != last:
@@ -152,52 +169,93 @@ def _compared(batches, width: int, percent: int):
         yield done()
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, text) of the ids; the least text, where rows share an id."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    found = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return found.groupBy("doc").agg(F.min("text").alias("text"))
-
-
-def compare(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges between the documents of ``rows`` (grp, doc, side) that are linked."""
-    rows = stored(rows, "dedup-groups")
-    with_text = rows.join(_texts_of(docs, rows.select("doc").distinct()), "doc")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_groups = with_text.repartition(n, "grp").sortWithinPartitions("grp", "doc").select("grp", "doc", "side", "text")
-    return stored(in_groups.mapInArrow(functools.partial(_compared, width=width, percent=percent), "a long, b long"), "dedup-links")
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, rid, th): a text is found by its row's id and its hash; of rows alike one text."""
+    nodes = nodes.select("node", "rid", F.col("th").alias("h"))
+    few = nodes.limit(MOST_IDS + 1).count() <= MOST_IDS
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = own.join(F.broadcast(nodes) if few else nodes, (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rid")))
+    return found.groupBy("node").agg(F.min("text").alias("text"))
+
+
+class _Work:
+    """What all steps share: the texts of the classes in buckets, and the shingles' width and the similarity."""
+
+    def __init__(self, texts_: DataFrame, width: int, percent: int):
+        self.texts, self.width, self.percent = texts_, width, percent
+        self.n = int(texts_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(self, rows: DataFrame, pivot: bool = False) -> DataFrame:
+        """(a, b, same) of ``rows`` (grp, task, node, side), as ``_compared`` has it."""
+        rows = stored(rows, "dedup-groups")
+        dealt = rows.join(self.texts, "node").repartitionById(self.n, "task").sortWithinPartitions("grp", "node").select("grp", "node", "side", "text")
+        return stored(dealt.mapInArrow(functools.partial(_compared, width=self.width, percent=self.percent, pivot=pivot), "a long, b long, same long"), "dedup-links")
+
+    def task(self, of: str, place: Column) -> Column:
+        """The blocks of one group go to one task after the other."""
+        return F.pmod(F.pmod(F.xxhash64(of), F.lit(self.n)) + place, F.lit(self.n)).cast("int")
+
+    def measured(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(node, whole, size, far) of ``pairs`` (node, whole): the node's size, and its distance to the node ``whole``."""
+        cells = pairs.groupBy("whole").agg(_cells_of("node").alias("cells"))
+        one = cells.select("whole", F.col("whole").alias("node"), _to("cells").alias("i"), F.lit(0).alias("side"))
+        two = pairs.join(cells, "whole").select("whole", "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("i"), F.lit(1).alias("side"))
+        rows = one.unionByName(two).select(F.xxhash64("whole", "i").alias("grp"), self.task("whole", F.col("i")).alias("task"), "node", "side")
+        found = self.compare(rows, True).select(F.col("a").alias("node"), F.col("b").alias("whole"), "same")
+        found = found.join(sizes, "node").join(sizes.select(F.col("node").alias("whole"), F.col("size").alias("other")), "whole")
+        union = F.col("size") + F.col("other") - F.col("same")
+        return found.select("node", "whole", "size", (1 - F.col("same") / union).alias("far"), (100 * F.col("same") >= self.percent * union).alias("linked"))
+
+    def band(self, size: str) -> Column:
+        """Sets of linked sizes are in one or in neighbouring bands."""
+        return F.floor(F.log(F.col(size)) / (math.log(100 / self.percent) + 1e-6)).cast("int")
+
+    def ring(self, far: str) -> Column:
+        """Sets that may be linked by their distances to a pivot are in one or in neighbouring rings."""
+        return F.floor(F.col(far) / (1 - self.percent / 100 + 1e-6)).cast("int")
+
+    def grid(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
+        """Groups in which each ``node`` of ``outside`` (of, node) meets all of ``inside`` (of, node) with the same ``of``."""
+        cells = outside.groupBy("of").agg(_cells_of("node").alias("across")).join(inside.groupBy("of").agg(_cells_of("node").alias("down")), "of")
+        one = inside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "down").cast("int").alias("i"), _to("across").alias("j"), F.lit(0).alias("side"))
+        two = outside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "across").cast("int").alias("j"), _to("down").alias("i"), F.lit(1).alias("side"))
+        return one.unionByName(two).select(F.xxhash64("of", "i", "j").alias("grp"), self.task("of", F.col("i") * F.col("across") + F.col("j")).alias("task"), "node", "side")
+
+    def against(self, work: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Edges (a, b) by which the nodes of ``work`` (whole, node) are joined to members of component ``whole``."""
+        wholes = work.select("whole").distinct()
+        members = labels.withColumnRenamed("component", "whole").join(wholes, "whole", "left_semi").where("node <> whole").select("node", "whole")
+        found = stored(self.measured(work.select("node", "whole").unionByName(members), sizes), "dedup-measured")
+        mine = found.join(members, ["node", "whole"], "left_semi").select("node", "whole", "size", "far")
+        pivots = wholes.join(sizes, wholes["whole"] == sizes["node"]).select("node", "whole", "size", F.lit(0.0).alias("far"))
+        others = found.join(work, ["node", "whole"], "left_semi")
+        direct = others.where("linked").select(F.col("node").alias("a"), F.col("whole").alias("b"))
+        beside = lambda c: F.explode(F.sequence(c - 1, c + 1))
+        place = F.xxhash64("whole", "sb", "db").alias("of")
+        inside = mine.unionByName(pivots).select("node", "whole", self.band("size").alias("sb"), self.ring("far").alias("db")).select(place, "node")
+        outside = others.where("not linked").select("node", "whole", beside(self.band("size")).alias("sb"), self.ring("far").alias("d")).select("node", "whole", "sb", beside(F.col("d")).alias("db")).select(place, "node")
+        return direct.unionByName(self.compare(self.grid(outside, inside)).select("a", "b"))
+
+    def among(self, live: DataFrame) -> DataFrame:
+        """Edges among the members of each bucket of ``live`` (key, node, size): those of one size band, and those of neighbouring ones."""
+        banded = stored(live.select("key", "node", self.band("size").alias("sb")), "dedup-banded")
+        cells = banded.groupBy("key", "sb").agg(_cells_of("node").alias("cells"), F.count("*").alias("n")).where("n > 1")
+        placed = banded.join(cells, ["key", "sb"]).select(F.xxhash64("key", "sb").alias("of"), "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("own"), _to("cells").alias("other"))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        same = placed.select(F.xxhash64("of", low, high).alias("grp"), self.task("of", F.floor(high * (high + 1) / 2) + low).alias("task"), "node", side.alias("side"))
+        next_ = self.grid(banded.select(F.xxhash64("key", F.col("sb") - 1, F.lit("next")).alias("of"), "node"), banded.select(F.xxhash64("key", "sb", F.lit("next")).alias("of"), "node"))
+        return self.compare(same.unionByName(next_)).select("a", "b")
 
 
 def _to(cells: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(cells) - 1))
 
 
-def against(work: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups (grp, doc, side) in which each ``doc`` of ``work`` (whole, doc) meets all members of component ``whole``."""
-    outside = work.groupBy("whole").agg(_cells_of("doc").alias("across"))
-    if labels is None:
-        members = outside.select("whole", F.col("whole").alias("node"))
-    else:
-        members = outside.select("whole").join(labels.withColumnRenamed("component", "whole"), "whole", "left").select("whole", F.coalesce("node", "whole").alias("node"))
-    inside = members.groupBy("whole").agg(_cells_of("node").alias("down"))
-    grid = outside.join(inside, "whole")
-    one = members.join(grid, "whole").select("whole", F.col("node").alias("doc"), F.pmod(F.xxhash64("node"), "down").alias("i"), _to("across").alias("j"), F.lit(0).alias("side"))
-    two = work.join(grid, "whole").select("whole", "doc", F.pmod(F.xxhash64("doc"), "across").alias("j"), _to("down").alias("i"), F.lit(1).alias("side"))
-    return one.unionByName(two).select(F.xxhash64("whole", "i", "j").alias("grp"), "doc", "side")
-
-
 def _cells_of(column: str) -> Column:
     return F.ceil(F.count(column) / FAN).cast("int")
 
 
-def among(live: DataFrame) -> DataFrame:
-    """Groups in which the members of each bucket of ``live`` (key, doc) meet each other."""
-    size = live.groupBy("key").agg(_cells_of("doc").alias("cells")).where("cells > 0")
-    placed = live.join(size, "key").select("key", "doc", F.pmod(F.xxhash64("doc"), "cells").cast("int").alias("own"), _to("cells").alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return placed.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "doc", side.alias("side"))
-
-
 # ------------------------------------------------------------------ components
 
 
@@ -212,71 +270,91 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("component").alias("far"))
-        new = step.join(jump, "best").select("node", F.col("component").alias("old"), F.least("best", "far").alias("component"))
+        # only labels that have a lower one themselves jump, each of them once; so the nodes of one large component aren't sent to one place
+        lower = labels.where("component < node").select(F.col("node").alias("best"), F.col("component").alias("far"))
+        jump = step.select("best").distinct().join(lower, "best")
+        new = step.join(jump, "best", "left").select("node", F.col("component").alias("old"), F.least("best", "far").alias("component"))
         new = stored(new, "dedup-labels")
+        release(labels)
         if new.where("old <> component").isEmpty():
+            release(both)
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = new
 
 
 # ------------------------------------------------------------------ the operator
 
 
-def _linked(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, component) over the links of ``members`` (key, doc), buckets of two and more; None without any."""
-    live = stored(members.withColumn("component", F.col("doc")), "dedup-live")
-    if live.isEmpty():
+def _linked(members: DataFrame, work: _Work) -> DataFrame | None:
+    """(node, component) over the links of ``members`` (key, node, size), buckets of two and more; None without any."""
+    live = members.withColumn("component", F.col("node"))
+    sizes = stored(members.select("node", "size").distinct(), "dedup-sizes")
+    if sizes.isEmpty():
         return None
-    hubs = live.groupBy("key").agg(F.min("doc").alias("hub"))
-    star = live.join(hubs, "key").where("doc <> hub").groupBy("doc").agg(F.min("hub").alias("whole"))
-    links = compare(docs, against(stored(star, "dedup-star"), None), width, percent)
+    hubs = live.groupBy("key").agg(F.min("node").alias("hub"))
+    star = stored(live.join(hubs, "key").where("node <> hub").groupBy("node").agg(F.min("hub").alias("whole")), "dedup-star")
+    links = work.measured(star, sizes).where("linked").select(F.col("node").alias("a"), F.col("whole").alias("b"))
     labels = components(links)
     for _ in range(2):
         live = _relabelled(live, labels)
         parts = live.groupBy("key", "component").agg(F.count("*").alias("n"))
         main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("whole"), F.count("*").alias("parts")).where("parts > 1").select("key", "whole")
         live = stored(live.join(main, "key").where("component <> whole"), "dedup-live")
-        work = stored(live.select("whole", "doc").distinct(), "dedup-work")
-        if work.isEmpty():
+        todo = stored(live.select("whole", "node").distinct(), "dedup-work")
+        if todo.isEmpty():
             return labels
-        links = links.unionByName(compare(docs, against(work, labels), width, percent))
+        links = stored(links.unionByName(work.against(todo, labels, sizes)), "dedup-all-links")
         labels = components(links)
         live = live.drop("whole")
     live = _relabelled(live, labels)
     open_ = live.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    rest = stored(live.join(open_, "key", "left_semi").select("key", "doc"), "dedup-rest")
-    return labels if rest.isEmpty() else components(links.unionByName(compare(docs, among(rest), width, percent)))
+    rest = stored(live.join(open_, "key", "left_semi").select("key", "node", "size"), "dedup-rest")
+    return labels if rest.isEmpty() else components(links.unionByName(work.among(rest)))
 
 
 def _relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
-    new = labels.select(F.col("node").alias("doc"), F.col("component").alias("new"))
-    return live.join(new, "doc", "left").select("key", "doc", F.coalesce("new", "component").alias("component"))
+    new = labels.withColumnRenamed("component", "new")
+    return live.join(new, "node", "left").select("key", "node", "size", F.coalesce("new", "component").alias("component"))
 
 
 def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return _classes(docs, width, percent).drop("th")
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sign = functools.partial(_signed, width=width, percent=percent)
-    signed = stored(own.mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, keys array<long>"), "dedup-signed")
-    reps = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("doc")), "dedup-classes")
-    keys_of = signed.where("n_shingles > 0").select(F.col("doc_id").alias("doc"), "high", "low", "keys").join(reps, ["doc", "high", "low"], "left_semi")
-    keys_of = stored(keys_of.select("doc", "keys"), "dedup-keys")
-    keyed = keys_of.select("doc", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    members = keyed.join(stored(buckets, "dedup-buckets"), "key", "left_semi").distinct()
-    found = _linked(members, own, width, percent)
-    names = reps.select(F.col("high").alias("h"), F.col("low").alias("l"), F.col("doc").alias("component_id"))
-    if found is not None:
-        names = names.join(found, names["component_id"] == found["node"], "left").select("h", "l", F.coalesce("component", "component_id").alias("component_id"))
+    signed = own.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sign, "doc_id long, th long, n_shingles long, high long, low long, keys array<long>")
+    signed = stored(signed, "dedup-signed")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    reps = signed.where("n_shingles > 0").groupBy("high", "low").agg(row.alias("r"), F.first("n_shingles").alias("size"))
+    reps = stored(reps.select("high", "low", "size", F.col("r.doc_id").alias("rid"), F.col("r.th").alias("th")).withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
+    rep = [F.col(c).alias(f"_{c}") for c in ("high", "low", "rid", "th")]
+    here = (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_rid"))
+    keys_of = signed.where("size(keys) > 0").select("doc_id", "th", "high", "low", "keys").join(reps.select(*rep, "node", "size"), here)
+    keyed = keys_of.select("node", "size", F.explode("keys").alias("key")).distinct()
+    keyed = stored(keyed, "dedup-keys")
+    buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key"), "dedup-buckets")
+    members = stored(keyed.join(buckets, "key", "left_semi"), "dedup-members")
+    texts_ = stored(_texts_of(own, reps.join(members.select("node").distinct(), "node", "left_semi")), "dedup-texts")
+    found = _linked(members, _Work(texts_, width, percent))
+    names = reps.select(F.col("high").alias("h"), F.col("low").alias("l"), "node", "rid")
+    names = names.withColumn("component", F.col("node")) if found is None else names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = names.groupBy("component").agg(F.min("rid").alias("component_id"))
+    names = names.join(least, "component").select("h", "l", "component_id")
     out = signed.drop("keys").join(names, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     kept: Column = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with their columns; rows with a null id stay."""
-    found = classes(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """The rows of ``docs`` whose id is their component's, with their columns.
+
+    A row with a null id goes if its component has a named one, else it stays. Rows are matched by id and a hash of the text, so of
+    rows that share an id but not a text only those go that are copies.
+    """
+    gone = _classes(docs, width, percent).where("not kept and component_id is not null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    return docs.join(gone, (F.xxhash64(docs["text"].cast("string")) == gone["_th"]) & docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
