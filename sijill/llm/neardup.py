@@ -334,10 +334,9 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rep = [F.col(c).alias(f"_{c}") for c in ("high", "low", "rid", "th")]
     here = (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_rid"))
     keys_of = signed.where("size(keys) > 0").select("doc_id", "th", "high", "low", "keys").join(reps.select(*rep, "node", "size"), here)
-    keyed = keys_of.select("node", "size", F.explode("keys").alias("key")).distinct()
-    keyed = stored(keyed, "dedup-keys")
+    keyed = stored(keys_of.select("node", "size", "keys"), "dedup-keys").select("node", "size", F.explode("keys").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key"), "dedup-buckets")
-    members = stored(keyed.join(buckets, "key", "left_semi"), "dedup-members")
+    members = stored(keyed.join(buckets, "key", "left_semi").distinct(), "dedup-members")  # rows alike have a class's keys twice
     texts_ = stored(_texts_of(own, reps.join(members.select("node").distinct(), "node", "left_semi")), "dedup-texts")
     found = _linked(members, _Work(texts_, width, percent))
     names = reps.select(F.col("high").alias("h"), F.col("low").alias("l"), "node", "rid")
