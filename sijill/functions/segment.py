@@ -7,6 +7,7 @@ import functools
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,40 +19,51 @@ _PARAGRAPH = re.compile(r"\n\s*\n+")
 _BREAK = re.compile(r"(?<=[.!?؟؛])\s+|\n+")
 
 
-def _pieces(paragraph: str) -> list[str]:
-    """Sentences packed to about TARGET characters; what is longer than MOST is cut at a blank."""
-    out, held = [], ""
-    for s in (x.strip() for x in _BREAK.split(paragraph)):
-        while len(s) > MOST:
-            if held:
-                out.append(held)
-                held = ""
-            cut = s.rfind(" ", TARGET, MOST)
-            cut = cut if cut > 0 else MOST
-            out.append(s[:cut].strip())
-            s = s[cut:].strip()
-        if not s:
-            continue
-        if held and (len(held) >= TARGET or len(held) + 1 + len(s) > MOST):
-            out.append(held)
-            held = s
+def _cut(text: str) -> Iterator[str]:
+    """Pieces of at most MOST characters, cut at the last blank behind TARGET if there is one."""
+    while len(text) > MOST:
+        at = text.rfind(" ", TARGET, MOST)
+        at = MOST if at < 0 else at
+        yield text[:at]
+        text = text[at:].lstrip()
+    yield text
+
+
+def _pieces(paragraph: str) -> Iterator[str]:
+    """A short paragraph itself; of a longer one its sentences, packed to about TARGET characters; what is over MOST is cut, and its pieces stay apart."""
+    if len(paragraph) <= MOST:
+        yield paragraph
+        return
+    parts = [x for x in (s.strip() for s in _BREAK.split(paragraph)) if x]
+    if len(parts) < 2:
+        yield from _cut(paragraph)
+        return
+    held = ""
+    for s in parts:
+        if held and (len(s) > MOST or len(held) >= TARGET or len(held) + 1 + len(s) > MOST):
+            yield held
+            held = ""
+        if len(s) > MOST:
+            yield from _cut(s)
         else:
             held = f"{held} {s}" if held else s
-    return [*out, held] if held else out
+    if held:
+        yield held
 
 
 def windows(text: str | None, most: int = 40) -> list[str]:
-    """Paragraphs as they are up to MOST characters, longer ones in pieces; short tails join the window before; ``most`` at most."""
+    """Paragraphs up to MOST characters, longer ones in pieces, white space collapsed; a tail under TAIL joins the window before
+    if that leaves room. Ends with the ``most``-th window, whatever follows."""
     out: list[str] = []
-    for paragraph in _PARAGRAPH.split((text or "").strip()):
-        p = paragraph.strip()
-        for piece in ([p] if len(p) <= MOST else _pieces(p)) if p else []:
-            if out and len(piece) < TAIL and len(out[-1]) + 1 + len(piece) <= MOST:
-                out[-1] = f"{out[-1]} {piece}"
-            elif len(out) < most:
-                out.append(piece)
-            else:
+    for paragraph in _PARAGRAPH.split((text or "").replace("\r\n", "\n").replace("\r", "\n")):
+        for piece in _pieces(paragraph.strip()):
+            if len(out) >= most:
                 return out
+            w = " ".join(piece.split())
+            if w and out and len(w) < TAIL and len(out[-1]) + 1 + len(w) <= MOST:
+                out[-1] = f"{out[-1]} {w}"
+            elif w:
+                out.append(w)
     return out
 
 

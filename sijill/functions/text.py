@@ -26,6 +26,11 @@ def normalize_space(c, drop_nul: bool = False) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
 def clip(c, n: int = 320, empty: str = "") -> Column:
     """At most ``n`` characters of the normalized text, then three dots; ``empty`` if there are none."""
     x = normalize_space(F.coalesce(col(c), F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sijill.functions.folds import let
 from sijill.functions.text import col
 
 DIMS = 1024
@@ -33,17 +34,6 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return flags.where("v > 0").unionByName(hashed).groupBy("id", "dim").agg(F.sum("v").alias("v"))
 
 
-def norms(sparse: DataFrame) -> DataFrame:
-    return sparse.groupBy("id").agg(F.sum(F.col("v") * F.col("v")).alias("norm2"))
-
-
-def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, score) of all pairs with a dimension in common; an equi-join on the dimension, summed by pair."""
-    dots = left.select(F.col("id").alias("l"), "dim", F.col("v").alias("lv")).join(right.select(F.col("id").alias("r"), "dim", F.col("v").alias("rv")), "dim").groupBy("l", "r").agg(F.sum(F.col("lv") * F.col("rv")).alias("dot"))
-    ln, rn = norms(left).select(F.col("id").alias("l"), F.col("norm2").alias("ln")), norms(right).select(F.col("id").alias("r"), F.col("norm2").alias("rn"))
-    return dots.join(ln, "l").join(rn, "r").select("l", "r", (F.col("dot") / (F.sqrt("ln") * F.sqrt("rn"))).alias("score"))
-
-
 def norm(v) -> Column:
     n = F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(n == 0, 1.0).otherwise(n)
@@ -66,7 +56,11 @@ def strict_cosine(a, b) -> Column:
 
 
 def normalized(v) -> Column:
-    return F.transform(col(v), lambda x: x.cast("double") / norm(v))
+    return let(norm(v), lambda n: F.transform(col(v), lambda x: x.cast("double") / n))
+
+
+def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), col(x)))
 
 
 def parse_vector(c) -> Column:

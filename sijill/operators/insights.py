@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import ratio
+from sijill.operators import ranking
 
 
 def sentence_chunks(docs: DataFrame, most: int | None = None) -> DataFrame:
@@ -18,18 +19,15 @@ def sentence_chunks(docs: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select("doc_id", F.inline(T.within_budget("s", max(500, min(most, 15000)))))
 
 
-def sentence_scores(cases: DataFrame, docs: DataFrame, most: int = 15000) -> DataFrame:
-    """The likeness of each document's sentences, within a budget, to each case. ``cases`` (case_id, text) are a query set."""
-    chunks = sentence_chunks(docs, most)
-    units = chunks.withColumn("_u", F.xxhash64("doc_id", "index"))
-    scores = V.sparse_cosine(V.hash_embed(cases, "case_id", "text"), V.hash_embed(units, "_u", "text"))
-    return scores.join(units.select(F.col("_u").alias("r"), "doc_id", "index", "text"), "r").select(F.col("l").alias("case_id"), "doc_id", "index", "text", "score")
-
-
 def case_insights(cases: DataFrame, docs: DataFrame, top_k: int = 5, most: int = 15000) -> DataFrame:
-    """The sentences of each document most like each case: rank, index, text, score."""
-    rows = sentence_scores(cases, docs, most)
-    return V.top_k(rows, ["case_id", "doc_id"], [F.desc("score"), F.col("index")], max(1, min(top_k, 20)))
+    """The sentences of each document, within a budget, most like each case: case_id, doc_id, index, text, score, rank.
+
+    ``cases`` (case_id, text) are a query set; a document's sentences are scored within its row.
+    """
+    k = max(1, min(top_k, 20))
+    units = F.transform(T.within_budget(T.sentences_with_offsets("text"), max(500, min(most, 15000))), lambda s: F.struct(s["index"].cast("long").alias("unit_pos"), s["text"].alias("text")))
+    found = ranking.best_units(cases, docs.select(F.col("doc_id").alias("reg_id"), units.alias("units")), k)
+    return found.select("case_id", F.col("reg_id").alias("doc_id"), F.col("unit_pos").alias("index"), "text", "score", "rank")
 
 
 def case_summary(highlights: DataFrame, n: int = 4) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sijill.functions import blocks
 from sijill.functions import text as T
 from sijill.functions import vectors as V
+from sijill.session import ship
 
 
 @dataclass(frozen=True)
@@ -37,36 +42,150 @@ class Profile:
         return tuple(x / sum(w) for x in w)
 
 
-def pair_scores(fragments: DataFrame, units: DataFrame) -> DataFrame:
-    """All fragments against all units (case_id, fragment_id, frag_pos, reg_id, unit_pos, score): hash embeddings, equi-join by dimension.
+#: Pairs of a (case, regulation) that are kept: for the lexical overlap, and for the lines that explain a match.
+LEXICAL, LINES, EVIDENCE = 4, 3, 2
 
-    ``fragments``: case_id, fragment_id, frag_pos, source, text; ``units``: reg_id, unit_pos, text. Pairs without a common
-    dimension don't occur, as the length dimension is positive for every text.
+_PAIR = "struct<fragment_id:string,frag_pos:long,unit_pos:long,score:double>"
+_SCORED = f"case_id long, reg_id long, semantic_max double, semantic_avg_top3 double, supported int, has_case_support boolean, strong_support_count long, texts array<struct<frag:string,unit:string>>, evidence array<{_PAIR}>, lines array<{_PAIR}>"
+
+
+class _Fragments:
+    """A block of cases: for each its fragments in order, their vectors, and where its columns begin."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+        self.matrix = blocks.hash_matrix([r["text"] for r in rows])
+        self.norms = blocks.norms(self.matrix)
+        case = [r["case_id"] for r in rows]
+        self.edges = [i for i in range(len(rows) + 1) if i in (0, len(rows)) or case[i] != case[i - 1]]
+
+
+def _pairs_of(s: np.ndarray, units: list, frags: list, profile: Profile, lines: bool) -> tuple:
+    """A case and a regulation: what _SCORED has behind the ids. ``s``: rounded scores (units, fragments), both in order of position."""
+    floor = max(0.0, profile.threshold)
+    n_units, n = s.shape
+    real = np.array([f["source"] != "hyde" for f in frags])
+    own = np.array([f["source"] == "case" for f in frags])
+    best = s.argmax(0)  # of equal ones the first unit
+    peak = s[best, np.arange(n)]
+    order = np.argsort(-s.T.ravel(), kind="stable")[:LEXICAL]  # by score, fragment, unit
+    top = s.T.ravel()[order]
+    pair = lambda f, u: (frags[f]["fragment_id"], frags[f]["frag_pos"], units[u]["unit_pos"], float(s[u, f]))
+    named: dict[str, int] = {}
+    for f in np.argsort(-peak, kind="stable").tolist():
+        named.setdefault(frags[f]["fragment_id"], f)
+        if len(named) == EVIDENCE:
+            break
+    evidence = [pair(f, int(best[f])) for f in named.values()]
+    shown = []
+    if lines:
+        some = {(int(k) // n_units, int(k) % n_units) for k in order[:LINES]}
+        for f in range(n):
+            some |= {(f, int(u)) for u in np.argsort(-s[:, f], kind="stable")[:LINES]}
+        ranked_ = sorted(some, key=lambda x: (-s[x[1], x[0]], x[0], x[1]))
+        shown = [pair(*ranked_[i]) for i in diversified([(frags[f]["fragment_id"], units[u]["unit_pos"]) for f, u in ranked_], LINES)]
+    supported = len({f["fragment_id"] for f, p, r in zip(frags, peak, real, strict=True) if r and p >= floor})
+    texts = [(frags[int(k) // n_units]["text"], units[int(k) % n_units]["text"]) for k in order]
+    return float(top[0]), float(top[:3].mean()), supported, bool((own & (peak >= floor)).any()), int((s >= profile.min_pair).sum()), texts, evidence, shown
+
+
+def _compared(batches, shared, profile: Profile, lines: bool):
+    block = shared.value
+    for b in batches:
+        out: list[tuple] = []
+        for reg, units in zip(b.column("reg_id").to_pylist(), b.column("units").to_pylist(), strict=True):
+            units = [u for u in units or () if u["text"]]
+            if not units:
+                continue
+            s = np.empty((len(units), len(block.rows)))
+            for i in range(0, len(units), blocks.ROWS):
+                m = blocks.hash_matrix([u["text"] for u in units[i : i + blocks.ROWS]])
+                s[i : i + blocks.ROWS] = blocks.rounded((m @ block.matrix.T) / (blocks.norms(m)[:, None] * block.norms))
+            for x, y in zip(block.edges[:-1], block.edges[1:], strict=True):
+                out.append((block.rows[x]["case_id"], reg, *_pairs_of(s[:, x:y], units, block.rows[x:y], profile, lines)))
+            if len(out) >= 2000:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    pair = pa.struct([("fragment_id", pa.string()), ("frag_pos", pa.int64()), ("unit_pos", pa.int64()), ("score", pa.float64())])
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("frag", pa.string()), ("unit", pa.string())])), pa.list_(pair), pa.list_(pair)]
+    names = [f.split()[0] for f in _SCORED.split(", ")]
+    made = []
+    for k, column in zip(kinds, zip(*rows, strict=True), strict=True):
+        if pa.types.is_list(k):
+            fields = [f.name for f in k.value_type]
+            column = [[dict(zip(fields, x, strict=True)) for x in v] for v in column]
+        made.append(pa.array(list(column), k))
+    return pa.RecordBatch.from_arrays(made, names)
+
+
+def grouped_units(units: DataFrame) -> DataFrame:
+    """(reg_id, units) of ``units`` (reg_id, unit_pos, text): a regulation's units in order, in one row."""
+    return units.groupBy("reg_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit_pos").cast("long").alias("unit_pos"), "text"))).alias("units"))
+
+
+def compared(fragments: DataFrame, units: DataFrame, profile: Profile, lines: bool = False) -> DataFrame:
+    """A row a (case, regulation): the parts of its composite score, its evidence and, if asked for, the lines that explain it.
+
+    ``fragments``: case_id, fragment_id, frag_pos, source, text; ``units``: reg_id and units (see ``grouped_units``). All fragments
+    meet all units, as block matrices within the rows of ``units``: fragments go out in blocks of whole cases, scores of hash
+    embeddings in six digits never leave their task, and texts only those of the LEXICAL best pairs. Ties go by fragment and unit
+    position; blank units and null texts don't take part.
     """
-    f = fragments.withColumn("_f", F.xxhash64("case_id", "frag_pos"))
-    u = units.withColumn("_u", F.xxhash64("reg_id", "unit_pos"))
-    scores = V.sparse_cosine(V.hash_embed(f, "_f", "text"), V.hash_embed(u, "_u", "text"))
-    keys = ["case_id", "fragment_id", "frag_pos", "source"]
-    return scores.join(f.select(F.col("_f").alias("l"), *keys, F.col("text").alias("frag_text")), "l").join(u.select(F.col("_u").alias("r"), "reg_id", "unit_pos", F.col("text").alias("unit_text")), "r").drop("l", "r")
+    spark = units.sparkSession
+    ship(spark)
+
+    def parts() -> Iterator:
+        rows: list = []
+        for r in fragments.where("text is not null").select("case_id", "fragment_id", F.col("frag_pos").cast("long").alias("frag_pos"), "source", "text").orderBy("case_id", "frag_pos").toLocalIterator():
+            if rows and 8 * V.DIMS * len(rows) >= blocks.BLOCK_BYTES and rows[-1]["case_id"] != r["case_id"]:
+                yield spark.sparkContext.broadcast(_Fragments(rows))
+                rows = []
+            rows.append(r)
+        if rows:
+            yield spark.sparkContext.broadcast(_Fragments(rows))
+
+    own = units.select(F.col("reg_id").cast("long").alias("reg_id"), "units")
+    found = [own.mapInArrow(functools.partial(_compared, shared=x, profile=profile, lines=lines), _SCORED) for x in parts()]
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _SCORED)
+
+
+def _best(batches, shared, k: int):
+    q = shared.value
+    for b in batches:
+        rows: list[tuple] = []
+        for reg, units in zip(b.column("reg_id").to_pylist(), b.column("units").to_pylist(), strict=True):
+            units = [u for u in units or () if u["text"]]
+            s = [blocks.rounded(q.scores(blocks.hash_matrix([u["text"] for u in units[i : i + blocks.ROWS]]))) for i in range(0, len(units), blocks.ROWS)]
+            for j, case in enumerate(q.ids if units else ()):
+                column = np.concatenate([x[:, j] for x in s])
+                rows += [(case, reg, units[u]["unit_pos"], units[u]["text"], float(column[u]), r) for r, u in enumerate(np.argsort(-column, kind="stable")[:k].tolist(), 1)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["case_id", "reg_id", "unit_pos", "text", "score", "rank"])
+
+
+def best_units(cases: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """For each case (case_id, text) and row of ``units`` (reg_id, units) its ``k`` units of the best score in six digits, the first of equal ones."""
+    ship(units.sparkSession)
+    schema = "case_id long, reg_id long, unit_pos long, text string, score double, rank long"
+    own = units.select(F.col("reg_id").cast("long").alias("reg_id"), "units")
+    found = [own.mapInArrow(functools.partial(_best, shared=x, k=k), schema) for x in blocks.query_blocks(cases.select(F.col("case_id").cast("long").alias("id"), F.col("text").alias("what")), True)]
+    return functools.reduce(DataFrame.unionByName, found) if found else units.sparkSession.createDataFrame([], schema)
 
 
 def features(pairs: DataFrame, fragments: DataFrame, profile: Profile) -> DataFrame:
-    """A row a (case, regulation) with the composite's parts. One window ranks the pairs, one aggregation makes the features."""
-    w = Window.partitionBy("case_id", "reg_id").orderBy(F.desc("score"), "frag_pos", "unit_pos")
-    ranked = pairs.withColumn("rn", F.row_number().over(w))
-    floor = max(0.0, profile.threshold)
+    """``pairs`` of ``compared`` with lexical_overlap and support_coverage."""
     real = F.col("source") != "hyde"
-    out = ranked.groupBy("case_id", "reg_id").agg(
-        F.max("score").alias("semantic_max"),
-        F.avg(F.when(F.col("rn") <= 3, F.col("score"))).alias("semantic_avg_top3"),
-        F.count_distinct(F.when((F.col("score") >= floor) & real, F.col("fragment_id"))).alias("supported"),
-        F.max(F.when(F.col("rn") <= 4, T.jaccard(T.token_set("frag_text"), T.token_set("unit_text")))).alias("lexical_overlap"),
-        F.bool_or((F.col("score") >= floor) & (F.col("source") == "case")).alias("has_case_support"),
-        F.count_if(F.col("score") >= profile.min_pair).alias("strong_support_count"),
-    )
     real_count = fragments.where(real).groupBy("case_id").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("auto"), F.lit(False))).alias("auto"))
     need = F.when(F.col("auto") & (F.col("n") > 3), 3).otherwise(F.greatest(F.lit(1), "n"))
-    return out.join(real_count, "case_id").withColumn("support_coverage", F.least(F.lit(1.0), F.col("supported") / need)).drop("n", "auto", "supported")
+    overlap = F.array_max(F.transform("texts", lambda x: T.jaccard(T.token_set(x["frag"]), T.token_set(x["unit"]))))
+    out = pairs.withColumn("lexical_overlap", overlap).join(real_count, "case_id", "left")
+    return out.withColumn("support_coverage", F.least(F.lit(1.0), F.col("supported") / F.coalesce(need, F.lit(1)))).drop("n", "auto", "supported", "texts")
 
 
 def composite(found: DataFrame, regulations: DataFrame, cases: DataFrame, profile: Profile) -> DataFrame:
@@ -92,10 +211,9 @@ def score_stats(rows: DataFrame, column: str = "final_score") -> DataFrame:
     return rows.agg(*[F.round(F.coalesce(f(column), F.lit(0.0)), 4).alias(n) for n, f in (("min_score", F.min), ("max_score", F.max), ("avg_score", F.avg), ("stddev_score", F.stddev_pop))])
 
 
-def evidence(pairs: DataFrame, n: int = 2) -> DataFrame:
-    """The first ``n`` distinct fragments of each (case, regulation) in score order."""
-    first = V.top_k(pairs, ["case_id", "reg_id", "fragment_id"], [F.desc("score"), F.col("frag_pos"), F.col("unit_pos")], 1, "_r").drop("_r")
-    return V.top_k(first, ["case_id", "reg_id"], [F.desc("score"), F.col("frag_pos"), F.col("unit_pos")], n)
+def evidence(pairs: DataFrame) -> DataFrame:
+    """The first EVIDENCE distinct fragments of each (case, regulation) in score order, with rank."""
+    return pairs.select("case_id", "reg_id", F.posexplode("evidence").alias("p", "e")).select("case_id", "reg_id", "e.fragment_id", "e.unit_pos", "e.score", (F.col("p") + 1).cast("long").alias("rank"))
 
 
 def diversified(rows: list[tuple], most: int = 3) -> list[int]:
@@ -113,34 +231,29 @@ def diversified(rows: list[tuple], most: int = 3) -> list[int]:
     return out
 
 
-def line_matches(pairs: DataFrame, most: int = 3) -> DataFrame:
-    """Lines that explain a match (line, fragment_id, unit_pos, pair_score, contribution).
+def line_matches(pairs: DataFrame) -> DataFrame:
+    """Lines that explain a match (line, fragment_id, unit_pos, score, contribution), of ``compared`` with lines.
 
-    Only pairs among the best three overall or of their fragment can be chosen, so only these reach Python.
+    Only pairs among the best three overall or of their fragment can be chosen. A contribution is the score over the best one's.
     """
-    by = Window.partitionBy("case_id", "reg_id")
-    order = [F.desc("score"), F.col("frag_pos"), F.col("unit_pos")]
-    few = pairs.withColumn("a", F.row_number().over(by.orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("case_id", "reg_id", "fragment_id").orderBy(*order))).withColumn("top", F.max("score").over(by)).where(f"a <= {most} or b <= {most}")
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("a")
-        chosen = p.iloc[diversified(list(zip(p["fragment_id"], p["unit_pos"], strict=True)), most)].copy()
-        chosen["line"] = range(1, len(chosen) + 1)
-        chosen["contribution"] = (chosen["score"] / chosen["top"]).clip(0, 1) if len(chosen) and chosen["top"].iloc[0] > 0 else 0.0
-        return chosen[["case_id", "reg_id", "line", "fragment_id", "unit_pos", "score", "contribution"]]
-
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    schema = f"case_id {types['case_id']}, reg_id {types['reg_id']}, line long, fragment_id {types['fragment_id']}, unit_pos {types['unit_pos']}, score double, contribution double"
-    return few.select("case_id", "reg_id", "fragment_id", "unit_pos", "score", "a", "top").groupBy("case_id", "reg_id").applyInPandas(pick, schema)
+    rows = pairs.select("case_id", "reg_id", "semantic_max", F.posexplode("lines").alias("p", "e"))
+    share = F.when(F.col("semantic_max") > 0, V.clamp(F.col("e.score") / F.col("semantic_max"))).otherwise(0.0)
+    return rows.select("case_id", "reg_id", (F.col("p") + 1).cast("long").alias("line"), "e.fragment_id", "e.unit_pos", "e.score", share.alias("contribution"))
 
 
 # ------------------------------------------------------------------ several sources
 
 
-def best_chunks(cases: DataFrame, chunks: DataFrame, score: Column) -> DataFrame:
-    """For each case and source the chunk with the best score, the first of equal ones. ``cases`` are few."""
-    rows = chunks.crossJoin(F.broadcast(cases)).withColumn("score", score)
-    return V.top_k(rows, ["case_id", "source_id"], [F.desc("score"), F.col("chunk_index")], 1, "_r").drop("_r")
+def best_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each case (case_id, text or vector as ``what``) and source the chunk with the best cosine, the first of equal ones.
+
+    ``chunks``: source_id, chunk_index, what; chunks without a vector are embedded first (``providers.missing_only``).
+    """
+    number = F.col("source_id") * 100_000 + F.col("chunk_index")
+    rows = chunks.select(number.alias("id"), "what", F.col("source_id").alias("grp"))
+    found = blocks.scored(cases.select(F.col("case_id").alias("id"), "what"), rows, 1)
+    best = V.top_k(found, ["query_id", "grp"], [F.desc("score"), F.col("id")], 1, "_r")
+    return best.select(F.col("query_id").alias("case_id"), F.col("grp").cast("long").alias("source_id"), (F.col("id") % 100_000).alias("chunk_index"), "score")
 
 
 def multi_source(best: DataFrame, sources: DataFrame, top_k: int = 5, least: float = 0.3) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sijill.functions import blocks
 from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
-from sijill.operators import chat, citations, insights, ranking, training
+from sijill.operators import chat, citations, fragments, insights, ranking, training
 from sijill.session import ship
 from sijill.sources import extract
 
@@ -35,6 +36,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """One file of one row group is one task; texts and vectors that are worked on go to all cores first."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # ------------------------------------------------------------------ SQL shared by the oracles
 
 _TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]{{2,}}')"
@@ -66,6 +73,31 @@ _OBL = r"(?i)(^|[^\p{L}\p{N}_])(must|shall|required|obligation|يلتزم|يجب
 _RISK = r"(?i)(^|[^\p{L}\p{N}_])(penalty|fine|imprison[\p{L}\p{N}_]*|sanction[\p{L}\p{N}_]*|prohibited|forbidden|يعاقب|غرامة|السجن|الحبس|يحظر|ممنوع)([^\p{L}\p{N}_]|$)"
 
 
+def _windows(name: str, source: str) -> str:
+    """CTEs up to ``name`` (id, pos, w): the windows of ``source`` (id, text), each rule a step of its own."""
+    n, flat = name, r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+    ends = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+{n}_p AS (SELECT id, CAST(generate_subscripts(l, 1) AS BIGINT) AS pi, trim(unnest(l), {ends}) AS p FROM (SELECT id, string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n+') AS l FROM {source})),
+{n}_s AS (SELECT id, pi, p, CASE WHEN length(p) <= 600 THEN [p] ELSE list_filter(list_transform(string_split(regexp_replace(regexp_replace(p, '([.!?؟؛])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, {ends})), lambda x: x <> '') END AS l FROM {n}_p WHERE p <> ''),
+{n}_i AS (SELECT id, pi, CAST(generate_subscripts(l, 1) AS BIGINT) AS si, unnest(l) AS s, len(l) AS n FROM (SELECT id, pi, CASE WHEN len(l) < 2 THEN [p] ELSE l END AS l FROM {n}_s)),
+{n}_h AS (SELECT id, pi, si, CAST(0 AS BIGINT) AS k, '' AS piece, s AS rest FROM {n}_i WHERE length(s) > 600
+  UNION ALL SELECT id, pi, si, k + 1, left(rest, c), CASE WHEN length(rest) > 600 THEN ltrim(substr(rest, c + 1)) ELSE '' END FROM (
+    SELECT *, CASE WHEN length(rest) <= 600 THEN length(rest) WHEN b = 0 THEN 600 ELSE 601 - b END AS c FROM (SELECT *, strpos(reverse(substr(rest, 281, 320)), ' ') AS b FROM {n}_h WHERE rest <> ''))),
+{n}_f AS (SELECT id, pi, si, CASE WHEN length(s) > 600 THEN '' ELSE s END AS held, CAST(NULL AS VARCHAR) AS out, n FROM {n}_i WHERE si = 1
+  UNION ALL SELECT f.id, f.pi, i.si, CASE WHEN length(i.s) > 600 THEN '' WHEN f.held = '' OR length(f.held) + 1 + length(i.s) > 600 OR length(f.held) >= 280 THEN i.s ELSE f.held || ' ' || i.s END,
+    CASE WHEN f.held <> '' AND (length(i.s) > 600 OR length(f.held) + 1 + length(i.s) > 600 OR length(f.held) >= 280) THEN f.held END, f.n
+  FROM {n}_f f JOIN {n}_i i ON i.id = f.id AND i.pi = f.pi AND i.si = f.si + 1),
+{n}_c AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pi, si, k) AS c, w FROM (SELECT id, pi, si, k, {flat.format('w')} AS w FROM (
+  SELECT id, pi, si, CAST(0 AS BIGINT) AS k, out AS w FROM {n}_f WHERE out IS NOT NULL UNION ALL SELECT id, pi, si, k, piece FROM {n}_h WHERE k > 0
+  UNION ALL SELECT id, pi, si + 1, 0, held FROM {n}_f WHERE si = n)) WHERE w <> ''),
+{n}_e AS (SELECT id, c, CAST(1 AS BIGINT) AS k, w FROM {n}_c WHERE c = 1
+  UNION ALL SELECT e.id, x.c, CASE WHEN e.k >= 40 OR (length(x.w) < 40 AND length(e.w) + 1 + length(x.w) <= 600) THEN e.k ELSE e.k + 1 END,
+    CASE WHEN e.k >= 40 THEN e.w WHEN length(x.w) < 40 AND length(e.w) + 1 + length(x.w) <= 600 THEN e.w || ' ' || x.w ELSE x.w END
+  FROM {n}_e e JOIN {n}_c x ON x.id = e.id AND x.c = e.c + 1),
+{n} AS (SELECT id, k - 1 AS pos, arg_max(w, c) AS w FROM {n}_e GROUP BY id, k)"""
+
+
 def _r6(c):
     return F.round(c, 6)
 
@@ -79,39 +111,39 @@ k AS (SELECT l AS item_id, r AS doc_id, round(score, 6) AS score, row_number() O
 SELECT * FROM k WHERE rank <= 5""")
 def sim_rank(spark, d):
     """The documents most like each benchmark item, by hash embeddings."""
-    q, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
-    s = V.sparse_cosine(V.hash_embed(q, "item_id", "text"), V.hash_embed(docs, "doc_id", "text"))
-    s = s.select(F.col("l").alias("item_id"), F.col("r").alias("doc_id"), _r6("score").alias("score"))
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("what"))
+    docs = _spread(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("what")))
+    s = blocks.scored(q, docs, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), _r6("score").alias("score"))
     return V.top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 5)
 
 
 @query(f"""WITH {_embed('d', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, dim, v FROM d WHERE v > 0""")
 def hash_embedding(spark, d):
-    return V.hash_embed(_t(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("dim").cast("long").alias("dim"), "v").where("v > 0")
+    docs = _spread(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("what")))
+    return blocks.sparse(docs).select(F.col("id").alias("doc_id"), F.col("dim").cast("long").alias("dim"), "v")
 
 
 _COS = "(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))"
 _VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
-def _dense(spark, d, most: int = 50, rounded: bool = True):
-    """Query vectors (ids divisible by 50) against all, on the JVM; the query side is a stated, small set."""
-    v = _t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    v = v.withColumn("n", V.norm("e"))
-    q = v.where(F.col("vec_id") % most == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    return v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", "label", (_r6 if rounded else F.lit)(V.dot("qe", "e") / (F.col("qn") * F.col("n"))).alias("score"))
+def _dense(spark, d, k: int | None = None, group: bool = False, rounded: bool = True):
+    """Query vectors (ids divisible by 50) against all, or each one's best ``k``, of each label if ``group``."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("what"), F.col("label").alias("grp"))
+    s = blocks.scored(v.where(F.col("id") % 50 == 0), _spread(v if group else v.drop("grp")), k)
+    return s.select("query_id", F.col("id").alias("vec_id"), F.col("grp").cast("int").alias("label"), (_r6("score") if rounded else F.col("score")).alias("score"))
 
 
 @query(f"""WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10""")
 def vector_top_k(spark, d):
-    return V.top_k(_dense(spark, d).drop("label"), ["query_id"], [F.desc("score"), F.col("vec_id")], 10)
+    return V.top_k(_dense(spark, d, 10).drop("label"), ["query_id"], [F.desc("score"), F.col("vec_id")], 10)
 
 
 @query(f"""WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.label, b.vec_id, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM s) SELECT query_id, label, vec_id, score FROM k WHERE r = 1""")
 def vector_best_of_label(spark, d):
-    return V.top_k(_dense(spark, d), ["query_id", "label"], [F.desc("score"), F.col("vec_id")], 1, "r").drop("r")
+    return V.top_k(_dense(spark, d, 1, True), ["query_id", "label"], [F.desc("score"), F.col("vec_id")], 1, "r").drop("r")
 
 
 @query(f"""WITH {_VEC} SELECT a.vec_id AS query_id, count(*) AS n, round(min(round({_COS}, 6)), 6) AS least, round(max(round({_COS}, 6)), 6) AS most, CAST(count(*) FILTER (round({_COS}, 6) >= 0.3) AS BIGINT) AS near
@@ -153,9 +185,10 @@ def sentence_chunks(spark, d):
     return insights.sentence_chunks(_t(spark, d, "documents")).select("doc_id", F.col("index").cast("long").alias("index"), "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query()
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {_windows('w', 'src')}
+SELECT id AS doc_id, 'case_seg_' || lpad(pos::VARCHAR, 2, '0') AS fragment_id, w AS "window" FROM w""")
 def segment_windows(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(segment(F.col("text"))).alias("pos", "window"))
+    rows = _spread(_t(spark, d, "documents")).select("doc_id", F.posexplode(segment(F.col("text"))).alias("pos", "window"))
     return rows.select("doc_id", F.format_string("case_seg_%02d", F.col("pos")).alias("fragment_id"), "window")
 
 
@@ -176,23 +209,45 @@ def hash_split(spark, d):
 # ------------------------------------------------------------------ composite ranking
 
 
+_CASE_TYPES = ("labor", "commercial", "civil", "family")
+_CATEGORIES = ("labor_law", "commercial_law", "civil_law")
+
+
+def _cases(spark, d):
+    """The query set's benchmark items, each with the seven behind it: blank lines before even ones make paragraphs."""
+    b = _t(spark, d, "benchmark")
+    q = b.where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"))
+    parts = q.join(b, F.col("item_id").between(F.col("case_id"), F.col("case_id") + 7)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: F.concat(F.when(x["item_id"] % 2 == 0, "\n\n").otherwise(" "), x["text"])), "")
+    return parts.select("case_id", text.alias("text"), F.element_at(F.array(*[F.lit(x) for x in _CASE_TYPES]), (F.col("case_id") % 4 + 1).cast("int")).alias("case_type"))
+
+
 def _case_tables(spark, d):
-    """Sentences of the query set's benchmark items as fragments, those of all documents as units; regulations of three categories."""
-    cases = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), "text", F.element_at(F.array(*[F.lit(x) for x in ("labor", "commercial", "civil", "family")]), (F.col("item_id") % 4 + 1).cast("int")).alias("case_type"))
-    frags = cases.select("case_id", F.posexplode(T.sentences(T.normalize_space("text"))).alias("frag_pos", "text"))
-    frags = frags.select("case_id", F.concat(F.lit("f"), F.col("frag_pos")).alias("fragment_id"), F.col("frag_pos").cast("long").alias("frag_pos"), F.when((F.col("frag_pos") == 1) & (F.col("case_id") % 3 == 0), "hyde").otherwise("case").alias("source"), "text", F.lit(True).alias("auto"))
-    docs = _t(spark, d, "documents")
-    units = docs.select(F.col("doc_id").alias("reg_id"), F.posexplode(T.sentences(T.normalize_space("text"))).alias("unit_pos", "text")).select("reg_id", F.col("unit_pos").cast("long").alias("unit_pos"), "text")
-    regs = docs.select(F.col("doc_id").alias("reg_id"), F.element_at(F.array(*[F.lit(x) for x in ("labor_law", "commercial_law", "civil_law")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("category"), (F.col("doc_id") % 5 == 0).alias("fallback"))
-    return cases, frags, units, regs
+    """Cases in windows and with a hypothesis (the ninth item), and documents as regulations: their sentences are the chunks, each
+    fifth has none and so one unit of title, category and content."""
+    cases = _cases(spark, d)
+    frags = fragments.case_fragments(cases)
+    said = _t(spark, d, "benchmark").select((F.col("item_id") - 8).alias("case_id"), "text").where("case_id % 50 = 0")
+    frags = fragments.with_hypotheses(frags, said)
+    docs = _spread(_t(spark, d, "documents"))
+    category = F.element_at(F.array(*[F.lit(x) for x in _CATEGORIES]), (F.col("doc_id") % 3 + 1).cast("int"))
+    regs = docs.select(F.col("doc_id").alias("reg_id"), F.concat(F.lit("Regulation "), F.col("doc_id")).alias("title"), category.alias("category"), F.col("text").alias("content_text"), (F.col("doc_id") % 5 == 0).alias("fallback"))
+    return cases, frags, regs
+
+
+def _units(spark, d, regs):
+    docs = _spread(_t(spark, d, "documents")).where("doc_id % 5 <> 0")
+    chunks = docs.select(F.col("doc_id").alias("reg_id"), F.posexplode(T.sentences(T.normalize_space("text"))).alias("chunk_index", "text")).withColumn("chunk_id", F.col("reg_id") * 100000 + F.col("chunk_index"))
+    return ranking.grouped_units(fragments.regulation_units(regs, chunks))
 
 
 _COMPOSITE = rf"""
-c AS (SELECT item_id AS case_id, text, (['labor', 'commercial', 'civil', 'family'])[item_id % 4 + 1] AS case_type FROM benchmark WHERE item_id % 50 = 0),
-fs AS (SELECT case_id, {_SENT.format(_NORM.format('text'))} AS l FROM c),
-fr AS (SELECT case_id, frag_pos, text, case_id * 100000 + frag_pos AS id, 'f' || frag_pos AS fragment_id, CASE WHEN frag_pos = 1 AND case_id % 3 = 0 THEN 'hyde' ELSE 'case' END AS source
-  FROM (SELECT case_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS frag_pos, unnest(l) AS text FROM fs)),
-us AS (SELECT doc_id, {_SENT.format(_NORM.format('text'))} AS l FROM documents),
+c AS (SELECT item_id AS case_id, (['labor', 'commercial', 'civil', 'family'])[item_id % 4 + 1] AS case_type FROM benchmark WHERE item_id % 50 = 0),
+src AS (SELECT case_id AS id, string_agg(CASE WHEN item_id % 2 = 0 THEN chr(10) || chr(10) ELSE ' ' END || text, '' ORDER BY item_id) AS text FROM c JOIN benchmark ON item_id BETWEEN case_id AND case_id + 7 GROUP BY case_id),
+{_windows('w', 'src')},
+fr AS (SELECT id AS case_id, pos AS frag_pos, w AS text, id * 100000 + pos AS id, 'case_seg_' || lpad(pos::VARCHAR, 2, '0') AS fragment_id, 'case' AS source FROM w
+  UNION ALL SELECT c.case_id, n.n, trim(left(b.text, 4000)), c.case_id * 100000 + n.n, 'hyde_hypothetical', 'hyde' FROM c JOIN benchmark b ON b.item_id = c.case_id + 8 JOIN (SELECT id, max(pos) + 1 AS n FROM w GROUP BY id) n ON n.id = c.case_id WHERE length(trim(b.text)) >= 20),
+us AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ['Regulation ' || doc_id || ' (' || (['labor_law', 'commercial_law', 'civil_law'])[doc_id % 3 + 1] || ')' || CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN ' ' || trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE '' END] ELSE {_SENT.format(_NORM.format('text'))} END AS l FROM documents),
 un AS (SELECT reg_id, unit_pos, text, reg_id * 100000 + unit_pos AS id FROM (SELECT doc_id AS reg_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS unit_pos, unnest(l) AS text FROM us)),
 {_embed('q', 'fr', 'id', 'text')}, {_embed('u', 'un', 'id', 'text')},
 sc AS ({_pairs('q', 'u')}),
@@ -211,13 +266,13 @@ fi AS (SELECT *, CASE WHEN fallback THEN greatest(0::DOUBLE, raw - 0.18::DOUBLE)
   SELECT *, 0.55::DOUBLE * semantic_avg_top3 + 0.2::DOUBLE * support_coverage + 0.15::DOUBLE * lexical_overlap + 0.1::DOUBLE * category_prior AS raw FROM cs))"""
 
 
-def _scored(spark, d, profile):
-    cases, frags, units, regs = _case_tables(spark, d)
-    pairs = ranking.pair_scores(frags, units).withColumn("score", _r6("score"))
-    return pairs, ranking.composite(ranking.features(pairs, frags, profile), regs, cases, profile)
+def _scored(spark, d, profile, lines=False):
+    cases, frags, regs = _case_tables(spark, d)
+    pairs = ranking.compared(frags, _units(spark, d, regs), profile, lines)
+    return pairs, ranking.composite(ranking.features(pairs, frags, profile), regs.select("reg_id", "category", "fallback"), cases, profile)
 
 
-@query(f"""WITH {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY case_id ORDER BY round(final_score, 6) DESC, reg_id) AS rank FROM fi
+@query(f"""WITH RECURSIVE {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY case_id ORDER BY round(final_score, 6) DESC, reg_id) AS rank FROM fi
   WHERE round(final_score, 6) >= 0.45::DOUBLE AND strong_support_count >= 1 AND has_case_support) SELECT * FROM k WHERE rank <= 10""")
 def composite_strict(spark, d):
     p = ranking.Profile()
@@ -225,7 +280,7 @@ def composite_strict(spark, d):
     return ranking.ranked(ranking.gate(rows, p), p).select("case_id", "reg_id", "final_score", "rank")
 
 
-@query(f"""WITH {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY case_id ORDER BY round(final_score, 6) DESC, reg_id) AS rank FROM fi
+@query(f"""WITH RECURSIVE {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY case_id ORDER BY round(final_score, 6) DESC, reg_id) AS rank FROM fi
   WHERE round(final_score, 6) >= 0.3::DOUBLE) SELECT * FROM k WHERE rank <= 10""")
 def composite_lenient(spark, d):
     p = ranking.Profile(strict=False)
@@ -233,26 +288,33 @@ def composite_lenient(spark, d):
     return ranking.ranked(ranking.gate(rows, p), p).select("case_id", "reg_id", "final_score", "rank")
 
 
-@query(f"""WITH {_COMPOSITE} SELECT case_id, reg_id, semantic_max, round(semantic_avg_top3, 6) AS semantic_avg_top3, round(support_coverage, 6) AS support_coverage, round(lexical_overlap, 6) AS lexical_overlap,
+@query(f"""WITH RECURSIVE {_COMPOSITE} SELECT case_id, reg_id, semantic_max, round(semantic_avg_top3, 6) AS semantic_avg_top3, round(support_coverage, 6) AS support_coverage, round(lexical_overlap, 6) AS lexical_overlap,
 category_prior, has_case_support, CAST(strong_support_count AS BIGINT) AS strong_support_count FROM fi""")
 def score_breakdown(spark, d):
     return _scored(spark, d, ranking.Profile())[1].select("case_id", "reg_id", "semantic_max", *[_r6(c).alias(c) for c in ("semantic_avg_top3", "support_coverage", "lexical_overlap")], "category_prior", "has_case_support", F.col("strong_support_count").cast("long").alias("strong_support_count"))
 
 
-@query(f"""WITH {_COMPOSITE}, k AS (SELECT round(final_score, 6) AS s FROM fi) SELECT round(min(s), 4) AS min_score, round(max(s), 4) AS max_score, round(avg(s), 4) AS avg_score, round(stddev_pop(s), 4) AS stddev_score FROM k""")
+@query(f"""WITH RECURSIVE {_COMPOSITE}, k AS (SELECT round(final_score, 6) AS s FROM fi) SELECT round(min(s), 4) AS min_score, round(max(s), 4) AS max_score, round(avg(s), 4) AS avg_score, round(stddev_pop(s), 4) AS stddev_score FROM k""")
 def score_stats(spark, d):
     return ranking.score_stats(_scored(spark, d, ranking.Profile())[1].withColumn("final_score", _r6("final_score")))
 
 
-@query(f"""WITH {_COMPOSITE}, o AS (SELECT *, row_number() OVER (PARTITION BY case_id, reg_id, fragment_id ORDER BY score DESC, frag_pos, unit_pos) AS r1 FROM p),
+@query(f"""WITH RECURSIVE {_COMPOSITE}, o AS (SELECT *, row_number() OVER (PARTITION BY case_id, reg_id, fragment_id ORDER BY score DESC, frag_pos, unit_pos) AS r1 FROM p),
 k AS (SELECT case_id, reg_id, fragment_id, unit_pos, score, row_number() OVER (PARTITION BY case_id, reg_id ORDER BY score DESC, frag_pos, unit_pos) AS rank FROM o WHERE r1 = 1) SELECT * FROM k WHERE rank <= 2""")
 def evidence_top2(spark, d):
     return ranking.evidence(_scored(spark, d, ranking.Profile())[0]).select("case_id", "reg_id", "fragment_id", "unit_pos", "score", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COMPOSITE},
+a AS (SELECT case_id, reg_id, fragment_id, frag_pos, unit_pos, score, max(score) OVER (PARTITION BY case_id, reg_id) AS top FROM p),
+p0 AS (SELECT case_id, reg_id, 0 AS line, CAST([] AS VARCHAR[]) AS fs, CAST([] AS BIGINT[]) AS us, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS BIGINT) AS unit_pos, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS contribution FROM (SELECT DISTINCT case_id, reg_id FROM a)
+  UNION ALL SELECT q.case_id, q.reg_id, q.line + 1, list_append(q.fs, n.fragment_id), list_append(q.us, n.unit_pos), list_append(q.taken, n.fragment_id || '/' || n.unit_pos), n.fragment_id, n.unit_pos, n.score, n.contribution
+  FROM p0 q JOIN LATERAL (SELECT a.fragment_id, a.unit_pos, a.score, CASE WHEN a.top > 0 THEN greatest(0, least(1, a.score / a.top)) ELSE 0 END AS contribution FROM a
+    WHERE a.case_id = q.case_id AND a.reg_id = q.reg_id AND NOT list_contains(q.taken, a.fragment_id || '/' || a.unit_pos)
+    ORDER BY CASE WHEN NOT list_contains(q.fs, a.fragment_id) AND NOT list_contains(q.us, a.unit_pos) THEN 0 WHEN NOT list_contains(q.fs, a.fragment_id) THEN 1 ELSE 2 END, a.score DESC, a.frag_pos, a.unit_pos LIMIT 1) n ON true WHERE q.line < 3)
+SELECT case_id, reg_id, CAST(line AS BIGINT) AS line, fragment_id, unit_pos, score, round(contribution, 6) AS contribution FROM p0 WHERE line > 0""")
 def line_matches(spark, d):
-    return ranking.line_matches(_scored(spark, d, ranking.Profile())[0])
+    return ranking.line_matches(_scored(spark, d, ranking.Profile(), True)[0]).withColumn("contribution", _r6("contribution"))
 
 
 # ------------------------------------------------------------------ several sources
@@ -272,7 +334,7 @@ def _multi(spark, d):
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % 4 + 1).cast("int"))
     v = _t(spark, d, "embeddings")
     sources = v.select(F.col("vec_id").alias("source_id"), pick(_TYPES, F.col("vec_id")).alias("source_type"), pick(V.TRUST, F.floor(F.col("vec_id") / 4)).alias("trust_tier"), (F.col("vec_id") % 3 == 0).alias("citable"), F.col("vec_id").alias("pos"))
-    best = _dense(spark, d, 50, False).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("source_id"), "score")
+    best = _dense(spark, d, rounded=False).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("source_id"), "score")
     return best, ranking.multi_source(best, sources, 5, 0.1)
 
 
@@ -292,7 +354,7 @@ def multi_source_groups(spark, d):
 # ------------------------------------------------------------------ reranking, blending, expansion
 
 
-_RANKED = f"WITH {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score FROM fi WHERE round(final_score, 6) >= 0.3::DOUBLE)"
+_RANKED = f"WITH RECURSIVE {_COMPOSITE}, k AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score FROM fi WHERE round(final_score, 6) >= 0.3::DOUBLE)"
 
 
 def _lenient(spark, d):
@@ -351,8 +413,7 @@ r AS (SELECT sc.l AS case_id, kk.doc_id, kk.index, kk.text, round(score, 6) AS s
 w AS (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY score DESC, index) AS rank FROM r) SELECT * FROM w WHERE rank <= 5""")
 def case_insights(spark, d):
     cases = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), "text")
-    rows = insights.sentence_scores(cases, _t(spark, d, "documents")).withColumn("score", _r6("score"))
-    return V.top_k(rows, ["case_id", "doc_id"], [F.desc("score"), F.col("index")], 5).withColumn("index", F.col("index").cast("long"))
+    return insights.case_insights(cases, _spread(_t(spark, d, "documents")))
 
 
 _SPOKEN = "SELECT o_orderkey AS doc_id, 'The supplier ' || CASE o_orderkey % 3 WHEN 0 THEN 'must deliver' WHEN 1 THEN 'may deliver' ELSE 'shall pay a penalty' END || ' by ' || strftime(o_orderdate, '%Y-%m-%d') || '. ' || CASE o_orderkey % 2 WHEN 0 THEN 'يجب على صاحب العمل الدفع.' ELSE 'Clerk ' || o_orderpriority || ' on ' || strftime(o_orderdate, '%d/%m/%Y') || '.' END || ' Status ' || o_orderstatus || '.' AS text FROM orders"
@@ -534,7 +595,7 @@ q AS (SELECT n.query_id, n.n, count(h.rank) FILTER (h.rank <= 1) AS h1, count(h.
 
 def _retrieved(spark, d):
     v = _t(spark, d, "embeddings")
-    rows = _dense(spark, d).where("query_id <> vec_id").withColumnRenamed("vec_id", "item_id")
+    rows = _dense(spark, d, 101).where("query_id <> vec_id").withColumnRenamed("vec_id", "item_id")
     ranked = V.top_k(rows, ["query_id"], [F.desc("score"), F.col("item_id")], 100)
     queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
     relevant = queries.join(v.select(F.col("vec_id").alias("item_id"), F.col("label").alias("l")), "l").where("query_id <> item_id").select("query_id", "item_id")
