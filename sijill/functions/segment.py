@@ -75,12 +75,19 @@ def segment(c, most: int = 40) -> Column:
     return run(c)
 
 
-def ratio(a, b, size: int | None = None) -> Column:
-    """Of matching blocks, as difflib has it; of the first ``size`` characters."""
+def ratio(a, b, size: int | None = None, least: float = 0.0) -> Column:
+    """Of matching blocks, as difflib has it; of the first ``size`` characters. Where a cheaper bound is under ``least``, that bound."""
+
+    def one(p: str | None, q: str | None) -> float:
+        m = difflib.SequenceMatcher(None, (p or "")[:size], (q or "")[:size])
+        for bound in (m.real_quick_ratio, m.quick_ratio) if least else ():
+            if (x := bound()) < least:
+                return x
+        return m.ratio()
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, (p or "")[:size], (q or "")[:size]).ratio() for p, q in zip(x, y, strict=True)])
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
 
@@ -109,7 +116,7 @@ def ngrams(text: str, n: int = 4) -> list[str]:
 @functools.lru_cache(4096)
 def token_matrix(text: str) -> np.ndarray:
     """A unit vector of the MD5 bytes of each n-gram."""
-    m = np.array([list(hashlib.md5(g.encode()).digest()) for g in ngrams(text)], np.float32).reshape(-1, 16) / 255
+    m = np.array([list(hashlib.md5(g.encode()).digest()) for g in ngrams(text)], float).reshape(-1, 16) / 255
     size = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(size == 0, 1, size)
 

@@ -200,11 +200,12 @@ def entity_tokens(c, n: int = 8) -> Column:
 
 
 def bullet_title(c, fallback: str = "") -> Column:
-    """A short heading of a bullet: its numbered prefix, or what stands before a colon or comma, or its first words."""
-    x = col(c)
+    """A short heading of a sentence: its numbered prefix of 2 to 30 characters, or what stands before a colon, a wide colon or an
+    Arabic comma in its first 46, or its first five Arabic words, or ``fallback``."""
+    x = strip(c)
     prefix = F.regexp_extract(x, rf"^([٠-٩0-9]+\s*[-:–—]|[{ARABIC}]{{2,10}}\s*[:-])\s*", 1)
-    named = F.trim(F.regexp_replace(prefix, r"[-:–—\s]+$", ""))
-    heads = [F.when(F.instr(x, s).between(2, 46), F.trim(F.substring(x, F.lit(1), F.instr(x, s) - 1))) for s in (":", "：", "،")]
+    named = F.trim(F.regexp_replace(prefix, r"[-:–— ]+$", ""))
+    heads = [F.when(F.instr(x, s).between(2, 46), F.nullif(strip(F.left(x, F.instr(x, s) - 1)), F.lit(""))) for s in (":", "：", "،")]
     words = F.slice(F.regexp_extract_all(x, F.lit(rf"[{ARABIC}]+"), F.lit(0)), 1, 5)
     return F.coalesce(F.when(F.length(named).between(2, 30), named), *heads, F.when(F.size(words) > 0, F.array_join(words, " ")), F.lit(fallback))
 
@@ -243,7 +244,11 @@ def key_dates(c, n: int = 8) -> Column:
     return F.slice(F.array_distinct(F.concat(*found)), 1, n)
 
 
-def citation_relevance(c) -> Column:
+def citation_weight(c) -> Column:
     """A sentence's weight as a citation: obligations, penalties and length add; below 1."""
     x = F.when(family(c, OBLIGATION), 0.35).otherwise(0.0) + F.when(family(c, RISK), 0.35).otherwise(0.0)
-    return F.round(F.least(F.lit(0.99), F.lit(0.25) + x + F.least(F.lit(0.05), F.length(col(c)) / 20000.0)), 3)
+    return F.least(F.lit(0.99), F.lit(0.25) + x + F.least(F.lit(0.05), F.length(col(c)) / 20000.0))
+
+
+def citation_relevance(c) -> Column:
+    return F.round(citation_weight(c), 3)

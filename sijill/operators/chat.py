@@ -11,7 +11,7 @@ MOST_MESSAGE, MOST_CONTEXT = 5000, 12000
 def history(messages: DataFrame, max_turns: int = 10) -> DataFrame:
     """The last two messages a turn of each conversation, long ones cut; roles of others than user and model drop out."""
     role = F.when(F.col("role") == "user", "user").when(F.col("role").isin("assistant", "model"), "model")
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
     rows = messages.withColumn("r", F.row_number().over(last)).where(F.col("r") <= 2 * max_turns)
     cut = F.when(F.length("text") > MOST_MESSAGE, F.concat(F.left("text", F.lit(MOST_MESSAGE)), F.lit("…(truncated)"))).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", role.alias("role"), cut.alias("text")).where("role is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import text as T
 from sijill.functions import vectors as V
+from sijill.functions.folds import let
 from sijill.functions.segment import ratio
 from sijill.operators import ranking
 
@@ -62,7 +63,83 @@ def amendment(pairs: DataFrame) -> DataFrame:
 
 
 def minor_change(old, new) -> Column:
-    return ratio(old, new, 8000) > 0.985
+    """Whether two texts, of which the first 8000 characters count, differ little."""
+    return ratio(old, new, 8000, 0.985) > 0.985
+
+
+# ------------------------------------------------------------------ analyses
+
+#: Characters of a text that an analysis takes, and the greatest lengths of what it shows.
+MOST_CHARS, MOST_SUMMARY, MOST_DESCRIPTION, MOST_SNIPPET = 40000, 900, 450, 400
+
+
+def distinct_items(x: Column, n: int) -> Column:
+    """The first ``n`` that differ in lower case, normalized. The array comes from a text of MOST_CHARS at most."""
+    clean = F.filter(F.transform(x, lambda v: T.normalize_space(v)), lambda v: v != "")
+    return let(clean, lambda c: let(F.transform(c, F.lower), lambda low: F.slice(F.filter(c, lambda v, i: F.array_position(low, F.lower(v)) == i + 1), 1, n)))
+
+
+def bullets(x: Column, fallback: str, n: int, most: int = MOST_DESCRIPTION, title: str = "", said: str = "") -> Column:
+    """(title, description, severity) of the first ``n`` distinct sentences, with words before titles and descriptions."""
+    made = F.transform(x, lambda v: F.struct(F.concat(F.lit(title), T.bullet_title(v, fallback)).alias("title"), F.left(F.concat(F.lit(said), F.left(v, F.lit(most))), F.lit(MOST_DESCRIPTION)).alias("description"), T.severity(F.left(v, F.lit(most))).alias("severity")))
+    return F.slice(made, 1, n)
+
+
+def cited(x: Column, n: int) -> Column:
+    """(snippet, relevance) of the ``n`` most relevant distinct sentences, of equal ones the first."""
+    scored = F.transform(F.filter(F.transform(x, lambda v: T.normalize_space(v)), lambda v: v != ""), lambda v, i: F.struct((-T.citation_weight(v)).alias("w"), i.alias("i"), F.left(v, F.lit(MOST_SNIPPET)).alias("snippet")))
+    first = let(F.array_sort(scored), lambda a: let(F.transform(a, lambda e: e["snippet"]), lambda names: F.filter(a, lambda e, i: F.array_position(names, e["snippet"]) == i + 1)))
+    return F.transform(F.slice(first, 1, n), lambda e: F.struct(e["snippet"].alias("snippet"), F.round(-e["w"], 3).alias("relevance")))
+
+
+def analysis(docs: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """(doc_id, status, summary, obligations, risk_flags, dates, citations): the rule-based summary of each text (doc_id, text).
+
+    Without an obligation or a risk the first sentences take their place. A null or blank text has the status ``error`` and empty lists.
+    """
+    working = T.truncate(T.normalize_space(F.coalesce("text", F.lit(""))), max(500, min(most, MOST_CHARS)))
+    rows = docs.select("doc_id", working.alias("t")).withColumn("s", T.sentences("t"))
+    rows = rows.withColumns({"must": F.filter("s", lambda x: T.family(x, T.OBLIGATION)), "risk": F.filter("s", lambda x: T.family(x, T.RISK))})
+    instead = F.when(F.size("risk") > 0, F.slice("risk", 1, 4)).otherwise(F.slice("s", 1, 2))
+    own = lambda c, rest, k, name: F.when(F.size(c) > 0, bullets(distinct_items(F.slice(c, 1, 8), 8), name, 8)).otherwise(bullets(distinct_items(rest, k), name, k))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("t") == "", "error").otherwise("ok").alias("status"),
+        F.when(F.col("t") == "", "").otherwise(F.concat(F.lit("ملخص تنظيمي: "), F.left(F.array_join(F.slice("s", 1, 4), " "), F.lit(MOST_SUMMARY)))).alias("summary"),
+        own("must", F.slice("s", 1, 4), 4, "التزام تنظيمي").alias("obligations"),
+        own("risk", instead, 4, "مؤشر مخاطر").alias("risk_flags"),
+        T.key_dates("t").alias("dates"),
+        cited(F.col("s"), 8).alias("citations"),
+    )
+
+
+def impact(pairs: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """(doc_id, status, what_changed, legal_impact, affected_parties, citations, minor) of pairs (doc_id, old_text, new_text).
+
+    Added sentences come before removed ones; without either the new text's first sentences are the impact. A blank side has the
+    status ``error``.
+    """
+    size = max(500, min(most, MOST_CHARS))
+    rows = pairs.select("doc_id", *[T.truncate(T.normalize_space(F.coalesce(c, F.lit(""))), size).alias(n) for c, n in (("old_text", "o"), ("new_text", "n"))])
+    rows = rows.withColumns({"os": T.sentences("o"), "ns": T.sentences("n")})
+    rows = rows.withColumns({"added": distinct_items(F.array_except("ns", "os"), 10), "removed": distinct_items(F.array_except("os", "ns"), 10)})
+    pool = F.concat(F.slice("added", 1, 5), F.slice("removed", 1, 3))
+    pool = F.when(F.size(pool) > 0, pool).otherwise(F.slice("ns", 1, 3))
+    changed = F.concat(
+        bullets(F.slice("added", 1, 6), "نص مضاف", 6, 380, "إضافة: ", "تمت إضافة نص: "),
+        bullets(F.slice("removed", 1, 4), "نص محذوف أو معدل", 4, 380, "حذف: ", "تم حذف/تعديل نص: "),
+    )
+    both = F.concat("o", F.lit("\n"), "n")
+    parties = F.filter(F.array(*[F.when(T.family(both, w), F.lit(k)) for k, w in T.PARTIES.items()]), lambda x: x.isNotNull())
+    return rows.select(
+        "doc_id",
+        F.when((F.col("o") == "") | (F.col("n") == ""), "error").otherwise("ok").alias("status"),
+        changed.alias("what_changed"),
+        bullets(pool, "التطبيق النظامي", 6, 360, "أثر على: ", "قد يؤثر هذا التغيير على التطبيق النظامي: ").alias("legal_impact"),
+        F.when(F.size(parties) > 0, parties).otherwise(F.array(F.lit("الأطراف الخاضعة للنظام"))).alias("affected_parties"),
+        cited(F.concat("added", "removed", "ns"), 12).alias("citations"),
+        minor_change("o", "n").alias("minor"),
+    )
 
 
 def brief(docs: DataFrame, n: int = 400) -> DataFrame:

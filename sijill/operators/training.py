@@ -36,9 +36,10 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def chunk_by_article(citations: DataFrame, chunks: DataFrame, first: DataFrame) -> DataFrame:
     """The chunk of a citation: the first whose reference contains the article's number, else the regulation's first chunk.
 
-    ``citations``: id, reg_id, article_number; ``chunks``: reg_id, chunk_index, article_ref, content; ``first``: reg_id, content.
+    ``citations``: id, reg_id, article_number; ``chunks``: reg_id, chunk_id, chunk_index, article_ref, content; ``first``: reg_id, content. The first is that of the least index, of
+    equal ones that of the least chunk_id; a null or zero number and a null reference match nothing.
     """
-    w = Window.partitionBy("id", "reg_id", "article_number").orderBy("chunk_index")
+    w = Window.partitionBy("id", "reg_id", "article_number").orderBy("chunk_index", "chunk_id")
     number = F.col("article_number")
     hit = citations.where(number.isNotNull() & (number != 0)).join(chunks.where("article_ref is not null"), "reg_id").where(F.contains(F.lower("article_ref"), F.lower(number.cast("string"))))
     hit = hit.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "reg_id", "article_number", F.col("content").alias("by_article"))
@@ -46,7 +47,7 @@ def chunk_by_article(citations: DataFrame, chunks: DataFrame, first: DataFrame)
 
 
 def latest_first_chunk(chunks: DataFrame, versions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("reg_id").orderBy(F.desc("version_number"), "chunk_index")
+    w = Window.partitionBy("reg_id").orderBy(F.desc("version_number"), "chunk_index", "chunk_id")
     return chunks.join(versions, "version_id").withColumn("r", F.row_number().over(w)).where("r = 1").select("reg_id", "content")
 
 
@@ -57,21 +58,100 @@ def hard_negatives(scores: DataFrame, positives: DataFrame, chunks: DataFrame, k
     return V.top_k(top, ["id"], [F.col("_k")], keep).drop("_k")
 
 
-def random_negatives(cases: DataFrame, positives: DataFrame, chunks: DataFrame, n: int = 2, least: int = 20, seed: int = 42) -> DataFrame:
-    """Chunks of the case's category outside its regulations, ``n`` by a seeded hash, then those long enough.
+#: Chunks that a case draws its random negatives from, on average.
+DRAWN = 64
+
+
+def hash_number(*parts) -> Column:
+    """A number from a seeded hash of the parts, the same on every partitioning: the first eight digits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[x if isinstance(x, Column) else F.lit(x) for x in parts])), 1, 8), 16, 10).cast("long")
 
-    Each case draws from its category by an equi-join, so no case meets all chunks.
+
+def drawn(cases: DataFrame, positives: DataFrame, chunks: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:
+    """(id, chunk_id, reg_id, content, rank): ``n`` chunks by a seeded hash for each case (id, category), outside its regulations.
+
+    They are of the case's category if that has any such, else of any category. Each category (and all together) is cut into shares
+    of about DRAWN chunks by a hash. A case meets one share only; where that has fewer than ``n`` left for it, it meets all.
+    A null category draws from all, chunks without a category are never drawn; ties go by chunk_id.
     """
-    rows = cases.join(chunks, "category").join(positives.select("id", "reg_id").distinct(), ["id", "reg_id"], "left_anti")
+    own = positives.select("id", "reg_id").distinct()
+    every = chunks.withColumn("pool", F.col("category").cast("string")).where("pool is not null and pool <> ''").select("chunk_id", "reg_id", "content", "pool")
+    size = every.groupBy("pool", "reg_id").agg(F.count("*").alias("n"))
+    total = size.groupBy("pool").agg(F.sum("n").alias("n"))
+    who = cases.select("id", F.col("category").cast("string").alias("pool"))
+    taken = who.join(own, "id").join(size, ["pool", "reg_id"]).groupBy("id").agg(F.sum("n").alias("taken"))
+    left = F.coalesce("n", F.lit(0)) - F.coalesce("taken", F.lit(0))
+    who = who.join(total, "pool", "left").join(taken, "id", "left").select("id", F.when(left > 0, F.col("pool")).otherwise("*").alias("pool"))
+    shares = total.unionByName(total.agg(F.sum("n").alias("n")).select(F.lit("*").alias("pool"), "n")).select("pool", F.ceil(F.col("n") / DRAWN).alias("shares"))
+    who = who.join(F.broadcast(shares), "pool").withColumn("share", hash_number(str(seed), "case", F.col("id").cast("string")) % F.col("shares"))
+    rows = every.unionByName(every.withColumn("pool", F.lit("*"))).join(F.broadcast(shares), "pool")
+    rows = rows.select("pool", "chunk_id", "reg_id", "content", (hash_number(str(seed), "share", F.col("chunk_id").cast("string")) % F.col("shares")).alias("share"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("chunk_id").cast("string")))
-    return V.top_k(rows, ["id"], [order, F.col("chunk_id")], n).where(F.length("content") >= least)
 
+    def met(few: DataFrame, on: list[str]) -> DataFrame:
+        found = few.join(rows, on).join(own, ["id", "reg_id"], "left_anti")
+        return V.top_k(found.select("id", "chunk_id", "reg_id", "content"), ["id"], [order, F.col("chunk_id")], n)
+
+    first = met(who.select("id", "pool", "share"), ["pool", "share"]).persist()  # n rows a case
+    full = first.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") >= n)
+    rest = who.where("shares > 1").join(full, "id", "left_anti").select("id", "pool")
+    if rest.isEmpty():
+        return first
+    return first.join(rest.select("id"), "id", "left_anti").unionByName(met(rest, ["pool"]))
+
+
+def random_negatives(cases: DataFrame, positives: DataFrame, chunks: DataFrame, n: int = 2, least: int = 20, seed: int = 42) -> DataFrame:
+    """Those of ``drawn`` that have ``least`` characters or more."""
+    return drawn(cases, positives, chunks, n, seed).where(F.length("content") >= least)
+
+
+def triplets(cases: DataFrame, citations: DataFrame, chunks: DataFrame, scores: DataFrame, first: DataFrame, query: int = 30, least: int = 20, seed: int = 42) -> DataFrame:
+    """(id, reg_id, article_number, query, positive, negative, origin, split): every positive of a case with every negative.
+
+    ``cases``: id, text, category; ``citations``: id, reg_id (null: not resolved, left out), article_number; ``chunks``: chunk_id,
+    reg_id, chunk_index, article_ref, category, content; ``scores``: id, chunk_id, score; ``first``: reg_id, content. Texts under 50
+    characters, queries under ``query`` and positives under ``least`` drop out. Negatives are hard ones, then random ones; a case
+    without any gets its first random one, however short.
+    """
+    q = cases.where(F.length("text") >= 50).select("id", "category", T.facts_section("text").alias("query")).where(F.length("query") >= query)
+    cited = citations.where("reg_id is not null").join(q.select("id"), "id").select("id", "reg_id", "article_number")
+    positives = chunk_by_article(cited.distinct(), chunks, first).where(F.length("positive") >= least)
+    own = cited.select("id", "reg_id").distinct().persist()
+    who = q.select("id", "category").join(own.select("id").distinct(), "id").persist()
+    hard = hard_negatives(scores.join(who.select("id"), "id"), own, chunks).select("id", F.col("content").alias("negative"), F.lit("hard").alias("origin"), F.lit(None).cast("long").alias("rank"))
+    some = drawn(who, own, chunks, 2, seed).select("id", F.col("content").alias("negative"), F.lit("random").alias("origin"), "rank")
+    whole = Window.partitionBy("id")
+    found = hard.unionByName(some).withColumn("long", (F.col("origin") == "hard") | (F.length("negative") >= least)).withColumn("any", F.bool_or("long").over(whole))
+    found = found.where("long or (not any and rank = 1)").select("id", "negative", F.when(F.col("long"), F.col("origin")).otherwise("any").alias("origin"))
+    rows = q.select("id", "query").join(positives, "id").join(found, "id")
+    return rows.withColumn("split", V.hash_split("id"))
+
+
+def triplet_stats(cases: DataFrame, citations: DataFrame, made: DataFrame) -> DataFrame:
+    """One row of counters of ``triplets`` and what went in."""
+    given = citations.groupBy("id").agg(F.count("*").alias("n"), F.count("reg_id").alias("resolved"))
+    long = F.length("text") >= 50
+    one = cases.join(given, "id", "left").agg(F.count("*").alias("total_cases"), F.count_if(F.coalesce(~long, F.lit(True))).alias("skipped_no_text"), F.count_if(long & (F.col("n") > 0)).alias("cases_with_citations"), F.count_if(long & (F.col("resolved") > 0)).alias("cases_with_resolved_citations"))
+    positives = made.select("id", "reg_id", "article_number").distinct().agg(F.count("*").alias("total_positives_found"))
+    counts = made.agg(F.count_if(F.col("split") == "train").alias("total_triplets_train"), F.count_if(F.col("split") == "val").alias("total_triplets_val"))
+    return one.crossJoin(positives).crossJoin(counts)  # one row each
+
+
+def chunk_indexes(chunks: DataFrame) -> DataFrame:
+    """The pools that negatives are drawn from: (category, n_chunks, n_regulations), null and empty categories left out."""
+    return chunks.where("category is not null and category <> ''").groupBy("category").agg(F.count("*").alias("n_chunks"), F.count_distinct("reg_id").alias("n_regulations"))
 
-def triplets(cases: DataFrame, positives: DataFrame, negatives: DataFrame, query: int = 30, least: int = 20) -> DataFrame:
-    """(id, query, positive, negative, split): every positive of a case with every negative, one row a citation."""
-    q = cases.select("id", T.facts_section("text").alias("query")).where(F.length("query") >= query)
-    p = positives.where(F.length("positive") >= least).select("id", "positive")
-    return q.join(p, "id").join(negatives.select("id", F.col("content").alias("negative")), "id").withColumn("split", V.hash_split("id"))
+
+def top1_accuracy(scores: DataFrame) -> DataFrame:
+    """(evaluated, accuracy): how often a query's best item is a relevant one. ``scores``: query_id, item_id, score, relevant; ties go by item_id."""
+    best = V.top_k(scores, ["query_id"], [F.desc("score"), F.col("item_id")], 1, "_r")
+    return best.agg(F.count("*").alias("evaluated"), F.round(F.avg(F.col("relevant").cast("double")), 4).alias("accuracy"))
+
+
+def pool(laws: DataFrame, most: int = 2000) -> DataFrame:
+    """The distinct, trimmed law texts of cases (text), in order of the text, ``most`` at most."""
+    said = laws.select(T.strip("text").alias("text")).where("text <> ''").distinct()
+    return said.orderBy("text").limit(most)
 
 
 # ------------------------------------------------------------------ retrieval measures
@@ -80,7 +160,7 @@ def triplets(cases: DataFrame, positives: DataFrame, negatives: DataFrame, query
 def evaluation_set(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, corpus, relevant): queries by their first 200 characters; every (query, text) pair is a text of its own."""
     keyed = rows.select(F.left("query", F.lit(200)).alias("query_key"), "query", "positive", "negative")
-    pairs = keyed.select("query_key", F.explode(F.array(F.struct(F.col("positive").alias("text"), F.lit(1).alias("rel")), F.struct(F.col("negative").alias("text"), F.lit(0).alias("rel")))).alias("e")).groupBy("query_key", "e.text").agg(F.max("e.rel").alias("rel"))
+    pairs = keyed.select("query_key", F.explode(F.array(F.struct(F.col("positive").alias("text"), F.lit(1).alias("rel")), F.struct(F.col("negative").alias("text"), F.lit(0).alias("rel")))).alias("e")).where("e.text is not null").groupBy("query_key", "e.text").agg(F.max("e.rel").alias("rel"))
     corpus = pairs.withColumn("corpus_id", F.sha2(F.concat_ws("\x1f", "query_key", "text"), 256))
     return keyed.groupBy("query_key").agg(F.min("query").alias("query")), corpus.select("corpus_id", "text"), corpus.where("rel = 1").select("query_key", "corpus_id")
 
@@ -118,7 +198,3 @@ def improvement(baseline: DataFrame, tuned: DataFrame) -> DataFrame:
 
 def best_checkpoint(rows: DataFrame, metric: str = "cosine_accuracy_10") -> DataFrame:
     return rows.agg(F.max_by("checkpoint", F.struct(F.col(metric), F.col("checkpoint"))).alias("checkpoint"), F.max(metric).alias(metric))
-
-
-def order_by_hash(c: str, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")))

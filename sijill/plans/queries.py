@@ -13,7 +13,7 @@ from sijill.functions import blocks
 from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
-from sijill.operators import chat, citations, fragments, insights, ranking, training
+from sijill.operators import agentic, chat, citations, fragments, insights, ranking, training
 from sijill.session import ship
 from sijill.sources import extract
 
@@ -196,9 +196,10 @@ def segment_windows(spark, d):
   SELECT doc_id, list_transform(list_sort(list_transform(map_entries(m), lambda x: {'k': x.value, 'v': x.key})), lambda x: x.v) AS list_distinct_ordered FROM (
     SELECT doc_id, map_from_entries(list_transform(list_distinct(l), lambda x: {'k': x, 'v': list_position(l, x)})) AS m FROM (
       SELECT doc_id, regexp_extract_all(text, '[A-Za-z\x{0600}-\x{06FF}][A-Za-z0-9\x{0600}-\x{06FF}_-]{2,}') AS l FROM documents))))
-SELECT doc_id, array_to_string(e, ' ') AS entities FROM t""")
+SELECT t.doc_id, array_to_string(e, ' ') AS entities, CASE WHEN w = '' THEN 'No content provided.' WHEN length(w) > 400 THEN rtrim(left(w, 400)) || '...' ELSE w END AS summary
+FROM t JOIN (SELECT doc_id, """ + _NORM.format("text") + """ AS w FROM documents) x USING (doc_id)""")
 def entity_tokens(spark, d):
-    return insights.brief(_t(spark, d, "documents")).select("doc_id", F.array_join("entities", " ").alias("entities"))
+    return insights.brief(_t(spark, d, "documents")).select("doc_id", F.array_join("entities", " ").alias("entities"), "summary")
 
 
 @query(r"""SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT / 4294967295.0::DOUBLE < 0.2::DOUBLE THEN 'val' ELSE 'train' END AS split FROM documents""")
@@ -362,20 +363,41 @@ def _lenient(spark, d):
     return ranking.gate(_scored(spark, d, p)[1].withColumn("final_score", _r6("final_score")), p).select("case_id", "reg_id", "final_score")
 
 
-@query(f"""{_RANKED}, j AS (SELECT k.*, {_TOKEN_SET.format('c.text')} AS a, {_TOKEN_SET.format('left(d.text, 2000)')} AS b FROM k JOIN c USING (case_id) JOIN documents d ON d.doc_id = k.reg_id),
+_EXCERPT = """
+xu AS (SELECT reg_id, unit_pos, text, coalesce(sum(length(text)) OVER (PARTITION BY reg_id ORDER BY unit_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM un),
+xc AS (SELECT *, min(CASE WHEN used + length(text) > 2000 THEN unit_pos END) OVER (PARTITION BY reg_id) AS over FROM xu),
+xe AS (SELECT reg_id, string_agg(CASE WHEN unit_pos = over THEN left(text, CAST(2000 - used AS BIGINT)) ELSE text END, chr(10) ORDER BY unit_pos) AS excerpt FROM xc WHERE over IS NULL OR unit_pos < over OR (unit_pos = over AND 2000 - used > 50) GROUP BY reg_id)"""
+
+
+def _excerpts(spark, d):
+    units = _units(spark, d, _case_tables(spark, d)[2])
+    return units.select("reg_id", T.best_excerpt(F.transform("units", lambda u: u["text"])).alias("excerpt"))
+
+
+@query(f"""{_RANKED}, {_EXCERPT}, j AS (SELECT k.*, {_TOKEN_SET.format('src.text')} AS a, {_TOKEN_SET.format('xe.excerpt')} AS b FROM k JOIN src ON src.id = k.case_id JOIN xe USING (reg_id)),
 r AS (SELECT case_id, reg_id, final_score, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS rerank_score FROM j),
 o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rerank_score DESC, reg_id) AS rerank_rank FROM r) SELECT * FROM o WHERE rerank_rank <= 15""")
 def rerank_jaccard(spark, d):
-    rows = _lenient(spark, d).join(_t(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("case_text")), "case_id").join(_t(spark, d, "documents").select(F.col("doc_id").alias("reg_id"), F.left("text", F.lit(2000)).alias("excerpt")), "reg_id")
+    rows = _lenient(spark, d).join(_cases(spark, d).select("case_id", F.col("text").alias("case_text")), "case_id").join(_excerpts(spark, d), "reg_id")
     return ranking.rerank(rows, _r6(T.jaccard(T.token_set("case_text"), T.token_set("excerpt")))).drop("case_text", "excerpt")
 
 
-@query()
+@query(rf"""{_RANKED}, {_EXCERPT}, t0 AS (SELECT case_id, reg_id, row_number() OVER (PARTITION BY case_id ORDER BY final_score DESC, reg_id) AS r FROM k), t1 AS (SELECT * FROM t0 WHERE r <= 30),
+tx AS (SELECT 'q' || case_id AS id, lower({_NORM.format('src.text')}) AS t FROM (SELECT DISTINCT case_id FROM t1) JOIN src ON src.id = case_id UNION ALL SELECT 'd' || reg_id, lower({_NORM.format('excerpt')}) FROM xe WHERE reg_id IN (SELECT reg_id FROM t1)),
+g0 AS (SELECT id, CASE WHEN length(t) >= 4 THEN [substr(t, i, 4) FOR i IN range(1, length(t) - 2)] ELSE [t] END AS l FROM tx WHERE t <> ''),
+g1 AS (SELECT id, pos, gram FROM (SELECT id, generate_subscripts(l, 1) AS pos, unnest(l) AS gram FROM g0) QUALIFY pos = 1 OR gram <> lag(gram) OVER (PARTITION BY id ORDER BY pos)),
+gv AS (SELECT gram, list_transform(range(16), lambda i: ('0x' || substr(md5(gram), CAST(2 * i + 1 AS BIGINT), 2))::INT::DOUBLE) AS v FROM (SELECT DISTINCT gram FROM g1)),
+gu AS (SELECT gram, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM gv),
+qg AS (SELECT id, gram, count(*) AS n FROM g1 WHERE id LIKE 'q%' GROUP BY id, gram), dg AS (SELECT DISTINCT id, gram FROM g1 WHERE id LIKE 'd%'),
+dots AS (SELECT a.gram AS x, b.gram AS y, list_dot_product(ua.v, ub.v) AS s FROM (SELECT DISTINCT gram FROM qg) a JOIN gu ua USING (gram) CROSS JOIN (SELECT DISTINCT gram FROM dg) b JOIN gu ub ON ub.gram = b.gram),
+best AS (SELECT qg.id AS q, dg.id AS dd, qg.gram, qg.n, max(s) AS s FROM t1 JOIN qg ON qg.id = 'q' || t1.case_id JOIN dg ON dg.id = 'd' || t1.reg_id JOIN dots ON dots.x = qg.gram AND dots.y = dg.gram GROUP BY qg.id, dg.id, qg.gram, qg.n),
+ms AS (SELECT q, dd, round(sum(s * n) / sum(n), 6) AS rerank_score FROM best GROUP BY q, dd),
+o AS (SELECT t1.case_id, t1.reg_id, coalesce(rerank_score, 0.0) AS rerank_score, row_number() OVER (PARTITION BY t1.case_id ORDER BY coalesce(rerank_score, 0.0) DESC, t1.reg_id) AS rerank_rank FROM t1 LEFT JOIN ms ON q = 'q' || case_id AND dd = 'd' || reg_id) SELECT * FROM o WHERE rerank_rank <= 15""")
 def maxsim_rerank(spark, d):
-    """Late interaction over pseudo-embedded n-grams: the query set's items against every document's excerpt."""
-    q = _t(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("case_id"), F.col("text").alias("q"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("reg_id"), T.best_excerpt(T.sentences(T.normalize_space("text"))).alias("t"))
-    return ranking.rerank(docs.crossJoin(F.broadcast(q)), _r6(max_sim("q", "t"))).drop("q", "t")
+    """Late interaction over pseudo-embedded n-grams: the first 30 of each case's ranking, by their excerpts."""
+    top = V.top_k(_lenient(spark, d), ["case_id"], [F.desc("final_score"), F.col("reg_id")], 30, "_r").select("case_id", "reg_id")
+    rows = top.join(_cases(spark, d).select("case_id", F.col("text").alias("q")), "case_id").join(_excerpts(spark, d).withColumnRenamed("excerpt", "t"), "reg_id")
+    return ranking.rerank(rows, _r6(max_sim("q", "t"))).drop("q", "t")
 
 
 @query(f"""{_RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY final_score DESC, reg_id) AS r FROM k),
@@ -416,15 +438,16 @@ def case_insights(spark, d):
     return insights.case_insights(cases, _spread(_t(spark, d, "documents")))
 
 
-_SPOKEN = "SELECT o_orderkey AS doc_id, 'The supplier ' || CASE o_orderkey % 3 WHEN 0 THEN 'must deliver' WHEN 1 THEN 'may deliver' ELSE 'shall pay a penalty' END || ' by ' || strftime(o_orderdate, '%Y-%m-%d') || '. ' || CASE o_orderkey % 2 WHEN 0 THEN 'يجب على صاحب العمل الدفع.' ELSE 'Clerk ' || o_orderpriority || ' on ' || strftime(o_orderdate, '%d/%m/%Y') || '.' END || ' Status ' || o_orderstatus || '.' AS text FROM orders"
+_SPOKEN = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN 'An employee of the ' WHEN 1 THEN 'Each customer and ' WHEN 2 THEN 'تلتزم هيئة ' ELSE 'The ' END || 'supplier ' || CASE o_orderkey % 3 WHEN 0 THEN 'must deliver' WHEN 1 THEN 'may deliver' ELSE 'shall pay a penalty' END || ' by ' || strftime(o_orderdate, '%Y-%m-%d') || '. ' || CASE o_orderkey % 2 WHEN 0 THEN 'يجب على صاحب العمل الدفع.' ELSE 'Clerk ' || o_orderpriority || ' on ' || strftime(o_orderdate, '%d/%m/%Y') || '.' END || ' Status ' || o_orderstatus || ' on ' || strftime(o_orderdate, '%d-%m-%Y') || ' and ' || strftime(o_orderdate, '%Y-%m-%d') || '.' AS text FROM orders"
 
 
 def _spoken(spark, d):
     """Sentences with obligations, risks and dates, made from orders."""
     k = F.col("o_orderkey") % 3
-    first = F.concat(F.lit("The supplier "), F.when(k == 0, "must deliver").when(k == 1, "may deliver").otherwise("shall pay a penalty"), F.lit(" by "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(". "))
+    who = F.col("o_orderkey") % 7
+    first = F.concat(F.when(who == 0, "An employee of the ").when(who == 1, "Each customer and ").when(who == 2, "تلتزم هيئة ").otherwise("The "), F.lit("supplier "), F.when(k == 0, "must deliver").when(k == 1, "may deliver").otherwise("shall pay a penalty"), F.lit(" by "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(". "))
     second = F.when(F.col("o_orderkey") % 2 == 0, "يجب على صاحب العمل الدفع.").otherwise(F.concat(F.lit("Clerk "), F.col("o_orderpriority"), F.lit(" on "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(".")))
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(first, second, F.lit(" Status "), F.col("o_orderstatus"), F.lit(".")).alias("text"))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(first, second, F.lit(" Status "), F.col("o_orderstatus"), F.lit(" on "), F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit(" and "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".")).alias("text"))
 
 
 _RANKED_SENT = rf"""t AS ({_SPOKEN}), s AS (SELECT doc_id, {_SENT.format('text')} AS l FROM t), e AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS sentence FROM s),
@@ -438,10 +461,20 @@ def sentence_severity(spark, d):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", "severity", "relevance")
 
 
-@query(rf"""WITH {_RANKED_SENT}, d AS (SELECT doc_id, array_to_string(list_concat(regexp_extract_all(text, '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b'), regexp_extract_all(text, '\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}\b')), ' ') AS dates FROM t)
-SELECT doc_id, any_value(dates) AS dates, count(*) FILTER (o) AS n_obligations, count(*) FILTER (k) AS n_risks, count(*) AS n_sentences FROM f JOIN d USING (doc_id) GROUP BY doc_id""")
+_PARTY = {
+    "أصحاب العمل والمنشآت": "employer|company|منشأة|صاحب العمل",
+    "العاملون والموظفون": "employee|worker|عامل|موظف",
+    "الجهات التنظيمية والرقابية": "authority|regulator|جهة|وزارة|هيئة",
+    "العملاء والمستفيدون": "customer|consumer|عميل|مستفيد",
+}
+_PARTIES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({{0}}, '(?i)(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({w})([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)') THEN '{k}' END" for k, w in _PARTY.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(rf"""WITH {_RANKED_SENT}, d0 AS (SELECT doc_id, {_PARTIES.format('text')} AS parties, list_concat(list_concat(regexp_extract_all(text, '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b'), regexp_extract_all(text, '\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}\b')), regexp_extract_all(text, '\b[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}\b')) AS l FROM t),
+d AS (SELECT doc_id, array_to_string(parties, '; ') AS parties, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 8), ' ') AS dates FROM d0)
+SELECT doc_id, any_value(dates) AS dates, any_value(parties) AS parties, count(*) FILTER (o) AS n_obligations, count(*) FILTER (k) AS n_risks, count(*) AS n_sentences FROM f JOIN d USING (doc_id) GROUP BY doc_id""")
 def regulation_summary(spark, d):
-    return insights.summary(_spoken(spark, d)).select("doc_id", F.array_join("dates", " ").alias("dates"), *[F.col(c).cast("long").alias(c) for c in ("n_obligations", "n_risks", "n_sentences")])
+    return insights.summary(_spoken(spark, d)).select("doc_id", F.array_join("dates", " ").alias("dates"), F.array_join("parties", "; ").alias("parties"), *[F.col(c).cast("long").alias(c) for c in ("n_obligations", "n_risks", "n_sentences")])
 
 
 @query(rf"""WITH p AS (SELECT a.doc_id, {_SENT.format(_NORM.format('a.text'))} AS o, {_SENT.format(_NORM.format('b.text'))} AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
@@ -453,6 +486,86 @@ def amendment_diff(spark, d):
     return insights.amendment(pairs).select("doc_id", "change", "sentence")
 
 
+# ------------------------------------------------------------------ analyses
+
+
+def _title(x: str, fallback: str) -> str:
+    """A bullet's title in SQL; ``x``: a trimmed sentence."""
+    prefix = rf"regexp_replace(regexp_extract({x}, '^([٠-٩0-9]+\s*[-:–—]|[\x{{0600}}-\x{{06FF}}]{{2,10}}\s*[:-])\s*', 1), '[-:–— ]+$', '')"
+    heads = " ".join(f"WHEN strpos({x}, '{m}') BETWEEN 2 AND 46 AND trim(left({x}, strpos({x}, '{m}') - 1)) <> '' THEN trim(left({x}, strpos({x}, '{m}') - 1))" for m in (":", "：", "،"))
+    words = rf"regexp_extract_all({x}, '[\x{{0600}}-\x{{06FF}}]+')"
+    return f"CASE WHEN length(trim({prefix})) BETWEEN 2 AND 30 THEN trim({prefix}) {heads} WHEN len({words}) > 0 THEN array_to_string(list_slice({words}, 1, 5), ' ') ELSE '{fallback}' END"
+
+
+def _distinct(items: str, n: int) -> str:
+    return f"list_slice(list_filter({items}, lambda v, i: list_position(list_transform({items}, lambda y: lower(y)), lower(v)) = i), 1, {n})"
+
+
+def _shown(items: str, fallback: str) -> str:
+    level = f"CASE WHEN regexp_matches(left(x, 450), '{_RISK}') THEN 'high' WHEN regexp_matches(left(x, 450), '{_OBL}') THEN 'medium' ELSE 'low' END"
+    return f"array_to_string(list_transform({items}, lambda x: {_title('x', fallback)} || ' | ' || left(x, 450) || ' | ' || {level}), chr(10))"
+
+
+def _lines(c):
+    return F.array_join(F.transform(c, lambda b: F.concat_ws(" | ", b["title"], b["description"], b["severity"])), "\n")
+
+
+def _cited_lines(c):
+    return F.array_join(F.transform(c, lambda b: F.concat_ws(" | ", b["snippet"], F.format_string("%.3f", b["relevance"]))), "\n")
+
+
+@query(rf"""WITH t AS ({_SPOKEN}), w AS (SELECT doc_id, left({_NORM.format('text')}, 40000) AS t FROM t), s0 AS (SELECT doc_id, {_SENT.format('t')} AS s FROM w),
+s AS (SELECT *, list_filter(s, lambda x: regexp_matches(x, '{_OBL}')) AS must, list_filter(s, lambda x: regexp_matches(x, '{_RISK}')) AS risk FROM s0),
+b AS (SELECT *, CASE WHEN len(must) > 0 THEN {_distinct('list_slice(must, 1, 8)', 8)} ELSE {_distinct('list_slice(s, 1, 4)', 4)} END AS o,
+  CASE WHEN len(risk) > 0 THEN {_distinct('list_slice(risk, 1, 8)', 8)} ELSE {_distinct('list_slice(s, 1, 2)', 4)} END AS r FROM s),
+e AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM s0), k0 AS (SELECT doc_id, i, left(x, 400) AS x, least(0.99::DOUBLE, 0.25::DOUBLE + (CASE WHEN regexp_matches(x, '{_OBL}') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(x, '{_RISK}') THEN 0.35::DOUBLE ELSE 0 END) + least(0.05::DOUBLE, length(x) / 20000.0::DOUBLE)) AS w FROM e),
+k1 AS (SELECT * FROM k0 QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY w DESC, i) = 1), k2 AS (SELECT * FROM k1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, i) <= 8),
+k AS (SELECT doc_id, string_agg(x || ' | ' || printf('%.3f', w), chr(10) ORDER BY w DESC, i) AS citations FROM k2 GROUP BY doc_id)
+SELECT doc_id, 'ok' AS status, 'ملخص تنظيمي: ' || left(array_to_string(list_slice(s, 1, 4), ' '), 900) AS summary, {_shown('o', 'التزام تنظيمي')} AS obligations, {_shown('r', 'مؤشر مخاطر')} AS risk_flags, citations FROM b JOIN k USING (doc_id)""")
+def summary_analysis(spark, d):
+    rows = insights.analysis(_spoken(spark, d))
+    return rows.select("doc_id", "status", "summary", _lines("obligations").alias("obligations"), _lines("risk_flags").alias("risk_flags"), _cited_lines("citations").alias("citations"))
+
+
+def _change(items: str, title: str, said: str, fallback: str, most: int) -> str:
+    level = f"CASE WHEN regexp_matches(left(x, {most}), '{_RISK}') THEN 'high' WHEN regexp_matches(left(x, {most}), '{_OBL}') THEN 'medium' ELSE 'low' END"
+    return f"list_transform({items}, lambda x: '{title}' || {_title('x', fallback)} || ' | ' || left('{said}' || left(x, {most}), 450) || ' | ' || {level})"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, left({_NORM.format('text')}, 40000) AS t FROM documents), x AS (SELECT a.doc_id, a.t AS o, b.t AS n, {_SENT.format('a.t')} AS os, {_SENT.format('b.t')} AS ns FROM t a JOIN t b ON b.doc_id = a.doc_id + 1),
+y AS (SELECT *, list_filter(list_filter(ns, lambda v: NOT list_contains(os, v)), lambda v: true) AS a0, list_filter(os, lambda v: NOT list_contains(ns, v)) AS r0 FROM x),
+z AS (SELECT *, {_distinct('a0', 10)} AS a, {_distinct('r0', 10)} AS r FROM y),
+v AS (SELECT *, CASE WHEN len(a) + len(r) > 0 THEN list_concat(list_slice(a, 1, 5), list_slice(r, 1, 3)) ELSE list_slice(ns, 1, 3) END AS pool, {_PARTIES.format("(o || chr(10) || n)")} AS parties FROM z)
+SELECT doc_id, CASE WHEN o = '' OR n = '' THEN 'error' ELSE 'ok' END AS status,
+array_to_string(list_concat({_change('list_slice(a, 1, 6)', 'إضافة: ', 'تمت إضافة نص: ', 'نص مضاف', 380)}, {_change('list_slice(r, 1, 4)', 'حذف: ', 'تم حذف/تعديل نص: ', 'نص محذوف أو معدل', 380)}), chr(10)) AS what_changed,
+array_to_string({_change('list_slice(pool, 1, 6)', 'أثر على: ', 'قد يؤثر هذا التغيير على التطبيق النظامي: ', 'التطبيق النظامي', 360)}, chr(10)) AS legal_impact,
+CASE WHEN len(parties) > 0 THEN array_to_string(parties, '; ') ELSE 'الأطراف الخاضعة للنظام' END AS affected_parties FROM v""")
+def amendment_impact(spark, d):
+    docs = _spread(_t(spark, d, "documents"))
+    pairs = docs.select("doc_id", F.col("text").alias("old_text")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new_text")), "doc_id")
+    rows = insights.impact(pairs)
+    return rows.select("doc_id", "status", _lines("what_changed").alias("what_changed"), _lines("legal_impact").alias("legal_impact"), F.array_join("affected_parties", "; ").alias("affected_parties"))
+
+
+_ANSWERS = (
+    '{"has_gaps": true, "gap_description": "x", "refined_queries": ["overtime pay rules", "abc", "end of service award", "a third query"], "missing_domains": ["labor_law"]}',
+    '```json\n{"has_gaps": true, "refined_queries": ["notice period"]}\n```',
+    '{"has_gaps": false, "refined_queries": ["never asked"]}',
+    '{"has_gaps": true, "refined_queries": ["no"]}',
+    "not json",
+    "",
+)
+
+
+@query(f"""WITH a AS (SELECT item_id AS case_id, item_id % 17 AS n_found, item_id % 6 AS k FROM benchmark), j(k, gaps, qs, bad) AS (VALUES (0, true, ['overtime pay rules', 'end of service award'], NULL), (1, true, ['notice period'], NULL), (2, false, CAST([] AS VARCHAR[]), NULL), (3, true, CAST([] AS VARCHAR[]), NULL), (4, false, CAST([] AS VARCHAR[]), 'agentic_parse_failed'), (5, false, CAST([] AS VARCHAR[]), 'agentic_empty_response')),
+w AS (SELECT case_id, CASE WHEN n_found >= 15 THEN 'agentic_sufficient_candidates' WHEN bad IS NOT NULL THEN bad WHEN gaps AND len(qs) = 0 THEN 'agentic_no_queries_generated' END AS warning, qs FROM a JOIN j USING (k))
+SELECT case_id, warning, CAST(i AS INTEGER) AS round, CASE WHEN i IS NOT NULL THEN qs[i] END AS query FROM w LEFT JOIN (SELECT unnest([1, 2]) AS i) r ON warning IS NULL AND i <= len(qs)""")
+def gap_queries(spark, d):
+    k = (F.col("item_id") % len(_ANSWERS) + 1).cast("int")
+    answers = _t(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 17).alias("n_found"), F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), k).alias("raw"))
+    return agentic.gap_queries(answers)
+
+
 # ------------------------------------------------------------------ Arabic, citations
 
 
@@ -471,39 +584,71 @@ def arabic_normalize(spark, d):
     return _judged(spark, d).select("id", T.normalize_arabic("text").alias("normalized")).withColumn("n", F.length("normalized").cast("long"))
 
 
-@query("""SELECT p_partkey AS id, CAST(CASE p_size % 5 WHEN 0 THEN p_size WHEN 1 THEN 751 WHEN 2 THEN 25 WHEN 3 THEN 12 ELSE NULL END AS BIGINT) AS number FROM part""")
+_SAID = ("الأولى", "الثانية عشرة", "الخامسة والعشرون", "٧٥/١", "العاشرة", "التاسعة والثلاثين", "المادة 12", "كلمة", "السادس عشر", "المائة", "الثامنة والتسعون", "")
+
+
+@query(rf"""WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 12 THEN p_size::VARCHAR ELSE ([{', '.join(f"'{x}'" for x in _SAID)}])[p_partkey % 13 + 1] END AS said FROM part),
+n AS (SELECT id, {_AR.format('said')} AS x FROM t), g AS (SELECT id, x, regexp_replace(translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '[^0-9]', '', 'g') AS digits FROM n),
+w(word, value) AS (VALUES ('الاولى', 1), ('الثانية', 2), ('الخامسة', 5), ('السادسة', 6), ('الثامنة', 8), ('التاسعة', 9), ('العاشرة', 10), ('الثانية عشرة', 12), ('السادس عشر', 16), ('العشرون', 20), ('الثلاثين', 30), ('التسعون', 90), ('المائة', 100)),
+p AS (SELECT id, unnest(string_split_regex(x, '\s+و')) AS part FROM g WHERE digits = '' AND x <> ''), v AS (SELECT id, CASE WHEN count(*) = count(value) THEN sum(value) END AS total FROM p LEFT JOIN w ON trim(part) = word GROUP BY id)
+SELECT g.id, CASE WHEN digits <> '' THEN digits::BIGINT ELSE total::BIGINT END AS number FROM g LEFT JOIN v USING (id)""")
 def arabic_numbers(spark, d):
-    k = F.col("p_size") % 5
-    said = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "٧٥/١").when(k == 2, "الخامسة والعشرون").when(k == 3, "الثانية عشرة").otherwise("كلمة")
+    k = (F.col("p_partkey") % 13 + 1).cast("int")
+    said = F.when(k == 13, F.col("p_size").cast("string")).otherwise(F.element_at(F.array(*[F.lit(x) for x in _SAID], F.lit("")), k))
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.arabic_number(said).alias("number"))
 
 
-@query("""SELECT id, pattern, article_ref, name FROM (SELECT p_partkey AS id, p_size FROM part), LATERAL (VALUES (0, CAST(p_size AS VARCHAR), 'العمل'), (0, CAST(p_size + 1 AS VARCHAR), 'التنفيذ'), (2, '٧٥/١', '')) v(pattern, article_ref, name)""")
+_END = r"(?:[،.؛:\s)(]|$)"
+_NAMED = r"\s+([\x{0600}-\x{06FF}\s]{3,60}?)" + _END
+_DIGIT = r"[0-9٠-٩]+(?:\s*/\s*[0-9٠-٩]+)?"
+_CITED = (
+    r"المادة\s+(ال[\x{0600}-\x{06FF}]+(?:\s+و(?:ال)?[\x{0600}-\x{06FF}]+)*|" + _DIGIT + r")\s+من\s+(?:نظام|لائحة|قانون|مرسوم)" + _NAMED,
+    r"المادة\s+(" + _DIGIT + r")\s+من\s+(?:نظام|لائحة|قانون)" + _NAMED,
+    r"المادة\s+(" + _DIGIT + ")" + _END,
+)
+_CITATIONS = f"""n AS (SELECT id, {_AR.format('text')} AS t FROM ({_JUDGED}) WHERE length(text) >= 50),
+m AS ({' UNION ALL '.join(f"SELECT id, {k} AS pattern, generate_subscripts(a, 1) AS pos, unnest(a) AS a, unnest(b) AS b FROM (SELECT id, regexp_extract_all(t, '{p}', 1) AS a, {'regexp_extract_all(t, ' + chr(39) + p + chr(39) + ', 2)' if k < 2 else 'list_transform(regexp_extract_all(t, ' + chr(39) + p + chr(39) + ', 1), lambda x: ' + chr(39) * 2 + ')'} AS b FROM n)" for k, p in enumerate(_CITED))}),
+c AS (SELECT id, pattern, pos, trim(a) AS article_ref, regexp_replace(regexp_replace(trim(b), '[\\s،.؛:]+$', ''), '\\s+(?:و|أو|في|على|من|إلى)$', '') AS name FROM m),
+cited AS (SELECT id, pattern, article_ref, name FROM (SELECT *, row_number() OVER (PARTITION BY id, article_ref, name ORDER BY pattern, pos) AS k, row_number() OVER (PARTITION BY id, article_ref ORDER BY pattern, pos) AS r FROM c) WHERE k = 1 AND (pattern < 2 OR r = 1))"""
+
+
+@query(f"WITH {_CITATIONS} SELECT id, pattern, article_ref, name FROM cited")
 def citations_found(spark, d):
     return citations.extract(_judged(spark, d)).select("id", F.col("pattern"), "article_ref", "name")
 
 
-@query()
-def citations_resolved(spark, d):
-    return _resolved(spark, d).select("id", "article_ref", "article_number", "name", "title_id", "match_score", "confidence")
+_TITLES = ((1, "نظام العمل"), (2, "لائحة التنفيذ القضائي"), (3, "نظام الشركات"), (4, "العمل التطوعي"))
+_BARE = r"regexp_replace({0}, '^(?:نظام|لائحة|قانون|مرسوم|قرار)\s+', '')"
+#: The ratio of matching blocks by recursion: the longest common run, then what is left and right of it.
+_RESOLVED = rf"""{_CITATIONS}, titles(title_id, title) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in _TITLES)}),
+pr AS (SELECT name, title_id, title, {_BARE.format(_AR.format('name'))} AS a, {_BARE.format(_AR.format('title'))} AS b FROM (SELECT DISTINCT name FROM cited WHERE name <> ''), titles),
+sm AS (SELECT name, title_id, a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi, 0 AS k, 0 AS i, 0 AS j, 0 AS depth FROM pr
+  UNION ALL SELECT s.name, s.title_id, s.a, s.b, s.alo, s.ahi, s.blo, s.bhi, m.k, m.i, m.j, s.depth + 1 FROM (
+    SELECT *, x.al AS alo, x.ah AS ahi, x.bl AS blo, x.bh AS bhi FROM (SELECT name, title_id, a, b, depth, unnest(CASE WHEN k = 0 THEN [{{'al': alo, 'ah': ahi, 'bl': blo, 'bh': bhi}}] ELSE [{{'al': alo, 'ah': i, 'bl': blo, 'bh': j}}, {{'al': i + k, 'ah': ahi, 'bl': j + k, 'bh': bhi}}] END) AS x FROM sm)) s
+  JOIN LATERAL (SELECT i, j, max(k) AS k FROM (SELECT unnest(range(s.alo, s.ahi)) AS i) x, (SELECT unnest(range(s.blo, s.bhi)) AS j) y, (SELECT unnest(range(1, length(s.a) + 1)) AS k) z
+    WHERE i + k <= s.ahi AND j + k <= s.bhi AND substr(s.a, CAST(i + 1 AS BIGINT), CAST(k AS BIGINT)) = substr(s.b, CAST(j + 1 AS BIGINT), CAST(k AS BIGINT)) GROUP BY i, j ORDER BY max(k) DESC, i, j LIMIT 1) m ON true WHERE s.ahi > s.alo AND s.bhi > s.blo),
+rt AS (SELECT name, title_id, 2.0::DOUBLE * sum(k) / any_value(length(a) + length(b)) AS ratio FROM sm GROUP BY name, title_id),
+jc AS (SELECT pr.*, ratio, list_distinct(list_filter(string_split_regex(a, '\s+'), lambda x: length(x) > 1)) AS x, list_distinct(list_filter(string_split_regex(b, '\s+'), lambda x: length(x) > 1)) AS y FROM pr JOIN rt USING (name, title_id)),
+ss AS (SELECT name, title_id, 0.4::DOUBLE * CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END + 0.6::DOUBLE * ratio AS score FROM jc),
+rs AS (SELECT name, title_id, round(score, 3) AS match_score FROM ss WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, title_id) = 1),
+found AS (SELECT cited.id, cited.pattern, article_ref, cited.name, title_id, match_score, CASE WHEN cited.pattern = 0 THEN CASE WHEN match_score >= 0.7 THEN 'high' ELSE 'medium' END WHEN cited.pattern = 1 AND match_score IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM cited LEFT JOIN rs USING (name))"""
 
 
 def _resolved(spark, d):
-    titles = spark.createDataFrame([(1, "نظام العمل"), (2, "لائحة التنفيذ القضائي"), (3, "نظام الشركات")], "title_id long, title string")
+    titles = spark.createDataFrame(list(_TITLES), "title_id long, title string")
     found = citations.extract(_judged(spark, d))
     return citations.with_confidence(found, citations.resolve(found.where("name <> ''"), titles))
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM part) SELECT n AS total_cases, n AS cases_with_citations, 3 * n AS total_citations, 0::BIGINT AS high, 2 * n AS medium, n AS low, 1.0::DOUBLE AS citation_rate, 3.0::DOUBLE AS mean_citations FROM n""")
-def citation_stats(spark, d):
-    judged = _judged(spark, d)
-    none = spark.createDataFrame([], "name string, title_id long, title string, match_score double")
-    return citations.stats(judged, citations.with_confidence(citations.extract(judged), none))
+@query(f"WITH RECURSIVE {_RESOLVED} SELECT id, article_ref, name, title_id::BIGINT AS title_id, match_score, confidence, regexp_replace(translate(article_ref, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '[^0-9]', '', 'g')::BIGINT AS article_number FROM found")
+def citations_resolved(spark, d):
+    return _resolved(spark, d).select("id", "article_ref", "article_number", "name", "title_id", "match_score", "confidence")
 
 
-@query()
-def citation_stats_resolved(spark, d):
-    """With the titles resolved, as in citations_resolved."""
+@query(f"""WITH RECURSIVE {_RESOLVED}, per AS (SELECT id, count(*) AS n, count(*) FILTER (confidence = 'high') AS h, count(*) FILTER (confidence = 'medium') AS m, count(*) FILTER (confidence = 'low') AS l FROM found GROUP BY id),
+a AS (SELECT count(*) AS total_cases, count(per.id) AS cases_with_citations, coalesce(sum(n), 0)::BIGINT AS total_citations, coalesce(sum(h), 0)::BIGINT AS high, coalesce(sum(m), 0)::BIGINT AS medium, coalesce(sum(l), 0)::BIGINT AS low FROM part LEFT JOIN per ON per.id = p_partkey)
+SELECT *, round(cases_with_citations / greatest(1, total_cases)::DOUBLE, 3) AS citation_rate, round(total_citations / greatest(1, total_cases)::DOUBLE, 2) AS mean_citations FROM a""")
+def citation_stats(spark, d):
     return citations.stats(_judged(spark, d), _resolved(spark, d))
 
 
@@ -543,23 +688,21 @@ def _chunks(spark, d):
     return _t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("chunk_id"), F.col("l_suppkey").alias("reg_id"), F.col("l_orderkey").alias("version_id"), n.cast("long").alias("chunk_index"), F.concat(F.lit("المادة "), F.col("l_partkey")).alias("article_ref"), F.concat(F.lit("chunk "), F.col("l_orderkey"), F.lit(" "), n, F.lit(" of the regulation")).alias("content"))
 
 
-@query(f"""WITH c AS ({_CHUNKS}), k AS (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY version_id DESC, chunk_index) AS r FROM c) SELECT reg_id, content FROM k WHERE r = 1""")
+@query(f"""WITH c AS ({_CHUNKS}), k AS (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY version_id DESC, chunk_index, chunk_id) AS r FROM c) SELECT reg_id, content FROM k WHERE r = 1""")
 def latest_first_chunk(spark, d):
     versions = _t(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_orderkey").alias("version_number"))
     return training.latest_first_chunk(_chunks(spark, d), versions)
 
 
 @query(f"""WITH c AS ({_CHUNKS}), ci AS (SELECT p_partkey AS id, s_suppkey AS reg_id, CAST(p_size AS BIGINT) AS article_number FROM part JOIN supplier ON s_suppkey = p_partkey % 50 + 1),
-f AS (SELECT reg_id, content FROM (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY version_id DESC, chunk_index) AS r FROM c) WHERE r = 1),
-h AS (SELECT ci.*, c.content, row_number() OVER (PARTITION BY ci.id ORDER BY c.chunk_index, c.content) AS r FROM ci JOIN c ON c.reg_id = ci.reg_id AND contains(c.article_ref, ci.article_number::VARCHAR))
-SELECT ci.id, ci.reg_id, ci.article_number, CASE WHEN h.content IS NULL THEN f.content ELSE 'by article' END AS positive FROM ci LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.id = ci.id LEFT JOIN f ON f.reg_id = ci.reg_id""")
+f AS (SELECT reg_id, content FROM (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY version_id DESC, chunk_index, chunk_id) AS r FROM c) WHERE r = 1),
+h AS (SELECT ci.*, c.content, row_number() OVER (PARTITION BY ci.id ORDER BY c.chunk_index, c.chunk_id) AS r FROM ci JOIN c ON c.reg_id = ci.reg_id AND contains(c.article_ref, ci.article_number::VARCHAR))
+SELECT ci.id, ci.reg_id, ci.article_number, coalesce(h.content, f.content) AS positive FROM ci LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.id = ci.id LEFT JOIN f ON f.reg_id = ci.reg_id""")
 def positive_chunks(spark, d):
-    """Chunks by article number, else the first of the latest version. Chunks of one index tie here, so only the way is shown."""
+    """Chunks by article number, else the first of the latest version."""
     ci = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50 + 1).alias("reg_id"), F.col("p_size").cast("long").alias("article_number")).join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("reg_id")), "reg_id").select("id", "reg_id", "article_number")
     versions = _t(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_orderkey").alias("version_number"))
-    first = training.latest_first_chunk(_chunks(spark, d), versions)
-    rows = training.chunk_by_article(ci, _chunks(spark, d).withColumn("content", F.lit("by article")), first)
-    return rows
+    return training.chunk_by_article(ci, _chunks(spark, d), training.latest_first_chunk(_chunks(spark, d), versions))
 
 
 @query(f"""WITH {_VEC}, s AS (SELECT a.vec_id AS id, b.vec_id AS chunk_id, b.label AS reg_id, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0),
@@ -573,9 +716,27 @@ def hard_negatives(spark, d):
     return training.hard_negatives(scores, own, chunks).select("id", "chunk_id", "reg_id", "score", "rank")
 
 
-@query("""WITH c AS (SELECT vec_id AS id, label AS category FROM embeddings WHERE vec_id % 50 = 0),
-n AS (SELECT c.id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY c.id ORDER BY md5('42:' || c.id || ':' || e.vec_id), e.vec_id) AS rank FROM c JOIN embeddings e ON e.label = c.category WHERE e.vec_id <> c.id)
-SELECT id, chunk_id, rank FROM n WHERE rank <= 2""")
+def _hash_sql(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 8))::UBIGINT"
+
+
+def _drawn(name: str, who: str, n: int) -> str:
+    """CTEs up to ``name`` (id, chunk_id, reg_id, content, rank): draws of ``who`` (id, pool) from ``pools``, ``shares`` and ``own``."""
+    base = f"SELECT w.id, p.chunk_id, p.reg_id, p.content, md5('42:' || w.id || ':' || p.chunk_id) AS o"
+    free = "NOT EXISTS (SELECT 1 FROM own WHERE own.id = w.id AND own.reg_id = p.reg_id)"
+    return f"""
+{name}_1 AS ({base} FROM {who} w JOIN shares s USING (pool) JOIN pools p ON p.pool = w.pool AND {_hash_sql("'42'", "'share'", 'p.chunk_id')} % s.n = {_hash_sql("'42'", "'case'", 'w.id')} % s.n WHERE {free}),
+{name}_2 AS (SELECT id FROM {name}_1 GROUP BY id HAVING count(*) >= {n}),
+{name}_3 AS ({base} FROM {who} w JOIN shares s USING (pool) JOIN pools p ON p.pool = w.pool WHERE s.n > 1 AND w.id NOT IN (SELECT id FROM {name}_2) AND {free}),
+{name}_4 AS (SELECT * FROM {name}_1 WHERE id NOT IN (SELECT w.id FROM {who} w JOIN shares s USING (pool) WHERE s.n > 1 AND w.id NOT IN (SELECT id FROM {name}_2)) UNION ALL SELECT * FROM {name}_3),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, chunk_id) AS rank FROM {name}_4) WHERE rank <= {n})"""
+
+
+_POOLS = """pools AS (SELECT chunk_id, reg_id, content, category AS pool FROM chunks UNION ALL SELECT chunk_id, reg_id, content, '*' FROM chunks), shares AS (SELECT pool, CAST(ceil(count(*) / 64.0) AS UBIGINT) AS n FROM pools GROUP BY pool)"""
+
+
+@query(f"""WITH chunks AS (SELECT vec_id AS chunk_id, vec_id AS reg_id, label::VARCHAR AS category, 'x' AS content FROM embeddings), who AS (SELECT vec_id AS id, label::VARCHAR AS pool FROM embeddings WHERE vec_id % 50 = 0), own AS (SELECT id, id AS reg_id FROM who), {_POOLS}, {_drawn('n', 'who', 2)}
+SELECT id, chunk_id, rank FROM n""")
 def random_negatives(spark, d):
     v = _t(spark, d, "embeddings")
     cases = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("category"))
@@ -583,6 +744,79 @@ def random_negatives(spark, d):
     return training.random_negatives(cases, cases.select("id", F.col("id").alias("reg_id")), chunks).select("id", "chunk_id", "rank")
 
 
+_TRIPLET = rf"""{_VEC}, cases AS (SELECT v.vec_id AS id, d.text, CASE WHEN v.vec_id % 100 = 0 THEN 'c' || v.label WHEN v.vec_id % 150 = 50 THEN 'nowhere' END AS category FROM v JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id % 50 = 0),
+cited AS (SELECT id, CASE WHEN k = 2 AND id % 100 = 0 THEN NULL ELSE (id * 7 + k * 31) % 97 END AS reg_id, k * 5 AS article_number FROM cases, (SELECT unnest([0, 1, 2]) AS k)),
+chunks AS (SELECT vec_id AS chunk_id, vec_id % 97 AS reg_id, vec_id // 97 AS chunk_index, 'المادة ' || (vec_id % 20) AS article_ref, 'c' || label AS category, CASE WHEN vec_id % 9 = 0 THEN 'short ' || vec_id ELSE 'the content of chunk number ' || vec_id END AS content FROM embeddings),
+facts AS (SELECT id, category, trim(left(text, 1500), ' ' || chr(9) || chr(10) || chr(13)) AS query FROM cases WHERE length(text) >= 50), q AS (SELECT * FROM facts WHERE length(query) >= 30),
+ok AS (SELECT DISTINCT cited.* FROM cited JOIN q USING (id) WHERE reg_id IS NOT NULL), own AS (SELECT DISTINCT id, reg_id FROM ok),
+hit AS (SELECT ok.*, c.content, row_number() OVER (PARTITION BY ok.id, ok.reg_id, ok.article_number ORDER BY chunk_index, chunk_id) AS r FROM ok JOIN chunks c ON c.reg_id = ok.reg_id AND ok.article_number <> 0 AND contains(c.article_ref, ok.article_number::VARCHAR)),
+f AS (SELECT reg_id, content FROM chunks QUALIFY row_number() OVER (PARTITION BY reg_id ORDER BY chunk_index, chunk_id) = 1),
+pos AS (SELECT ok.id, ok.reg_id, ok.article_number, coalesce(h.content, f.content) AS positive FROM ok LEFT JOIN (SELECT * FROM hit WHERE r = 1) h ON h.id = ok.id AND h.reg_id = ok.reg_id AND h.article_number = ok.article_number LEFT JOIN f ON f.reg_id = ok.reg_id),
+people AS (SELECT DISTINCT q.id, q.category FROM q JOIN own USING (id)),
+sc AS (SELECT p.id, b.vec_id AS chunk_id, round({_COS}, 6) AS score FROM people p JOIN v a ON a.vec_id = p.id, v b),
+hd0 AS (SELECT sc.id, c.content, row_number() OVER (PARTITION BY sc.id ORDER BY score DESC, sc.chunk_id) AS k FROM sc JOIN chunks c USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.id = sc.id AND own.reg_id = c.reg_id)),
+hd AS (SELECT id, content, 'hard' AS origin FROM hd0 WHERE k <= 10 AND length(content) >= 20 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= 3),
+{_POOLS}, who1 AS (SELECT id, category AS pool FROM people WHERE category IS NOT NULL), {_drawn('n1', 'who1', 2)}, who2 AS (SELECT id, '*' AS pool FROM people WHERE id NOT IN (SELECT id FROM n1)), {_drawn('n2', 'who2', 2)},
+neg AS (SELECT * FROM hd UNION ALL SELECT id, content, 'random' FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) WHERE length(content) >= 20),
+made AS (SELECT pos.id, pos.reg_id, pos.article_number, md5(q.query) AS query, positive, content AS negative, origin, CASE WHEN ('0x' || substr(md5(pos.id::VARCHAR), 1, 8))::UBIGINT / 4294967295.0::DOUBLE < 0.2::DOUBLE THEN 'val' ELSE 'train' END AS split FROM pos JOIN q USING (id) JOIN neg USING (id) WHERE length(positive) >= 20)"""
+
+
+def _triplets(spark, d):
+    """Cases are the query set's vectors with the documents of their ids, chunks all vectors, cut into 97 regulations."""
+    v, docs = _t(spark, d, "embeddings"), _t(spark, d, "documents")
+    label = F.concat(F.lit("c"), F.col("label"))
+    category = F.when(F.col("vec_id") % 100 == 0, label).when(F.col("vec_id") % 150 == 50, "nowhere")
+    cases = v.where("vec_id % 50 = 0").join(docs, F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), "text", category.alias("category"))
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    cited = cases.select("id", k.alias("k")).select("id", F.when((F.col("k") == 2) & (F.col("id") % 100 == 0), None).otherwise((F.col("id") * 7 + F.col("k") * 31) % 97).alias("reg_id"), (F.col("k") * 5).cast("long").alias("article_number"))
+    content = F.when(F.col("vec_id") % 9 == 0, F.concat(F.lit("short "), F.col("vec_id"))).otherwise(F.concat(F.lit("the content of chunk number "), F.col("vec_id")))
+    chunks = v.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("reg_id"), F.floor(F.col("vec_id") / 97).alias("chunk_index"), F.concat(F.lit("المادة "), F.col("vec_id") % 20).alias("article_ref"), label.alias("category"), content.alias("content"))
+    scores = _dense(spark, d).select(F.col("query_id").alias("id"), F.col("vec_id").alias("chunk_id"), "score")
+    first = training.latest_first_chunk(chunks.withColumn("version_id", F.lit(1)), spark.createDataFrame([(1, 1)], "version_id int, version_number int"))
+    return cases, cited, training.triplets(cases, cited, chunks, scores, first)
+
+
+@query(f"WITH {_TRIPLET} SELECT * FROM made")
+def triplet_build(spark, d):
+    return _triplets(spark, d)[2].withColumn("query", F.md5("query"))
+
+
+@query(f"""WITH {_TRIPLET}, g AS (SELECT id, count(*) AS n, count(reg_id) AS resolved FROM cited GROUP BY id)
+SELECT (SELECT count(*) FROM cases) AS total_cases, (SELECT count(*) FROM cases WHERE coalesce(length(text), 0) < 50) AS skipped_no_text, (SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND n > 0) AS cases_with_citations,
+(SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND resolved > 0) AS cases_with_resolved_citations, (SELECT count(*) FROM (SELECT DISTINCT id, reg_id, article_number FROM made)) AS total_positives_found,
+(SELECT count(*) FROM made WHERE split = 'train') AS total_triplets_train, (SELECT count(*) FROM made WHERE split = 'val') AS total_triplets_val""")
+def triplet_stats(spark, d):
+    return training.triplet_stats(*_triplets(spark, d))
+
+
+@query("""SELECT c_mktsegment AS category, count(*) AS n_chunks, count(DISTINCT c_nationkey) AS n_regulations FROM customer GROUP BY c_mktsegment""")
+def chunk_indexes(spark, d):
+    return training.chunk_indexes(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("reg_id")))
+
+
+@query(f"""WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS hit, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1) SELECT count(*) AS evaluated, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 4) AS accuracy FROM k""")
+def top1_accuracy(spark, d):
+    v = _t(spark, d, "embeddings")
+    own = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    s = _dense(spark, d, 2, True).where("query_id <> vec_id").join(own, "query_id")
+    return training.top1_accuracy(s.select("query_id", F.col("vec_id").alias("item_id"), "score", (F.col("l") == F.col("label")).alias("relevant")))
+
+
+@query("""SELECT DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' ORDER BY text LIMIT 2000""")
+def law_pool(spark, d):
+    return training.pool(_t(spark, d, "conversations"))
+
+
+@query("""WITH p AS (SELECT DISTINCT left(a.text, 200) AS k, a.text AS t, 1 AS rel FROM conversations a WHERE role = 'user' UNION SELECT left(a.text, 200), b.text, 0 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.role = 'user' AND b.role = 'assistant'),
+c AS (SELECT k, t, max(rel) AS rel FROM p GROUP BY k, t) SELECT count(DISTINCT k) AS queries, count(*) AS corpus, count(*) FILTER (rel = 1) AS relevant FROM c""")
+def evaluation_set(spark, d):
+    rows = _t(spark, d, "conversations")
+    users, others = rows.where("role = 'user'").select("conv_id", F.col("text").alias("query")), rows.where("role = 'assistant'").select("conv_id", F.col("text").alias("negative"))
+    queries, corpus, relevant = training.evaluation_set(users.join(others, "conv_id", "left").select("query", F.col("query").alias("positive"), "negative"))
+    return queries.agg(F.count("*").alias("queries")).crossJoin(corpus.agg(F.count("*").alias("corpus"))).crossJoin(relevant.agg(F.count("*").alias("relevant")))
+
+
 # ------------------------------------------------------------------ retrieval measures
 
 
@@ -617,50 +851,47 @@ def hit_rate(spark, d):
 # ------------------------------------------------------------------ extraction, chat
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|template)\b.*?</(script|style|template)\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g') AS h FROM pages),
+q AS (SELECT page_id, string_split_regex(h, '<[/!a-zA-Z][^>]*>') AS l FROM p),
+u AS (SELECT page_id, list_transform(l, lambda x: trim(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))) AS l FROM q),
+t AS (SELECT page_id, trim(regexp_replace(array_to_string(list_filter(l, lambda x: x <> ''), ' '), '\s+', ' ', 'g')) AS t FROM u)
+SELECT page_id, 'html' AS method, 'ok' AS status, CASE WHEN t <> '' THEN left(t, 120000) END AS text, CASE WHEN t <> '' THEN sha256(left(t, 120000)) END AS sha256 FROM t""")
 def html_text(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", F.lit("text/html").alias("content_type"), F.lit("page.html").alias("name"), F.encode("html", "utf-8").alias("content"))
+    pages = _spread(_t(spark, d, "pages")).select("page_id", F.lit("text/html").alias("content_type"), F.lit("page.html").alias("name"), F.encode("html", "utf-8").alias("content"))
     return extract.extract(pages).select("page_id", "method", "status", "sha256", "text")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS w, octet_length(encode(text)) AS n FROM documents)
-SELECT doc_id, CASE WHEN n > 20000 THEN NULL ELSE left(w, 2000) END AS text, CASE WHEN n > 20000 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n > 20000 THEN 'payload_too_large' END AS error_code,
-CASE WHEN n <= 20000 THEN sha256(left(w, 2000)) END AS sha256, CASE WHEN n <= 20000 AND length(w) > 2000 THEN 'text_truncated' ELSE '' END AS warnings FROM t""")
-def extraction_envelope(spark, d):
-    return _enveloped(spark, d, 20000, 2000)
-
-
 @query(rf"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS w, octet_length(encode(text)) AS n FROM documents)
 SELECT doc_id, CASE WHEN n > 15000000 THEN NULL ELSE left(w, 120000) END AS text, CASE WHEN n > 15000000 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n > 15000000 THEN 'payload_too_large' END AS error_code,
 CASE WHEN n <= 15000000 THEN sha256(left(w, 120000)) END AS sha256, CASE WHEN n <= 15000000 AND length(w) > 120000 THEN 'text_truncated' ELSE '' END AS warnings FROM t""")
-def extraction_envelope_full(spark, d):
-    """With the production limits, which are the defaults."""
-    return _enveloped(spark, d, extract.MOST_BYTES, extract.MOST_CHARS)
+def extraction_envelope(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lit("text").alias("method"), F.when(F.octet_length("text") <= extract.MOST_BYTES, F.col("text")).alias("raw"))
+    return extract.envelope(rows).select("doc_id", "text", "status", "error_code", "sha256", F.array_join("warnings", ",").alias("warnings"))
 
 
-def _enveloped(spark, d, most_bytes, most_chars):
-    rows = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"), F.lit("text").alias("method"), F.when(F.octet_length("text") <= most_bytes, F.col("text")).alias("raw"))
-    return extract.envelope(rows, most_bytes, most_chars).select("doc_id", "text", "status", "error_code", "sha256", F.array_join("warnings", ",").alias("warnings"))
+_FILES = (("", "a.HTML"), ("", "a.pdf"), ("application/pdf", "scan"), ("", "b.docx"), ("text/csv; charset=utf-8", "c"), ("", "d.tsv"), ("application/vnd.ms-excel", ""), ("", "e.rtf"), ("", "old.doc"), ("image/png", ""), ("", "f.JPEG"), ("text/plain", "g"), ("", ""), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", ""))
 
 
-@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'docx' WHEN 3 THEN 'csv' WHEN 4 THEN 'unsupported_file_type' ELSE 'image' END AS method FROM pages""")
+@query(rf"""WITH k(i, kind, name) AS (VALUES {', '.join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_FILES))}),
+t AS (SELECT page_id, kind, lower(name) AS name, CASE WHEN page_id % 3 = 0 THEN chr(10) || ' %PDF-1.7 ' || html WHEN page_id % 3 = 1 THEN 'no markup' ELSE html END AS body FROM pages JOIN k ON i = page_id % {len(_FILES)}),
+e AS (SELECT *, regexp_extract(name, '\.([a-z]+)$', 1) AS ext, lower(left(body, 2048)) AS head FROM t)
+SELECT page_id, CASE WHEN contains(kind, 'html') OR ext IN ('html', 'htm') THEN 'html'
+WHEN contains(kind, 'pdf') OR ext = 'pdf' THEN CASE WHEN regexp_matches(head, '^\s*%pdf-') THEN 'pdf' WHEN contains(head, '<html') OR contains(head, '<!doctype html') THEN 'html' ELSE 'invalid_pdf' END
+WHEN contains(kind, 'wordprocessingml') OR ext = 'docx' THEN 'docx' WHEN contains(kind, 'csv') OR ext IN ('csv', 'tsv') THEN 'csv'
+WHEN contains(kind, 'spreadsheetml') OR contains(kind, 'ms-excel') OR ext IN ('xlsx', 'xls') THEN 'xlsx' WHEN contains(kind, 'rtf') OR ext = 'rtf' THEN 'rtf' WHEN ext = 'doc' THEN 'unsupported_file_type'
+WHEN starts_with(kind, 'text/') OR ext IN ('txt', 'md') THEN 'text' WHEN starts_with(kind, 'image/') OR ext IN ('png', 'jpg', 'jpeg', 'tif', 'tiff') THEN 'image' ELSE 'text' END AS method FROM e""")
 def format_dispatch(spark, d):
-    k = F.col("page_id") % 6
-    name = F.when(k == 0, "a.html").when(k == 1, "a.pdf").when(k == 2, "a.docx").when(k == 3, "a.csv").when(k == 4, "a.doc").otherwise("a.png")
-    rows = _t(spark, d, "pages").select("page_id", F.lit("").alias("content_type"), name.alias("name"), F.encode("html", "utf-8").alias("content"))
+    k = (F.col("page_id") % len(_FILES) + 1).cast("int")
+    kind, name = (F.element_at(F.array(*[F.lit(f[i]) for f in _FILES]), k) for i in (0, 1))
+    third = F.col("page_id") % 3
+    body = F.when(third == 0, F.concat(F.lit("\n %PDF-1.7 "), "html")).when(third == 1, "no markup").otherwise(F.col("html"))
+    rows = _t(spark, d, "pages").select("page_id", kind.alias("content_type"), name.alias("name"), F.encode(body, "utf-8").alias("content"))
     return rows.select("page_id", extract.method("content_type", "name", "content").alias("method"))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '…(truncated)' ELSE text END AS text FROM r WHERE k <= 4 AND role IN ('user', 'assistant', 'model')""")
-def history_trim(spark, d):
-    return chat.history(_t(spark, d, "conversations"), 2)
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '…(truncated)' ELSE text END AS text FROM r WHERE k <= 20 AND role IN ('user', 'assistant', 'model')""")
-def history_trim_full(spark, d):
-    """With the production limit of turns, which is the default."""
+def history_trim(spark, d):
     return chat.history(_t(spark, d, "conversations"))
 
 
@@ -672,8 +903,11 @@ def context_block(spark, d):
     return chat.context(rows.select("conv_id", F.col("role").alias("case_type")), rows.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), "text"))
 
 
-@query("""SELECT DISTINCT c.conv_id, n.n_nationkey::BIGINT AS ref_id, left(b.text, 4) AS title FROM conversations c JOIN nation n ON true JOIN benchmark b ON b.item_id = n.n_nationkey WHERE c.role = 'assistant' AND contains(c.text, left(b.text, 4))""")
+@query(r"""WITH r AS (SELECT item_id AS ref_id, regexp_extract(text, '^\S+') AS title, regexp_extract(text, '^\S+\s+(\S+)', 1) AS article FROM benchmark)
+SELECT DISTINCT c.conv_id, r.ref_id, r.title FROM conversations c JOIN r ON r.ref_id % 10 = c.conv_id % 10 WHERE c.role = 'assistant' AND (contains(c.text, r.title) OR contains(c.text, r.article))""")
 def answer_references(spark, d):
+    """Which of the references a conversation was given its answers use: benchmark items by first and second word."""
     answers = _t(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
-    refs = _t(spark, d, "benchmark").join(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("item_id")), "item_id").select(F.col("item_id").alias("ref_id"), F.left("text", F.lit(4)).alias("title"), F.lit(None).cast("string").alias("article"))
-    return chat.used_references(answers, refs.join(answers.select("conv_id").distinct()))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.regexp_extract("text", r"^\S+", 0).alias("title"), F.regexp_extract("text", r"^\S+\s+(\S+)", 1).alias("article"), (F.col("item_id") % 10).alias("k"))
+    given = answers.select("conv_id", (F.col("conv_id") % 10).alias("k")).distinct().join(items, "k").drop("k")
+    return chat.used_references(answers, given)

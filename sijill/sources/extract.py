@@ -1,6 +1,6 @@
 """From bytes to text: format dispatch and sniffing in SQL, parsers of the standard library in Arrow batches, and the envelope.
 
-Formats whose parsers need other libraries (PDF, old Excel, RTF, OCR) go through ``PROVIDERS``, empty by default.
+Formats whose parsers need other libraries (PDF, old Excel, OCR) go through ``PROVIDERS``, empty by default.
 """
 
 from __future__ import annotations
@@ -30,12 +30,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def method(content_type, name, content) -> Column:
     """The parser's name, by content type or file name; what claims to be PDF but starts as HTML is HTML."""
-    kind, file, head = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (content_type, name, content_type))
+    kind, file = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (content_type, name))
     ends = lambda *e: file.rlike(r"\.(?:" + "|".join(e) + r")$")
     start = F.lower(F.decode(F.substring(F.col(content), 1, 2048), "iso-8859-1"))
     is_html = F.contains(start, F.lit("<html")) | F.contains(start, F.lit("<!doctype html"))
-    is_pdf = F.ltrim(start).startswith("%pdf-")
-    del head
+    is_pdf = start.rlike(r"^\s*%pdf-")
     return (
         F.when(F.contains(kind, F.lit("html")) | ends("html", "htm"), "html")
         .when(F.contains(kind, F.lit("pdf")) | ends("pdf"), F.when(is_pdf, "pdf").when(is_html, "html").otherwise("invalid_pdf"))
@@ -120,6 +119,42 @@ def csv_text(data: bytes) -> str:
     return "\n".join(" | ".join(c.strip() for c in r) for r in csv.reader(io.StringIO(text), dialect) if any(c.strip() for c in r))
 
 
+_RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?[0-9]+) ?|\\([a-zA-Z]+)(-?[0-9]+)? ?|\\(.)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.S)
+#: Groups of an RTF file that hold no text of the document.
+_RTF_UNSEEN = frozenset("fonttbl colortbl stylesheet info pict header footer generator themedata listtable listoverridetable".split())
+
+
+def rtf_text(data: str) -> str:
+    """The text of an RTF file: a line a paragraph; groups of fonts, styles, pictures and the like have none."""
+    out, unseen, stack, skip = [], False, [], 0
+    for m in _RTF.finditer(data):
+        code, letter, word, _, mark, brace, said = m.groups()
+        if brace == "{":
+            stack.append(unseen)
+        elif brace == "}":
+            unseen = stack.pop() if stack else False
+        elif word in _RTF_UNSEEN or mark == "*":
+            unseen = True
+        elif unseen:
+            continue
+        elif letter:
+            out.append(chr(int(letter) % 65536))
+            skip = 1  # what old readers show instead
+        elif word in ("par", "line", "row"):
+            out.append("\n")
+        elif word in ("tab", "cell"):
+            out.append("\t")
+        elif code:
+            out.append("" if skip else bytes.fromhex(code).decode("cp1252", "replace"))
+            skip = 0
+        elif mark and mark in "\\~{}":
+            out.append({"~": " "}.get(mark, mark))
+        elif said:
+            out.append(said[skip:])
+            skip = 0
+    return "\n".join(x.strip() for x in "".join(out).split("\n") if x.strip())
+
+
 def parse(kind: str, data: bytes | None) -> str | None:
     data = data or b""
     if kind in PROVIDERS:
@@ -131,6 +166,8 @@ def parse(kind: str, data: bytes | None) -> str | None:
             return {"docx": docx_text, "xlsx": xlsx_text, "csv": csv_text}[kind](data)
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
         return None
+    if kind == "rtf" and data.lstrip().startswith(b"{\\rtf"):
+        return rtf_text(data.decode("latin-1"))
     return data.decode("utf-8", "replace").strip() if kind in ("text", "rtf") else None
 
 

@@ -65,3 +65,8 @@ def write_stats(df: DataFrame, path: str) -> dict:
     row = df.first().asDict(recursive=True)
     Path(path).write_text(json.dumps(row, ensure_ascii=False, indent=1, default=str))
     return row
+
+
+def write_errors(df: DataFrame, path: str) -> None:
+    """Rows that a stage couldn't use, beside its output, as JSON lines; none are dropped silently."""
+    df.write.mode("append").json(path)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sijill.functions import segment, vectors
+from sijill.functions import folds, segment, vectors
 from sijill.functions import text as T
 
 
@@ -65,3 +65,38 @@ def test_windows():
 def test_max_sim():
     assert abs(segment.max_similarity("hello world", "hello world") - 1) < 1e-6
     assert segment.max_similarity("", "x") == 0.0
+
+
+def test_windows_follow_the_rules():
+    assert segment.windows("a  b\nc  d") == ["a b c d"]  # white space is collapsed
+    assert segment.windows("x" * 50 + "\r\r" + "y" * 50) == ["x" * 50, "y" * 50]  # a lone return breaks lines
+    s = lambda n, c: c * (n - 1) + "."
+    long = ("w" * 9 + " ") * 65 + "end."  # 654 characters: its rest stays apart from what follows
+    found = segment.windows(" ".join([long, s(60, "a"), s(60, "b")]))
+    assert [len(w) for w in found] == [599, 54, 121]
+    assert segment.windows("\n\n".join(["y" * 500] * 40 + ["tail"]))[-1] == "y" * 500  # behind the last window nothing is added
+
+
+def test_folds_are_linear(spark):
+    import time
+
+    text = "One more sentence. " * 20_000
+    rows = spark.createDataFrame([(text,)], "t string")
+    rows.select(F.size(T.sentences_with_offsets("t"))).first()
+    began = time.time()
+    assert rows.select(F.size(T.sentences_with_offsets("t"))).first()[0] == 20_000
+    assert time.time() - began < 5
+    found = rows.select(T.within_budget(T.sentences_with_offsets("t"), 100)).first()[0]
+    assert [len(s["text"]) for s in found] == [18] * 5 + [10]
+    assert spark.range(1).select(folds.offsets(F.array().cast("array<int>"))).first()[0] == []
+
+
+def test_small_rules(spark):
+    assert spark.range(1).select(T.drop_adjacent(F.array(*[F.lit(x) for x in "aabba"]))).first()[0] == list("aba")
+    assert one(spark, "١٢- المادة الأولى", T.bullet_title) == "١٢"
+    assert one(spark, "Scope: all employers", T.bullet_title) == "Scope"
+    assert one(spark, "```json\n{\"a\": 1}\n```", T.salvage_json) == '{"a": 1}' and one(spark, "none", T.salvage_json) is None
+    assert one(spark, "x الوقائع abc", T.facts_section).startswith("الوقائع")
+    assert one(spark, "  abcdef ", lambda c: T.truncate(c, 5)) == "abc"
+    assert one(spark, "ﻻ\n\x00x", segment.nfkc_rtl) == "لا\nx" and one(spark, "ﬁ", segment.nfkc_rtl) == "ﬁ"
+    assert one(spark, "1", lambda c: vectors.lookup(vectors.COURT_CATEGORY, c)) == "commercial_law"
