@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sijill.llm import decontaminate, embdedup, html, langid, lmscore, mixing, neardup, pii, quality, secrets
 from sijill.llm.common import read
 
@@ -47,9 +49,72 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources)}
+def personal_data_base(spark, sf_dir):
+    """What the fixed rules say of op4's result; its other spans are the model's."""
+    return op4_personal_data(spark, sf_dir).drop("spans")
+
+
+def language_folds(spark, sf_dir):
+    """What of op5's result doesn't depend on the model: the fold, and which texts have no letter."""
+    rows = op5_language_id(spark, sf_dir)
+    return rows.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("no_letter"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def lm_base_scores(spark, sf_dir):
+    """op8's counts and word baseline; its score is the model's."""
+    return op8_suffix_tree_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+def mix_targets(spark, sf_dir):
+    """What of op10's result isn't drawn: sizes and targets, whether a document keeps its limit, and whether each source is as near its target as its greatest document."""
+    rows = op10_mix_sources(spark, sf_dir)
+    by = rows.groupBy("source_size", "target").agg(F.sum("taken").alias("all"), F.max("size").alias("most"), F.count("*").alias("n"))
+    near = by.select("source_size", "target", (F.abs(F.col("all") - F.col("target")) <= F.col("most")).alias("near"))
+    return rows.join(near, ["source_size", "target"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "near")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, personal_data_base, language_folds, lm_base_scores, mix_targets)}
+
+
+
+def _crc(x: str) -> str:
+    """CRC-32 of a number's digits: a bit at a time, a byte's value before its eight shifts (-1)."""
+    steps = f"flatten(list_transform(range(1, length({x}::VARCHAR) + 1), lambda i: [CAST(ascii(substr({x}::VARCHAR, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295, list_reduce({steps}, lambda acc, s: CASE WHEN s >= 0 THEN xor(acc, s) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, CAST(4294967295 AS BIGINT)))"
+
+
+def _spans(kind: int, pattern: str, test: str) -> str:
+    """(doc_id, s, kind, e) of a rule: matches and what lies between them give the places."""
+    return f"""SELECT doc_id, s, {kind} AS kind, e FROM (SELECT doc_id, m, CAST(coalesce(sum(length(g) + length(m)) OVER w, 0) + length(g) AS BIGINT) AS s, CAST(coalesce(sum(length(g) + length(m)) OVER w, 0) + length(g) + length(m) AS BIGINT) AS e
+  FROM (SELECT doc_id, unnest(ms) AS m, unnest(list_slice(gs, 1, len(ms))) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d) WHERE len(ms) > 0)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) // 10 + (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) % 10 ELSE CAST(substr({_DIGITS}, i, 1) AS INT) END)) % 10 = 0"
+_WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+_LOW = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLES = {
+    "personal_data_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (
+{_spans(0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')} UNION ALL
+{_spans(1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS BIGINT) > 255)) = 0")} UNION ALL
+{_spans(2, '[0-9](?:[ -]?[0-9])+', f'length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}')} UNION ALL
+{_spans(3, '[+][0-9][ ().0-9-]+[0-9]', f'length({_DIGITS}) BETWEEN 10 AND 15')}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  string_agg((['email', 'ip', 'card', 'phone'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS x FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "language_folds": f"""SELECT doc_id, {_crc('doc_id')} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS no_letter, true AS in_range FROM documents""",
+    "lm_base_scores": f"""WITH d AS (SELECT doc_id, {_crc('doc_id')} % 5 = 1 AS held_out, list_append(coalesce({_LOW}, []), chr(10)) AS l FROM documents), t AS (SELECT doc_id, held_out, unnest(l) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (x) CROSS JOIN n GROUP BY doc_id""",
+    "mix_targets": f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(coalesce({_WORDS}, [])) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+r AS (SELECT 0 AS step, source, source_size, w, false AS capped, 0.0::DOUBLE AS unit FROM s
+  UNION ALL SELECT step + 1, source, source_size, w, capped OR w * u > 3 * source_size, u FROM (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) FILTER (capped) OVER (), 0)) / sum(w) FILTER (NOT capped) OVER () AS u FROM r) WHERE step < 12 AND u IS NOT NULL),
+e AS (SELECT * FROM r WHERE step = (SELECT max(step) FROM r))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE w * unit END, 6) AS target, true AS within, true AS near FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source""",
     "op9_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
