@@ -45,7 +45,7 @@ RECALL = 0.99999
 WIDE = 2.0
 WINDOW = 0.4
 COUNTED = 32
-BLOCK = 768
+BLOCK = 320
 #: Up to this size a group's pairs are looked at all together with those of other groups.
 SMALL = 48
 
