@@ -42,8 +42,11 @@ SLOTS = 512
 ROWS = 8
 #: Documents of a block; two blocks meet in a group.
 FAN = 256
+FAN_SHINGLES = 1 << 18
 #: Ids that are broadcast to pick texts; with more, a shuffle join does it.
 MOST_IDS = 2_000_000
+#: Components that are broadcast with their ids, some 20 bytes each.
+BROAD = 100_000
 
 
 # ------------------------------------------------------------------ signatures
@@ -139,36 +142,41 @@ def _compared(batches, width: int, percent: int, pivot: bool):
     side 0, and the number of shingles that they share.
     """
     held: list[tuple[np.ndarray, int, int]] = []
-    last = None
+    last, found = None, []
 
     def done() -> pa.RecordBatch:
         sets, ids, side = [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
-        if pivot:
-            one = int(np.flatnonzero(side == 0)[0])
-            rest = np.flatnonzero(side == 1)
-            if not len(rest):  # a block may get nothing by the hash
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["a", "b", "same"])
-            every = np.concatenate([sets[i] for i in rest])
-            hit = sets[one][np.minimum(np.searchsorted(sets[one], every), len(sets[one]) - 1)] == every
-            same = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum([len(sets[i]) for i in rest])[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(np.full(len(rest), ids[one])), pa.array(same)], ["a", "b", "same"])
         least = _joined(sets, ids, side, percent)
         some = least != ids
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some]), pa.array(np.zeros(some.sum(), np.int64))], ["a", "b", "same"])
+        return _links(ids[some], least[some], np.zeros(some.sum(), np.int64))
 
     for b in batches:
         groups, ids, side = (b.column(c).to_pylist() for c in ("grp", "node", "side"))
         for part in texts(b.column("text")):
             for i, s in enumerate(shingle_sets(part, width), part.first):
+                if pivot:  # it comes first in its group, and only it is held
+                    if side[i] == 0:
+                        held = [(s, ids[i], 0)]
+                    else:
+                        one = held[0][0]
+                        found.append((ids[i], held[0][1], int(np.count_nonzero(one[np.minimum(np.searchsorted(one, s), len(one) - 1)] == s))))
+                    continue
                 if held and groups[i] != last:
                     yield done()
                     held = []
                 last = groups[i]
                 held.append((s, ids[i], side[i]))
-    if held:
+        if found:
+            yield _links(*(np.array(c, np.int64) for c in zip(*found, strict=True)))
+            found = []
+    if held and not pivot:
         yield done()
 
 
+def _links(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], ["a", "b", "same"])
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of ``nodes`` (node, rid, th): a text is found by its row's id and its hash; of rows alike one text."""
     nodes = nodes.select("node", "rid", F.col("th").alias("h"))
@@ -188,7 +196,7 @@ class _Work:
     def compare(self, rows: DataFrame, pivot: bool = False) -> DataFrame:
         """(a, b, same) of ``rows`` (grp, task, node, side), as ``_compared`` has it."""
         rows = stored(rows, "dedup-groups")
-        dealt = rows.join(self.texts, "node").repartitionById(self.n, "task").sortWithinPartitions("grp", "node").select("grp", "node", "side", "text")
+        dealt = rows.join(self.texts, "node").repartitionById(self.n, "task").sortWithinPartitions("grp", "side", "node").select("grp", "node", "side", "text")
         return stored(dealt.mapInArrow(functools.partial(_compared, width=self.width, percent=self.percent, pivot=pivot), "a long, b long, same long"), "dedup-links")
 
     def task(self, of: str, place: Column) -> Column:
@@ -197,7 +205,7 @@ class _Work:
 
     def measured(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         """(node, whole, size, far) of ``pairs`` (node, whole): the node's size, and its distance to the node ``whole``."""
-        cells = pairs.groupBy("whole").agg(_cells_of("node").alias("cells"))
+        cells = pairs.groupBy("whole").agg(F.ceil(F.count("*") / FAN).cast("int").alias("cells"))  # one text is held at a time
         one = cells.select("whole", F.col("whole").alias("node"), _to("cells").alias("i"), F.lit(0).alias("side"))
         two = pairs.join(cells, "whole").select("whole", "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("i"), F.lit(1).alias("side"))
         rows = one.unionByName(two).select(F.xxhash64("whole", "i").alias("grp"), self.task("whole", F.col("i")).alias("task"), "node", "side")
@@ -215,8 +223,8 @@ class _Work:
         return F.floor(F.col(far) / (1 - self.percent / 100 + 1e-6)).cast("int")
 
     def grid(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
-        """Groups in which each ``node`` of ``outside`` (of, node) meets all of ``inside`` (of, node) with the same ``of``."""
-        cells = outside.groupBy("of").agg(_cells_of("node").alias("across")).join(inside.groupBy("of").agg(_cells_of("node").alias("down")), "of")
+        """Groups in which each ``node`` of ``outside`` (of, node, size) meets all of ``inside`` with the same ``of``."""
+        cells = outside.groupBy("of").agg(_cells().alias("across")).join(inside.groupBy("of").agg(_cells().alias("down")), "of")
         one = inside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "down").cast("int").alias("i"), _to("across").alias("j"), F.lit(0).alias("side"))
         two = outside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "across").cast("int").alias("j"), _to("down").alias("i"), F.lit(1).alias("side"))
         return one.unionByName(two).select(F.xxhash64("of", "i", "j").alias("grp"), self.task("of", F.col("i") * F.col("across") + F.col("j")).alias("task"), "node", "side")
@@ -232,19 +240,19 @@ class _Work:
         direct = others.where("linked").select(F.col("node").alias("a"), F.col("whole").alias("b"))
         beside = lambda c: F.explode(F.sequence(c - 1, c + 1))
         place = F.xxhash64("whole", "sb", "db").alias("of")
-        inside = mine.unionByName(pivots).select("node", "whole", self.band("size").alias("sb"), self.ring("far").alias("db")).select(place, "node")
-        outside = others.where("not linked").select("node", "whole", beside(self.band("size")).alias("sb"), self.ring("far").alias("d")).select("node", "whole", "sb", beside(F.col("d")).alias("db")).select(place, "node")
+        inside = mine.unionByName(pivots).select("node", "whole", self.band("size").alias("sb"), self.ring("far").alias("db"), "size").select(place, "node", "size")
+        outside = others.where("not linked").select("node", "whole", "size", beside(self.band("size")).alias("sb"), self.ring("far").alias("d")).select("node", "whole", "size", "sb", beside(F.col("d")).alias("db")).select(place, "node", "size")
         return direct.unionByName(self.compare(self.grid(outside, inside)).select("a", "b"))
 
     def among(self, live: DataFrame) -> DataFrame:
         """Edges among the members of each bucket of ``live`` (key, node, size): those of one size band, and those of neighbouring ones."""
-        banded = stored(live.select("key", "node", self.band("size").alias("sb")), "dedup-banded")
-        cells = banded.groupBy("key", "sb").agg(_cells_of("node").alias("cells"), F.count("*").alias("n")).where("n > 1")
+        banded = stored(live.select("key", "node", "size", self.band("size").alias("sb")), "dedup-banded")
+        cells = banded.groupBy("key", "sb").agg(_cells().alias("cells"), F.count("*").alias("n")).where("n > 1")
         placed = banded.join(cells, ["key", "sb"]).select(F.xxhash64("key", "sb").alias("of"), "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("own"), _to("cells").alias("other"))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         low, high = F.least("own", "other"), F.greatest("own", "other")
         same = placed.select(F.xxhash64("of", low, high).alias("grp"), self.task("of", F.floor(high * (high + 1) / 2) + low).alias("task"), "node", side.alias("side"))
-        next_ = self.grid(banded.select(F.xxhash64("key", F.col("sb") - 1, F.lit("next")).alias("of"), "node"), banded.select(F.xxhash64("key", "sb", F.lit("next")).alias("of"), "node"))
+        next_ = self.grid(banded.select(F.xxhash64("key", F.col("sb") - 1, F.lit("next")).alias("of"), "node", "size"), banded.select(F.xxhash64("key", "sb", F.lit("next")).alias("of"), "node", "size"))
         return self.compare(same.unionByName(next_)).select("a", "b")
 
 
@@ -252,8 +260,9 @@ def _to(cells: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(cells) - 1))
 
 
-def _cells_of(column: str) -> Column:
-    return F.ceil(F.count(column) / FAN).cast("int")
+def _cells() -> Column:
+    """Blocks of at most about FAN sets and FAN_SHINGLES of their elements; a larger set is a block of its own."""
+    return F.greatest(F.ceil(F.count("*") / FAN), F.ceil(F.sum("size") / FAN_SHINGLES)).cast("int")
 
 
 # ------------------------------------------------------------------ components
@@ -266,18 +275,26 @@ def components(edges: DataFrame) -> DataFrame:
     steps grows with the logarithm of the longest path. The tables are cut each step and never leave the executors.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "dedup-edges")
+    large = max(1000, both.count() // BROAD)
+    hubs = stored(both.groupBy("b").count().where(F.col("count") > large).select("b"), "dedup-hubs")  # at most BROAD, and so are their labels
+    few, some = both.join(F.broadcast(hubs), "b", "left_anti"), both.join(F.broadcast(hubs), "b", "left_semi")
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).select(F.col("a").alias("node"), "component"), "dedup-labels")
+    any_hub = not hubs.isEmpty()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("best"))
+        seen = few.join(labels, few["b"] == labels["node"]).select("a", "component")
+        if any_hub:
+            known = labels.join(F.broadcast(hubs), labels["node"] == hubs["b"], "left_semi").select(F.col("node").alias("b"), "component")
+            seen = seen.unionByName(some.join(F.broadcast(known), "b").select("a", "component"))
+        near = seen.groupBy("a").agg(F.min("component").alias("near"))
+        step = stored(labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("best")), "dedup-step")
         # only labels that have a lower one themselves jump, each of them once; so the nodes of one large component aren't sent to one place
         lower = labels.where("component < node").select(F.col("node").alias("best"), F.col("component").alias("far"))
-        jump = step.select("best").distinct().join(lower, "best")
-        new = step.join(jump, "best", "left").select("node", F.col("component").alias("old"), F.least("best", "far").alias("component"))
-        new = stored(new, "dedup-labels")
-        release(labels)
+        jump = stored(step.select("best").distinct().join(lower, "best"), "dedup-jumps")
+        new = step.join(F.broadcast(jump) if jump.limit(MOST_IDS + 1).count() <= MOST_IDS else jump, "best", "left")
+        new = stored(new.select("node", F.col("component").alias("old"), F.least("best", "far").alias("component")), "dedup-labels")
+        release(labels, step, jump)
         if new.where("old <> component").isEmpty():
-            release(both)
+            release(both, hubs)
             return new.select("node", "component")
         labels = new
 
@@ -312,6 +329,20 @@ def _linked(members: DataFrame, work: _Work) -> DataFrame | None:
     return labels if rest.isEmpty() else components(links.unionByName(work.among(rest)))
 
 
+def _named(names: DataFrame, n: int) -> DataFrame:
+    """(h, l, component_id) of ``names`` (h, l, node, rid, component): the least id of its component.
+
+    The largest components, at most BROAD of them, are broadcast; so no task of the join holds more than a BROAD-th of all classes.
+    """
+    large = max(1000, n // BROAD)
+    least = names.groupBy("component").agg(F.min("rid").alias("least"), F.count("*").alias("n"))
+    big = least.where(F.col("n") > large).select(F.col("component").alias("b"), F.col("least").alias("of_big"), F.lit(True).alias("is_big"))
+    names = names.join(F.broadcast(big), names["component"] == F.col("b"), "left")
+    names = names.withColumn("k", F.when(F.col("is_big"), -1 - F.col("node")).otherwise(F.col("component")))
+    rest = least.where(F.col("n") <= large).select(F.col("component").alias("k"), F.col("least").alias("of_rest"))
+    return names.join(rest, "k", "left").select("h", "l", F.when(F.col("is_big"), F.col("of_big")).otherwise(F.col("of_rest")).alias("component_id"))
+
+
 def _relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
     new = labels.withColumnRenamed("component", "new")
     return live.join(new, "node", "left").select("key", "node", "size", F.coalesce("new", "component").alias("component"))
@@ -341,8 +372,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = _linked(members, _Work(texts_, width, percent))
     names = reps.select(F.col("high").alias("h"), F.col("low").alias("l"), "node", "rid")
     names = names.withColumn("component", F.col("node")) if found is None else names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = names.groupBy("component").agg(F.min("rid").alias("component_id"))
-    names = names.join(least, "component").select("h", "l", "component_id")
+    names = _named(names, reps.count())
     out = signed.drop("keys").join(names, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     kept: Column = F.coalesce(F.col("doc_id") == component, F.lit(False))
