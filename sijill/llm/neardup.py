@@ -43,7 +43,7 @@ ROWS = 8
 #: Documents of a block; two blocks meet in a group.
 FAN = 256
 FAN_SHINGLES = 1 << 18
-#: Ids that are broadcast to pick texts; with more, a shuffle join does it.
+#: Rows of a table of ids or groups that is broadcast, some 30 bytes each; with more, a shuffle join does it.
 MOST_IDS = 2_000_000
 #: Components that are broadcast with their ids, some 20 bytes each.
 BROAD = 100_000
@@ -186,6 +186,11 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min("text").alias("text"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table of a row a group, broadcast if it has at most MOST_IDS rows: then no group's rows are sent to one place."""
+    return F.broadcast(table) if table.limit(MOST_IDS + 1).count() <= MOST_IDS else table
+
+
 class _Work:
     """What all steps share: the texts of the classes in buckets, and the shingles' width and the similarity."""
 
@@ -205,7 +210,7 @@ class _Work:
 
     def measured(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         """(node, whole, size, far) of ``pairs`` (node, whole): the node's size, and its distance to the node ``whole``."""
-        cells = pairs.groupBy("whole").agg(F.ceil(F.count("*") / FAN).cast("int").alias("cells"))  # one text is held at a time
+        cells = _small(stored(pairs.groupBy("whole").agg(F.ceil(F.count("*") / FAN).cast("int").alias("cells")), "dedup-cells"))  # one text is held at a time
         one = cells.select("whole", F.col("whole").alias("node"), _to("cells").alias("i"), F.lit(0).alias("side"))
         two = pairs.join(cells, "whole").select("whole", "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("i"), F.lit(1).alias("side"))
         rows = one.unionByName(two).select(F.xxhash64("whole", "i").alias("grp"), self.task("whole", F.col("i")).alias("task"), "node", "side")
@@ -224,14 +229,14 @@ class _Work:
 
     def grid(self, outside: DataFrame, inside: DataFrame) -> DataFrame:
         """Groups in which each ``node`` of ``outside`` (of, node, size) meets all of ``inside`` with the same ``of``."""
-        cells = outside.groupBy("of").agg(_cells().alias("across")).join(inside.groupBy("of").agg(_cells().alias("down")), "of")
+        cells = _small(stored(outside.groupBy("of").agg(_cells().alias("across")).join(inside.groupBy("of").agg(_cells().alias("down")), "of"), "dedup-cells"))
         one = inside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "down").cast("int").alias("i"), _to("across").alias("j"), F.lit(0).alias("side"))
         two = outside.join(cells, "of").select("of", "node", "across", F.pmod(F.xxhash64("node"), "across").cast("int").alias("j"), _to("down").alias("i"), F.lit(1).alias("side"))
         return one.unionByName(two).select(F.xxhash64("of", "i", "j").alias("grp"), self.task("of", F.col("i") * F.col("across") + F.col("j")).alias("task"), "node", "side")
 
     def against(self, work: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
         """Edges (a, b) by which the nodes of ``work`` (whole, node) are joined to members of component ``whole``."""
-        wholes = work.select("whole").distinct()
+        wholes = _small(stored(work.select("whole").distinct(), "dedup-wholes"))
         members = labels.withColumnRenamed("component", "whole").join(wholes, "whole", "left_semi").where("node <> whole").select("node", "whole")
         found = stored(self.measured(work.select("node", "whole").unionByName(members), sizes), "dedup-measured")
         mine = found.join(members, ["node", "whole"], "left_semi").select("node", "whole", "size", "far")
@@ -247,7 +252,7 @@ class _Work:
     def among(self, live: DataFrame) -> DataFrame:
         """Edges among the members of each bucket of ``live`` (key, node, size): those of one size band, and those of neighbouring ones."""
         banded = stored(live.select("key", "node", "size", self.band("size").alias("sb")), "dedup-banded")
-        cells = banded.groupBy("key", "sb").agg(_cells().alias("cells"), F.count("*").alias("n")).where("n > 1")
+        cells = _small(stored(banded.groupBy("key", "sb").agg(_cells().alias("cells"), F.count("*").alias("n")).where("n > 1"), "dedup-cells"))
         placed = banded.join(cells, ["key", "sb"]).select(F.xxhash64("key", "sb").alias("of"), "node", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("own"), _to("cells").alias("other"))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -290,7 +295,7 @@ def components(edges: DataFrame) -> DataFrame:
         # only labels that have a lower one themselves jump, each of them once; so the nodes of one large component aren't sent to one place
         lower = labels.where("component < node").select(F.col("node").alias("best"), F.col("component").alias("far"))
         jump = stored(step.select("best").distinct().join(lower, "best"), "dedup-jumps")
-        new = step.join(F.broadcast(jump) if jump.limit(MOST_IDS + 1).count() <= MOST_IDS else jump, "best", "left")
+        new = step.join(_small(jump), "best", "left")
         new = stored(new.select("node", F.col("component").alias("old"), F.least("best", "far").alias("component")), "dedup-labels")
         release(labels, step, jump)
         if new.where("old <> component").isEmpty():
