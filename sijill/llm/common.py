@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sijill.session import ship
 
 #: Bytes of text that numpy works on at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Java's and Python's spelling of what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
