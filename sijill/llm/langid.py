@@ -97,7 +97,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str], seed: int = 7) -> Model:
-    """``rows``: buckets and counts of each text. A fifth of the rows calibrates, the rest trains."""
+    """``rows``: buckets and counts of each text, in their stored width. A fifth of the rows calibrates, the rest trains."""
     rng = np.random.default_rng(seed)
     k = len(langs)
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
@@ -105,25 +105,30 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     out[: min(DIM, k), : min(DIM, k)] += np.eye(DIM, k)[: min(DIM, k), : min(DIM, k)] * 0.1
     order = rng.permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
-    weight = [c / max(c.sum(), 1) for _, c in rows]
+
+    def weight(i: int) -> np.ndarray:  # made anew each time: kept, they would take four times the sample
+        c = rows[i][1].astype(float)
+        return c / max(c.sum(), 1)
+
     steps, step = EPOCHS * max(1, -(-len(used) // 16)), 0
     for _ in range(EPOCHS):
         used = rng.permutation(used)
         for j in range(0, len(used), 16):
             some = used[j : j + 16]
-            hidden = np.stack([weight[i] @ embed[rows[i][0]] for i in some])
+            weights = [weight(i) for i in some]
+            hidden = np.stack([w @ embed[rows[i][0]] for i, w in zip(some, weights, strict=True)])
             error = _softmax(hidden @ out + bias)
             error[np.arange(len(some)), labels[some]] -= 1
             rate = RATE * (1 - step / steps)
             back = error @ out.T
             out -= rate * hidden.T @ error
             bias -= rate * 0.1 * error.mean(0)
-            for i, b in zip(some, back, strict=True):
-                embed[rows[i][0]] -= (rate * 20) * weight[i][:, None] * b
+            for i, w, b in zip(some, weights, back, strict=True):
+                embed[rows[i][0]] -= (rate * 20) * w[:, None] * b
             step += 1
     temperature, threshold = 1.0, LEAST
     if len(held):
-        logits = np.stack([weight[i] @ embed[rows[i][0]] for i in held]) @ out + bias
+        logits = np.stack([weight(i) @ embed[rows[i][0]] for i in held]) @ out + bias
         truth = labels[held]
 
         def loss(t: float) -> float:
@@ -184,7 +189,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = [r for r in rows if r["keys"]]
     if not rows:
         return None
-    found = [(np.frombuffer(r["keys"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint16).astype(float)) for r in rows]
+    found = [(np.frombuffer(r["keys"], np.uint16), np.frombuffer(r["counts"], np.uint16)) for r in rows]
     number = {lang: i for i, lang in enumerate(langs)}
     return train(found, np.array([number[r["lang"]] for r in rows]), langs)
 
