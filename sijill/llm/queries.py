@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sijill.llm import decontaminate, embdedup, html, langid, lmscore, mixing, neardup, pii, quality, secrets
-from sijill.llm.common import read
+from sijill.llm import decontaminate, embdedup, html, langid, lmscore, merkle, mixing, neardup, pii, quality, secrets
+from sijill.llm.common import fold, read
 
 
 def op1_decontamination(spark, sf_dir):
@@ -49,6 +49,11 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and proof of each document; those whose id's crc32 is divisible by 7 are tampered with before their path is folded."""
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=fold("doc_id", 7) == 0)
+
+
 def personal_data_base(spark, sf_dir):
     """What the fixed rules say of op4's result; its other spans are the model's."""
     return op4_personal_data(spark, sf_dir).drop("spans")
@@ -73,7 +78,7 @@ def mix_targets(spark, sf_dir):
     return rows.join(near, ["source_size", "target"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "near")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, personal_data_base, language_folds, lm_base_scores, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, personal_data_base, language_folds, lm_base_scores, mix_targets)}
 
 
 
@@ -95,7 +100,39 @@ _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CAS
 _WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
 _LOW = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _leaf(n_chars: str) -> str:
+    """A document's digest; a value is its length in bytes and itself."""
+    said = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x} END"
+    return f"sha256({' || '.join(said(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """``name`` (lvl, key, i, h, n): all nodes over ``leaves`` (key, i, h, n), level by level."""
+    return f"""{name} AS (SELECT 0 AS lvl, {key}, i, h, n FROM {leaves}
+  UNION ALL SELECT lvl + 1, {key}, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY lvl, {key}, i // 2, n)"""
+
+
+def _way(tree: str, leaves: str, key: str) -> str:
+    """(key, i, way): for each leaf its siblings with their side, N where it has none."""
+    return f"""SELECT o.{key}, o.i, list(CASE WHEN t.h IS NULL THEN 'N' WHEN (o.i >> o.lvl) & 1 = 1 THEN 'L' || t.h ELSE 'R' || t.h END ORDER BY o.lvl) AS way
+  FROM (SELECT {key}, i, unnest(range(0, m)) AS lvl FROM {leaves} JOIN (SELECT {key} AS k, max(lvl) AS m FROM {tree} GROUP BY 1) ON k IS NOT DISTINCT FROM {key}) o
+  LEFT JOIN {tree} t ON t.{key} IS NOT DISTINCT FROM o.{key} AND t.lvl = o.lvl AND t.i = xor(o.i >> o.lvl, 1) GROUP BY o.{key}, o.i"""
+
+
 ORACLES = {
+    "op11_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS h, CASE WHEN {_crc('doc_id')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_tree('t', 'l', 'lang')},
+s AS (SELECT 0 AS one, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree('u', 's', 'one')},
+low AS ({_way('t', 'l', 'lang')}),
+high AS ({_way('u', 's', 'one')}),
+a AS (SELECT l.doc_id, l.h AS leaf, l.changed, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(low.way, []), coalesce(high.way, [])) AS way
+  FROM l LEFT JOIN low ON low.lang IS NOT DISTINCT FROM l.lang AND low.i = l.i JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN high ON high.i = s.i),
+p AS (SELECT *, list_reduce(way, lambda acc, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || acc) WHEN 'R' THEN sha256(acc || x[2:]) ELSE sha256(acc) END, changed) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM p""",
     "personal_data_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (
 {_spans(0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')} UNION ALL
 {_spans(1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS BIGINT) > 255)) = 0")} UNION ALL
