@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sijill.llm import decontaminate, embdedup, html, langid, lmscore, merkle, mixing, neardup, pii, quality, secrets
+from sijill.llm import decontaminate, embdedup, html, langid, lmscore, merkle, mixing, neardup, pii, quality, secrets, toxicity
 from sijill.llm.common import fold, read
 
 
@@ -54,6 +54,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(read(spark, sf_dir, "documents"), tampered=fold("doc_id", 7) == 0)
 
 
+def op12_toxicity(spark, sf_dir):
+    """A score for each document, learned from the labelled ones that aren't held out."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def personal_data_base(spark, sf_dir):
     """What the fixed rules say of op4's result; its other spans are the model's."""
     return op4_personal_data(spark, sf_dir).drop("spans")
@@ -78,7 +83,7 @@ def mix_targets(spark, sf_dir):
     return rows.join(near, ["source_size", "target"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "near")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, personal_data_base, language_folds, lm_base_scores, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, op12_toxicity, personal_data_base, language_folds, lm_base_scores, mix_targets)}
 
 
 
