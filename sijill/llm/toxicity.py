@@ -40,6 +40,8 @@ MOST = 100_000
 LEAST_ROWS, LEAST_RATIO, BEGINNINGS = 4, 16.0, range(3, 11)
 #: An exception phrase's least clean rows, and the greatest share of toxic ones among its rows.
 LEAST_CLEAN, MOST_TOXIC = 3, 0.05
+#: One in so many clean rows is counted first, which most entries fail by.
+SCREEN = 16
 #: Powers of the number of words among which the fit chooses, and its penalty.
 POWERS, PENALTY = (0.1, 0.2, 0.35, 0.5, 0.75, 1.0), 1.0
 #: Characters of a text that are worked on at a time.
@@ -218,6 +220,16 @@ def _counted(batches, known=None):
     yield _counts(counts)
 
 
+def _met(batches, shared):
+    """As ``_counted``, for few entries: found by the automaton."""
+    auto = shared.value.automaton
+    for b in batches:
+        counts: Counter = Counter()
+        for line in b.column("line").to_pylist() if shared.value.weights else ():
+            counts.update({e for _, e in auto.iter(line)})
+        yield _counts(counts)
+
+
 def _counts(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
@@ -264,10 +276,10 @@ def _summed(batches, shared):
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([w for w, _ in rows], pa.float64()), pa.array([n for _, n in rows], pa.int64())], ["toxic", "weight", "words"])
 
 
-def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[tuple[float, str, float]]:
-    """(likelihood ratio, entry, weight) of the entries that are more frequent among toxic rows than chance explains."""
+def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, n_tried: int) -> list[tuple[float, str, float]]:
+    """(likelihood ratio, entry, weight) of the entries that are more frequent among toxic rows than chance among ``n_tried`` explains."""
     share, found = n_toxic / (n_toxic + n_clean), []
-    least = max(LEAST_RATIO, 2 * math.log(len(toxic) or 1))
+    least = max(LEAST_RATIO, 2 * math.log(n_tried or 1))
     for entry, a in toxic.items():
         b = clean.get(entry, 0)
         if a <= max(share, 0.5) * (a + b):
@@ -311,21 +323,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         release(rows)
         return Model({}, set())
 
-    def count(toxic: int, least: int, known=None) -> dict[str, int]:
-        found = rows.where(F.col("toxic") == toxic).select("line").mapInArrow(functools.partial(_counted, known=known), "entry string, n long")
-        return {r["entry"]: r["n"] for r in found.groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
-
-    toxic = count(1, LEAST_ROWS)
-    some = telling(toxic, count(0, 1, spark.sparkContext.broadcast(frozenset(toxic))), sizes[1], sizes[0])
-    sets = rows.select("toxic", "line").mapInArrow(functools.partial(_placed, shared=spark.sparkContext.broadcast(Model({e: w for _, e, w in some}, set()))), "entry string, toxic int, near long, n long")
+    count = lambda found, least: {r["entry"]: r["n"] for r in found.groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+    share = lambda x: spark.sparkContext.broadcast(x)
+    clean = rows.where("toxic = 0").select("line")
+    toxic = count(rows.where("toxic = 1").select("line").mapInArrow(_counted, "entry string, n long"), LEAST_ROWS)
+    # an entry that fails by its toxic rows alone, or by a part of the clean ones, fails by all of them too
+    some = {e: toxic[e] for _, e, _ in telling(toxic, {}, sizes[1], sizes[0], len(toxic))}
+    part = clean.where(F.pmod(F.xxhash64("line"), F.lit(SCREEN)) == 0).mapInArrow(functools.partial(_counted, known=share(frozenset(some))), "entry string, n long")
+    some = {e: toxic[e] for _, e, _ in telling(some, count(part, 1), sizes[1], sizes[0], len(toxic))}
+    whole = clean.mapInArrow(functools.partial(_met, shared=share(Model(some, set()))), "entry string, n long")
+    some = telling(some, count(whole, 1), sizes[1], sizes[0], len(toxic))
+    sets = rows.select("toxic", "line").mapInArrow(functools.partial(_placed, shared=share(Model({e: w for _, e, w in some}, set()))), "entry string, toxic int, near long, n long")
     sets = sets.groupBy("entry", "toxic", "near").agg(F.sum("n").cast("double").alias("n")).groupBy("entry", "toxic").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("n"))
     sets = {(r["entry"], r["toxic"]): r["n"] for r in sets.collect()}
-    weights = lexicon(telling(*({e: sets[e, k] for _, e, _ in some if (e, k) in sets} for k in (1, 0)), sizes[1], sizes[0]))
-    first = spark.sparkContext.broadcast(Model(weights, set()))
+    weights = lexicon(telling(*({e: sets[e, k] for _, e, _ in some if (e, k) in sets} for k in (1, 0)), sizes[1], sizes[0], len(toxic)))
+    first = share(Model(weights, set()))
     pairs = rows.select("toxic", "text").mapInArrow(functools.partial(_phrased, shared=first), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     phrases = {r["phrase"] for r in pairs.where((F.col("n") - F.col("a") >= LEAST_CLEAN) & (F.col("a") <= MOST_TOXIC * F.col("n"))).collect()}
     model = Model(weights, phrases - weights.keys())
-    sums = rows.select("toxic", "text").mapInArrow(functools.partial(_summed, shared=spark.sparkContext.broadcast(model)), "toxic int, weight double, words long").toPandas()
+    sums = rows.select("toxic", "text").mapInArrow(functools.partial(_summed, shared=share(model)), "toxic int, weight double, words long").toPandas()
     release(rows)
     model.power, model.slope, model.base = fitted(sums["weight"].to_numpy(), sums["words"].to_numpy(float), sums["toxic"].to_numpy(float))
     return model
