@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sijill.llm import decontaminate, embdedup, html, langid, lmscore, merkle, mixing, neardup, pii, quality, secrets, toxicity
+from sijill.llm import decontaminate, embdedup, html, langid, lmscore, merkle, mixing, neardup, pii, quality, search, secrets, toxicity
 from sijill.llm.common import fold, read
 
 
@@ -59,6 +59,11 @@ def op12_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_ranked_search(spark, sf_dir):
+    """The 20 best documents of each benchmark item."""
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def personal_data_base(spark, sf_dir):
     """What the fixed rules say of op4's result; its other spans are the model's."""
     return op4_personal_data(spark, sf_dir).drop("spans")
@@ -83,7 +88,7 @@ def mix_targets(spark, sf_dir):
     return rows.join(near, ["source_size", "target"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "near")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, op12_toxicity, personal_data_base, language_folds, lm_base_scores, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, op12_toxicity, op13_ranked_search, personal_data_base, language_folds, lm_base_scores, mix_targets)}
 
 
 
@@ -103,6 +108,7 @@ def _spans(kind: int, pattern: str, test: str) -> str:
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) // 10 + (CAST(substr({_DIGITS}, i, 1) AS INT) * 2) % 10 ELSE CAST(substr({_DIGITS}, i, 1) AS INT) END)) % 10 = 0"
 _WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _LOW = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 
@@ -157,6 +163,13 @@ r AS (SELECT 0 AS step, source, source_size, w, false AS capped, 0.0::DOUBLE AS
   UNION ALL SELECT step + 1, source, source_size, w, capped OR w * u > 3 * source_size, u FROM (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) FILTER (capped) OVER (), 0)) / sum(w) FILTER (NOT capped) OVER () AS u FROM r) WHERE step < 12 AND u IS NOT NULL),
 e AS (SELECT * FROM r WHERE step = (SELECT max(step) FROM r))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE w * unit END, 6) AS target, true AS within, true AS near FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source""",
+    "op13_ranked_search": f"""WITH d AS (SELECT doc_id, {_TERMS} AS l FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(l) AS x, len(l)::BIGINT AS n FROM d),
+g AS (SELECT count(*)::BIGINT AS nn, sum(len(l))::BIGINT AS ll FROM d WHERE len(l) > 0),
+p AS (SELECT doc_id, x, count(*)::BIGINT AS tf, 75 + (25 * any_value(n) * any_value(nn)) // any_value(ll) AS m FROM t, g GROUP BY doc_id, x),
+w AS (SELECT x, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY x),
+i AS (SELECT item_id, x, count(*)::BIGINT AS c FROM (SELECT item_id, unnest({_TERMS}) AS x FROM benchmark) GROUP BY item_id, x),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM i JOIN w USING (x) JOIN p USING (x) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
     "op9_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
