@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sijill.functions import text as T
-from sijill.functions.segment import ratio
+from sijill.operators.names import similar
 
 # Fixed values of the citation grammar: an article's reference, kinds of regulation, and what may follow a name.
 _DIGITS = r"[0-9٠-٩]+(?:\s*/\s*[0-9٠-٩]+)?"
@@ -38,20 +38,17 @@ def _tagged(pattern: int):
 
 
 def resolve(names: DataFrame, titles: DataFrame, least: float = 0.5) -> DataFrame:
-    """The best title for each distinct name: 0.4 of the token overlap and 0.6 of the sequence ratio, ``least`` or more.
+    """The best title (title_id, title) for each distinct name: 0.4 of the token overlap and 0.6 of the sequence ratio, ``least`` or more.
 
-    ``titles`` (title_id, title) is a dimension table. Before the ratio is made, pairs go whose lengths and tokens
-    keep the score under ``least``; that bound is exact.
+    Names and titles are compared without a leading kind of regulation, alike ones once; of equal scores the least title_id wins.
+    Null names and titles, and those of a kind alone, match nothing.
     """
-    left = names.select("name").distinct().withColumn("_a", T.regulation_name("name"))
-    right = titles.select("title_id", "title").withColumn("_b", T.regulation_name("title"))
-    overlap = T.jaccard(T.word_tokens("_a"), T.word_tokens("_b"))
-    la, lb = F.length("_a"), F.length("_b")
-    bound = 0.4 * F.col("_j") + 1.2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
-    pairs = left.crossJoin(right).withColumn("_j", overlap).where(bound >= least)
-    scored = pairs.withColumn("match_score", 0.4 * F.col("_j") + 0.6 * ratio("_a", "_b")).where(F.col("match_score") >= least)
-    best = Window.partitionBy("name").orderBy(F.desc("match_score"), "title_id")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("name", "title_id", "title", F.round("match_score", 3).alias("match_score"))
+    left = names.select("name").distinct().withColumn("a", T.regulation_name("name"))
+    right = titles.select("title_id", "title", T.regulation_name("title").alias("b")).where("title_id is not null")
+    right = right.groupBy("b").agg(F.min(F.struct("title_id", "title")).alias("t"))
+    scored = similar(left, right, least).join(right, "b")
+    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "t")).alias("x"))
+    return left.join(best, "a").select("name", "x.t.title_id", "x.t.title", F.round(-F.col("x.s"), 3).alias("match_score"))
 
 
 def with_confidence(found: DataFrame, resolved: DataFrame) -> DataFrame:
