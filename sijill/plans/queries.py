@@ -14,7 +14,7 @@ from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
 from sijill.operators import agentic, chat, citations, fragments, insights, ranking, training
-from sijill.session import ship
+from sijill.session import settled, ship
 from sijill.sources import extract
 
 QUERIES: dict = {}
@@ -422,6 +422,36 @@ def agentic_expand(spark, d):
     return ranking.expand(passed, later, ranking.Profile()).select("case_id", "reg_id", _r6("final_score").alias("final_score"))
 
 
+#: Strict enough that cases have gaps; the model's answers are made from the two benchmark items behind the hypothesis.
+_SPARSE = ranking.Profile(min_final=0.62)
+
+
+@query(f"""WITH RECURSIVE {_COMPOSITE}, pa AS (SELECT case_id, reg_id, round(final_score, 6) AS final_score FROM fi WHERE round(final_score, 6) >= 0.62::DOUBLE AND strong_support_count >= 1 AND has_case_support),
+gq AS (SELECT c.case_id * 10 + b.item_id - c.case_id - 8 AS id, c.case_id, b.item_id - c.case_id - 8 AS round, b.text FROM c JOIN benchmark b ON b.item_id IN (c.case_id + 9, c.case_id + 10)
+  JOIN (SELECT case_id, count(*) AS n FROM pa GROUP BY case_id) USING (case_id) WHERE n < 15 AND length(trim(b.text)) >= 5),
+{_embed('g', 'gq', 'id', 'text')}, sg AS ({_pairs('g', 'u')}),
+bu AS (SELECT gq.case_id, gq.round, un.reg_id, un.unit_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY gq.case_id, gq.round, un.reg_id ORDER BY round(score, 6) DESC, un.unit_pos) AS r FROM sg JOIN gq ON gq.id = sg.l JOIN un ON un.id = sg.r),
+ca AS (SELECT * FROM (SELECT bu.case_id, round, bu.reg_id, unit_pos, score, 0.55::DOUBLE * score + 0.1::DOUBLE * cs.category_prior AS final_score FROM bu JOIN cs ON cs.case_id = bu.case_id AND cs.reg_id = bu.reg_id WHERE r = 1)
+  WHERE score > 0 AND score >= 0.8::DOUBLE * 0.3::DOUBLE AND final_score >= 0.7::DOUBLE * 0.3::DOUBLE),
+st AS (SELECT case_id, 0 AS round, list(reg_id) AS seen, CAST([] AS BIGINT[]) AS new FROM pa GROUP BY case_id
+  UNION ALL SELECT case_id, round + 1, list_concat(any_value(seen), coalesce(list(reg_id) FILTER (fresh), [])), coalesce(list(reg_id) FILTER (fresh), [])
+  FROM (SELECT st.case_id, st.round, st.seen, ca.reg_id, ca.reg_id IS NOT NULL AND NOT list_contains(st.seen, ca.reg_id) AS fresh FROM st LEFT JOIN ca ON ca.case_id = st.case_id AND ca.round = st.round + 1) WHERE round < 2 GROUP BY case_id, round)
+SELECT case_id, reg_id, 0 AS round, final_score, CAST(NULL AS BIGINT) AS unit_pos FROM pa
+UNION ALL SELECT a.case_id, a.reg_id, CAST(a.round AS INTEGER), round(ca.final_score, 6), ca.unit_pos FROM (SELECT case_id, round, unnest(new) AS reg_id FROM st) a JOIN ca ON ca.case_id = a.case_id AND ca.round = a.round AND ca.reg_id = a.reg_id""")
+def agentic_rounds(spark, d):
+    """Two rounds after the strict ranking: prompts from what passed, answers, their queries against all units, anti-joined round by round."""
+    cases, frags, regs = _case_tables(spark, d)
+    units = _units(spark, d, regs)
+    scored = ranking.composite(ranking.features(ranking.compared(frags, units, _SPARSE), frags, _SPARSE), regs.select("reg_id", "category", "fallback"), cases, _SPARSE)
+    passed = settled(ranking.gate(scored.withColumn("final_score", _r6("final_score")), _SPARSE).select("case_id", "reg_id", "category", "final_score"))
+    asked = agentic.prompts(cases, passed.join(regs.select("reg_id", "title"), "reg_id").withColumnRenamed("final_score", "score"))
+    items = _t(spark, d, "benchmark").select((F.col("item_id") - F.col("item_id") % 50).alias("case_id"), (F.col("item_id") % 50).alias("i"), "text").where("i in (9, 10)")
+    said = items.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("refined_queries"))
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit(True).alias("has_gaps"), "refined_queries")), F.lit("\n```"))
+    queries = agentic.gap_queries(asked.join(said, "case_id", "left").withColumn("raw", raw))
+    return agentic.expanded(passed, queries, units, regs, cases, _SPARSE).withColumn("final_score", _r6("final_score"))
+
+
 # ------------------------------------------------------------------ insights
 
 

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,18 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(f"{folder}/{package.name}.zip")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that the session or its context names.
+
+    Where neither names one a temporary folder is set, but only on a local master: elsewhere each machine would write to its own disk.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sijill-"))
+    return df.checkpoint()
