@@ -13,7 +13,7 @@ from sijill.functions import blocks
 from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
-from sijill.operators import agentic, chat, citations, fragments, insights, ranking, training
+from sijill.operators import agentic, chat, citations, fragments, insights, layout, ranking, training
 from sijill.session import settled, ship
 from sijill.sources import extract
 
@@ -606,6 +606,33 @@ def _judged(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("وَفْقًا لِمَا جَاءَ فِي المَادَّة "), F.col("p_size"), F.lit(" من نظام العمل السعودي، وكذلك المادة "), F.col("p_size") + 1, F.lit(" من لائحة التنفيذ. والمادة ٧٥/١ "), F.col("p_brand")).alias("text"))
 
 
+#: Words of a part's name, twice, and of a judgment on a made page: three rows of six on a page, each a little off its line.
+_LAID = f"""w AS (SELECT p_partkey AS doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS w FROM (SELECT p_partkey, string_split(p_name || ' ' || p_name || ' ' || t.text, ' ') AS l FROM part JOIN ({_JUDGED}) t ON t.id = p_partkey)),
+d AS (SELECT doc_id, i // 18 AS page, i AS pos, 500 - (i % 6) * 80 + (doc_id + i) % 7 AS x0, 40 + (i % 18) // 6 * 14 + ((i * 7 + doc_id) % 5) * 0.5::DOUBLE - 1 AS top, w FROM w WHERE w <> ''),
+g AS (SELECT *, round_even(top / 5, 0) AS band, regexp_matches(w, '[\\x{{0600}}-\\x{{06FF}}]') AS rtl FROM d),
+f AS (SELECT *, bool_or(rtl) OVER (PARTITION BY doc_id, page, band) AS turn, CASE WHEN rtl THEN array_to_string([substr(nfc_normalize(w), k, 1) FOR k IN range(length(nfc_normalize(w)), 0, -1)], '') ELSE w END AS said FROM g),
+n AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY band) AS line, string_agg(said, ' ' ORDER BY CASE WHEN turn THEN -x0 ELSE x0 END, pos) AS text FROM f GROUP BY doc_id, page, band)"""
+
+
+def _laid(spark, d):
+    judged = _judged(spark, d).withColumnRenamed("id", "p_partkey")
+    words = F.split(F.concat_ws(" ", "p_name", "p_name", "text"), " ")
+    rows = _t(spark, d, "part").join(judged, "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.posexplode(words).alias("i", "text")).where("text <> ''")
+    i, key = F.col("i"), F.col("doc_id")
+    top = 40 + F.floor(i % 18 / 6) * 14 + (i * 7 + key) % 5 * 0.5 - 1
+    return rows.select("doc_id", F.floor(i / 18).alias("page"), i.cast("long").alias("pos"), (500 - i % 6 * 80 + (key + i) % 7).cast("double").alias("x0"), top.cast("double").alias("top"), "text")
+
+
+@query(f"WITH {_LAID} SELECT doc_id, page, line, text FROM n")
+def page_lines(spark, d):
+    return layout.page_lines(_laid(spark, d))
+
+
+@query(f"WITH {_LAID}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS text FROM n GROUP BY doc_id, page) SELECT doc_id, trim(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS text FROM p GROUP BY doc_id")
+def page_texts(spark, d):
+    return layout.page_texts(layout.page_lines(_laid(spark, d)))
+
+
 _AR = r"trim(regexp_replace(regexp_replace(translate({0}, 'آأإ', 'ااا'), '[\x{{064B}}-\x{{065F}}\x{{0670}}\x{{0640}}]', '', 'g'), '\s+', ' ', 'g'))"
 
 
