@@ -67,6 +67,6 @@ def write_stats(df: DataFrame, path: str) -> dict:
     return row
 
 
-def write_errors(df: DataFrame, path: str) -> None:
-    """Rows that a stage couldn't use, beside its output, as JSON lines; none are dropped silently."""
-    df.write.mode("append").json(path)
+def write_errors(df: DataFrame, path: str, again: bool = False) -> None:
+    """Rows that a stage couldn't use, beside its output, as JSON lines; none are dropped silently. ``again``: in place of what is there."""
+    df.write.mode("overwrite" if again else "append").json(path)

@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+
 from sijill.operators import citations, names
 
 
