@@ -6,6 +6,8 @@ regulation, labels verdicts, conversations chats. Arabic texts, citations and da
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
 from sijill.operators import agentic, chat, citations, fragments, insights, layout, ranking, training
 from sijill.session import settled, ship
-from sijill.sources import extract
+from sijill.sources import extract, guarded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -587,6 +589,28 @@ _ANSWERS = (
 )
 
 
+def _blocks_sql() -> str:
+    """(kind, base, bits) of the closed address blocks: all 32 bits of the old kind, the first 32 of the new one."""
+    nets = [ipaddress.ip_network(b) for b in guarded.CLOSED]
+    return ", ".join(f"({n.version}, {int(n[0]) >> (n.max_prefixlen - 32)}, {n.prefixlen})" for n in nets)
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_custkey * 2654435761 % 4294967296 AS n, c_custkey * 40503 % 65536 AS g, c_custkey * 30011 % 65536 AS h, c_custkey % 4 AS k FROM customer),
+s AS (SELECT *, (n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255) AS d, CASE WHEN k = 2 THEN 6 ELSE 4 END AS kind, CASE WHEN k = 2 THEN g * 65536 + h ELSE n END AS b FROM c),
+x(kind, base, bits) AS (VALUES {_blocks_sql()}),
+m AS (SELECT s.id, count(x.base) > 0 AS met FROM s LEFT JOIN x ON x.kind = s.kind AND (s.b >> (32 - x.bits)) = (x.base >> (32 - x.bits)) GROUP BY s.id),
+f AS (SELECT s.*, met AND NOT (kind = 4 AND n IN (3221225481, 3221225482)) AND NOT (kind = 6 AND (b = 536936451 OR b >> 4 IN (33558530, 33558531))) AS closed FROM s JOIN m USING (id))
+SELECT id, CASE k WHEN 0 THEN d WHEN 1 THEN '::ffff:' || d WHEN 2 THEN printf('%x:%x::%x', g, h, id % 65536) ELSE d || '.1' END AS address, CASE WHEN k < 3 THEN closed END AS closed FROM f""")
+def address_ranges(spark, d):
+    """Addresses of both kinds, of the old kind within the new one, and what is none, made from customers: which are closed to fetching."""
+    key = F.col("c_custkey")
+    rows = _t(spark, d, "customer").select(key.alias("id"), (key * 2654435761 % 4294967296).alias("n"), (key * 40503 % 65536).alias("g"), (key * 30011 % 65536).alias("h"))
+    dotted = F.concat_ws(".", *[F.shiftright("n", k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+    k = F.col("id") % 4
+    said = F.when(k == 0, dotted).when(k == 1, F.concat(F.lit("::ffff:"), dotted)).when(k == 2, F.format_string("%x:%x::%x", "g", "h", F.col("id") % 65536)).otherwise(F.concat(dotted, F.lit(".1")))
+    return guarded.closed(rows.select("id", said.alias("address")), "address")
+
+
 @query(f"""WITH a AS (SELECT item_id AS case_id, item_id % 17 AS n_found, item_id % 6 AS k FROM benchmark), j(k, gaps, qs, bad) AS (VALUES (0, true, ['overtime pay rules', 'end of service award'], NULL), (1, true, ['notice period'], NULL), (2, false, CAST([] AS VARCHAR[]), NULL), (3, true, CAST([] AS VARCHAR[]), NULL), (4, false, CAST([] AS VARCHAR[]), 'agentic_parse_failed'), (5, false, CAST([] AS VARCHAR[]), 'agentic_empty_response')),
 w AS (SELECT case_id, CASE WHEN n_found >= 15 THEN 'agentic_sufficient_candidates' WHEN bad IS NOT NULL THEN bad WHEN gaps AND len(qs) = 0 THEN 'agentic_no_queries_generated' END AS warning, qs FROM a JOIN j USING (k))
 SELECT case_id, warning, CAST(i AS INTEGER) AS round, CASE WHEN i IS NOT NULL THEN qs[i] END AS query FROM w LEFT JOIN (SELECT unnest([1, 2]) AS i) r ON warning IS NULL AND i <= len(qs)""")
