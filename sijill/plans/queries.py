@@ -17,7 +17,7 @@ from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
 from sijill.operators import agentic, chat, citations, fragments, insights, layout, ranking, training
 from sijill.session import settled, ship
-from sijill.sources import extract, guarded
+from sijill.sources import extract, guarded, ocr
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -589,6 +589,34 @@ _ANSWERS = (
 )
 
 
+def _first_reader(data: bytes, kind: str, name: str) -> str:
+    if len(data.decode()) % 3 == 0:
+        raise ValueError(f"{name} is blurred")
+    return "" if len(data.decode()) % 3 == 1 else f"{kind}: {data.decode()}"
+
+
+def _second_reader(data: bytes, kind: str, name: str) -> str:
+    if len(data.decode()) % 2:
+        raise ValueError("no lines")
+    return f"again: {data.decode()}"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, (['pdf', 'image', 'text'])[doc_id % 3 + 1] AS method, CASE WHEN doc_id % 3 = 1 THEN '' ELSE coalesce(text, '') END AS raw FROM documents),
+n AS (SELECT *, method <> 'text' AND length({_NORM.format('raw')}) < 400 AS needs FROM d),
+r AS (SELECT *, CASE WHEN NOT needs THEN 'parser' WHEN length(t) % 3 = 2 THEN 'first' WHEN length(t) % 2 = 0 THEN 'second' ELSE 'none' END AS way FROM n)
+SELECT doc_id, CASE way WHEN 'first' THEN 'ocr_primary' WHEN 'second' THEN 'ocr_secondary' WHEN 'none' THEN 'parser_' || method || '_fallback' ELSE 'parser_' || method END AS extraction_method,
+CASE way WHEN 'first' THEN 'one' WHEN 'second' THEN 'two' ELSE 'none' END AS ocr_provider_used, CASE way WHEN 'second' THEN 'secondary' WHEN 'none' THEN 'parser_only' ELSE 'none' END AS fallback_stage,
+md5(CASE way WHEN 'first' THEN method || '/x: ' || t WHEN 'second' THEN 'again: ' || t ELSE raw END) AS text_md5,
+CASE WHEN way IN ('second', 'none') THEN CASE length(t) % 3 WHEN 0 THEN 'file-' || doc_id || ' is blurred' ELSE 'Primary OCR provider failed.' END || CASE way WHEN 'none' THEN '|no lines' ELSE '' END ELSE '' END AS warnings FROM r""")
+def ocr_chain(spark, d):
+    """Documents as PDF files, images and texts, through two readers that fail by a text's length."""
+    k = (F.col("doc_id") % 3 + 1).cast("int")
+    text = F.coalesce("text", F.lit(""))
+    rows = _spread(_t(spark, d, "documents")).select("doc_id", F.element_at(F.array(F.lit("pdf"), F.lit("image"), F.lit("text")), k).alias("method"), F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("name"), F.encode(text, "utf-8").alias("content"), F.when(k == 2, "").otherwise(text).alias("raw"))
+    found = ocr.recognized(rows.withColumn("content_type", F.concat("method", F.lit("/x"))), ocr.Provider("one", _first_reader), ocr.Provider("two", _second_reader))
+    return found.select("doc_id", "extraction_method", "ocr_provider_used", "fallback_stage", F.md5(F.encode("text", "utf-8")).alias("text_md5"), F.array_join("warnings", "|").alias("warnings"))
+
+
 def _blocks_sql() -> str:
     """(kind, base, bits) of the closed address blocks: all 32 bits of the old kind, the first 32 of the new one."""
     nets = [ipaddress.ip_network(b) for b in guarded.CLOSED]
