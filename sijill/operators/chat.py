@@ -30,6 +30,13 @@ def context(cases: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def used_references(answers: DataFrame, references: DataFrame) -> DataFrame:
-    """References (conv_id, ref_id, title, article) whose title or article stands in the answer (conv_id, answer), each once."""
-    rows = answers.join(references, "conv_id").where(F.contains("answer", "title") | F.coalesce(F.contains("answer", "article"), F.lit(False)))
-    return rows.select("conv_id", "ref_id", "title").distinct()
+    """(conv_id, turn, reg_id, title, article, chunk_id): of the references given for an answer those that it uses, one a regulation.
+
+    ``references``: conv_id, pos, reg_id, title, article, chunk_id; ``answers``: conv_id, turn, answer. A reference is used if its
+    title or its article, either not empty, stands in the answer; of a regulation's the first by pos (of equal ones by chunk_id)
+    counts. An empty article comes out as null; null answers use nothing.
+    """
+    said = lambda c: (F.col(c) != "") & F.contains("answer", F.col(c))
+    rows = answers.join(references, "conv_id").where(F.coalesce(said("title"), F.lit(False)) | F.coalesce(said("article"), F.lit(False)))
+    first = rows.groupBy("conv_id", "turn", "reg_id").agg(F.min(F.struct("pos", "chunk_id", "title", "article")).alias("x"))
+    return first.select("conv_id", "turn", "reg_id", F.coalesce("x.title", F.lit("")).alias("title"), F.nullif("x.article", F.lit("")).alias("article"), "x.chunk_id")

@@ -287,12 +287,21 @@ def rerank(rows: DataFrame, score: Column, top_n: int = 15) -> DataFrame:
 
 
 def blend(rows: DataFrame, verdicts: DataFrame, most: int = 15) -> DataFrame:
-    """Of the first ``most``, verdicts drop the rejected and move the approved; without a verdict a row is skipped."""
-    top = V.top_k(rows, ["case_id"], [F.desc("final_score"), F.col("reg_id")], most, "_r").drop("_r")
-    found = top.join(verdicts.select("case_id", "reg_id", "applicable", "confidence"), ["case_id", "reg_id"], "left")
-    status = F.when(F.col("applicable").isNull(), "skipped").when(F.col("applicable"), "approved").otherwise("rejected")
+    """``rows`` (case_id, reg_id, final_score) with status, blended and warning, less those that a verdict rejects.
+
+    Verdicts (case_id, reg_id, applicable, confidence) count for the first ``most`` of a case: the approved ones' score moves, those
+    without a verdict are skipped. Later rows stay as they are, with no status. A case none of whose first rows has a verdict stays as
+    it is altogether, with a warning. A verdict with a null ``applicable`` is none; of equal scores the lower reg_id is first.
+    """
+    place = Window.partitionBy("case_id").orderBy(F.desc("final_score"), "reg_id")
+    said = verdicts.where("applicable is not null").select("case_id", "reg_id", "applicable", "confidence")
+    found = rows.withColumn("_r", F.row_number().over(place)).join(said, ["case_id", "reg_id"], "left")
+    found = found.withColumn("applicable", F.when(F.col("_r") <= most, F.col("applicable")))
+    any_ = F.coalesce(F.max(F.col("applicable").isNotNull()).over(Window.partitionBy("case_id")), F.lit(False))
+    status = F.when(F.col("_any") & (F.col("_r") <= most), F.when(F.col("applicable").isNull(), "skipped").when(F.col("applicable"), "approved").otherwise("rejected"))
     score = F.when(F.col("status") == "approved", 0.85 * F.col("final_score") + 0.15 * V.lookup(V.CONFIDENCE, "confidence", 0.3)).otherwise(F.col("final_score"))
-    return found.withColumn("status", status).where("status <> 'rejected'").withColumn("blended", score).drop("applicable", "confidence")
+    found = found.withColumn("_any", any_).withColumn("status", status).where("status is null or status <> 'rejected'")
+    return found.withColumn("blended", score).withColumn("warning", F.when(~F.col("_any"), "gemini_fallback_used")).drop("applicable", "confidence", "_r", "_any")
 
 
 def expand(passed: DataFrame, by_round: DataFrame, profile: Profile) -> DataFrame:

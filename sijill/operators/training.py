@@ -148,10 +148,14 @@ def top1_accuracy(scores: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("evaluated"), F.round(F.avg(F.col("relevant").cast("double")), 4).alias("accuracy"))
 
 
-def pool(laws: DataFrame, most: int = 2000) -> DataFrame:
-    """The distinct, trimmed law texts of cases (text), in order of the text, ``most`` at most."""
-    said = laws.select(T.strip("text").alias("text")).where("text <> ''").distinct()
-    return said.orderBy("text").limit(most)
+def pool(cases: DataFrame, laws: DataFrame, most: int = 2000) -> DataFrame:
+    """(text, case_pos, pos): the distinct laws (case_pos, pos, text) of the first ``most`` cases (case_pos), each where it is seen first.
+
+    The order of the pool is that of case_pos and pos. Cases without a law count too; texts are compared as they are; null ones drop out.
+    """
+    first = cases.select("case_pos").where("case_pos is not null").distinct().orderBy("case_pos").limit(most)
+    seen = laws.where("text is not null").join(first, "case_pos").groupBy("text").agg(F.min(F.struct("case_pos", "pos")).alias("x"))
+    return seen.select("text", "x.case_pos", "x.pos")
 
 
 # ------------------------------------------------------------------ retrieval measures

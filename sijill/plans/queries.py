@@ -403,8 +403,8 @@ def maxsim_rerank(spark, d):
 
 
 @query(f"""{_RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY final_score DESC, reg_id) AS r FROM k),
-v AS (SELECT t.case_id, t.reg_id, t.final_score, l.quality, l.toxic FROM t LEFT JOIN labels l ON l.doc_id = t.reg_id WHERE r <= 15)
-SELECT case_id, reg_id, final_score, CASE WHEN quality IS NULL THEN 'skipped' ELSE 'approved' END AS status,
+v AS (SELECT t.*, l.quality, l.toxic, bool_or(l.quality IS NOT NULL) OVER (PARTITION BY case_id) AS any_said FROM t LEFT JOIN labels l ON l.doc_id = t.reg_id AND r <= 15)
+SELECT case_id, reg_id, final_score, CASE WHEN any_said AND r <= 15 THEN CASE WHEN quality IS NULL THEN 'skipped' ELSE 'approved' END END AS status, CASE WHEN NOT any_said THEN 'gemini_fallback_used' END AS warning,
 round(CASE WHEN quality IS NULL THEN final_score ELSE 0.85::DOUBLE * final_score + 0.15::DOUBLE * CASE WHEN toxic = 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END END, 6) AS blended FROM v WHERE quality IS NULL OR quality = 1""")
 def verdict_blend(spark, d):
     rows = _lenient(spark, d)
@@ -912,9 +912,12 @@ def top1_accuracy(spark, d):
     return training.top1_accuracy(s.select("query_id", F.col("vec_id").alias("item_id"), "score", (F.col("l") == F.col("label")).alias("relevant")))
 
 
-@query("""SELECT DISTINCT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' ORDER BY text LIMIT 2000""")
+@query("""WITH f AS (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 2000), l AS (SELECT conv_id AS case_pos, turn * 2 + CASE WHEN role = 'user' THEN 0 ELSE 1 END AS pos, text FROM conversations JOIN f USING (conv_id) WHERE text IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY case_pos, pos) AS r FROM l) SELECT text, case_pos, pos::BIGINT AS pos FROM r WHERE r = 1""")
 def law_pool(spark, d):
-    return training.pool(_t(spark, d, "conversations"))
+    """Messages as the laws of a conversation, their case."""
+    laws = _t(spark, d, "conversations").select(F.col("conv_id").alias("case_pos"), (F.col("turn") * 2 + F.when(F.col("role") == "user", 0).otherwise(1)).cast("long").alias("pos"), "text")
+    return training.pool(laws, laws)
 
 
 @query("""WITH p AS (SELECT DISTINCT left(a.text, 200) AS k, a.text AS t, 1 AS rel FROM conversations a WHERE role = 'user' UNION SELECT left(a.text, 200), b.text, 0 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.role = 'user' AND b.role = 'assistant'),
@@ -1012,11 +1015,23 @@ def context_block(spark, d):
     return chat.context(rows.select("conv_id", F.col("role").alias("case_type")), rows.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("title"), "text"))
 
 
-@query(r"""WITH r AS (SELECT item_id AS ref_id, regexp_extract(text, '^\S+') AS title, regexp_extract(text, '^\S+\s+(\S+)', 1) AS article FROM benchmark)
-SELECT DISTINCT c.conv_id, r.ref_id, r.title FROM conversations c JOIN r ON r.ref_id % 10 = c.conv_id % 10 WHERE c.role = 'assistant' AND (contains(c.text, r.title) OR contains(c.text, r.article))""")
+@query(r"""WITH i AS (SELECT item_id AS chunk_id, item_id // 3 AS reg_id, CASE WHEN item_id % 7 = 0 THEN '' ELSE regexp_extract(text, '^\S+') END AS title, CASE WHEN item_id % 5 = 0 THEN '' ELSE regexp_extract(text, '^\S+\s+(\S+)', 1) END AS article,
+  list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: length(x) > 5)) AS l FROM benchmark),
+w AS (SELECT DISTINCT conv_id, unnest(string_split_regex(lower(text), '\s+')) AS x FROM conversations WHERE role = 'user'),
+g AS (SELECT DISTINCT conv_id, chunk_id, reg_id, title, article FROM w JOIN (SELECT *, unnest(l) AS x FROM i) USING (x)),
+m AS (SELECT c.conv_id, c.turn, reg_id, chunk_id, title, article, row_number() OVER (PARTITION BY c.conv_id, c.turn, reg_id ORDER BY chunk_id) AS r FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') c JOIN g USING (conv_id)
+  WHERE (title <> '' AND contains(c.text, title)) OR (article <> '' AND contains(c.text, article)))
+SELECT conv_id, turn, reg_id, title, nullif(article, '') AS article, chunk_id FROM m WHERE r = 1""")
 def answer_references(spark, d):
-    """Which of the references a conversation was given its answers use: benchmark items by first and second word."""
-    answers = _t(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.regexp_extract("text", r"^\S+", 0).alias("title"), F.regexp_extract("text", r"^\S+\s+(\S+)", 1).alias("article"), (F.col("item_id") % 10).alias("k"))
-    given = answers.select("conv_id", (F.col("conv_id") % 10).alias("k")).distinct().join(items, "k").drop("k")
-    return chat.used_references(answers, given)
+    """Which references an answer uses: items are chunks, three a regulation, given to conversations that ask with one of their long words."""
+    said = _t(spark, d, "conversations")
+    items = _t(spark, d, "benchmark").select(
+        F.col("item_id").alias("chunk_id"),
+        F.floor(F.col("item_id") / 3).alias("reg_id"),
+        F.when(F.col("item_id") % 7 == 0, "").otherwise(F.regexp_extract("text", r"^\S+", 0)).alias("title"),
+        F.when(F.col("item_id") % 5 == 0, "").otherwise(F.regexp_extract("text", r"^\S+\s+(\S+)", 1)).alias("article"),
+        F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 5))).alias("x"),
+    )
+    asked = said.where("role = 'user'").select("conv_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("x")).distinct()
+    given = asked.join(items, "x").drop("x").distinct().withColumn("pos", F.col("chunk_id"))
+    return chat.used_references(said.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")), given)
