@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sijill.functions import text as T
 from sijill.functions import vectors as V
+from sijill.session import settled
 
 
 def merge(sources: list[DataFrame], key: str = "id") -> DataFrame:
@@ -105,17 +106,18 @@ def random_negatives(cases: DataFrame, positives: DataFrame, chunks: DataFrame,
     return drawn(cases, positives, chunks, n, seed).where(F.length("content") >= least)
 
 
-def triplets(cases: DataFrame, citations: DataFrame, chunks: DataFrame, scores: DataFrame, first: DataFrame, query: int = 30, least: int = 20, seed: int = 42) -> DataFrame:
+def triplets(cases: DataFrame, citations: DataFrame, chunks: DataFrame, scores: DataFrame, first: DataFrame, query: int = 30, least: int = 20, seed: int = 42, positives: DataFrame | None = None) -> DataFrame:
     """(id, reg_id, article_number, query, positive, negative, origin, split): every positive of a case with every negative.
 
     ``cases``: id, text, category; ``citations``: id, reg_id (null: not resolved, left out), article_number; ``chunks``: chunk_id,
     reg_id, chunk_index, article_ref, category, content; ``scores``: id, chunk_id, score; ``first``: reg_id, content. Texts under 50
     characters, queries under ``query`` and positives under ``least`` drop out. Negatives are hard ones, then random ones; a case
-    without any gets its first random one, however short.
+    without any gets its first random one, however short. ``positives`` (id, reg_id, article_number, positive) stands in for the chunks
+    of the citations, if they are known.
     """
     q = cases.where(F.length("text") >= 50).select("id", "category", T.facts_section("text").alias("query")).where(F.length("query") >= query)
     cited = citations.where("reg_id is not null").join(q.select("id"), "id").select("id", "reg_id", "article_number")
-    positives = chunk_by_article(cited.distinct(), chunks, first).where(F.length("positive") >= least)
+    positives = (chunk_by_article(cited.distinct(), chunks, first) if positives is None else positives).where(F.length("positive") >= least)
     own = cited.select("id", "reg_id").distinct().persist()
     who = q.select("id", "category").join(own.select("id").distinct(), "id").persist()
     hard = hard_negatives(scores.join(who.select("id"), "id"), own, chunks).select("id", F.col("content").alias("negative"), F.lit("hard").alias("origin"), F.lit(None).cast("long").alias("rank"))
@@ -127,14 +129,35 @@ def triplets(cases: DataFrame, citations: DataFrame, chunks: DataFrame, scores:
     return rows.withColumn("split", V.hash_split("id"))
 
 
-def triplet_stats(cases: DataFrame, citations: DataFrame, made: DataFrame) -> DataFrame:
-    """One row of counters of ``triplets`` and what went in."""
+def counted_triplets(cases: DataFrame, citations: DataFrame, chunks: DataFrame, scores: DataFrame, first: DataFrame, query: int = 30, least: int = 20, seed: int = 42) -> tuple[DataFrame, dict]:
+    """``triplets``, stored, and eight counters that are observed while the positives and the triplets are stored, without a pass of their own.
+
+    skipped_no_text counts cases under 50 characters, and those with a resolved citation whose query is too short;
+    total_positives_found and skipped_no_positive count resolved citations (repeated ones too) of the other cases, by whether a
+    positive was found that is long enough, negatives or not.
+    """
+    cited = citations.where("reg_id is not null").select("id", "reg_id", "article_number")
+    found = chunk_by_article(cited.distinct(), chunks, first)
     given = citations.groupBy("id").agg(F.count("*").alias("n"), F.count("reg_id").alias("resolved"))
-    long = F.length("text") >= 50
-    one = cases.join(given, "id", "left").agg(F.count("*").alias("total_cases"), F.count_if(F.coalesce(~long, F.lit(True))).alias("skipped_no_text"), F.count_if(long & (F.col("n") > 0)).alias("cases_with_citations"), F.count_if(long & (F.col("resolved") > 0)).alias("cases_with_resolved_citations"))
-    positives = made.select("id", "reg_id", "article_number").distinct().agg(F.count("*").alias("total_positives_found"))
-    counts = made.agg(F.count_if(F.col("split") == "train").alias("total_triplets_train"), F.count_if(F.col("split") == "val").alias("total_triplets_val"))
-    return one.crossJoin(positives).crossJoin(counts)  # one row each
+    per = cited.groupBy("id", "reg_id", "article_number").agg(F.count("*").alias("times")).alias("c").join(found.alias("f"), (F.col("c.id") == F.col("f.id")) & (F.col("c.reg_id") == F.col("f.reg_id")) & F.col("c.article_number").eqNullSafe(F.col("f.article_number")))
+    per = per.groupBy("c.id").agg(F.collect_list(F.struct("c.reg_id", "c.article_number", "times", "positive")).alias("cited"))  # a case's own citations
+    rows = cases.select("id", F.coalesce(F.length("text") >= 50, F.lit(False)).alias("long"), (F.length(T.facts_section("text")) >= query).alias("asks")).join(given, "id", "left").join(per, "id", "left")
+    usable, good = F.col("long") & (F.col("resolved") > 0) & F.col("asks"), lambda x: F.coalesce(F.length(x["positive"]) >= least, F.lit(False))
+    times = lambda keep: F.sum(F.when(usable, F.aggregate(F.filter("cited", keep), F.lit(0).cast("long"), lambda a, x: a + x["times"])).otherwise(0))
+    seen, made_ = Observation(), Observation()
+    rows = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("total_cases"),
+        F.count_if(F.col("long") & (F.col("n") > 0)).alias("cases_with_citations"),
+        F.count_if(F.col("long") & (F.col("resolved") > 0)).alias("cases_with_resolved_citations"),
+        times(good).alias("total_positives_found"),
+        times(lambda x: ~good(x)).alias("skipped_no_positive"),
+        F.count_if(~F.col("long") | (F.col("resolved") > 0) & ~F.col("asks")).alias("skipped_no_text"),
+    )
+    positives = settled(rows).select("id", F.explode("cited").alias("c")).select("id", "c.reg_id", "c.article_number", "c.positive")
+    made = triplets(cases, citations, chunks, scores, first, query, least, seed, positives)
+    made = settled(made.observe(made_, F.count_if(F.col("split") == "train").alias("total_triplets_train"), F.count_if(F.col("split") == "val").alias("total_triplets_val")))
+    return made, {k: v or 0 for k, v in (seen.get | made_.get).items()}
 
 
 def chunk_indexes(chunks: DataFrame) -> DataFrame:

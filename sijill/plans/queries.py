@@ -870,7 +870,7 @@ neg AS (SELECT * FROM hd UNION ALL SELECT id, content, 'random' FROM (SELECT * F
 made AS (SELECT pos.id, pos.reg_id, pos.article_number, md5(q.query) AS query, positive, content AS negative, origin, CASE WHEN ('0x' || substr(md5(pos.id::VARCHAR), 1, 8))::UBIGINT / 4294967295.0::DOUBLE < 0.2::DOUBLE THEN 'val' ELSE 'train' END AS split FROM pos JOIN q USING (id) JOIN neg USING (id) WHERE length(positive) >= 20)"""
 
 
-def _triplets(spark, d):
+def _triplet_tables(spark, d):
     """Cases are the query set's vectors with the documents of their ids, chunks all vectors, cut into 97 regulations."""
     v, docs = _t(spark, d, "embeddings"), _t(spark, d, "documents")
     label = F.concat(F.lit("c"), F.col("label"))
@@ -882,20 +882,22 @@ def _triplets(spark, d):
     chunks = v.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("reg_id"), F.floor(F.col("vec_id") / 97).alias("chunk_index"), F.concat(F.lit("المادة "), F.col("vec_id") % 20).alias("article_ref"), label.alias("category"), content.alias("content"))
     scores = _dense(spark, d).select(F.col("query_id").alias("id"), F.col("vec_id").alias("chunk_id"), "score")
     first = training.latest_first_chunk(chunks.withColumn("version_id", F.lit(1)), spark.createDataFrame([(1, 1)], "version_id int, version_number int"))
-    return cases, cited, training.triplets(cases, cited, chunks, scores, first)
+    return cases, cited, chunks, scores, first
 
 
 @query(f"WITH {_TRIPLET} SELECT * FROM made")
 def triplet_build(spark, d):
-    return _triplets(spark, d)[2].withColumn("query", F.md5("query"))
+    return training.triplets(*_triplet_tables(spark, d)).withColumn("query", F.md5("query"))
 
 
-@query(f"""WITH {_TRIPLET}, g AS (SELECT id, count(*) AS n, count(reg_id) AS resolved FROM cited GROUP BY id)
-SELECT (SELECT count(*) FROM cases) AS total_cases, (SELECT count(*) FROM cases WHERE coalesce(length(text), 0) < 50) AS skipped_no_text, (SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND n > 0) AS cases_with_citations,
-(SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND resolved > 0) AS cases_with_resolved_citations, (SELECT count(*) FROM (SELECT DISTINCT id, reg_id, article_number FROM made)) AS total_positives_found,
+@query(f"""WITH {_TRIPLET}, g AS (SELECT id, count(*) AS n, count(reg_id) AS resolved FROM cited GROUP BY id), e AS (SELECT length(positive) >= 20 AS good FROM cited JOIN q USING (id) JOIN pos USING (id, reg_id, article_number))
+SELECT (SELECT count(*) FROM cases) AS total_cases, (SELECT count(*) FROM cases LEFT JOIN g USING (id) WHERE coalesce(length(text), 0) < 50 OR (resolved > 0 AND id NOT IN (SELECT id FROM q))) AS skipped_no_text, (SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND n > 0) AS cases_with_citations,
+(SELECT count(*) FROM cases JOIN g USING (id) WHERE length(text) >= 50 AND resolved > 0) AS cases_with_resolved_citations, (SELECT count(*) FROM e WHERE coalesce(good, false)) AS total_positives_found, (SELECT count(*) FROM e WHERE NOT coalesce(good, false)) AS skipped_no_positive,
 (SELECT count(*) FROM made WHERE split = 'train') AS total_triplets_train, (SELECT count(*) FROM made WHERE split = 'val') AS total_triplets_val""")
 def triplet_stats(spark, d):
-    return training.triplet_stats(*_triplets(spark, d))
+    """The counters that are observed while triplets are stored."""
+    counts = training.counted_triplets(*_triplet_tables(spark, d))[1]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
 
 @query("""SELECT c_mktsegment AS category, count(*) AS n_chunks, count(DISTINCT c_nationkey) AS n_regulations FROM customer GROUP BY c_mktsegment""")

@@ -213,8 +213,14 @@ def test_triplet_fallbacks(spark):
     assert {r["id"] for r in rows} == {1, 2} and {r["positive"] for r in rows} == {"content of the chunk 1"}
     assert {(r["negative"], r["origin"]) for r in rows if r["id"] == 1} == {("content of the chunk 3", "hard"), ("content of the chunk 3", "random")}
     assert {r["origin"] for r in rows if r["id"] == 2} <= {"random", "any"} and all("chunk 1" not in r["negative"] and "chunk 4" not in r["negative"] for r in rows)
-    counts = training.triplet_stats(cases, cited, made).first().asDict()
-    assert (counts["total_cases"], counts["skipped_no_text"], counts["cases_with_citations"], counts["cases_with_resolved_citations"], counts["total_positives_found"]) == (4, 1, 3, 2, 2)
+    again, counts = training.counted_triplets(cases, cited, chunks, scores, first)
+    assert sorted(again.collect()) == sorted(rows)
+    assert counts == {"total_cases": 4, "skipped_no_text": 1, "cases_with_citations": 3, "cases_with_resolved_citations": 2, "total_positives_found": 2, "skipped_no_positive": 0, "total_triplets_train": len([r for r in rows if r["split"] == "train"]), "total_triplets_val": len([r for r in rows if r["split"] == "val"])}
+    more = cited.union(spark.createDataFrame([(1, 2, None), (1, 2, None), (2, 77, 1), (2, 1, 5)], "id long, reg_id long, article_number long"))
+    counts = training.counted_triplets(cases, more, chunks, scores, first, query=20)[1]
+    assert (counts["total_positives_found"], counts["skipped_no_positive"]) == (3, 3)  # the tiny chunk twice, a regulation without chunks, a repeated citation
+    counts = training.counted_triplets(cases, more, chunks, scores, first, query=1000)[1]
+    assert (counts["skipped_no_text"], counts["total_positives_found"], counts["skipped_no_positive"], counts["total_triplets_train"]) == (3, 0, 0, 0)
 
 
 def test_draws_fall_back_to_the_whole_category(spark, monkeypatch):
