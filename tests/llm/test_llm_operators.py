@@ -163,15 +163,21 @@ def test_base_spans_match_brute_force(spark):
 
 
 def test_long_hosts_and_many_spans(spark):
+    """Right on both, and twice the spans take about twice the time: whole seconds differ between machines."""
     import time
 
     host = ".".join(f"h{i}" for i in range(12))
     many = " ".join(f"user{i}@mail{i}.example and phone 0123-456 {i % 900 + 100} 12" for i in range(20_000))
-    rows = docs(spark, [f"write jö@{host}.org or mail to joe.smith (at) {host}.org now", many])
-    pii.redacted(rows).collect()  # trains once
-    began = time.time()
-    new = {r["doc_id"]: r["text"] for r in pii.redacted(rows).collect()}
-    assert "h11" not in new[0] and new[1].count("[EMAIL]") == 20_000 and "@" not in new[1] and time.time() - began < 20
+    half = many[: many.index("user10000@") - 1]
+    first = f"write jö@{host}.org or mail to joe.smith (at) {host}.org now"
+    pii.redacted(docs(spark, [first, half])).collect()  # trains once
+    took = []
+    for text, n in ((half, 10_000), (many, 20_000)):
+        began = time.time()
+        new = {r["doc_id"]: r["text"] for r in pii.redacted(docs(spark, [first, text])).collect()}
+        took.append(time.time() - began)
+        assert "h11" not in new[0] and new[1].count("[EMAIL]") == n and "@" not in new[1]
+    assert took[1] < 3 * took[0], took
 
 
 def test_personal_data(spark):
