@@ -11,7 +11,7 @@ import ipaddress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.functions import blocks
+from sijill.functions import answers, blocks
 from sijill.functions import text as T
 from sijill.functions import vectors as V
 from sijill.functions.segment import max_sim, segment
@@ -589,6 +589,31 @@ _ANSWERS = (
 )
 
 
+#: Answers to a summary, made from orders: in fences, among other text, with entries of the wrong kind, broken, or a list.
+_ANSWERED = """a AS (SELECT o_orderkey AS id, o_orderpriority AS p, o_orderstatus AS s, o_orderdate::VARCHAR AS d, o_totalprice AS t, o_orderkey % 6 AS k FROM orders)"""
+
+
+@query(f"""WITH {_ANSWERED}
+SELECT a.id, CASE WHEN a.k = 0 THEN 'Status ' || s || '|' || p || '|high;untitled|' || s || '|low' WHEN a.k = 1 THEN 'untitled|must ' || p || '|medium' WHEN a.k = 2 THEN '7|True|low' ELSE '' END AS bullets,
+CASE WHEN a.k = 0 THEN 'تاريخ نظامي مهم|' || d || '|' || p WHEN a.k = 1 THEN 'due|' || d || '|' ELSE '' END AS dates,
+CASE WHEN a.k = 0 THEN s || '|' || p || '|' WHEN a.k = 1 THEN p || '||0.5' WHEN a.k = 3 THEN d || '||1.0' ELSE '' END AS citations FROM a""")
+def answer_parts(spark, d):
+    """What answers of a model keep: bullets, dates and citations, each as title|text|rest."""
+    k, q = F.col("o_orderkey") % 6, lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    p, s, date = q("o_orderpriority"), q("o_orderstatus"), q("o_orderdate")
+    full = F.concat(F.lit('```json\n{"bullets": [{"title": "Status '), F.col("o_orderstatus"), F.lit('", "description": '), p, F.lit(', "severity": "high"}, {"title": " ", "description": '), s, F.lit('}, "text", {"title": "empty", "description": ""}], "key_dates": [{"value": '), date, F.lit(', "source": '), p, F.lit('}, {"label": "no value"}], "citations": [{"snippet": '), s, F.lit(', "section_ref": '), p, F.lit(', "relevance": "0.9"}]}\n```'))
+    some = F.concat(F.lit('Here: {"bullets": [null, {"description": "must '), F.col("o_orderpriority"), F.lit('"}], "key_dates": [[], {"label": "due", "value": '), date, F.lit(', "source": ""}], "citations": [{"snippet": '), p, F.lit(', "section_ref": 0, "relevance": 0.5}, 5]} done'))
+    odd = F.lit('{"bullets": [{"title": 7, "description": true}], "key_dates": {"value": "no list"}, "citations": "none"}')
+    late = F.concat(F.lit('{"citations": [{"snippet": "  "}, {"snippet": '), date, F.lit(', "relevance": true}]}'))
+    raw = F.when(k == 0, full).when(k == 1, some).when(k == 2, odd).when(k == 3, late).when(k == 4, '{"bullets": [').otherwise('[1, 2]')
+    v = answers.answer("raw")
+    line = lambda x: F.concat_ws("|", *[F.coalesce(x[c].cast("string"), F.lit("")) for c in x_fields])
+    out = []
+    for name, column, x_fields in (("bullets", answers.bullets(v, "bullets", "untitled", 8), ("title", "description", "severity")), ("dates", answers.key_dates(v), ("label", "value", "source")), ("citations", answers.citations(v), ("snippet", "section_ref", "relevance"))):
+        out.append(F.array_join(F.transform(column, line), ";").alias(name))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).select("id", *out)
+
+
 def _first_reader(data: bytes, kind: str, name: str) -> str:
     if len(data.decode()) % 3 == 0:
         raise ValueError(f"{name} is blurred")
