@@ -139,22 +139,50 @@ def normalize_arabic(c) -> Column:
     return normalize_space(F.regexp_replace(x, r"[\x{064B}-\x{065F}\x{0670}\x{0640}]", ""))
 
 
-# Number words. Ordinals in both genders from one to ten, teens, tens, and the bare ones of compounds.
-_ONE_TO_TEN = ("الاولى الاول", "الثانية الثاني", "الثالثة الثالث", "الرابعة الرابع", "الخامسة الخامس", "السادسة السادس", "السابعة السابع", "الثامنة الثامن", "التاسعة التاسع", "العاشرة العاشر")
-_TEEN_STEMS = ("الحادية الحادي", *_ONE_TO_TEN[1:9])
-_TENS = ("العشرون العشرين", "الثلاثون الثلاثين", "الاربعون الاربعين", "الخمسون الخمسين", "الستون الستين", "السبعون السبعين", "الثمانون الثمانين", "التسعون التسعين", "المائة المئة")
-_BARE = ("واحدة واحد", "اثنتين اثنين اثنتان اثنان", "ثلاث ثلاثة", "اربع اربعة", "خمس خمسة", "ست ستة", "سبع سبعة", "ثمان ثمانية ثماني", "تسع تسعة")
-
-
-def number_words() -> dict[str, int]:
-    """Every ordinal and ten, made from the lists above."""
-    out = {w: i for i, ws in enumerate(_ONE_TO_TEN, 1) for w in ws.split()}
-    out |= {f"{w} {ten}": i for i, ws in enumerate(_TEEN_STEMS, 11) for w, ten in zip(ws.split(), ("عشرة", "عشر"), strict=True)}
-    return out | {w: 10 * i for i, ws in enumerate(_TENS, 2) for w in ws.split()}
-
-
-def bare_words() -> dict[str, int]:
-    return {w: i for i, ws in enumerate(_BARE, 1) for w in ws.split()}
+# Ordinals in both genders and tens, and the bare numbers within compounds.
+# fmt: off
+NUMBER_WORDS = {
+    "الاولى": 1, "الاول": 1,
+    "الثانية": 2, "الثاني": 2,
+    "الثالثة": 3, "الثالث": 3,
+    "الرابعة": 4, "الرابع": 4,
+    "الخامسة": 5, "الخامس": 5,
+    "السادسة": 6, "السادس": 6,
+    "السابعة": 7, "السابع": 7,
+    "الثامنة": 8, "الثامن": 8,
+    "التاسعة": 9, "التاسع": 9,
+    "العاشرة": 10, "العاشر": 10,
+    "الحادية عشرة": 11, "الحادي عشر": 11,
+    "الثانية عشرة": 12, "الثاني عشر": 12,
+    "الثالثة عشرة": 13, "الثالث عشر": 13,
+    "الرابعة عشرة": 14, "الرابع عشر": 14,
+    "الخامسة عشرة": 15, "الخامس عشر": 15,
+    "السادسة عشرة": 16, "السادس عشر": 16,
+    "السابعة عشرة": 17, "السابع عشر": 17,
+    "الثامنة عشرة": 18, "الثامن عشر": 18,
+    "التاسعة عشرة": 19, "التاسع عشر": 19,
+    "العشرون": 20, "العشرين": 20,
+    "الثلاثون": 30, "الثلاثين": 30,
+    "الاربعون": 40, "الاربعين": 40,
+    "الخمسون": 50, "الخمسين": 50,
+    "الستون": 60, "الستين": 60,
+    "السبعون": 70, "السبعين": 70,
+    "الثمانون": 80, "الثمانين": 80,
+    "التسعون": 90, "التسعين": 90,
+    "المائة": 100, "المئة": 100,
+}
+BARE_WORDS = {
+    "واحدة": 1, "واحد": 1,
+    "اثنتين": 2, "اثنين": 2, "اثنتان": 2, "اثنان": 2,
+    "ثلاث": 3, "ثلاثة": 3,
+    "اربع": 4, "اربعة": 4,
+    "خمس": 5, "خمسة": 5,
+    "ست": 6, "ستة": 6,
+    "سبع": 7, "سبعة": 7,
+    "ثمان": 8, "ثمانية": 8, "ثماني": 8,
+    "تسع": 9, "تسعة": 9,
+}
+# fmt: on
 
 
 def _map(words: dict[str, int]) -> Column:
@@ -165,7 +193,7 @@ def arabic_number(c) -> Column:
     """The number that a text names: all its digits together; else an ordinal, or ordinals joined by "and"; else null."""
     x = normalize_arabic(c)
     digits = F.regexp_replace(F.translate(x, "٠١٢٣٤٥٦٧٨٩", "0123456789"), "[^0-9]", "")
-    table, bare = _map(number_words()), _map(bare_words())
+    table, bare = _map(NUMBER_WORDS), _map(BARE_WORDS)
     parts = F.transform(F.split(x, r"(?U)\s+و"), lambda p: F.coalesce(F.try_element_at(table, F.trim(p)), F.try_element_at(bare, F.regexp_replace(F.trim(p), "^ال", ""))))
     total = F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.aggregate(parts, F.lit(0), lambda a, p: a + p))
     whole = F.try_element_at(table, x)
@@ -217,9 +245,9 @@ def salvage_json(c) -> Column:
     return F.when(found != "", found)
 
 
-# Word families of obligations, risks and affected parties; a star stands for further letters.
+# Word families of obligations, risks and affected parties, as patterns.
 OBLIGATION = "must|shall|required|obligation|يلتزم|يجب|يتعين|يلزم"
-RISK = "penalty|fine|imprison*|sanction*|prohibited|forbidden|يعاقب|غرامة|السجن|الحبس|يحظر|ممنوع"
+RISK = r"penalty|fine|imprison[\p{L}\p{N}_]*|sanction[\p{L}\p{N}_]*|prohibited|forbidden|يعاقب|غرامة|السجن|الحبس|يحظر|ممنوع"
 PARTIES = {
     "أصحاب العمل والمنشآت": "employer|company|منشأة|صاحب العمل",
     "العاملون والموظفون": "employee|worker|عامل|موظف",
@@ -230,7 +258,7 @@ PARTIES = {
 
 def family(c, words: str) -> Column:
     """Whether any of the words stands in the text by itself."""
-    return col(c).rlike(r"(?iU)(?<![\p{L}\p{N}_])(?:" + words.replace("*", r"[\p{L}\p{N}_]*") + r")(?![\p{L}\p{N}_])")
+    return col(c).rlike(r"(?iU)(?<![\p{L}\p{N}_])(?:" + words + r")(?![\p{L}\p{N}_])")
 
 
 def severity(c) -> Column:
