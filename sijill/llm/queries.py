@@ -75,6 +75,12 @@ def language_folds(spark, sf_dir):
     return rows.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("no_letter"), F.col("score").between(0, 1).alias("in_range"))
 
 
+def toxicity_folds(spark, sf_dir):
+    """What of op12's result doesn't depend on the model: the fold, and what a score and a prediction may be."""
+    rows = op12_toxicity(spark, sf_dir)
+    return rows.select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"), (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("agrees"))
+
+
 def lm_base_scores(spark, sf_dir):
     """op8's counts and word baseline; its score is the model's."""
     return op8_suffix_tree_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
@@ -88,7 +94,7 @@ def mix_targets(spark, sf_dir):
     return rows.join(near, ["source_size", "target"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "near")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, op12_toxicity, op13_ranked_search, personal_data_base, language_folds, lm_base_scores, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_main_text, op4_personal_data, op5_language_id, op6_minhash_dedup, op7_quality_resampling, op8_suffix_tree_scores, op9_embedding_dedup, op10_mix_sources, op11_merkle_manifest, op12_toxicity, op13_ranked_search, personal_data_base, language_folds, toxicity_folds, lm_base_scores, mix_targets)}
 
 
 
@@ -153,6 +159,7 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kin
   string_agg((['email', 'ip', 'card', 'phone'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS x FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "language_folds": f"""SELECT doc_id, {_crc('doc_id')} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS no_letter, true AS in_range FROM documents""",
+    "toxicity_folds": f"""SELECT doc_id, {_crc('doc_id')} % 5 = 0 AS held_out, true AS in_range, true AS agrees FROM documents""",
     "lm_base_scores": f"""WITH d AS (SELECT doc_id, {_crc('doc_id')} % 5 = 1 AS held_out, list_append(coalesce({_LOW}, []), chr(10)) AS l FROM documents), t AS (SELECT doc_id, held_out, unnest(l) AS x FROM d),
 c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)))), 6) AS base_score
