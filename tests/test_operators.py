@@ -282,3 +282,25 @@ def test_other_sources(spark, tmp_path, monkeypatch):
     plan = fetch.ocr_plan(spark.createDataFrame([("pdf", 10, False), ("pdf", 900, False), ("html", 0, False)], "method string, n_chars long, rtl boolean"), None, "second")
     assert [(r["needs_ocr"], r["provider"]) for r in plan.collect()] == [(True, "second"), (False, None), (False, None)]
     assert extract.rtf_text(rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\f0 Caf\'e9 \b bold\b0\par next \u1593?}".decode()) == "Café bold\nnext ع"
+
+
+def test_scores_of_texts_are_those_of_the_dense_product(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["labor", "Contract", "case", *[f"w{i}" for i in range(300)]]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 40, 2000, 7)] + [None, "", "  ", "x" * 1500]
+    block = blocks.hash_matrix([t for t in texts if t])
+    m, n = blocks.hash_matrix(texts), blocks.norms(block)
+    dense = (m @ block.T) / (blocks.norms(m)[:, None] * n)
+    assert (blocks.text_scores(texts, block.T.copy(), n) == dense).all()
+    monkeypatch.setattr(blocks, "PRODUCT_BYTES", 8 * block.shape[0] * 3)
+    assert (blocks.text_scores(texts, block.T.copy(), n) == dense).all()
+    assert blocks.text_scores([None], block.T.copy(), n).tolist() == [[0.0] * len(n)]
+
+
+def test_a_unit_is_cut_into_tokens_once(spark):
+    p = ranking.Profile(strict=False, threshold=0.1)
+    cases, frags, units, regs = fixture(spark, "commercial", "late delivery of goods, 3 days", [(201, "commercial_law", "Delivery of goods, of goods in 3 days"), (202, "labor_law", "?!"), (203, "civil_law", "land")])
+    pairs = ranking.compared(frags, ranking.grouped_units(units), p)
+    assert {r["reg_id"]: r["lexical_overlap"] for r in pairs.collect()} == {201: 4 / 6, 202: 0.0, 203: 0.0}
+    rows = ranking.gate(ranking.composite(ranking.features(pairs, frags, p), regs, cases, p), p)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower") == 1
