@@ -3,6 +3,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sijill.functions import blocks
 from sijill.operators import agentic, chat, citations, fragments, insights, ranking, training
@@ -304,3 +305,25 @@ def test_a_unit_is_cut_into_tokens_once(spark):
     assert {r["reg_id"]: r["lexical_overlap"] for r in pairs.collect()} == {201: 4 / 6, 202: 0.0, 203: 0.0}
     rows = ranking.gate(ranking.composite(ranking.features(pairs, frags, p), regs, cases, p), p)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower") == 1
+
+
+def test_a_task_passes_on_what_multi_source_and_hard_negatives_need(spark):
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(80, 6)), np.repeat(rng.normal(size=(4, 6)), 10, 0)])  # copies tie
+    v[40:60] = v[0] + rng.normal(size=(20, 6)) / 4  # some are relevant
+    kinds, tiers = ("regulation", "judgment"), ("official", "trusted", "unverified", "unknown")
+    rows = [(i, kinds[i % 2], tiers[int(t)], i, x.tolist()) for i, (x, t) in enumerate(zip(v, rng.integers(0, 4, len(v)), strict=True))]
+    sources = spark.createDataFrame(rows, "source_id long, source_type string, trust_tier string, pos long, what array<double>").repartition(4)
+    cases = sources.where("source_id % 15 = 0").select(F.col("source_id").alias("case_id"), "what")
+    every = blocks.scored(cases.select(F.col("case_id").alias("id"), "what"), sources.select(F.col("source_id").alias("id"), "what")).select(F.col("query_id").alias("case_id"), F.col("id").alias("source_id"), "score")
+    few = ranking.source_scores(cases, sources, 5, 0.1)
+    assert few.count() < every.count()
+    found = [sorted(map(tuple, ranking.multi_source(best, sources.drop("what"), 5, 0.1).collect())) for best in (every, few)]
+    assert found[0] == found[1] and len(found[0]) > 20
+    own = cases.select(F.col("case_id").alias("id"), F.explode(F.array(F.col("case_id") % 5, F.lit(3))).alias("reg_id"))
+    chunks = sources.select(F.col("source_id").alias("chunk_id"), (F.col("source_id") % 5).alias("reg_id"), F.lit("a content that is long enough").alias("content"))
+    best = blocks.scored(cases.select(F.col("case_id").alias("id"), "what"), sources.select(F.col("source_id").alias("id"), "what", (F.col("source_id") % 5).alias("grp")), 10, own.select("id", F.col("reg_id").alias("grp")))
+    assert best.groupBy("query_id").count().where("count > 40").count() == 0  # ten a task at most
+    named = lambda s, a, b: s.select(F.col(a).alias("id"), F.col(b).alias("chunk_id"), F.round("score", 6).alias("score"))
+    found = [sorted(map(tuple, training.hard_negatives(s, own, chunks).collect())) for s in (named(every, "case_id", "source_id"), named(best, "query_id", "id"))]
+    assert found[0] == found[1] and len(found[0]) == 3 * cases.count()
