@@ -327,3 +327,16 @@ def test_a_task_passes_on_what_multi_source_and_hard_negatives_need(spark):
     named = lambda s, a, b: s.select(F.col(a).alias("id"), F.col(b).alias("chunk_id"), F.round("score", 6).alias("score"))
     found = [sorted(map(tuple, training.hard_negatives(s, own, chunks).collect())) for s in (named(every, "case_id", "source_id"), named(best, "query_id", "id"))]
     assert found[0] == found[1] and len(found[0]) == 3 * cases.count()
+
+
+def test_an_article_is_looked_up_once(spark):
+    cited = spark.createDataFrame([(i, 1, 5) for i in range(50)] + [(60, 1, 9), (61, 1, 0), (62, 1, None), (63, 2, 5)], "id long, reg_id long, article_number long")
+    chunks = spark.createDataFrame([(1, 1, 2, "Art 15", "b"), (2, 1, 1, "Art 50", "a"), (3, 1, 0, "Art 7", "first"), (4, 1, 0, None, "none")], "chunk_id long, reg_id long, chunk_index long, article_ref string, content string")
+    rows = training.chunk_by_article(cited, chunks, spark.createDataFrame([(1, "first")], "reg_id long, content string"))
+    assert {r["id"]: r["positive"] for r in rows.collect()} == dict.fromkeys(range(50), "a") | {60: "first", 61: "first", 62: "first", 63: None}
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_file_of_customers_is_spread(spark, small):
+    plan = registered.QUERIES["address_ranges"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4" in plan
