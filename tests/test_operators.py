@@ -340,3 +340,7 @@ def test_an_article_is_looked_up_once(spark):
 def test_one_file_of_customers_is_spread(spark, small):
     plan = registered.QUERIES["address_ranges"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4" in plan
+
+
+def test_a_reference_without_its_semicolon_is_decoded():
+    assert extract.html_text("<h1>and&amp;&amp</h1><p>a&am</p>") == "and&& a&am"
