@@ -223,11 +223,11 @@ def _counted(batches, known=None):
 def _met(batches, shared):
     """As ``_counted``, for few entries: found by the automaton."""
     auto = shared.value.automaton
+    counts: Counter = Counter()
     for b in batches:
-        counts: Counter = Counter()
         for line in b.column("line").to_pylist() if shared.value.weights else ():
             counts.update({e for _, e in auto.iter(line)})
-        yield _counts(counts)
+    yield _counts(counts)
 
 
 def _counts(counts: Counter) -> pa.RecordBatch:
@@ -325,8 +325,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     count = lambda found, least: {r["entry"]: r["n"] for r in found.groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
     share = lambda x: spark.sparkContext.broadcast(x)
-    clean = rows.where("toxic = 0").select("line")
-    toxic = count(rows.where("toxic = 1").select("line").mapInArrow(_counted, "entry string, n long"), LEAST_ROWS)
+    # a task passes on each entry that it meets, so there are no more tasks than cores, however many files the rows lie in
+    few = rows.coalesce(spark.sparkContext.defaultParallelism)
+    clean = few.where("toxic = 0").select("line")
+    toxic = count(few.where("toxic = 1").select("line").mapInArrow(_counted, "entry string, n long"), LEAST_ROWS)
     # an entry that fails by its toxic rows alone, or by a part of the clean ones, fails by all of them too
     some = {e: toxic[e] for _, e, _ in telling(toxic, {}, sizes[1], sizes[0], len(toxic))}
     part = clean.where(F.pmod(F.xxhash64("line"), F.lit(SCREEN)) == 0).mapInArrow(functools.partial(_counted, known=share(frozenset(some))), "entry string, n long")
