@@ -19,13 +19,17 @@ PATTERNS = (
 )
 
 
+#: Control characters that mark matches and their groups; no pattern matches them, so those of a text become another one.
+_MARKS = "\x01\x02"
+
+
 def extract(judgments: DataFrame, least: int = 50) -> DataFrame:
     """A row a citation: id, pattern (0 full, 1 numbered, 2 bare), pos, article_ref, article_number, kind, name; first of its key only."""
-    rows = judgments.where(F.length("text") >= least).select("id", T.normalize_arabic("text").alias("t"))
+    rows = judgments.where(F.length("text") >= least).select("id", F.translate(T.normalize_arabic("text"), _MARKS, "\x03\x03").alias("t"))
     found = []
-    for k, p in enumerate(PATTERNS):
-        groups = [F.regexp_extract_all("t", F.lit(p), F.lit(g)) for g in (1, 2, 3)]
-        found.append(F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("a", "k", "n"), strict=True)]), _tagged(k)))
+    for k, p in enumerate(PATTERNS):  # one scan a pattern: matches become parts between marks, their groups parts of these
+        parts = F.split(F.regexp_replace("t", p, "\x01$1\x02$2\x02$3\x01"), "\x01")
+        found.append(F.transform(F.filter(parts, lambda x, i: i % 2 == 1), _tagged(k)))
     rows = rows.select("id", F.posexplode(F.concat(*found)).alias("pos", "c")).select("id", "pos", F.col("c.p").alias("pattern"), F.trim("c.a").alias("article_ref"), F.col("c.k").alias("kind"), T.clean_name(F.trim("c.n")).alias("name"))
     key = Window.partitionBy("id", "article_ref", "name").orderBy("pattern", "pos")
     ref = Window.partitionBy("id", "article_ref").orderBy("pattern", "pos")
@@ -34,7 +38,7 @@ def extract(judgments: DataFrame, least: int = 50) -> DataFrame:
 
 
 def _tagged(pattern: int):
-    return lambda x: F.struct(F.lit(pattern).alias("p"), x["a"].alias("a"), x["k"].alias("k"), x["n"].alias("n"))
+    return lambda x: F.struct(F.lit(pattern).alias("p"), *[F.split_part(x, F.lit("\x02"), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "k"), (3, "n"))])
 
 
 def resolve(names: DataFrame, titles: DataFrame, least: float = 0.5) -> DataFrame:
