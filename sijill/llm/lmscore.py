@@ -9,8 +9,9 @@ its suffix's distribution (weight SMOOTH), down to the plain byte frequencies. A
 suffix of what came before it.
 
 1. One pass counts words and (DEPTH + 1)-grams of the training texts, pre-aggregated in each task.
-2. The tree grows with the corpus, so it is never in one place: grams are partitioned by the NEAR bytes before the symbol, which
-   all longer suffixes share, and each partition prunes its own branches. Only the contexts of up to NEAR bytes go to all.
+2. The tree grows with the corpus, so it is never in one place: grams are partitioned by the NEAR + 1 bytes before the symbol, which
+   all contexts that may be pruned share, and each partition prunes its own branches, in partitions of about PART counted rows that
+   are summed as they come. Only the contexts of up to NEAR bytes go to all.
 3. One pass scores all texts. Frequent grams (LOOKUP of all symbols, so at most 1 / LOOKUP) and the baseline's frequent words
    (FREQUENT of all tokens, so at most 1 / FREQUENT) are looked up there, 16 bytes a gram and 24 a word, 130 MB at most; that is only a shortcut: the other symbols leave as (row, gram) and meet their
    branch of the tree in its partition, the other words as (row, word, times) meet their counts in a shuffle join.
@@ -42,6 +43,9 @@ LOOKUP = 2e-7
 FREQUENT = 5e-7
 #: Distinct keys that a task's pre-aggregation holds before it passes them on.
 HELD = 1_000_000
+#: Counted rows of a partition of the tree, and those a task takes in before it sums them; bytes of text that are scored at a time.
+PART = 1_000_000
+SLICE = 1 << 20
 
 _START, _BLANK, _END = 0x09, 0x20, 0x0A
 _AGAIN = numbers(14, 256)
@@ -257,21 +261,41 @@ def branches(low: tuple[np.ndarray, list], g: np.ndarray, times: np.ndarray) ->
     return Tree(low[0], *[a + b for a, b in zip(low[1], _levels(g, times, range(NEAR + 1, DEPTH + 1)), strict=True)])
 
 
-def _low(grams_: DataFrame) -> tuple[np.ndarray, list]:
-    """Plain counts and levels up to NEAR: their number is bounded by that of byte triples."""
-    few = grams_.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (NEAR + 1))) - 1)).alias("entry")).agg(F.sum("times").alias("times")).toArrow()
+class Counts:
+    """Distinct grams and their counts, summed whenever PART rows or as many as are held have come, so partial counts don't pile up."""
+
+    def __init__(self):
+        self.grams, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._keys, self._counts, self._waiting = [], [], 0
+
+    def add(self, g: np.ndarray, times: np.ndarray) -> None:
+        self._keys.append(g)
+        self._counts.append(times)
+        self._waiting += len(g)
+        if self._waiting > max(PART, len(self.grams)):
+            self.summed()
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._waiting:
+            self.grams, self.times = _summed([self.grams, *self._keys], [self.times, *self._counts])
+            self._keys, self._counts, self._waiting = [], [], 0
+        return self.grams, self.times
+
+
+def _low(grams_: DataFrame) -> tuple[tuple[np.ndarray, list], int]:
+    """Plain counts and levels up to NEAR, whose number is bounded by that of byte triples; and the number of counted rows."""
+    few = grams_.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (NEAR + 1))) - 1)).alias("entry")).agg(F.sum("times").alias("times"), F.count("*").alias("rows")).toArrow()
     e, c = few["entry"].to_numpy().astype(np.uint64), few["times"].to_numpy()
     plain = np.bincount((e & np.uint64(255)).astype(np.int64), weights=c, minlength=256)
-    return plain, _levels(e, c, range(1, NEAR + 1))
+    return (plain, _levels(e, c, range(1, NEAR + 1))), int(few["rows"].to_numpy().sum())
 
 
 def _frequent(batches, shared, least: float):
     """(gram, log) of a partition's grams that are seen ``least`` times."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    counts = Counts()
     for b in batches:
-        keys.append(b.column("gram").to_numpy().view(np.uint64))
-        counts.append(b.column("times").to_numpy())
-    g, c = _summed(keys, counts)
+        counts.add(b.column("gram").to_numpy().view(np.uint64), b.column("times").to_numpy())
+    g, c = counts.summed()
     if (c >= least).any():
         often = g[c >= least]
         logs = np.log10(branches(shared.value, g, c).probability(often))
@@ -280,16 +304,16 @@ def _frequent(batches, shared, least: float):
 
 def _answered(batches, shared):
     """(row, log) of a partition's asked symbols. Its counted grams (times isn't null) come first."""
-    keys, counts, tree = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+    counts, tree = Counts(), None
     for b in batches:
         counted = b.column("times").is_valid().to_numpy(zero_copy_only=False)
         g = b.column("gram").to_numpy().view(np.uint64)
-        keys.append(g[counted])
-        counts.append(b.column("times").drop_null().to_numpy())
+        counts.add(g[counted], b.column("times").drop_null().to_numpy())
         if counted.all():
             continue
         if tree is None:
-            tree = branches(shared.value, *_summed(keys, counts))
+            tree = branches(shared.value, *counts.summed())
+            counts = Counts()
         row = b.column("row").filter(pa.array(~counted))
         yield pa.RecordBatch.from_arrays([row, pa.array(np.log10(tree.probability(g[~counted])))], ["row", "log"])
 
@@ -330,7 +354,7 @@ def _scored(batches, shared):
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64()), ("gram", pa.int64())])
     for b in batches:
-        for part in texts(b.column("text"), 1 << 21):
+        for part in texts(b.column("text"), SLICE):
             data, first, at, token = symbols(part)
             g = grams(data, first)
             logp = np.concatenate([scorer(some) for some in np.array_split(g, max(1, len(data) >> 19))])
@@ -371,10 +395,11 @@ def score(docs: DataFrame) -> DataFrame:
     counted = stored(own.where("train").select("text").mapInArrow(_counted, "word binary, gram long, times long"), "lm-counted")
     grams_ = counted.where("gram is not null").select("gram", "times")
     vocabulary = stored(counted.where("word is not null").groupBy("word").agg(F.sum("times").alias("c")), "lm-words")
-    low = _low(grams_)
-    branch = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * NEAR)) - 1))
+    low, rows = _low(grams_)
+    branch = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * (NEAR + 1))) - 1))
+    parts = max(2 * spark.sparkContext.defaultParallelism, rows // PART + 1)  # a number of its own: joined ones would hold more
     shared_low = spark.sparkContext.broadcast(low)
-    often = grams_.repartition(branch).mapInArrow(functools.partial(_frequent, shared=shared_low, least=max(1.0, LOOKUP * low[0].sum())), "gram long, log double").orderBy("gram").toArrow()
+    often = grams_.repartition(parts, branch).mapInArrow(functools.partial(_frequent, shared=shared_low, least=max(1.0, LOOKUP * low[0].sum())), "gram long, log double").orderBy("gram").toArrow()
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = n + 0.5 * (v + 1)
     common = vocabulary.where(F.col("c") >= F.lit(max(1.0, FREQUENT * n))).orderBy("word").toArrow() if v else None
@@ -388,7 +413,7 @@ def score(docs: DataFrame) -> DataFrame:
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(below)))
     asked = scored.where("gram is not null").select("row", "gram", F.lit(None).cast("long").alias("times"))
     told = grams_.select(F.lit(None).cast("long").alias("row"), "gram", "times")
-    answers = told.unionByName(asked).repartition(branch).sortWithinPartitions(F.col("times").isNull()).mapInArrow(functools.partial(_answered, shared=shared_low), "row long, log double")
+    answers = told.unionByName(asked).repartition(parts, branch).sortWithinPartitions(F.col("times").isNull()).mapInArrow(functools.partial(_answered, shared=shared_low), "row long, log double")
     more = rare.select("row", (F.col("times") * log).alias("base"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("log"))
     more = more.unionByName(answers.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "log"))
     summed = more.groupBy("row").agg(F.sum("base").alias("more"), F.sum("known").alias("known"), F.sum("log").alias("asked"))

@@ -715,3 +715,26 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in rows.select("doc_id").collect()} == first and len(first) < len(texts)
     kept = {r["doc_id"] for r in stages["decontamination"](spark, rows, str(tmp_path)).select("doc_id").collect()}
     assert kept == {i for i in first if not any(x in texts[i] for x in items)} and len(kept) < len(first)
+
+
+def test_partial_counts_of_grams_dont_pile_up(monkeypatch):
+    monkeypatch.setattr(lmscore, "PART", 1000)
+    rng, counts, all_ = np.random.default_rng(3), lmscore.Counts(), {}
+    for _ in range(200):
+        g, c = rng.integers(0, 300, 250).astype(np.uint64), rng.integers(1, 9, 250)
+        counts.add(g, c)
+        assert counts._waiting <= 1000 + 250 and len(counts.grams) <= 300
+        for x, y in zip(g.tolist(), c.tolist(), strict=True):
+            all_[x] = all_.get(x, 0) + y
+    g, c = counts.summed()
+    assert dict(zip(g.tolist(), c.tolist(), strict=True)) == all_ and (np.diff(g.astype(np.int64)) > 0).all()
+
+
+def test_scores_dont_depend_on_the_partitions_of_the_tree(spark, monkeypatch):
+    table = common.read(spark, "/root/testdata/sf0.001", "documents")
+    monkeypatch.setattr(lmscore, "LOOKUP", 1e-3)  # most symbols are asked of the tree's partitions
+    whole = {r["doc_id"]: r["score"] for r in lmscore.score(table).collect()}
+    monkeypatch.setattr(lmscore, "PART", 5000)
+    parted = lmscore.score(table)
+    assert parted._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert {r["doc_id"]: r["score"] for r in parted.collect()} == pytest.approx(whole, rel=1e-9)
