@@ -359,3 +359,15 @@ def test_impact_of_next_reads_a_text_once(spark):
     assert "Join" not in plan and plan.count("LogicalRDD") == 1
     used = registered.amendment_impact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in used and used.count("Relation [") == 1
+
+
+def test_a_blank_text_is_no_missing_one(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, ""), (2, " \n\t "), (3, None), (4, " a\n b "), (5, "x" * 15_000_001), (6, "ab " * 40_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: tuple(r) for r in registered.extraction_envelope(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found == {r[0]: r for r in con.execute(registered.ORACLES["extraction_envelope"]).fetchall()}
+    assert found[2][1] == "" and found[3][1] is None and found[5][2] == "error"
